@@ -35,11 +35,10 @@ def normalize_target(col: Column | str, dictionary: str = "production", numeric_
     """Token lookup, else ``number >= 0.5``, else NULL.  Result INT."""
     key = target_key(col, dictionary)
     looked_up = F.try_element_at(dictionary_map(dictionary), key)
-    out = looked_up
-    if numeric_fallback:
-        num = parse_double(key)
-        out = F.coalesce(looked_up, F.when(num >= 0.5, F.lit(1)).when(num.isNotNull(), F.lit(0)))
-    return F.when(_c(col).isNull(), F.lit(None)).otherwise(out).cast("int")
+    if not numeric_fallback:
+        return looked_up.cast("int")
+    # NULL >= 0.5 is NULL, so unreadable text stays NULL
+    return F.coalesce(looked_up, (parse_double(key) >= 0.5).cast("int")).cast("int")
 
 
 def binary_text_value(col: Column | str) -> Column:

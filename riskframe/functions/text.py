@@ -29,7 +29,7 @@ def strip_blanks(col: Column | str) -> Column:
 
 def normalize_text(col: Column | str) -> Column:
     """Drop BOM and zero-width space, strip, lower, blank runs -> '_', á é í ó ú -> a e i o u."""
-    s = F.regexp_replace(_c(col).cast("string"), "[﻿​]", "")
+    s = F.regexp_replace(_c(col).cast("string"), "[\ufeff\u200b]", "")
     s = F.lower(strip_blanks(s))
     s = F.regexp_replace(s, r"\s+", "_")
     return F.translate(s, _ACCENTED, _PLAIN)
@@ -37,21 +37,25 @@ def normalize_text(col: Column | str) -> Column:
 
 def normalize_name(name: str) -> str:
     """Driver-side twin of :func:`normalize_text` for column headers (metadata, not data)."""
-    s = str(name).replace("﻿", "").replace("​", "").strip().lower()
+    s = str(name).replace("\ufeff", "").replace("\u200b", "").strip().lower()
     s = re.sub(r"\s+", "_", s)
     return s.translate(str.maketrans(_ACCENTED, _PLAIN))
 
 
 def missing_to_null(col: Column | str) -> Column:
-    """E8: '' / nan / NaN / None (after strip) -> NULL, other text stripped."""
+    """E8: '' / nan / NaN / None (after strip) -> NULL, other text stripped.
+
+    Written so the input is referenced once (no expression blow-up when
+    several of these functions are nested and Catalyst collapses projections).
+    """
     s = strip_blanks(_c(col).cast("string"))
-    return F.when(s.isin(*MISSING_TOKENS), F.lit(None).cast("string")).otherwise(s)
+    return F.nullif(F.regexp_replace(s, r"^(nan|NaN|None)$", ""), F.lit(""))
 
 
 def parse_double(col: Column | str) -> Column:
     """Text -> DOUBLE, anything that is not a plain decimal number -> NULL (never NaN)."""
     s = strip_blanks(_c(col).cast("string"))
-    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double")).otherwise(F.lit(None).cast("double"))
+    return F.regexp_extract(s, NUMBER_PATTERN, 0).try_cast("double")
 
 
 def fill_missing_category(col: Column | str, fill: str = "NA") -> Column:

@@ -64,7 +64,7 @@ def _dirty_sql() -> str:
            f"AS \"{DIRTY_HEADERS['aprobado']}\"")
     body = ", ".join([f"CAST(app_id AS VARCHAR) AS id"] + num + cat + [tgt, "CAST(NULL AS VARCHAR) AS notas", "'EC' AS pais",
                                                                        f"{H('app_id', 'dup')} AS _dup"])
-    return f"SELECT * EXCLUDE (_dup) FROM (SELECT {body} FROM applications) d, (SELECT 1 UNION ALL SELECT 2) r(k) WHERE k = 1 OR _dup < 0.02"
+    return f"SELECT * EXCLUDE (_dup, k) FROM (SELECT {body} FROM applications) d, (SELECT 1 UNION ALL SELECT 2) r(k) WHERE k = 1 OR _dup < 0.02"
 
 
 FIXTURE_CTES = {

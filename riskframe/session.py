@@ -59,3 +59,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder (never a local one).
+
+    Used between the passes of multi-pass operators: later passes read the
+    written files instead of recomputing the whole plan, and a lost executor
+    does not force a recomputation from the sources.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

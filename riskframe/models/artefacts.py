@@ -1,0 +1,61 @@
+"""Tree artefacts (M21) and the second-order leaf refit of the boosted trees."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def tree_table(spark: SparkSession, model_path: str, feature_names: list[str], n_trees: int = 6,
+               max_depth: int = 4) -> DataFrame:
+    """Nodes of the first ``n_trees`` trees down to ``max_depth``, read from the saved model.
+
+    The saved ``data`` folder holds one row per node (treeID, nodeData); the
+    depth is found by joining children level by level (``max_depth`` joins of
+    a small node table).
+    """
+    nodes = spark.read.parquet(f"{model_path}/data").filter(F.col("treeID") < n_trees) \
+        .select("treeID", "nodeData.*")
+    level = nodes.filter(F.col("id") == 0).withColumn("depth", F.lit(0))
+    frames = [level]
+    for d in range(1, max_depth + 1):
+        kids = level.select("treeID", F.explode(F.array("leftChild", "rightChild")).alias("id")) \
+            .filter(F.col("id") >= 0)
+        level = nodes.join(kids, ["treeID", "id"]).withColumn("depth", F.lit(d))
+        frames.append(level)
+    allx = frames[0]
+    for f in frames[1:]:
+        allx = allx.unionByName(f)
+    names = F.array(*[F.lit(n) for n in feature_names])
+    stats = F.col("impurityStats")
+    total = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)
+    is_leaf = F.col("leftChild") < 0
+    return allx.select(
+        F.col("treeID").alias("tree"), F.col("id").alias("node"), "depth",
+        F.col("rawCount").alias("samples"),
+        stats[0].alias("class_0"), stats[1].alias("class_1"),
+        F.try_divide(stats[1], total).alias("probability"),
+        F.when(is_leaf, F.lit(None)).otherwise(names[F.col("split.featureIndex")]).alias("feature"),
+        F.when(is_leaf, F.lit(None)).otherwise(F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"),
+        is_leaf.alias("leaf"))
+
+
+def newton_leaf_values(gbt_model, df: DataFrame, features: str = "scaled", label: str = "label",
+                       reg_lambda: float = 1.0) -> DataFrame:
+    """Second-order leaf weights w* = -G / (H + lambda) for every (tree, leaf).
+
+    Gradient and hessian of the log-loss at the model's margin:
+    g = p - y, h = p (1 - p).  The leaf of every row in every tree comes from
+    ``leafCol``; one ``groupBy(tree, leaf)`` sums them (partial aggregation).
+    """
+    m = gbt_model.copy()
+    m.setLeafCol("_leaves")
+    t = m.transform(df)
+    p = vector_to_array(F.col(m.getProbabilityCol()))[1]
+    y = F.col(label).cast("double")
+    per = t.select(F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"), (p - y).alias("g"),
+                   (p * (1 - p)).alias("h"))
+    return per.groupBy("tree", F.col("leaf").cast("int").alias("leaf")).agg(
+        F.sum("g").alias("G"), F.sum("h").alias("H"), F.count(F.lit(1)).alias("n")) \
+        .withColumn("weight", -F.col("G") / (F.col("H") + F.lit(reg_lambda)))

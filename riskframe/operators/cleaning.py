@@ -280,7 +280,7 @@ def clean_dataset(df: DataFrame, target: str = S.TARGET) -> tuple[DataFrame, Not
     return reorder_required_first(out), notes
 
 
-def prepare_production(df: DataFrame) -> DataFrame:
+def prepare_production(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """F8: production retrain preparation.
 
     schema check -> target (production dictionary) -> drop unreadable ->
@@ -289,7 +289,7 @@ def prepare_production(df: DataFrame) -> DataFrame:
     missing = missing_columns(df)
     if missing:
         raise ValueError("missing required columns: " + ", ".join(sorted(missing)))
-    df = df.select(*S.REQUIRED_COLUMNS).withColumn(S.TARGET, normalize_target(S.TARGET, "production")) \
+    df = df.select(*(extra or []), *S.REQUIRED_COLUMNS).withColumn(S.TARGET, normalize_target(S.TARGET, "production")) \
         .filter(F.col(S.TARGET).isNotNull())
     gate = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(S.TARGET).alias("k")).first()
     if gate["n"] == 0:

@@ -98,11 +98,16 @@ def recommendations(df: DataFrame, id_col: str, score_fn: ScoreFn, max_recs: int
                           F.when(F.size(top) > 0, top).otherwise(default).alias("recommendations"))
 
 
-def ablation(df: DataFrame, id_col: str, features: list[str], baseline: dict[str, float], score_fn: ScoreFn) -> DataFrame:
-    """P - p(feature set to its median), per row and feature, in one batched pass."""
-    arr = F.array(F.struct(F.lit("__base__").alias("feature"), *[F.col(c).alias(c) for c in features]),
+def ablation(df: DataFrame, id_col: str, features: list[str], baseline: dict[str, float], score_fn: ScoreFn,
+             carry: list[str] | None = None) -> DataFrame:
+    """P - p(feature set to its median), per row and feature, in one batched pass.
+
+    ``carry`` columns are passed unchanged to the scoring function."""
+    carry = carry or []
+    keep = [F.col(c).alias(c) for c in carry]
+    arr = F.array(F.struct(F.lit("__base__").alias("feature"), *[F.col(c).alias(c) for c in features], *keep),
                   *[F.struct(F.lit(f).alias("feature"),
-                             *[(F.lit(float(baseline[c])) if c == f else F.col(c)).alias(c) for c in features])
+                             *[(F.lit(float(baseline[c])) if c == f else F.col(c)).alias(c) for c in features], *keep)
                     for f in features])
     ex = df.select(id_col, F.explode(arr).alias("s")).select(id_col, "s.*")
     scored = score_fn(ex)
@@ -112,11 +117,12 @@ def ablation(df: DataFrame, id_col: str, features: list[str], baseline: dict[str
 
 
 def sensitivity(df: DataFrame, id_col: str, ranges: dict[str, tuple[float, float, bool]], score_fn: ScoreFn,
-                top: int = 4, min_delta: float = 0.005) -> DataFrame:
+                top: int = 4, min_delta: float = 0.005, carry: list[str] | None = None) -> DataFrame:
     """Per feature, binary -> flip, else +-10 %% of its range clamped; best delta kept;
     improvers above ``min_delta``, top ``top`` by delta.  ``ranges`` = {feature: (min, max, binary)}."""
+    keep = [F.col(c).alias(c) for c in (carry or [])]
     scen = [F.struct(F.lit("__base__").alias("feature"), F.lit(0).alias("dir"),
-                     *[F.col(c).alias(c) for c in ranges])]
+                     *[F.col(c).alias(c) for c in ranges], *keep)]
     for f, (lo, hi, binary) in ranges.items():
         if binary:
             moves = [(1, F.lit(1.0) - F.col(f))]
@@ -125,7 +131,7 @@ def sensitivity(df: DataFrame, id_col: str, ranges: dict[str, tuple[float, float
             moves = [(1, F.least(F.lit(hi), F.col(f) + step)), (-1, F.greatest(F.lit(lo), F.col(f) - step))]
         for d, val in moves:
             scen.append(F.struct(F.lit(f).alias("feature"), F.lit(d).alias("dir"),
-                                 *[(val if c == f else F.col(c)).alias(c) for c in ranges]))
+                                 *[(val if c == f else F.col(c)).alias(c) for c in ranges], *keep))
     ex = df.select(id_col, F.explode(F.array(*scen)).alias("s")).select(id_col, "s.*")
     scored = score_fn(ex)
     base = scored.filter(F.col("feature") == "__base__").select(id_col, F.col("p").alias("_p0"))

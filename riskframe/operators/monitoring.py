@@ -104,7 +104,7 @@ def list_users(users: DataFrame) -> DataFrame:
 
 
 def export_training(evals: DataFrame, labels: DataFrame, prefer_real: bool = True,
-                    labelled_only: bool = False) -> DataFrame:
+                    labelled_only: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Training table with the best label available for every evaluation."""
     from riskframe.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
     last = latest_per_key(labels, "app_id", "labelled_at", ["aprobado_real"]).drop("labelled_at")
@@ -113,4 +113,5 @@ def export_training(evals: DataFrame, labels: DataFrame, prefer_real: bool = Tru
         j = j.filter(F.col("aprobado_real").isNotNull())
     y = F.coalesce(F.col("aprobado_real"), F.col("aprobado"), F.lit(0)) if prefer_real \
         else F.coalesce(F.col("aprobado"), F.lit(0))
-    return j.select(*NUMERIC_FEATURES, *CATEGORICAL_FEATURES, y.cast("int").alias("aprobado"))
+    extra = [c for c in (keep or []) if c in j.columns]
+    return j.select(*extra, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, y.cast("int").alias("aprobado"))

@@ -1,3 +1,263 @@
-"""Queries registered by this module."""
+"""Model queries.
 
-from riskframe.plans.registry import query  # noqa: F401
+Fitted-model outputs have no SQL twin (the driver checks them rows-only);
+X2 is set algebra and has one.  Queries use the reference algorithms with
+smaller tree/round/epoch counts (``QUERY_SIZES``) so the whole-table check
+finishes; the library defaults (``ModelSizes()``) are the reference sizes.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from riskframe import schema as S
+from riskframe.models import artefacts as AR
+from riskframe.models import ensemble as EN
+from riskframe.models import estimators as E
+from riskframe.models import registry as R
+from riskframe.operators import explain as X
+from riskframe.operators import features as FE
+from riskframe.plans import jobs
+from riskframe.plans.registry import query
+from riskframe.session import scratch_path
+from riskframe.sources import fixtures as fx
+
+QUERY_SIZES = E.ModelSizes(trees=40, tree_depth=10, boost_rounds=20, boost_depth=6, boost_rate=0.1,
+                           logit_iter=200, probit_iter=50, net_epochs=25, mlp_iter=100)
+
+_CACHE: dict = {}
+
+
+def _split_scaled(spark, sf):
+    """Encoded, split and scaled applications (cached per session and scale factor)."""
+    key = ("split", id(spark), sf)
+    if key not in _CACHE:
+        a = fx.applications(spark, sf).select("app_id", *S.REQUIRED_COLUMNS) \
+            .withColumn("label", F.col(S.TARGET).cast("int"))
+        enc_model = FE.encoder_pipeline(S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES).fit(a)
+        names = FE.feature_names(enc_model, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES)
+        enc = EN.cut_lineage(FE.stratified_split(enc_model.transform(a).select("app_id", "label", "features"),
+                                                 "app_id", "label", 0.2, 42))
+        train = enc.filter(F.col("split") == "train")
+        sc = FE.fit_vector_scaler(train, "features", [n for n, _, _ in names])
+        _CACHE[key] = (sc.transform_vector(train), sc.transform_vector(enc.filter(F.col("split") == "test")), names)
+    return _CACHE[key]
+
+
+def _ensemble(spark, sf) -> EN.Ensemble:
+    key = ("ens", id(spark), sf)
+    if key not in _CACHE:
+        _CACHE[key] = EN.train_ensemble(fx.applications(spark, sf), "app_id", sizes=QUERY_SIZES)
+    return _CACHE[key]
+
+
+def _registry(spark, sf):
+    key = ("reg", id(spark), sf)
+    if key not in _CACHE:
+        ens = _ensemble(spark, sf)
+        mp, rp = scratch_path(spark, "models"), scratch_path(spark, "registry")
+        R.save(spark, ens, mp, rp)
+        _CACHE[key] = (mp, rp)
+    return _CACHE[key]
+
+
+def _single_model(name):
+    def fn(spark, sf):
+        train, test, _ = _split_scaled(spark, sf)
+        m = E.fit(name, train, QUERY_SIZES, "app_id")
+        return E.probability_of(name, m, test).select("app_id", "label", F.col(f"p_{name}").alias("probability"))
+    return fn
+
+
+for _qid, _name in [("M1", "logit"), ("M2", "probit"), ("M3", "random_forest"), ("M4", "xgboost"),
+                    ("M5", "neural_net"), ("M6", "mlp")]:
+    query(_qid)(_single_model(_name))
+
+
+@query("M7")
+def m7_train_evaluate_refit(spark, sf):
+    ens = _ensemble(spark, sf)
+    rows = [(k, v["auc"], v["accuracy"]) for k, v in ens.metrics.items()]
+    return spark.createDataFrame(rows, "model string, auc double, accuracy double")
+
+
+@query("M8")
+def m8_ensemble_probability(spark, sf):
+    ens = _ensemble(spark, sf)
+    return EN.score(fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES),
+                    ens, explain=False).select("app_id", "p_ensemble", *[f"p_{n}" for n in ens.models])
+
+
+@query("M9")
+def m9_score_applications(spark, sf):
+    ens = _ensemble(spark, sf)
+    return EN.score(fx.applications(spark, sf).select("app_id", "user_id", *S.NUMERIC_FEATURES,
+                                                      *S.CATEGORICAL_FEATURES), ens)
+
+
+def _scored_with(spark, sf, contribs_fn):
+    ens = _ensemble(spark, sf)
+    a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
+    enc = ens.encoder.transform(a)
+    sc = ens.scaler.transform_vector(enc, "features", "scaled")
+    return sc.select("app_id", contribs_fn(ens).alias("contribs"))
+
+
+@query("M10")
+def m10_linear_contributions(spark, sf):
+    return X.factors_table(_scored_with(spark, sf, EN.logit_contributions), "app_id", "contribs", 5)
+
+
+@query("M11")
+def m11_tree_contributions(spark, sf):
+    t = _scored_with(spark, sf, lambda e: EN.importance_contributions(e, "random_forest"))
+    return X.factors_table(t, "app_id", "contribs", 5)
+
+
+@query("M12")
+def m12_ablation(spark, sf):
+    ens = _ensemble(spark, sf)
+    a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
+    med = {c: ens.ranges[c]["median"] for c in S.NUMERIC_FEATURES}
+    return X.ablation(a, "app_id", S.NUMERIC_FEATURES, med, EN.score_fn(ens), carry=S.CATEGORICAL_FEATURES)
+
+
+@query("M13")
+def m13_sensitivity(spark, sf):
+    ens = _ensemble(spark, sf)
+    a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
+    ranges = {c: (ens.ranges[c]["min"], ens.ranges[c]["max"], False) for c in S.NUMERIC_FEATURES}
+    return X.sensitivity(a, "app_id", ranges, EN.score_fn(ens), carry=S.CATEGORICAL_FEATURES)
+
+
+@query("M14")
+def m14_recommendations(spark, sf):
+    ens = _ensemble(spark, sf)
+    a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
+    return X.recommendations(a, "app_id", EN.score_fn(ens))
+
+
+@query("M16")
+def m16_reference_customer(spark, sf):
+    ens = _ensemble(spark, sf)
+    return EN.reference_customer(spark, ens, fx.applications(spark, sf)).select(
+        "app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES, "probability", "decision")
+
+
+@query("M18")
+def m18_learning_artefacts(spark, sf):
+    return EN.artefacts_frame(spark, _ensemble(spark, sf))
+
+
+@query("T1")
+def t1_top_coefficients(spark, sf):
+    return EN.top_coefficients(spark, _ensemble(spark, sf), 14)
+
+
+@query("T2")
+def t2_top_importances(spark, sf):
+    return EN.top_importances(spark, _ensemble(spark, sf), "random_forest", 15)
+
+
+@query("A16")
+def a16_importance_by_base(spark, sf):
+    return EN.importance_by_base(spark, _ensemble(spark, sf), "random_forest")
+
+
+@query("M19")
+def m19_dead_neurons(spark, sf):
+    train, _, _ = _split_scaled(spark, sf)
+    ens = _ensemble(spark, sf)
+    return ens.models["neural_net"].dead_neuron_report(train)
+
+
+@query("M20")
+def m20_activations(spark, sf):
+    train, _, _ = _split_scaled(spark, sf)
+    net = _ensemble(spark, sf).models["neural_net"]
+    acts = net.activations(train.select("app_id", "scaled"))
+    return acts.select("app_id", F.transform("activations", lambda layer: F.size(layer)).alias("layer_sizes"),
+                       F.element_at(F.element_at("activations", -1), 1).alias("output"))
+
+
+@query("M21")
+def m21_tree_table(spark, sf):
+    mp, _ = _registry(spark, sf)
+    return AR.tree_table(spark, f"{mp}/random_forest", _ensemble(spark, sf).feature_names)
+
+
+@query("M4b")
+def m4b_newton_leaves(spark, sf):
+    train, _, _ = _split_scaled(spark, sf)
+    gbt = E.fit("xgboost", train, QUERY_SIZES, "app_id")
+    return AR.newton_leaf_values(gbt, train)
+
+
+@query("S11")
+def s11_persist_and_load(spark, sf):
+    _, rp = _registry(spark, sf)
+    loaded = R.load(spark, rp)
+    a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
+    return EN.score(a, loaded, explain=False).select("app_id", "probability", "decision")
+
+
+@query("M22")
+def m22_registry_summary(spark, sf):
+    _, rp = _registry(spark, sf)
+    return R.summary(R.latest(spark, rp))
+
+
+@query("A15")
+def a15_best_model(spark, sf):
+    _, rp = _registry(spark, sf)
+    return R.best_model(R.latest(spark, rp))
+
+
+@query("T6")
+def t6_ranked_models(spark, sf):
+    _, rp = _registry(spark, sf)
+    return R.ranked_models(R.latest(spark, rp))
+
+
+@query("M23")
+def m23_model_report(spark, sf):
+    _, rp = _registry(spark, sf)
+    t = jobs.report_tables(R.latest(spark, rp), fx.applications(spark, sf))
+    f = t["fairness"].select(F.lit("fairness").alias("table"), F.col("dimension").alias("key"),
+                             F.col("group_value").alias("item"), F.col("rate").alias("value"))
+    d = t["disparity"].select(F.lit("disparity").alias("table"), F.col("dimension").alias("key"),
+                              F.col("band").alias("item"), F.col("disparity_pts").alias("value"))
+    m = t["models"].select(F.lit("models").alias("table"), F.col("model").alias("key"),
+                           F.col("rank").cast("string").alias("item"), F.col("auc").alias("value"))
+    return f.unionByName(d).unionByName(m)
+
+
+@query("M24")
+def m24_retrain_from_evaluations(spark, sf):
+    ens = jobs.retrain_from_evaluations(spark, fx.evaluations(spark, sf), fx.truth_labels(spark, sf),
+                                        scratch_path(spark, "models"), scratch_path(spark, "registry"),
+                                        sizes=QUERY_SIZES)
+    rows = [(k, v["auc"], v["accuracy"], ens.n_rows, ens.source) for k, v in ens.metrics.items()]
+    return spark.createDataFrame(rows, "model string, auc double, accuracy double, dataset_size bigint, source string")
+
+
+@query("F7")
+def f7_lab_preprocess(spark, sf):
+    d = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES, "aprobado")
+    lab = jobs.prepare_lab(d, "aprobado", "app_id")
+    return lab.train.unionByName(lab.test)
+
+
+@query("X2", """
+SELECT 'institucion' AS "column", institucion AS value, CAST(count(*) AS BIGINT) AS n FROM inverted
+WHERE institucion NOT IN (SELECT DISTINCT institucion FROM applications) GROUP BY institucion""")
+def x2_unseen_categories(spark, sf):
+    inv = fx.inverted(spark, sf).select("institucion")
+    seen = fx.applications(spark, sf).select("institucion").distinct()
+    new = inv.join(seen, "institucion", "left_anti")
+    return new.groupBy(F.col("institucion").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("institucion").alias("column"), "value", "n")
+
+
+del vector_to_array

@@ -1,3 +1,129 @@
-"""Queries registered by this module."""
+"""Streaming queries (ST1-ST5).
 
-from riskframe.plans.registry import query  # noqa: F401
+Inputs are derived from the driver tables and staged as Parquet files in the
+shared checkpoint folder, one write job per time slice, so files arrive in
+event-time order as a real feed would; each query then runs its stream with
+``availableNow`` and returns the sink read back as a batch DataFrame.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskframe import schema as S
+from riskframe.functions import scoring as SC
+from riskframe.models import ensemble as EN
+from riskframe.models import registry as R
+from riskframe.plans.registry import query
+from riskframe.session import scratch_path
+from riskframe.sources import fixtures as fx
+from riskframe.streaming import jobs as ST
+
+_STAGED: dict = {}
+
+
+def _stage(spark, sf, name, df, slice_col):
+    """Write ``df`` to a new folder, one append job per distinct ``slice_col`` value (ascending)."""
+    key = (id(spark), sf, name)
+    if key not in _STAGED:
+        path = scratch_path(spark, f"stream-{name}")
+        d = df.withColumn("_slice", slice_col)
+        slices = sorted(r[0] for r in d.select("_slice").distinct().collect())  # one row per slice
+        for s in slices:
+            d.filter(F.col("_slice") == s).drop("_slice").write.mode("append").parquet(path)
+        _STAGED[key] = (path, df.schema)
+    return _STAGED[key]
+
+
+def _run(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def _rule_scores(batch):
+    p = F.round(SC.sigmoid(SC.scorecard_z(), clip=None), 12)
+    return batch.select("app_id", p.alias("p")).select(
+        "app_id", F.round("p", 9).alias("probability"), SC.decision_band("p").alias("decision"),
+        SC.binary_prediction("p").alias("aprobado"))
+
+
+def _applications_with_resends(spark, sf):
+    a = fx.application_features(spark, sf)
+    resent = a.filter(F.col("u") < F.lit(0.02))          # ~2 % of applications are sent twice
+    return a.unionByName(resent)
+
+
+@query("ST1", """
+SELECT app_id, round(round(p_latent, 12), 9) AS probability,
+       CASE WHEN round(p_latent, 12) >= 0.66 THEN 'APROBAR' WHEN round(p_latent, 12) >= 0.40 THEN 'REVISAR'
+            ELSE 'RECHAZAR' END AS decision,
+       CAST(CASE WHEN round(p_latent, 12) >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS aprobado FROM applications""")
+def st1_streaming_scoring(spark, sf):
+    apps = _applications_with_resends(spark, sf)
+    path, schema = _stage(spark, sf, "applications", apps, F.year("created_at"))
+    sink = scratch_path(spark, "st1-sink")
+    src = ST.application_stream(spark, path, schema, files_per_batch=4)
+    _run(ST.scoring_stream(spark, src, _rule_scores, sink, scratch_path(spark, "st1-ckpt"), dedup_delay="400 days"))
+    return spark.read.parquet(sink).drop("batch_id")
+
+
+@query("ST2", """
+SELECT CAST(created_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS n, round(avg(probability), 3) AS avg_probability
+FROM evaluations GROUP BY 1""")
+def st2_daily_trend_stream(spark, sf):
+    ev = fx.evaluations(spark, sf)
+    path, schema = _stage(spark, sf, "evaluations", ev, F.year("created_at"))
+    sink = scratch_path(spark, "st2-sink")
+    src = ST.application_stream(spark, path, schema, files_per_batch=4)
+    _run(ST.daily_trend_stream(src, sink, scratch_path(spark, "st2-ckpt")))
+    return spark.read.parquet(sink).withColumn("avg_probability", F.round("avg_probability", 3))
+
+
+@query("ST3", """
+SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen,
+       CAST(count(*) FILTER (WHERE kind = 'visit') AS BIGINT) AS visits,
+       CAST(count(*) FILTER (WHERE kind = 'evaluation') AS BIGINT) AS evaluations
+FROM visits GROUP BY user_id""")
+def st3_user_counters_stream(spark, sf):
+    v = fx.visits(spark, sf)
+    path, schema = _stage(spark, sf, "visits", v, F.weekofyear("ts"))
+    sink = scratch_path(spark, "st3-sink")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    _run(ST.user_counter_stream(src, sink, scratch_path(spark, "st3-ckpt")))
+    return ST.latest_version(spark, sink).drop("v")
+
+
+@query("ST4")
+def st4_hot_model_swap(spark, sf):
+    from riskframe.plans.q_models import _registry
+    _, reg = _registry(spark, sf)
+
+    def score_latest(batch):
+        ens = R.load(spark, reg)                     # newest registry row at every batch
+        cols = ["app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES]
+        return EN.score(batch.select(*cols), ens, explain=False).select(
+            "app_id", "probability", "decision", F.lit(ens.version).alias("model_version"))
+
+    apps = _applications_with_resends(spark, sf)
+    path, schema = _stage(spark, sf, "applications", apps, F.year("created_at"))
+    sink = scratch_path(spark, "st4-sink")
+    src = ST.application_stream(spark, path, schema, files_per_batch=8)
+    _run(ST.scoring_stream(spark, src, score_latest, sink, scratch_path(spark, "st4-ckpt"), dedup_delay="400 days"))
+    return spark.read.parquet(sink)
+
+
+@query("ST5", """
+SELECT e.app_id, e.aprobado, l.aprobado_real, l.labelled_at
+FROM evaluations e JOIN truth_labels l ON e.app_id = l.app_id
+ AND l.labelled_at >= e.created_at AND l.labelled_at <= e.created_at + INTERVAL 60 DAY""")
+def st5_late_labels_stream(spark, sf):
+    ev = fx.evaluations(spark, sf).select("app_id", "created_at", "aprobado")
+    lab = fx.truth_labels(spark, sf)
+    ep, es = _stage(spark, sf, "eval-keys", ev, F.year("created_at"))
+    lp, ls = _stage(spark, sf, "labels", lab, F.year("labelled_at"))
+    sink = scratch_path(spark, "st5-sink")
+    e = spark.readStream.schema(es).option("maxFilesPerTrigger", 1000).parquet(ep)
+    lb = spark.readStream.schema(ls).option("maxFilesPerTrigger", 1000).parquet(lp)
+    _run(ST.late_label_stream(e, lb, sink, scratch_path(spark, "st5-ckpt")))
+    return spark.read.parquet(sink).withColumn("labelled_at", F.col("labelled_at").cast("timestamp_ntz"))

@@ -41,14 +41,20 @@ def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
     return ",", "UTF-8"
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Sniff the dialect when not given, read all columns as STRING, strip header names."""
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
+             keep_blanks: bool = False) -> DataFrame:
+    """Sniff the dialect when not given, read all columns as STRING, strip header names.
+
+    An empty field is missing (NULL), whether it was quoted or not.
+    ``keep_blanks`` keeps leading/trailing blanks of values as they are."""
     if sep is None or encoding is None:
         s, e = sniff_csv(spark, path)
         sep, encoding = sep or s, encoding or e
-    df = spark.read.options(header=True, sep=sep, encoding=encoding, inferSchema=False,
-                            multiLine=False, mode="PERMISSIVE").csv(path)
-    return df.toDF(*[c.replace("\ufeff", "").strip() for c in df.columns])
+    df = spark.read.options(header=True, sep=sep, encoding=encoding, inferSchema=False, multiLine=False,
+                            mode="PERMISSIVE", ignoreLeadingWhiteSpace=not keep_blanks,
+                            ignoreTrailingWhiteSpace=not keep_blanks).csv(path)
+    df = df.toDF(*[c.replace("\ufeff", "").strip() for c in df.columns])
+    return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
 # ---- S3: workbook ingest -----------------------------------------------------

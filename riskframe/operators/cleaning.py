@@ -291,13 +291,15 @@ def prepare_production(df: DataFrame, extra: list[str] | None = None) -> DataFra
         raise ValueError("missing required columns: " + ", ".join(sorted(missing)))
     df = df.select(*(extra or []), *S.REQUIRED_COLUMNS).withColumn(S.TARGET, normalize_target(S.TARGET, "production")) \
         .filter(F.col(S.TARGET).isNotNull())
-    gate = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(S.TARGET).alias("k")).first()
+    df = df.withColumns({c: parse_double(F.col(c).cast("string")) for c in S.NUMERIC_FEATURES})
+    # one pass: the class gate and the per-column counts the medians need
+    gate = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(S.TARGET) == 1).alias("pos"),
+                  *[F.count(c).alias(c) for c in S.NUMERIC_FEATURES]).first()
     if gate["n"] == 0:
         raise ValueError("the target column could not be read (use 1/0, Si/No or Aprobado/Rechazado)")
-    if gate["k"] < 2:
+    if gate["pos"] in (0, gate["n"]):
         raise ValueError("the dataset needs approved AND rejected cases")
-    df = df.withColumns({c: parse_double(F.col(c).cast("string")) for c in S.NUMERIC_FEATURES})
-    med = exact_medians(df, S.NUMERIC_FEATURES, default=None)
+    med = exact_medians(df, S.NUMERIC_FEATURES, default=None, counts={c: gate[c] for c in S.NUMERIC_FEATURES})
     fill = {c: v for c, v in med.items() if v is not None}
     df = df.na.fill(fill) if fill else df
     return df.withColumns({c: F.coalesce(missing_to_null(c), F.lit("NA")) for c in S.CATEGORICAL_FEATURES})

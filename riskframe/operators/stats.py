@@ -24,11 +24,15 @@ def _interpolate(lo: float, hi: float, frac: float) -> float:
     return (1.0 - frac) * lo + frac * hi
 
 
-def exact_medians(df: DataFrame, cols: list[str], default: float | None = 0.0) -> dict[str, float | None]:
-    """Exact (linearly interpolated) median of every column; all-null -> ``default``."""
+def exact_medians(df: DataFrame, cols: list[str], default: float | None = 0.0,
+                  counts: dict[str, int] | None = None) -> dict[str, float | None]:
+    """Exact (linearly interpolated) median of every column; all-null -> ``default``.
+
+    ``counts`` (non-null count per column) saves the counting pass when the
+    caller already has them from another aggregate."""
     if not cols:
         return {}
-    head = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    head = counts if counts is not None else df.agg(*[F.count(c).alias(c) for c in cols]).first()
     out: dict[str, float | None] = {}
     small = [c for c in cols if head[c] <= CANDIDATE_LIMIT]
     if small:  # value->count buffers bounded by the row count

@@ -17,8 +17,27 @@ from riskframe.functions.scoring import binary_prediction, decision_band, percen
 from riskframe.session import table_path
 
 
+# Unique key of each driver table: used to spread a scan that yields fewer
+# partitions than the cluster's parallelism (a unique key cannot be skewed).
+TABLE_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "lineitem": "l_orderkey", "part": "p_partkey",
+              "supplier": "s_suppkey", "events": "event_id", "documents": "doc_id", "labels": "doc_id"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Scan a driver table.
+
+    When the scan has fewer partitions than the default parallelism (a small
+    file with one row group is one task), it is hash-partitioned on the
+    table's unique key so the per-row work that follows uses every core.  At
+    cluster scale the scan already has thousands of splits and this is a
+    no-op (no extra shuffle).
+    """
+    df = spark.read.parquet(table_path(sf_dir, name))
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        key = TABLE_KEYS.get(name)
+        df = df.repartition(want, key) if key else df.repartition(want)
+    return df
 
 
 def _case_mod(col: Column, values: list[str]) -> Column:
@@ -88,8 +107,8 @@ def truth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     application; about one in thirty also got an earlier, wrong label 10 days
     after it, so "last write wins" matters.
     """
-    a = applications(spark, sf_dir).select("app_id", "created_at", S.TARGET)
-    h = unit_hash("app_id", "lbl")
+    a = applications(spark, sf_dir).select("app_id", "created_at", S.TARGET, unit_hash("app_id", "lbl").alias("_h"))
+    h = F.col("_h")
     labelled = a.filter(h < F.lit(1.0 / 3.0))
     final = labelled.select("app_id", F.col(S.TARGET).alias("aprobado_real"),
                             (F.col("created_at") + F.expr("INTERVAL 30 DAYS")).alias("labelled_at"))
@@ -148,28 +167,38 @@ def _pick(h: Column, values: list[str]) -> Column:
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every column STRING with messy headers, tokens, blanks and duplicate rows."""
+    """Every column STRING with messy headers, tokens, blanks and duplicate rows.
+
+    Each per-row hash is computed once in its own projection and then
+    referenced by name (Catalyst does not inline an expensive expression that
+    is used twice), so a row costs one md5 per hash, not one per reference.
+    """
     a = applications(spark, sf_dir)
+    hashes = {f"_h_{c}": unit_hash("app_id", f"n_{c}") for c in S.NUMERIC_FEATURES}
+    hashes.update({f"_h_{c}": unit_hash("app_id", f"c_{c}") for c in S.CATEGORICAL_FEATURES})
+    hashes.update({"_h_tgt": unit_hash("app_id", "tgt"), "_h_spell": unit_hash("app_id", "spell"),
+                   "_dup": unit_hash("app_id", "dup")})
+    h = a.select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES, S.TARGET,
+                 *[v.alias(k) for k, v in hashes.items()])
     cols = [F.col("app_id").cast("string").alias("id")]
     for c in S.NUMERIC_FEATURES:
-        h = unit_hash("app_id", f"n_{c}")
-        v = F.when(h < F.lit(1.0 / 17.0), F.lit("")).when(h < F.lit(1.0 / 17.0 + 1.0 / 23.0), F.lit("abc")) \
+        hc = F.col(f"_h_{c}")
+        v = F.when(hc < F.lit(1.0 / 17.0), F.lit("")).when(hc < F.lit(1.0 / 17.0 + 1.0 / 23.0), F.lit("abc")) \
             .otherwise(F.col(c).cast("string"))
         cols.append(v.alias(DIRTY_HEADERS[c]))
     for c in S.CATEGORICAL_FEATURES:
-        h = unit_hash("app_id", f"c_{c}")
-        v = F.when(h < F.lit(0.5 / 19.0), F.lit(" ")).when(h < F.lit(1.0 / 19.0), F.lit(None).cast("string")) \
+        hc = F.col(f"_h_{c}")
+        v = F.when(hc < F.lit(0.5 / 19.0), F.lit(" ")).when(hc < F.lit(1.0 / 19.0), F.lit(None).cast("string")) \
             .otherwise(F.col(c))
         cols.append(v.alias(DIRTY_HEADERS[c]))
-    ht = unit_hash("app_id", "tgt")
-    hs = unit_hash("app_id", "spell")
+    ht, hs = F.col("_h_tgt"), F.col("_h_spell")
     target = F.when(ht < F.lit(0.05), _pick(hs, JUNK_SPELLINGS)) \
         .when(F.col(S.TARGET) == 1, _pick(hs, POSITIVE_SPELLINGS)) \
         .otherwise(_pick(hs, NEGATIVE_SPELLINGS))
     cols.append(target.alias(DIRTY_HEADERS[S.TARGET]))
     cols.append(F.lit(None).cast("string").alias("notas"))
     cols.append(F.lit("EC").alias("pais"))
-    base = a.select(*cols, unit_hash("app_id", "dup").alias("_dup"))
+    base = h.select(*cols, "_dup")
     dup = base.filter(F.col("_dup") < F.lit(0.02))
     return base.unionByName(dup).drop("_dup")
 

@@ -253,29 +253,29 @@ def clean_dataset(df: DataFrame, target: str = S.TARGET) -> tuple[DataFrame, Not
     exprs.update({c: parse_double(missing_to_null(c)) if dtypes[c] == "string" else F.col(c).cast("double")
                   for c in nums})
     t1 = cut_lineage(df.dropDuplicates().withColumns(exprs))
-    n2 = t1.count()
+    # one pass over the checkpoint: row count and non-null counts (nulls = rows - non-null)
+    c1 = t1.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c in nums]).first()
+    n2 = c1["__rows"]
     if n2 < n1:
         notes.add("drop_duplicates", "*", "exact duplicates", n1 - n2)
-    med = exact_medians(t1, nums, default=0.0)
-    nulls = t1.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in nums]).first() if nums else {}
+    med = exact_medians(t1, nums, default=0.0, counts={c: c1[c] for c in nums})
     for c in nums:
-        if nulls[c]:
-            notes.add("median_fill", c, f"{med[c]:g}", nulls[c])
+        if n2 - c1[c]:
+            notes.add("median_fill", c, f"{med[c]:g}", n2 - c1[c])
     t2 = t1.na.fill({c: v for c, v in med.items() if v is not None}) if nums else t1
     if target in t2.columns:
         t2 = cut_lineage(t2.withColumn(target, normalize_target(target, "cleaner"))
                          .filter(F.col(target).isNotNull()))
-        bad = n2 - t2.count()
-        if bad:
-            notes.add("target_unreadable", target, "dropped", bad)
     cats = [c for c in S.CATEGORICAL_FEATURES if c in t2.columns]
-    mod = modes(t2, cats)
-    nulls = t2.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cats]).first() if cats else {}
+    c2 = t2.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c in cats]).first()
+    if target in t2.columns and n2 - c2["__rows"]:
+        notes.add("target_unreadable", target, "dropped", n2 - c2["__rows"])
+    missing_cats = [c for c in cats if c2["__rows"] - c2[c]]
+    mod = modes(t2, missing_cats)
     fillc = {}
-    for c in cats:
-        if nulls[c]:
-            fillc[c] = mod[c] if mod[c] is not None else "Desconocido"
-            notes.add("mode_fill", c, fillc[c], nulls[c])
+    for c in missing_cats:
+        fillc[c] = mod[c] if mod[c] is not None else "Desconocido"
+        notes.add("mode_fill", c, fillc[c], c2["__rows"] - c2[c])
     out = t2.na.fill(fillc) if fillc else t2
     return reorder_required_first(out), notes
 

@@ -62,12 +62,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never a local one).
+def cut_lineage(df, name: str = "stage"):
+    """Cut the lineage by writing a Parquet table into the shared checkpoint folder.
 
     Used between the passes of multi-pass operators: later passes read the
-    written files instead of recomputing the whole plan, and a lost executor
-    does not force a recomputation from the sources.
+    written columnar files instead of recomputing the whole plan, and a lost
+    executor does not force a recomputation from the sources.  (A reliable
+    RDD checkpoint would re-run the plan row-wise through the RDD path; a
+    table write is one ordinary, codegen'd job.)
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

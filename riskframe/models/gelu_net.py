@@ -81,6 +81,17 @@ def _forward(X, W, b, act):
     return a, zs, acts
 
 
+def _width(df: DataFrame, features_col: str) -> int:
+    return len(df.select(vector_to_array(F.col(features_col)).alias("x")).first()["x"])
+
+
+def _columns(df: DataFrame, features_col: str, n: int) -> list:
+    """The vector as n DOUBLE columns: Arrow hands them to NumPy as one block
+    (an ARRAY column would be converted row by row)."""
+    arr = vector_to_array(F.col(features_col))
+    return [arr[i].alias(f"_x{i}") for i in range(n)]
+
+
 def _bce_sum(p, y):
     p = np.clip(p, 1e-7, 1 - 1e-7)
     return float(-np.sum(y * np.log(p) + (1 - y) * np.log(1 - p)))
@@ -104,25 +115,24 @@ class GeluNetworkModel:
         sizes, flat, act = list(self.sizes), self.weights.copy(), self.activation
 
         @F.pandas_udf("double")
-        def _score(x: pd.Series) -> pd.Series:
+        def _score(x: pd.DataFrame) -> pd.Series:
             W, b = _unflatten(flat, sizes)
-            X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, sizes[0]))
-            return pd.Series(_forward(X, W, b, act)[0].reshape(-1))
+            return pd.Series(_forward(x.to_numpy(dtype=float), W, b, act)[0].reshape(-1))
 
-        return df.withColumn(output, _score(vector_to_array(F.col(features_col))))
+        return df.withColumn(output, _score(F.struct(*_columns(df, features_col, sizes[0]))))
 
     def activations(self, df: DataFrame, features_col: str = "scaled", output: str = "activations") -> DataFrame:
         """Per-row activations of every layer, with the network's own activation function."""
         sizes, flat, act = list(self.sizes), self.weights.copy(), self.activation
 
         @F.pandas_udf("array<array<double>>")
-        def _acts(x: pd.Series) -> pd.Series:
+        def _acts(x: pd.DataFrame) -> pd.Series:
             W, b = _unflatten(flat, sizes)
-            X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, sizes[0]))
+            X = x.to_numpy(dtype=float)
             _, _, acts = _forward(X, W, b, act)
             return pd.Series([[layer[i].tolist() for layer in acts] for i in range(X.shape[0])])
 
-        return df.withColumn(output, _acts(vector_to_array(F.col(features_col))))
+        return df.withColumn(output, _acts(F.struct(*_columns(df, features_col, sizes[0]))))
 
     def dead_neuron_report(self, df: DataFrame, features_col: str = "scaled", tol: float = 1e-3) -> DataFrame:
         """Per hidden unit population std of its activation; std < tol -> dead.
@@ -139,7 +149,7 @@ class GeluNetworkModel:
             for pdf in it:
                 if len(pdf) == 0:
                     continue
-                X = np.stack(pdf["x"].to_numpy())
+                X = pdf.to_numpy(dtype=float)
                 _, _, acts = _forward(X, W, b, act)
                 h = np.concatenate(acts[:-1], axis=1)
                 s1 += h.sum(0)
@@ -147,7 +157,7 @@ class GeluNetworkModel:
                 n += X.shape[0]
             yield pd.DataFrame({"s": [np.concatenate([s1, s2]).tolist()], "n": [n]})
 
-        x = df.select(vector_to_array(F.col(features_col)).alias("x"))
+        x = df.select(*_columns(df, features_col, sizes[0]))
         parts = x.mapInPandas(part, "s array<double>, n long")
         row = parts.agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n")).first()
         s = row["s"].toArray()
@@ -176,10 +186,15 @@ class GeluNetwork:
     activation: str = "gelu"
 
     def fit(self, df: DataFrame, id_col: str, features_col: str = "scaled", label_col: str = "label") -> GeluNetworkModel:
-        data = df.select(vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y"),
-                         (unit_hash(id_col, self.seed + 1) < F.lit(self.val_fraction)).alias("val")).persist()
+        n_in = _width(df, features_col)
+        spark = df.sparkSession
+        data = df.select(*_columns(df, features_col, n_in), F.col(label_col).cast("double").alias("y"),
+                         (unit_hash(id_col, self.seed + 1) < F.lit(self.val_fraction)).alias("val"))
+        want = spark.sparkContext.defaultParallelism
+        if data.rdd.getNumPartitions() < want:
+            data = data.repartition(want)    # every core computes gradients
+        data = data.persist()
         try:
-            n_in = len(data.select("x").first()["x"])
             sizes = [n_in, *self.hidden, 1]
             rng = np.random.default_rng(self.seed)
             W = [rng.normal(0.0, math.sqrt(2.0 / sizes[i]), size=(sizes[i], sizes[i + 1])) for i in range(len(sizes) - 1)]
@@ -218,6 +233,7 @@ class GeluNetwork:
     @staticmethod
     def _epoch(data: DataFrame, theta: np.ndarray, sizes: list[int], act: str):
         flat = theta.copy()
+        xcols = [f"_x{i}" for i in range(sizes[0])]
 
         def part(it):
             W, b = _unflatten(flat, sizes)
@@ -228,7 +244,7 @@ class GeluNetwork:
             for pdf in it:
                 if len(pdf) == 0:
                     continue
-                X = np.stack(pdf["x"].to_numpy())
+                X = pdf[xcols].to_numpy(dtype=float)
                 y = pdf["y"].to_numpy()
                 val = pdf["val"].to_numpy().astype(bool)
                 p, zs, acts = _forward(X, W, b, act)

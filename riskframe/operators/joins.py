@@ -17,9 +17,14 @@ from riskframe.schema import GUEST_NAME
 def latest_per_key(df: DataFrame, key: str, ts: str, value_cols: list[str]) -> DataFrame:
     """Last write wins per key.
 
-    ``max_by`` over a (ts, value) struct is a partial aggregate: each map task
-    keeps one row per key, so a hot key never lands whole in one task.
+    ``max_by`` is a partial aggregate: each map task keeps one row per key,
+    so a hot key never lands whole in one task.  With a single fixed-width
+    value column the buffer is fixed-width too and Spark uses a hash
+    aggregate; several values go through one struct (sort-based aggregate).
     """
+    if len(value_cols) == 1:
+        v = value_cols[0]
+        return df.groupBy(key).agg(F.max_by(v, ts).alias(v), F.max(ts).alias(ts))
     order = F.struct(F.col(ts), *[F.col(c) for c in value_cols])
     return df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in value_cols + [ts]]), order).alias("_last")) \
         .select(key, *[F.col(f"_last.{c}").alias(c) for c in value_cols + [ts]])

@@ -242,11 +242,35 @@ def m24_retrain_from_evaluations(spark, sf):
     return spark.createDataFrame(rows, "model string, auc double, accuracy double, dataset_size bigint, source string")
 
 
-@query("F7")
+def _f7_sql() -> tuple[str, dict[str, str]]:
+    from riskframe.functions.hashing import unit_hash_sql as H
+    from riskframe.plans.sqlgen import q
+    dummies = [(c, v) for c in S.CATEGORICAL_FEATURES for v in sorted(S.DOMAINS[c])[1:]]
+    feats = S.NUMERIC_FEATURES + [f"{c}_{v}" for c, v in dummies]
+    wide = ", ".join([f"CAST({c} AS DOUBLE) AS {c}" for c in S.NUMERIC_FEATURES] +
+                     [f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS {q(f'{c}_{v}')}" for c, v in dummies])
+    ctes = {
+        "lab": f"SELECT app_id, aprobado, {wide} FROM applications",
+        "lab_split": f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY aprobado ORDER BY {H('app_id', 42)}, app_id)
+                 <= round(0.2 * count(*) OVER (PARTITION BY aprobado)) THEN 'test' ELSE 'train' END AS split FROM lab""",
+        "lab_stats": "SELECT " + ", ".join(
+            f"avg({q(f)}) AS {q('m_' + f)}, coalesce(nullif(stddev_pop({q(f)}), 0), 1.0) AS {q('s_' + f)}"
+            for f in feats) + " FROM lab_split WHERE split = 'train'",
+    }
+    body = "SELECT app_id, aprobado, split, " + ", ".join(
+        f"round(({q(f)} - {q('m_' + f)}) / {q('s_' + f)}, 6) AS {q(f)}" for f in feats) + " FROM lab_split, lab_stats"
+    return body, ctes
+
+
+_F7_BODY, _F7_CTES = _f7_sql()
+
+
+@query("F7", _F7_BODY, _F7_CTES)
 def f7_lab_preprocess(spark, sf):
     d = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES, "aprobado")
     lab = jobs.prepare_lab(d, "aprobado", "app_id")
-    return lab.train.unionByName(lab.test)
+    out = lab.train.unionByName(lab.test)
+    return out.withColumns({c: F.round(c, 6) for c in lab.feature_names})
 
 
 @query("X2", """

@@ -19,8 +19,9 @@ from riskframe.session import table_path
 
 # Unique key of each driver table: used to spread a scan that yields fewer
 # partitions than the cluster's parallelism (a unique key cannot be skewed).
-TABLE_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "lineitem": "l_orderkey", "part": "p_partkey",
-              "supplier": "s_suppkey", "events": "event_id", "documents": "doc_id", "labels": "doc_id"}
+# Only fact tables are spread; dimension tables are joined (and broadcast when
+# AQE measures them small), so re-partitioning them would be wasted work.
+TABLE_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +35,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(table_path(sf_dir, name))
     want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        key = TABLE_KEYS.get(name)
-        df = df.repartition(want, key) if key else df.repartition(want)
+    key = TABLE_KEYS.get(name)
+    if key and df.rdd.getNumPartitions() < want:
+        df = df.repartition(want, key)
     return df
 
 
@@ -109,13 +110,14 @@ def truth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     a = applications(spark, sf_dir).select("app_id", "created_at", S.TARGET, unit_hash("app_id", "lbl").alias("_h"))
     h = F.col("_h")
-    labelled = a.filter(h < F.lit(1.0 / 3.0))
-    final = labelled.select("app_id", F.col(S.TARGET).alias("aprobado_real"),
-                            (F.col("created_at") + F.expr("INTERVAL 30 DAYS")).alias("labelled_at"))
-    early = labelled.filter(h < F.lit(1.0 / 30.0)).select(
-        "app_id", (F.lit(1) - F.col(S.TARGET)).cast("int").alias("aprobado_real"),
-        (F.col("created_at") + F.expr("INTERVAL 10 DAYS")).alias("labelled_at"))
-    return final.unionByName(early)
+    final = F.struct(F.col(S.TARGET).alias("aprobado_real"),
+                     (F.col("created_at") + F.expr("INTERVAL 30 DAYS")).alias("labelled_at"))
+    early = F.when(h < F.lit(1.0 / 30.0), F.struct((F.lit(1) - F.col(S.TARGET)).cast("int").alias("aprobado_real"),
+                                                   (F.col("created_at") + F.expr("INTERVAL 10 DAYS")).alias("labelled_at")))
+    # one scan: every labelled application emits one or two label rows
+    return a.filter(h < F.lit(1.0 / 3.0)) \
+        .select("app_id", F.explode(F.filter(F.array(final, early), lambda x: x.isNotNull())).alias("l")) \
+        .select("app_id", "l.aprobado_real", "l.labelled_at")
 
 
 def users_dim(spark: SparkSession, sf_dir: str) -> DataFrame:

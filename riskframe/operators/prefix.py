@@ -39,17 +39,22 @@ def running_sums(df: DataFrame, key: str, cols: list[str], descending: bool = Fa
     """
     if n_rows is None:
         n_rows = df.count()
-    d = bucket_by_quantiles(df, key, n_rows)
+    order = [F.desc(key) if descending else F.asc(key)]
+    if tie_breaker:
+        order.append(F.asc(tie_breaker))
+    frame_end = Window.currentRow if inclusive else -1
+    if math.ceil(n_rows / ROWS_PER_BUCKET) <= 1:
+        # one bucket: a plain window over the (bounded) input, no offsets
+        w = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+        return df.select(*df.columns, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"cum_{c}") for c in cols])
+    from riskframe.session import cut_lineage
+    d = cut_lineage(bucket_by_quantiles(df, key, n_rows), "buckets")   # read twice below: write once
     if descending:
         d = d.withColumn("_bucket", -F.col("_bucket"))
     totals = d.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket: bounded
     offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
                                          for c in cols])
-    order = [F.desc(key) if descending else F.asc(key)]
-    if tie_breaker:
-        order.append(F.asc(tie_breaker))
-    frame_end = Window.currentRow if inclusive else -1
     w = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
     j = d.join(F.broadcast(offsets), "_bucket")  # offsets: one row per bucket
     return j.select(*df.columns, *[(F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_o_{c}")).alias(f"cum_{c}")

@@ -71,12 +71,31 @@ def kth_values(df: DataFrame, c: str, ranks: list[int], n: int) -> dict[int, flo
             if lo == hi:  # a hot value covers all wanted ranks
                 return {r: lo for r in ranks}
             inner = df.filter((F.col(c) >= lo) & (F.col(c) <= hi))
-            sub = kth_values(inner, c, [r - cnt["b"] for r in ranks], cnt["le"] - cnt["b"])
+            rel = [r - cnt["b"] for r in ranks]
+            m = cnt["le"] - cnt["b"]
+            if m * 2 > n:  # hot values keep the bracket wide: rank distinct values instead
+                sub = _kth_by_value_counts(inner, c, rel)
+            else:
+                sub = kth_values(inner, c, rel, m)
             return {r + cnt["b"]: v for r, v in sub.items()}
         eps *= 4.0
     raise RuntimeError(f"could not bracket ranks {ranks} of {c}")
 
 
+def _kth_by_value_counts(df: DataFrame, c: str, ranks: list[int]) -> dict[int, float]:
+    """k-th values from (value, count) pairs: heavy duplicates compress the candidates.
+
+    The running count over distinct values is a bounded window when the
+    distinct values are few; otherwise it is the bucketed running sum."""
+    from riskframe.operators.prefix import running_sums
+    vc = df.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
+    cum = running_sums(vc, c, ["_k"])
+    out = {}
+    for r in ranks:  # one small aggregate per wanted rank
+        out[r] = cum.filter(F.col("cum__k") > F.lit(r)).agg(F.min(c)).first()[0]
+    return out
+
+
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:
     """Most frequent non-null value per column, ties -> smallest value (pandas ``mode()[0]``)."""
     if not cols:

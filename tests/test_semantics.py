@@ -33,6 +33,13 @@ def test_exact_median_large_path_equals_spark_median(spark, monkeypatch):
     assert stats.exact_medians(hot, ["x"])["x"] == pytest.approx(hot.agg(F.median("x")).first()[0], abs=1e-12)
 
 
+def test_exact_median_two_hot_values(spark, monkeypatch):
+    monkeypatch.setattr(stats, "CANDIDATE_LIMIT", 500)
+    df = spark.range(6001).select(F.when(F.col("id") % 2 == 0, F.lit(1.0)).when(F.col("id") % 3 == 0, F.lit(2.0))
+                                  .otherwise(F.col("id") / 7.0).alias("x"))
+    assert stats.exact_medians(df, ["x"])["x"] == pytest.approx(df.agg(F.median("x")).first()[0], abs=1e-12)
+
+
 def test_running_sums_buckets_equal_single_window(spark, monkeypatch):
     df = spark.range(5000).select((F.col("id") % 997 / 997.0).alias("k"), F.lit(1).alias("v")) \
         .groupBy("k").agg(F.sum("v").alias("v"))

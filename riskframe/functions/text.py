@@ -49,7 +49,8 @@ def missing_to_null(col: Column | str) -> Column:
     several of these functions are nested and Catalyst collapses projections).
     """
     s = strip_blanks(_c(col).cast("string"))
-    return F.nullif(F.regexp_replace(s, r"^(nan|NaN|None)$", ""), F.lit(""))
+    tokens = "|".join(re.escape(t) for t in MISSING_TOKENS if t)
+    return F.nullif(F.regexp_replace(s, f"^({tokens})$", ""), F.lit(""))
 
 
 def parse_double(col: Column | str) -> Column:

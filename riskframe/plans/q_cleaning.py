@@ -12,7 +12,6 @@ from riskframe.operators.stats import exact_medians, modes_frame
 from riskframe.plans import sqlgen as G
 from riskframe.plans.registry import query
 from riskframe.sources import fixtures as fx
-from riskframe.sources.fixtures import DIRTY_HEADERS
 
 CANON = {"dirty_canon": G.dirty_canon_select()}
 CANON_COLS = ["id"] + S.REQUIRED_COLUMNS + ["notas", "pais"]

@@ -8,7 +8,6 @@ finishes; the library defaults (``ModelSizes()``) are the reference sizes.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
@@ -283,5 +282,3 @@ def x2_unseen_categories(spark, sf):
     return new.groupBy(F.col("institucion").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit("institucion").alias("column"), "value", "n")
 
-
-del vector_to_array

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions.hashing import unit_hash
-from riskframe.functions.scoring import binary_prediction, decision_band, percent, risk_band, scorecard_z, sigmoid
+from riskframe.functions.scoring import binary_prediction, decision_band, percent, risk_band, scorecard_z
 from riskframe.session import table_path
 
 

@@ -63,7 +63,7 @@ def st1_streaming_scoring(spark, sf):
     apps = _applications_with_resends(spark, sf)
     path, schema = _stage(spark, sf, "applications", apps, F.year("created_at"))
     sink = scratch_path(spark, "st1-sink")
-    src = ST.application_stream(spark, path, schema, files_per_batch=4)
+    src = ST.application_stream(spark, path, schema, files_per_batch=8)
     _run(ST.scoring_stream(spark, src, _rule_scores, sink, scratch_path(spark, "st1-ckpt"), dedup_delay="400 days"))
     return spark.read.parquet(sink).drop("batch_id")
 
@@ -89,7 +89,7 @@ def st3_user_counters_stream(spark, sf):
     v = fx.visits(spark, sf)
     path, schema = _stage(spark, sf, "visits", v, F.weekofyear("ts"))
     sink = scratch_path(spark, "st3-sink")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
     _run(ST.user_counter_stream(src, sink, scratch_path(spark, "st3-ckpt")))
     return ST.latest_version(spark, sink).drop("v")
 
@@ -108,7 +108,7 @@ def st4_hot_model_swap(spark, sf):
     apps = _applications_with_resends(spark, sf)
     path, schema = _stage(spark, sf, "applications", apps, F.year("created_at"))
     sink = scratch_path(spark, "st4-sink")
-    src = ST.application_stream(spark, path, schema, files_per_batch=8)
+    src = ST.application_stream(spark, path, schema, files_per_batch=16)
     _run(ST.scoring_stream(spark, src, score_latest, sink, scratch_path(spark, "st4-ckpt"), dedup_delay="400 days"))
     return spark.read.parquet(sink)
 

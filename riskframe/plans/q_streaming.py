@@ -15,7 +15,7 @@ from riskframe.functions import scoring as SC
 from riskframe.models import ensemble as EN
 from riskframe.models import registry as R
 from riskframe.plans.registry import query
-from riskframe.session import scratch_path
+from riskframe.session import cut_lineage, scratch_path
 from riskframe.sources import fixtures as fx
 from riskframe.streaming import jobs as ST
 
@@ -27,7 +27,7 @@ def _stage(spark, sf, name, df, slice_col):
     key = (id(spark), sf, name)
     if key not in _STAGED:
         path = scratch_path(spark, f"stream-{name}")
-        d = df.withColumn("_slice", slice_col)
+        d = cut_lineage(df.withColumn("_slice", slice_col), f"stage-{name}")   # computed once, sliced below
         slices = sorted(r[0] for r in d.select("_slice").distinct().collect())  # one row per slice
         for s in slices:
             d.filter(F.col("_slice") == s).drop("_slice").write.mode("append").parquet(path)
@@ -75,7 +75,7 @@ def st2_daily_trend_stream(spark, sf):
     ev = fx.evaluations(spark, sf)
     path, schema = _stage(spark, sf, "evaluations", ev, F.year("created_at"))
     sink = scratch_path(spark, "st2-sink")
-    src = ST.application_stream(spark, path, schema, files_per_batch=4)
+    src = ST.application_stream(spark, path, schema, files_per_batch=8)
     _run(ST.daily_trend_stream(src, sink, scratch_path(spark, "st2-ckpt")))
     return spark.read.parquet(sink).withColumn("avg_probability", F.round("avg_probability", 3))
 

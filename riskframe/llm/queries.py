@@ -123,3 +123,9 @@ FROM g
 def op10(spark, sf):
     from riskframe.llm.warc_zstd import archive_and_read
     return archive_and_read(spark, read(spark, sf, "pages")).drop("url")
+
+
+@query("op4_toxicity")
+def op4(spark, sf):
+    from riskframe.llm.toxicity import toxicity
+    return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels")).drop("text_fp")

@@ -7,7 +7,10 @@ has not named one (local tests).
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,12 +35,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "riskf
     )
 
 
+_SCRATCH: list[str] = []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediate tables.
 
     Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) as named
-    by the cluster.  Only when neither is set (a local test session) a fresh
-    folder is created and registered.
+    by the cluster.  Only when neither is set and the master is local (a test
+    session) a fresh folder is created, registered, and removed at exit; on a
+    cluster a machine-local folder would not be seen by other executors, so
+    the missing setting is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,17 +53,34 @@ def checkpoint_root(spark: SparkSession) -> str:
         jdir = sc._jsc.sc().getCheckpointDir()
         root = jdir.get() if jdir.isDefined() else None
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="riskframe-ckpt-")
-        sc.setCheckpointDir(root)
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique table path below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def scratch_tables() -> list[str]:
+    """The scratch paths handed out in this process and not dropped since."""
+    return list(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch tables (all of this process by default) once no result reads them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in list(_SCRATCH) if paths is None else paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+        if p in _SCRATCH:
+            _SCRATCH.remove(p)
 
 
 def table_path(sf_dir: str, name: str) -> str:

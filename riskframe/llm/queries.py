@@ -129,3 +129,15 @@ def op10(spark, sf):
 def op4(spark, sf):
     from riskframe.llm.toxicity import toxicity
     return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels")).drop("text_fp")
+
+
+@query("op9_piece_lattice")
+def op9(spark, sf):
+    from riskframe.llm.piece_lattice import encode_and_decode
+    return encode_and_decode(read(spark, sf, "documents"))
+
+
+@query("op8_minhash_forest")
+def op8(spark, sf):
+    from riskframe.llm.minhash_forest import near_duplicates
+    return near_duplicates(read(spark, sf, "documents")).select("doc_id", "class_id", "n_links", "rep_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.session import scratch_path, table_path
+from riskframe.session import drop_scratch, scratch_path, scratch_tables, table_path
 
 #: A side is broadcast only when it was written, counted, and holds at most this many rows
 #: (every use ships one or two numbers per row, so this is a few tens of MB at most).
@@ -47,3 +47,15 @@ def without(docs: DataFrame, dropped: DataFrame, name: str, id_col: str = "doc_i
     gone = sized(dropped.select("_id", "_fp").distinct(), name)
     on = docs[id_col].eqNullSafe(gone["_id"]) & (fingerprint(docs[text_col]) == gone["_fp"])
     return docs.join(gone, on, "left_anti")
+
+
+def release(docs: DataFrame, before: list[str]) -> None:
+    """Remove the scratch tables ``before``, except those that ``docs`` still reads."""
+    read_by = [f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()]
+    free = [p for p in before if not any(f.startswith(p.split(":", 1)[-1].strip("/") + "/") for f in read_by)]
+    drop_scratch(docs.sparkSession, free)
+
+
+def scratch_now() -> list[str]:
+    """The scratch tables that exist by now."""
+    return scratch_tables()

@@ -103,9 +103,9 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         return run, at
     extra = np.zeros(len(short), np.uint64)
     for i, d in enumerate(short):
-        value = np.uint64(words.counts[d])
-        for w in h[words.first[d]:words.first[d + 1]]:
-            value = value * _M + w
+        value = int(words.counts[d])
+        for w in h[words.first[d]:words.first[d + 1]].tolist():
+            value = (value * int(_M) + w) & (1 << 64) - 1
         extra[i] = value
     run, at = np.concatenate([run, mix(extra)]), np.concatenate([at, short])
     order = np.argsort(at, kind="stable")

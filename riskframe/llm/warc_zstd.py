@@ -102,10 +102,10 @@ class _Archives:
         if self.out is None:
             self.path = f"{self.base}/{self.name}-{self.k:04d}.warc.zst"
             self.store.create_dir(self.base, recursive=True)
-            self.out = self.store.open_output_stream(self.path)
+            self.out = self.store.open_output_stream(self.path, compression=None)  # by name it would compress the file again
             data = self.dictionary.as_bytes()
-            self.size, self.records = self.out.write(struct.pack("<II", DICT_FRAME, len(data)) + data) or 0, 0
-            self.size = 8 + len(data)
+            self.out.write(struct.pack("<II", DICT_FRAME, len(data)) + data)
+            self.size, self.records = 8 + len(data), 0
         frame = self.packer.compress(record)
         self.out.write(frame)
         self.size += len(frame)
@@ -226,7 +226,7 @@ def read_archives(manifest: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for name in batch.column("archive").to_pylist():
                 got = []
-                with store.open_input_stream(f"{base}/{name}") as stream:
+                with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for headers, block in records_of(stream):
                         got.append(parse_record(headers, block))
                         if len(got) == 2000:

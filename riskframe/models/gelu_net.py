@@ -1,16 +1,14 @@
-"""Feed-forward network with GELU hidden layers and a sigmoid output.
-
-Training is data-parallel: every epoch is one Spark job in which each
-partition computes the summed BCE gradient of its rows with NumPy
-(``mapInPandas``, Arrow batches); the per-partition gradients are summed by a
-vector aggregate (``Summarizer.sum``) and one Adam step is taken on the small
-weight set on the driver.  Only the weights (a few thousand numbers) travel
-to and from the driver; the rows stay on the executors.
-
-Difference to a sequential mini-batch loop: one full-batch Adam step per
-epoch (exact and deterministic for any partitioning), so more epochs are
-needed for the same loss; early stopping on a hash-selected 15 % validation
-slice and restoring the best weights work as usual.
+"""Feed-forward classifier with smooth hidden layers and a logistic output.
+
+The model is p(x) = s(A_L [.. g(A_2 [g(A_1 [x, 1]), 1]) .., 1]) with the logistic function s
+and the hidden curve g.  Every matrix A_k carries its offsets as its last row, and all
+matrices are views of one flat vector, the only thing that travels.
+
+Training is data-parallel by local steps: one Spark job per epoch.  Each partition starts
+from the common state, takes one Adam step per mini-batch of its rows in random order, and
+returns its state weighted by its rows; the weighted mean (a vector sum) is the next common
+state.  The same job measures the loss of the state it started from, on the training rows
+and on a hash-selected validation slice, which decides about early stopping.
 """
 
 from __future__ import annotations
@@ -27,74 +25,115 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import unit_hash
 
-_C = math.sqrt(2.0 / math.pi)
+# FIXED VALUES: constants of the smooth curve's usual approximation.
+GELU_CUBIC = 0.044715
+GELU_RATE = 2.0 * math.sqrt(2.0 / math.pi)
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _gelu(x):
-    return 0.5 * x * (1.0 + np.tanh(_C * (x + 0.044715 * x ** 3)))
+def gelu_curve(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, slope) of x s(k(x)), k(x) = r (x + c x^3); the slope follows from s' = s (1 - s)."""
+    square = x * x
+    share = logistic(GELU_RATE * x * (1.0 + GELU_CUBIC * square))
+    value = x * share
+    return value, share + value * (1.0 - share) * GELU_RATE * (1.0 + 3.0 * GELU_CUBIC * square)
 
 
-def _gelu_grad(x):
-    t = np.tanh(_C * (x + 0.044715 * x ** 3))
-    du = _C * (1.0 + 3 * 0.044715 * x * x)
-    return 0.5 * (1.0 + t) + 0.5 * x * (1.0 - t * t) * du
+def relu_curve(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    on = x > 0
+    return np.where(on, x, 0.0), on.astype(float)
 
 
-def _relu(x):
-    return np.maximum(x, 0.0)
+CURVES = {"gelu": gelu_curve, "relu": relu_curve}
 
 
-def _relu_grad(x):
-    return (x > 0).astype(float)
+def matrices(flat: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Views of the flat vector: one (inputs + 1) x outputs matrix per layer."""
+    ends = np.cumsum([(i + 1) * o for i, o in zip(sizes, sizes[1:])])
+    return [part.reshape(i + 1, o) for part, i, o in zip(np.split(flat, ends[:-1]), sizes, sizes[1:])]
 
 
-ACTIVATIONS = {"gelu": (_gelu, _gelu_grad), "relu": (_relu, _relu_grad)}
+def with_ones(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1))])
 
 
-def _sigmoid(z):
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+def layer_outputs(flat: np.ndarray, sizes: list[int], kind: str, x: np.ndarray) -> list[np.ndarray]:
+    """Outputs of all layers, the probabilities last."""
+    *hidden, last = matrices(flat, sizes)
+    outputs = []
+    for a in hidden:
+        x = CURVES[kind](with_ones(x) @ a)[0]
+        outputs.append(x)
+    return [*outputs, logistic(with_ones(x) @ last)]
 
 
-def _unflatten(flat: np.ndarray, sizes: list[int]):
-    W, b, o = [], [], 0
-    for i in range(len(sizes) - 1):
-        n = sizes[i] * sizes[i + 1]
-        W.append(flat[o:o + n].reshape(sizes[i], sizes[i + 1]))
-        o += n
-        b.append(flat[o:o + sizes[i + 1]])
-        o += sizes[i + 1]
-    return W, b
+def log_loss_sum(p: np.ndarray, y: np.ndarray) -> float:
+    p = np.clip(p, 1e-7, 1 - 1e-7)
+    return -float(np.where(y > 0.5, np.log(p), np.log1p(-p)).sum())
+
 
+def gradient(flat: np.ndarray, sizes: list[int], kind: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Gradient of the mean log-loss of some rows with respect to the flat vector.
 
-def _flatten(W, b) -> np.ndarray:
-    return np.concatenate([np.concatenate([w.ravel(), bb]) for w, bb in zip(W, b)])
+    The output's error is p - y; the error of a hidden layer is the one above it, carried
+    through the matrix between them (without its offsets) and scaled by the curve's slope."""
+    *hidden, last = matrices(flat, sizes)
+    inputs, slopes = [with_ones(x)], []
+    for a in hidden:
+        value, slope = CURVES[kind](inputs[-1] @ a)
+        inputs.append(with_ones(value))
+        slopes.append(slope)
+    error = (logistic(inputs[-1] @ last) - y[:, None]) / len(y)
+    parts = [inputs[-1].T @ error]
+    for above, below, slope in zip([last, *hidden[:0:-1]], inputs[-2::-1], slopes[::-1]):
+        error = (error @ above[:-1].T) * slope
+        parts.append(below.T @ error)
+    return np.concatenate([p.ravel() for p in parts[::-1]])
 
 
-def _forward(X, W, b, act):
-    f = ACTIVATIONS[act][0]
-    a, zs, acts = X, [], []
-    for i in range(len(W)):
-        z = a @ W[i] + b[i]
-        zs.append(z)
-        a = f(z) if i < len(W) - 1 else _sigmoid(z)
-        acts.append(a)
-    return a, zs, acts
+def offsets_mask(sizes: list[int]) -> np.ndarray:
+    """1 for the entries that are decayed, 0 for the offsets."""
+    flat = np.ones(sum((i + 1) * o for i, o in zip(sizes, sizes[1:])))
+    for a in matrices(flat, sizes):
+        a[-1] = 0.0
+    return flat
 
 
-def _width(df: DataFrame, features_col: str) -> int:
-    return len(df.select(vector_to_array(F.col(features_col)).alias("x")).first()["x"])
+@dataclass
+class Moments:
+    """State of Adam: the vector and the running means of its gradient and squared gradient."""
+    flat: np.ndarray
+    mean: np.ndarray
+    square: np.ndarray
+    steps: float = 0.0
 
+    @classmethod
+    def at(cls, flat: np.ndarray) -> Moments:
+        return cls(flat, np.zeros_like(flat), np.zeros_like(flat))
 
-def _columns(df: DataFrame, features_col: str, n: int) -> list:
-    """The vector as n DOUBLE columns: Arrow hands them to NumPy as one block
-    (an ARRAY column would be converted row by row)."""
-    arr = vector_to_array(F.col(features_col))
-    return [arr[i].alias(f"_x{i}") for i in range(n)]
+    def move(self, grad: np.ndarray, rate: float) -> None:
+        self.steps += 1
+        self.mean = 0.9 * self.mean + 0.1 * grad
+        self.square = 0.999 * self.square + 0.001 * grad * grad
+        up = math.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
+        self.flat = self.flat - rate * up * self.mean / (np.sqrt(self.square) + 1e-8)
 
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.flat, self.mean, self.square, [self.steps]])
 
-def _bce_sum(p, y):
-    p = np.clip(p, 1e-7, 1 - 1e-7)
-    return float(-np.sum(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    @classmethod
+    def unpacked(cls, data: np.ndarray) -> Moments:
+        flat, mean, square = np.split(data[:-1], 3)
+        return cls(flat, mean, square, float(data[-1]))
+
+
+def _inputs(df: DataFrame, features_col: str, n: int) -> list:
+    """The vector as n DOUBLE columns, which Arrow hands to NumPy as one block."""
+    x = vector_to_array(F.col(features_col))
+    return [x[i].alias(f"_x{i}") for i in range(n)]
 
 
 @dataclass
@@ -110,165 +149,143 @@ class GeluNetworkModel:
     def n_params(self) -> int:
         return int(self.weights.size)
 
+    def _outputs(self):
+        flat, sizes, kind = self.weights.copy(), list(self.sizes), self.activation
+        return lambda pdf: layer_outputs(flat, sizes, kind, pdf.to_numpy(dtype=float))
+
     def transform(self, df: DataFrame, features_col: str = "scaled", output: str = "p_gelu") -> DataFrame:
-        """Vectorised scoring with a pandas UDF (Arrow batches)."""
-        sizes, flat, act = list(self.sizes), self.weights.copy(), self.activation
+        """Probability of class 1, in Arrow batches."""
+        outputs = self._outputs()
 
         @F.pandas_udf("double")
-        def _score(x: pd.DataFrame) -> pd.Series:
-            W, b = _unflatten(flat, sizes)
-            return pd.Series(_forward(x.to_numpy(dtype=float), W, b, act)[0].reshape(-1))
+        def probability(x: pd.DataFrame) -> pd.Series:
+            return pd.Series(outputs(x)[-1][:, 0])
 
-        return df.withColumn(output, _score(F.struct(*_columns(df, features_col, sizes[0]))))
+        return df.withColumn(output, probability(F.struct(*_inputs(df, features_col, self.sizes[0]))))
 
     def activations(self, df: DataFrame, features_col: str = "scaled", output: str = "activations") -> DataFrame:
-        """Per-row activations of every layer, with the network's own activation function."""
-        sizes, flat, act = list(self.sizes), self.weights.copy(), self.activation
+        """Per row the outputs of every layer, with the network's own curve."""
+        outputs = self._outputs()
 
         @F.pandas_udf("array<array<double>>")
-        def _acts(x: pd.DataFrame) -> pd.Series:
-            W, b = _unflatten(flat, sizes)
-            X = x.to_numpy(dtype=float)
-            _, _, acts = _forward(X, W, b, act)
-            return pd.Series([[layer[i].tolist() for layer in acts] for i in range(X.shape[0])])
+        def layers(x: pd.DataFrame) -> pd.Series:
+            return pd.Series([[layer.tolist() for layer in row] for row in zip(*outputs(x))])
 
-        return df.withColumn(output, _acts(F.struct(*_columns(df, features_col, sizes[0]))))
+        return df.withColumn(output, layers(F.struct(*_inputs(df, features_col, self.sizes[0]))))
 
-    def dead_neuron_report(self, df: DataFrame, features_col: str = "scaled", tol: float = 1e-3) -> DataFrame:
-        """Per hidden unit population std of its activation; std < tol -> dead.
+    def unit_statistics(self, df: DataFrame, features_col: str = "scaled", tol: float = 1e-3) -> DataFrame:
+        """(layer, unit, mean_abs, std, dead) of each hidden unit over all rows.
 
-        Each partition emits (n, sum a, sum a^2) per unit; a vector sum adds
-        them up.  Output: (layer, unit, std, dead)."""
-        sizes, flat, act = list(self.sizes), self.weights.copy(), self.activation
-        widths = sizes[1:-1]
+        Spread is the population standard deviation; below ``tol`` a unit is dead.  Each
+        partition returns sums of the outputs, their squares and absolute values."""
+        outputs, widths = self._outputs(), self.sizes[1:-1]
         total = sum(widths)
 
-        def part(it):
-            W, b = _unflatten(flat, sizes)
-            s1, s2, n = np.zeros(total), np.zeros(total), 0
+        def sums(it):
+            acc = np.zeros(3 * total + 1)
             for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                X = pdf.to_numpy(dtype=float)
-                _, _, acts = _forward(X, W, b, act)
-                h = np.concatenate(acts[:-1], axis=1)
-                s1 += h.sum(0)
-                s2 += (h * h).sum(0)
-                n += X.shape[0]
-            yield pd.DataFrame({"s": [np.concatenate([s1, s2]).tolist()], "n": [n]})
-
-        x = df.select(*_columns(df, features_col, sizes[0]))
-        parts = x.mapInPandas(part, "s array<double>, n long")
-        row = parts.agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("n").alias("n")).first()
-        s = row["s"].toArray()
-        n = max(1, row["n"])
-        mean = s[:total] / n
-        std = np.sqrt(np.maximum(s[total:] / n - mean * mean, 0.0))
-        rows, o = [], 0
-        for li, w in enumerate(widths):
-            for u in range(w):
-                rows.append((li + 1, u, float(std[o + u]), bool(std[o + u] < tol)))
-            o += w
-        return df.sparkSession.createDataFrame(rows, "layer int, unit int, std double, dead boolean")
+                if len(pdf):
+                    h = np.hstack(outputs(pdf)[:-1])
+                    acc += np.concatenate([h.sum(0), (h * h).sum(0), np.abs(h).sum(0), [len(h)]])
+            yield pd.DataFrame({"s": [acc.tolist()]})
+
+        found = df.select(*_inputs(df, features_col, self.sizes[0])).mapInPandas(sums, "s array<double>")
+        s = found.agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
+        n = max(1.0, s[-1])
+        one, two, size = np.split(s[:-1] / n, 3)
+        std = np.sqrt(np.maximum(two - one * one, 0.0))
+        units = [(k + 1, u) for k, w in enumerate(widths) for u in range(w)]
+        rows = [(k, u, float(m), float(d), bool(d < tol)) for (k, u), m, d in zip(units, size, std)]
+        return df.sparkSession.createDataFrame(rows, "layer int, unit int, mean_abs double, std double, dead boolean")
+
+    def dead_neuron_report(self, df: DataFrame, features_col: str = "scaled", tol: float = 1e-3) -> DataFrame:
+        """Per hidden layer and for the whole network (layer 0): units, dead units and their
+        percentage, mean absolute output, smallest spread, healthy (at most 5 % dead)."""
+        units = self.unit_statistics(df, features_col, tol)
+        every = units.unionByName(units.withColumn("layer", F.lit(0)))
+        pct = F.round(100.0 * F.col("dead") / F.col("units"), 1)
+        return every.groupBy("layer").agg(
+            F.count(F.lit(1)).cast("int").alias("units"), F.count_if("dead").cast("int").alias("dead"),
+            F.round(F.avg("mean_abs"), 4).alias("mean_activation"), F.round(F.min("std"), 5).alias("min_std")) \
+            .withColumn("pct_dead", pct).withColumn("healthy", F.col("pct_dead") <= 5.0)
 
 
 @dataclass
 class GeluNetwork:
-    """Estimator (M5).  ``activation='relu'`` gives the lab network variant (M6)."""
+    """Estimator (M5); ``activation='relu'`` is the lab network's curve (M6)."""
     hidden: tuple[int, ...] = (64, 32)
     epochs: int = 240
     lr: float = 0.01
     l2: float = 5e-4
+    batch: int = 64
     patience: int = 12
     min_delta: float = 1e-4
     val_fraction: float = 0.15
     seed: int = 42
     activation: str = "gelu"
 
+    def start(self, sizes: list[int]) -> np.ndarray:
+        """Normal entries with variance 2 / inputs, offsets 0."""
+        rng = np.random.default_rng(self.seed)
+        spread = np.concatenate([np.full((i + 1) * o, math.sqrt(2.0 / i)) for i, o in zip(sizes, sizes[1:])])
+        return rng.standard_normal(len(spread)) * spread * offsets_mask(sizes)
+
     def fit(self, df: DataFrame, id_col: str, features_col: str = "scaled", label_col: str = "label") -> GeluNetworkModel:
-        n_in = _width(df, features_col)
         spark = df.sparkSession
-        data = df.select(*_columns(df, features_col, n_in), F.col(label_col).cast("double").alias("y"),
-                         (unit_hash(id_col, self.seed + 1) < F.lit(self.val_fraction)).alias("val"))
-        want = spark.sparkContext.defaultParallelism
-        if data.rdd.getNumPartitions() < want:
-            data = data.repartition(want)    # every core computes gradients
-        data = data.persist()
+        width = len(df.select(vector_to_array(F.col(features_col)).alias("x")).first()["x"])
+        sizes = [width, *self.hidden, 1]
+        rows = df.select(*_inputs(df, features_col, width), F.col(label_col).cast("double").alias("y"),
+                         (unit_hash(id_col, self.seed + 1) < F.lit(self.val_fraction)).alias("val"),
+                         unit_hash(id_col, self.seed + 2).alias("_u"))
+        # by a hash of the row: the same rows meet in a partition after any recomputation
+        rows = rows.repartition(spark.sparkContext.defaultParallelism, "_u").drop("_u").persist()
+        state = Moments.at(self.start(sizes))
+        model = GeluNetworkModel(sizes, state.flat, self.activation)
+        best, waited = math.inf, 0
         try:
-            sizes = [n_in, *self.hidden, 1]
-            rng = np.random.default_rng(self.seed)
-            W = [rng.normal(0.0, math.sqrt(2.0 / sizes[i]), size=(sizes[i], sizes[i + 1])) for i in range(len(sizes) - 1)]
-            b = [np.zeros(sizes[i + 1]) for i in range(len(sizes) - 1)]
-            theta = _flatten(W, b)
-            m, v = np.zeros_like(theta), np.zeros_like(theta)
-            b1, b2, eps = 0.9, 0.999, 1e-8
-            is_bias = _flatten([np.zeros_like(w) for w in W], [np.ones_like(bb) for bb in b]) > 0
-            model = GeluNetworkModel(sizes, theta.copy(), self.activation)
-            best_val, best, bad = np.inf, theta.copy(), 0
-            act = self.activation
-            for t in range(1, self.epochs + 1):
-                g, tr_loss, val_loss, n_tr, n_val = self._epoch(data, theta, sizes, act)
-                if n_tr == 0:
+            for epoch in range(self.epochs):
+                mean, train_loss, val_loss = self.epoch(rows, state, sizes, epoch)
+                if train_loss is None:
+                    break
+                model.loss_curve.append(train_loss)
+                model.val_loss_curve.append(val_loss)
+                waited += 1
+                if val_loss < best - self.min_delta:
+                    best, waited, model.weights = val_loss, 0, state.flat
+                if waited >= self.patience:
                     break
-                # losses of the weights before this step (one epoch behind a sequential loop)
-                model.loss_curve.append(tr_loss / n_tr)
-                vl = val_loss / max(1, n_val)
-                model.val_loss_curve.append(vl)
-                if vl < best_val - self.min_delta:
-                    best_val, best, bad = vl, theta.copy(), 0
-                else:
-                    bad += 1
-                    if bad >= self.patience:
-                        break
-                grad = g / n_tr + self.l2 * np.where(is_bias, 0.0, theta)
-                m = b1 * m + (1 - b1) * grad
-                v = b2 * v + (1 - b2) * grad * grad
-                theta = theta - self.lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-            model.weights = best
-            model.best_val_loss = round(float(best_val), 4) if np.isfinite(best_val) else None
-            return model
+                state = mean
         finally:
-            data.unpersist()
-
-    @staticmethod
-    def _epoch(data: DataFrame, theta: np.ndarray, sizes: list[int], act: str):
-        flat = theta.copy()
-        xcols = [f"_x{i}" for i in range(sizes[0])]
-
-        def part(it):
-            W, b = _unflatten(flat, sizes)
-            grad_fn = ACTIVATIONS[act][1]
-            gsum = np.zeros_like(flat)
-            tr = va = 0.0
-            ntr = nva = 0
+            rows.unpersist()
+        model.best_val_loss = round(best, 4) if math.isfinite(best) else None
+        return model
+
+    def epoch(self, rows: DataFrame, state: Moments, sizes: list[int], number: int):
+        """(next state, mean training loss, mean validation loss of ``state``); (.., None, ..) without rows."""
+        sent, kind, size = state.packed(), self.activation, self.batch
+        rate, decay, seed = self.lr, self.l2 * offsets_mask(sizes), (self.seed, number)
+        xs = [f"_x{i}" for i in range(sizes[0])]
+
+        def local(it):
+            here = Moments.unpacked(sent.copy())
+            begun = here.flat
+            tally = np.zeros(4)  # training loss and rows, validation loss and rows
+            rng = np.random.default_rng(seed)
             for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                X = pdf[xcols].to_numpy(dtype=float)
-                y = pdf["y"].to_numpy()
-                val = pdf["val"].to_numpy().astype(bool)
-                p, zs, acts = _forward(X, W, b, act)
-                p = p.reshape(-1)
-                va += _bce_sum(p[val], y[val])
-                nva += int(val.sum())
-                tm = ~val
-                if not tm.any():
-                    continue
-                tr += _bce_sum(p[tm], y[tm])
-                ntr += int(tm.sum())
-                dz = (p[tm] - y[tm]).reshape(-1, 1)
-                gW = [None] * len(W)
-                gb = [None] * len(W)
-                for i in reversed(range(len(W))):
-                    a_in = X[tm] if i == 0 else acts[i - 1][tm]
-                    gW[i] = a_in.T @ dz
-                    gb[i] = dz.sum(0)
-                    if i > 0:
-                        dz = (dz @ W[i].T) * grad_fn(zs[i - 1][tm])
-                gsum += _flatten(gW, gb)
-            yield pd.DataFrame({"g": [gsum.tolist()], "tr": [tr], "va": [va], "ntr": [ntr], "nva": [nva]})
-
-        parts = data.mapInPandas(part, "g array<double>, tr double, va double, ntr long, nva long")
-        r = parts.agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("tr").alias("tr"), F.sum("va").alias("va"),
-                      F.sum("ntr").alias("ntr"), F.sum("nva").alias("nva")).first()
-        return r["g"].toArray(), r["tr"], r["va"], r["ntr"], r["nva"]
+                x, y, val = pdf[xs].to_numpy(dtype=float), pdf["y"].to_numpy(), pdf["val"].to_numpy(dtype=bool)
+                for k, some in ((0, ~val), (2, val)):
+                    if some.any():
+                        p = layer_outputs(begun, sizes, kind, x[some])[-1][:, 0]
+                        tally[k:k + 2] += log_loss_sum(p, y[some]), some.sum()
+                order = rng.permutation(np.flatnonzero(~val))
+                for pick in np.array_split(order, max(1, -(-len(order) // size))):
+                    if len(pick):
+                        here.move(gradient(here.flat, sizes, kind, x[pick], y[pick]) + decay * here.flat, rate)
+            yield pd.DataFrame({"s": [np.concatenate([here.packed() * tally[1], tally]).tolist()]})
+
+        s = rows.mapInPandas(local, "s array<double>").agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"]
+        if s is None or s.toArray()[-3] == 0:
+            return state, None, None
+        *_, t_loss, t_rows, v_loss, v_rows = s.toArray()
+        train_loss = float(t_loss / t_rows)
+        return Moments.unpacked(s.toArray()[:-4] / t_rows), train_loss, float(v_loss / v_rows) if v_rows else train_loss

@@ -24,9 +24,3 @@ def unit_hash_sql(expr: str, salt: str | int = 42) -> str:
     """DuckDB twin of :func:`unit_hash`."""
     return (f"(('0x'||substr(md5(CAST({expr} AS VARCHAR)||'|{salt}'),1,8))"
             f"::UBIGINT::DOUBLE/4294967296.0)")
-
-
-def unit_hash_spark_sql(expr: str, salt: str | int = 42) -> str:
-    """Spark SQL text of :func:`unit_hash` (for ``F.expr`` / ``spark.sql``)."""
-    return (f"(CAST(conv(substr(md5(concat(CAST({expr} AS STRING),'|{salt}')),1,8),16,10) AS DOUBLE)"
-            f"/4294967296.0D)")

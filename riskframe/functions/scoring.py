@@ -92,14 +92,6 @@ def gelu(x: Column | str) -> Column:
     return 0.5 * x * (1.0 + F.tanh(F.lit(_GELU_C) * (x + 0.044715 * F.pow(x, 3))))
 
 
-def gelu_grad(x: Column | str) -> Column:
-    x = _c(x)
-    u = F.lit(_GELU_C) * (x + 0.044715 * F.pow(x, 3))
-    t = F.tanh(u)
-    du = F.lit(_GELU_C) * (1.0 + 3 * 0.044715 * F.pow(x, 2))
-    return 0.5 * (1.0 + t) + 0.5 * x * (1.0 - t * t) * du
-
-
 def bce_term(p: Column | str, y: Column | str, eps: float = 1e-7) -> Column:
     """Per-row binary cross-entropy with p clipped to [eps, 1-eps]; average it."""
     p = F.greatest(F.least(_c(p), F.lit(1.0 - eps)), F.lit(eps))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,9 +36,8 @@ def normalize_text(col: Column | str) -> Column:
 
 def normalize_name(name: str) -> str:
     """Driver-side twin of :func:`normalize_text` for column headers (metadata, not data)."""
-    s = str(name).replace("\ufeff", "").replace("\u200b", "").strip().lower()
-    s = re.sub(r"\s+", "_", s)
-    return s.translate(str.maketrans(_ACCENTED, _PLAIN))
+    shown = "".join(ch for ch in str(name) if ch not in "\ufeff\u200b").lower()
+    return "_".join(shown.split()).translate(dict(zip(map(ord, _ACCENTED), _PLAIN)))
 
 
 def missing_to_null(col: Column | str) -> Column:
@@ -81,7 +79,3 @@ def clean_email(col: Column | str) -> Column:
 
 def email_is_valid(col: Column | str) -> Column:
     return _c(col).rlike(EMAIL_PATTERN)
-
-
-def strip_accents_py(s: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch))

@@ -13,9 +13,9 @@ bands, percent, per-model map, linear contributions (M10) and top factors.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -80,20 +80,24 @@ def train_ensemble(df: DataFrame, id_col: str = "app_id", models: tuple[str, ...
     names = FE.feature_names(encoder, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES)
     enc = FE.stratified_split(encode(data, encoder, [id_col, "label"]), id_col, "label", test_fraction, seed)
     enc = cut_lineage(enc)                                  # reused by every fit below
-    train, test = enc.filter(F.col("split") == "train"), enc.filter(F.col("split") == "test")
-    sc_train = FE.fit_vector_scaler(train, "features", [n for n, _, _ in names])
-    tr_s = sc_train.transform_vector(train)
-    te_s = sc_train.transform_vector(test)
-    metrics, fitted = {}, {}
-    for name in models:
-        m = E.fit(name, tr_s, sizes, id_col, seed=seed)
-        metrics[name] = evaluate(E.probability_of(name, m, te_s), f"p_{name}")
-        fitted[name] = m
-    scaler = sc_train
-    if refit:
-        scaler = FE.fit_vector_scaler(enc, "features", [n for n, _, _ in names])
-        all_s = scaler.transform_vector(enc)
-        fitted = {name: E.fit(name, all_s, sizes, id_col, seed=seed) for name in models}
+    sc_train = FE.fit_vector_scaler(enc.filter(F.col("split") == "train"), "features", [n for n, _, _ in names])
+    scaler = FE.fit_vector_scaler(enc, "features", [n for n, _, _ in names]) if refit else sc_train
+    # both scalings are written once; the fits, which do not depend on each other, run side by side
+    both = cut_lineage(scaler.transform_vector(sc_train.transform_vector(enc, output="by_train"), output="by_all")
+                       .select(id_col, "label", "split", "by_train", "by_all"), "scaled")
+    tr_s, te_s = (both.filter(F.col("split") == s).select(id_col, "label", F.col("by_train").alias("scaled"))
+                  for s in ("train", "test"))
+    all_s = both.select(id_col, "label", F.col("by_all").alias("scaled"))
+
+    def fit(job):
+        name, rows = job
+        return E.fit(name, tr_s if rows == "train" else all_s, sizes, id_col, seed=seed)
+
+    work = [(name, rows) for name in models for rows in (("train", "all") if refit else ("train",))]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        done = dict(zip(work, pool.map(fit, work), strict=True))
+    metrics = {name: evaluate(E.probability_of(name, done[name, "train"], te_s), f"p_{name}") for name in models}
+    fitted = {name: done[name, "all" if refit else "train"] for name in models}
     wide = enc.select(vector_to_array("features").alias("x")).select(
         *[F.col("x")[i].alias(f"f{i}") for i in range(len(names))])
     agg = wide.agg(*[F.struct(F.min(f"f{i}").alias("min"), F.max(f"f{i}").alias("max"), F.avg(f"f{i}").alias("mean"))
@@ -104,7 +108,7 @@ def train_ensemble(df: DataFrame, id_col: str = "app_id", models: tuple[str, ...
     now = dt.datetime.now(dt.timezone.utc)
     return Ensemble(encoder, names, scaler, fitted, metrics, int(counts["n"]), int(counts["pos"]),
                     int(counts["n"] - counts["pos"]), ranges, now.strftime("v%Y.%m.%d-%H%M"),
-                    now.isoformat(timespec="seconds"), source)
+                    now.isoformat(timespec="microseconds"), source)
 
 
 # ---- scoring -------------------------------------------------------------------
@@ -260,7 +264,3 @@ def reference_customer(spark, ens: Ensemble, train_raw: DataFrame) -> DataFrame:
     one = spark.createDataFrame([row], "app_id long, " + ", ".join(
         [f"{c} double" for c in S.NUMERIC_FEATURES] + [f"{c} string" for c in S.CATEGORICAL_FEATURES]))
     return score(one, ens, explain=False)
-
-
-def weights_of(net) -> list[float]:
-    return [float(x) for x in np.asarray(net.weights)]

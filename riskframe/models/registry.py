@@ -8,7 +8,7 @@ folder is never picked up.
 
 from __future__ import annotations
 
-import json
+import warnings
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -83,7 +83,8 @@ def load(spark: SparkSession, registry_path: str) -> Ensemble:
             continue
         try:
             models[name] = _LOADERS[name].load(f"{path}/{name}")
-        except Exception:  # noqa: BLE001 - a broken model must not stop scoring
+        except Exception as e:  # noqa: BLE001 - a broken model must not stop scoring, but it is said
+            warnings.warn(f"model {name} of {r['version']} cannot be read and scores 0.5: {str(e)[:200]}", stacklevel=2)
             models[name] = None
     names = list(zip(r["feature_names"], r["feature_bases"], r["feature_levels"]))
     scaler = ScalerModel(list(r["feature_names"]), list(r["scaler_mean"]), list(r["scaler_std"]))
@@ -116,7 +117,3 @@ def summary(registry_row: DataFrame) -> DataFrame:
     return registry_row.join(b, "version").select(
         "version", "trained_at", "dataset_size", "best_model", "best_auc", "source",
         F.round("approval_rate", 4).alias("approval_rate"), "n_features", F.to_json("metrics").alias("metrics"))
-
-
-def to_json_text(d: dict) -> str:
-    return json.dumps(d, ensure_ascii=False, sort_keys=True)

@@ -33,9 +33,6 @@ class Notes:
     def add(self, step: str, column: str, detail: str, n: int = 0) -> None:
         self.lines.append((step, column, detail, int(n)))
 
-    def to_df(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.lines, "step string, column string, detail string, n bigint")
-
 
 # ---- S4 / P2 / P3 / P1 / S5 ------------------------------------------------------
 def strip_headers(df: DataFrame) -> DataFrame:
@@ -85,11 +82,6 @@ def required_report(df: DataFrame, required: list[str] = S.REQUIRED_COLUMNS) ->
     return spark.createDataFrame(rows, "column string, present boolean, n_non_null bigint")
 
 
-def is_empty_input(df: DataFrame) -> bool:
-    """No rows or no columns."""
-    return len(df.columns) == 0 or df.isEmpty()
-
-
 # ---- P4 / P5 / P7 / A11 ----------------------------------------------------------
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
     """P4."""
@@ -227,9 +219,9 @@ def clean_dataset(df: DataFrame, target: str = S.TARGET) -> tuple[DataFrame, Not
     trimming) -> strip text, missing tokens to NULL -> numeric coercion +
     median -> target to 0/1 (cleaner dictionary), drop unreadable -> mode fill.
 
-    Passes: one profile aggregate, one dedup shuffle written as a checkpoint,
-    the median passes, one target pass written as a checkpoint, one mode
-    aggregate.  The result is a lazy frame over the last checkpoint.
+    Passes: one profile aggregate, one dedup shuffle written as a table, and over
+    that table the median passes and one mode aggregate.  The result is a lazy
+    frame over the table.
     """
     notes = Notes()
     df, renamed = remap_columns(strip_headers(df))
@@ -252,20 +244,21 @@ def clean_dataset(df: DataFrame, target: str = S.TARGET) -> tuple[DataFrame, Not
     exprs = {c: missing_to_null(c) for c in df.columns if dtypes[c] == "string"}
     exprs.update({c: parse_double(missing_to_null(c)) if dtypes[c] == "string" else F.col(c).cast("double")
                   for c in nums})
+    if target in df.columns:  # decided here, filtered after the medians: one write serves every later pass
+        exprs["_target"] = normalize_target(exprs.get(target, F.col(target)), "cleaner")
     t1 = cut_lineage(df.dropDuplicates().withColumns(exprs))
     # one pass over the checkpoint: row count and non-null counts (nulls = rows - non-null)
     c1 = t1.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c in nums]).first()
     n2 = c1["__rows"]
     if n2 < n1:
         notes.add("drop_duplicates", "*", "exact duplicates", n1 - n2)
-    med = exact_medians(t1, nums, default=0.0, counts={c: c1[c] for c in nums})
+    med = exact_medians(t1, nums, default=0.0)
     for c in nums:
         if n2 - c1[c]:
             notes.add("median_fill", c, f"{med[c]:g}", n2 - c1[c])
     t2 = t1.na.fill({c: v for c, v in med.items() if v is not None}) if nums else t1
     if target in t2.columns:
-        t2 = cut_lineage(t2.withColumn(target, normalize_target(target, "cleaner"))
-                         .filter(F.col(target).isNotNull()))
+        t2 = t2.filter(F.col("_target").isNotNull()).withColumn(target, F.col("_target")).drop("_target")
     cats = [c for c in S.CATEGORICAL_FEATURES if c in t2.columns]
     c2 = t2.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c in cats]).first()
     if target in t2.columns and n2 - c2["__rows"]:
@@ -291,15 +284,14 @@ def prepare_production(df: DataFrame, extra: list[str] | None = None) -> DataFra
         raise ValueError("missing required columns: " + ", ".join(sorted(missing)))
     df = df.select(*(extra or []), *S.REQUIRED_COLUMNS).withColumn(S.TARGET, normalize_target(S.TARGET, "production")) \
         .filter(F.col(S.TARGET).isNotNull())
-    df = df.withColumns({c: parse_double(F.col(c).cast("string")) for c in S.NUMERIC_FEATURES})
-    # one pass: the class gate and the per-column counts the medians need
-    gate = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(S.TARGET) == 1).alias("pos"),
-                  *[F.count(c).alias(c) for c in S.NUMERIC_FEATURES]).first()
+    # read by the gate, the medians and the result: computed once
+    df = cut_lineage(df.withColumns({c: parse_double(F.col(c).cast("string")) for c in S.NUMERIC_FEATURES}), "production")
+    gate = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(S.TARGET) == 1).alias("pos")).first()
     if gate["n"] == 0:
         raise ValueError("the target column could not be read (use 1/0, Si/No or Aprobado/Rechazado)")
     if gate["pos"] in (0, gate["n"]):
         raise ValueError("the dataset needs approved AND rejected cases")
-    med = exact_medians(df, S.NUMERIC_FEATURES, default=None, counts={c: gate[c] for c in S.NUMERIC_FEATURES})
+    med = exact_medians(df, S.NUMERIC_FEATURES, default=None)
     fill = {c: v for c, v in med.items() if v is not None}
     df = df.na.fill(fill) if fill else df
     return df.withColumns({c: F.coalesce(missing_to_null(c), F.lit("NA")) for c in S.CATEGORICAL_FEATURES})

@@ -36,12 +36,6 @@ def factors_table(df: DataFrame, id_col: str, contribs: str = "contribs", k: int
                        F.col("f.impact").alias("impact"), factor_weight(F.col("f.impact")).alias("weight"))
 
 
-def linear_contributions(coefs: dict[str, float], scaled: dict[str, Column]) -> Column:
-    """ARRAY<STRUCT<feature, impact>> with impact = beta * x_scaled."""
-    return F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(b) * scaled[n]).alias("impact"))
-                     for n, b in coefs.items()])
-
-
 def recommendations(df: DataFrame, id_col: str, score_fn: ScoreFn, max_recs: int = 4,
                     min_gain: float = 0.01) -> DataFrame:
     """Three what-if scenarios on the raw applicant columns.
@@ -109,11 +103,23 @@ def ablation(df: DataFrame, id_col: str, features: list[str], baseline: dict[str
                   *[F.struct(F.lit(f).alias("feature"),
                              *[(F.lit(float(baseline[c])) if c == f else F.col(c)).alias(c) for c in features], *keep)
                     for f in features])
-    ex = df.select(id_col, F.explode(arr).alias("s")).select(id_col, "s.*")
-    scored = score_fn(ex)
-    base = scored.filter(F.col("feature") == "__base__").select(id_col, F.col("p").alias("_p0"))
-    rest = scored.filter(F.col("feature") != "__base__")
-    return rest.join(base, id_col).select(id_col, "feature", (F.col("_p0") - F.col("p")).alias("impact"))
+    scored = score_fn(_scenarios(df, id_col, arr))
+    per_row = _per_row(scored, id_col, F.struct("feature", "p"))
+    return per_row.select(id_col, "_p0", F.explode("moves").alias("m")).select(
+        id_col, F.col("m.feature").alias("feature"), (F.col("_p0") - F.col("m.p")).alias("impact"))
+
+
+def _scenarios(df: DataFrame, id_col: str, scenarios: Column) -> DataFrame:
+    """One row per scenario; ``_row`` numbers the input rows, so rows with equal ids stay apart."""
+    return df.withColumn("_row", F.monotonically_increasing_id()) \
+        .select("_row", id_col, F.explode(scenarios).alias("s")).select("_row", id_col, "s.*")
+
+
+def _per_row(scored: DataFrame, id_col: str, move: Column) -> DataFrame:
+    """Back to one row per input row: base probability and the list of its scored moves (one shuffle, no join)."""
+    base = F.col("feature") == "__base__"
+    return scored.groupBy("_row").agg(F.first(id_col).alias(id_col), F.max(F.when(base, F.col("p"))).alias("_p0"),
+                                      F.collect_list(F.when(~base, move)).alias("moves"))
 
 
 def sensitivity(df: DataFrame, id_col: str, ranges: dict[str, tuple[float, float, bool]], score_fn: ScoreFn,
@@ -132,14 +138,14 @@ def sensitivity(df: DataFrame, id_col: str, ranges: dict[str, tuple[float, float
         for d, val in moves:
             scen.append(F.struct(F.lit(f).alias("feature"), F.lit(d).alias("dir"),
                                  *[(val if c == f else F.col(c)).alias(c) for c in ranges], *keep))
-    ex = df.select(id_col, F.explode(F.array(*scen)).alias("s")).select(id_col, "s.*")
-    scored = score_fn(ex)
-    base = scored.filter(F.col("feature") == "__base__").select(id_col, F.col("p").alias("_p0"))
-    deltas = scored.filter(F.col("feature") != "__base__").join(base, id_col) \
-        .withColumn("delta", F.col("p") - F.col("_p0"))
-    best = deltas.groupBy(id_col, "feature").agg(F.max_by(F.struct("delta", "dir"), "delta").alias("b"))
-    per = best.groupBy(id_col).agg(F.collect_list(F.struct(F.col("b.delta").alias("delta"), "feature",
-                                                           F.col("b.dir").alias("dir"))).alias("all"))
+    scored = score_fn(_scenarios(df, id_col, F.array(*scen)))
+    rows = _per_row(scored, id_col, F.struct("feature", "dir", "p"))
+    moved = F.transform("moves", lambda m: F.struct((m["p"] - F.col("_p0")).alias("delta"), m["feature"].alias("feature"),
+                                                    m["dir"].alias("dir")))
+    # the better direction of each feature (the upward one of equals)
+    best = F.filter("m", lambda x: ~F.exists("m", lambda y: (y["feature"] == x["feature"]) & (
+        (y["delta"] > x["delta"]) | ((y["delta"] == x["delta"]) & (y["dir"] > x["dir"])))))
+    per = rows.withColumn("m", moved).withColumn("all", best)
     improvers = F.filter("all", lambda x: x["delta"] > F.lit(min_delta))
     ordered = F.array_sort(improvers, lambda a, b: F.when(a["delta"] > b["delta"], -1)
                            .when(a["delta"] < b["delta"], 1).when(a["feature"] < b["feature"], -1)

@@ -22,6 +22,7 @@ from riskframe import schema as S
 from riskframe.functions.hashing import unit_hash
 from riskframe.functions.text import missing_to_null, parse_double
 from riskframe.operators.stats import exact_medians
+from riskframe.session import cut_lineage
 
 
 # ---- F1 / F2 / P8 ------------------------------------------------------------
@@ -83,12 +84,22 @@ def one_hot_columns(df: DataFrame, col: str, levels: list[str], drop_first: bool
     return df.withColumns({f"{p}_{v}": (F.col(col) == F.lit(v)).cast("double") for v in lv})
 
 
+#: More levels than this are no closed domain: one-hot columns are refused, not built.
+MAX_LEVELS = 500
+
+
 def levels_of(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Distinct non-null levels per column (one aggregate; domains are small by contract)."""
+    """Distinct non-null levels per column; a column with more than ``MAX_LEVELS`` is an error.
+
+    The distinct values are counted where they are; only columns within the limit are listed."""
     st = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
-                                       for c in cols])).alias("kv")).select("kv.*").filter(F.col("v").isNotNull())
+                                       for c in cols])).alias("kv")).select("kv.*").filter(F.col("v").isNotNull()).distinct()
+    st = cut_lineage(st, "levels")
+    wide = [r["c"] for r in st.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_LEVELS).collect()]
+    if wide:
+        raise ValueError(f"too many distinct values for one-hot columns: {', '.join(sorted(wide))}")
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in st.distinct().collect():
+    for r in st.collect():  # at most MAX_LEVELS rows per column
         out[r["c"]].append(r["v"])
     return {c: sorted(v) for c, v in out.items()}
 
@@ -162,31 +173,24 @@ def hash_split(df: DataFrame, id_col: str, test_fraction: float = 0.2, seed: int
 def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: float = 0.2, seed: int = 42,
                      out: str = "split", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Exact stratified split - per class, the ``round(f * n_class)`` rows with the
-    smallest (hash, id) go to test.
+    smallest (hash, id) go to test.  Rows without a label are a class of their own.
 
     The hash is uniform, so fixed-width hash buckets are balanced by
     construction: per (class, bucket) counts locate the one boundary bucket
     per class, and only rows of that bucket are ranked (window partitioned by
-    class and bucket).  No step holds a whole class.
+    class and bucket).  No step holds a whole class, and nothing reaches the driver
+    but the number of rows.
     """
     frac = max(0.1, min(float(test_fraction), 0.5))
-    h = unit_hash(id_col, seed)
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
-    n_max = max((r["n"] for r in counts), default=0)
-    nb = max(1, math.ceil(n_max / rows_per_bucket))
-    d = df.withColumn("_h", h).withColumn("_b", F.least(F.floor(F.col("_h") * nb), F.lit(nb - 1)).cast("int"))
-    per = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    wcum = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    need = {r[label]: int(math.floor(frac * r["n"] + 0.5)) for r in counts}
-    need_col = None
-    for k, v in need.items():
-        need_col = (F.when(F.col(label) == F.lit(k), F.lit(v)) if need_col is None
-                    else need_col.when(F.col(label) == F.lit(k), F.lit(v)))
-    # per (class, bucket): rows in earlier buckets; small table (classes x buckets)
-    offs = per.withColumn("_before", F.coalesce(F.sum("_nb").over(wcum), F.lit(0))) \
-        .withColumn("_need", need_col if need_col is not None else F.lit(0))
-    # offsets table: one row per (class, bucket), ~ classes * n / rows_per_bucket rows
-    j = d.join(F.broadcast(offs.select(label, "_b", "_nb", "_before", "_need")), [label, "_b"])
+    nb = max(1, math.ceil(df.count() / rows_per_bucket))
+    d = df.withColumn("_h", unit_hash(id_col, seed)) \
+        .withColumn("_b", F.least(F.floor(F.col("_h") * nb), F.lit(nb - 1)).cast("int"))
+    per = d.groupBy(F.col(label).alias("_l"), F.col("_b").alias("_pb")).agg(F.count(F.lit(1)).alias("_nb"))
+    whole = Window.partitionBy("_l")
+    earlier = whole.orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.withColumn("_before", F.coalesce(F.sum("_nb").over(earlier), F.lit(0))) \
+        .withColumn("_need", F.floor(F.lit(frac) * F.sum("_nb").over(whole) + 0.5))
+    j = d.join(offs, d[label].eqNullSafe(offs["_l"]) & (d["_b"] == offs["_pb"])).drop("_l", "_pb")
     full_in = F.col("_before") + F.col("_nb") <= F.col("_need")
     boundary = (F.col("_before") < F.col("_need")) & ~full_in
     decided = j.filter(~boundary).withColumn(out, F.when(full_in, "test").otherwise("train"))
@@ -198,6 +202,14 @@ def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: floa
     return decided.unionByName(edge).drop("_h", "_b", "_nb", "_before", "_need")
 
 
+def train_test_split(df: DataFrame, id_col: str, label: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """stratified when the label has exactly two classes of at least two rows, else the plain hash split."""
+    sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(3).collect()
+    if len(sizes) == 2 and min(r["n"] for r in sizes) >= 2:
+        return stratified_split(df, id_col, label, test_fraction, seed)
+    return hash_split(df, id_col, test_fraction, seed)
+
+
 # ---- P9 / P10 ----------------------------------------------------------------
 def apply_defaults(df: DataFrame, defaults: dict = S.APPLICANT_DEFAULTS) -> DataFrame:
     """Absent columns added, blank/missing/unparsable values replaced by defaults."""
@@ -216,7 +228,3 @@ def fill_with_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     """P10: missing / blank / unparsable numbers -> the training median."""
     return df.withColumns({c: F.coalesce(parse_double(F.col(c).cast("string")), F.lit(float(m)))
                            for c, m in medians.items()})
-
-
-def array_col(cols: list[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in cols])

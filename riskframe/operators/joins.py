@@ -11,23 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.prefix import running_sums
 from riskframe.schema import GUEST_NAME
 
+#: FIXED VALUE: longest stored user name.
+NAME_CHARS = 40
+
 
 def latest_per_key(df: DataFrame, key: str, ts: str, value_cols: list[str]) -> DataFrame:
     """Last write wins per key.
 
-    ``max_by`` is a partial aggregate: each map task keeps one row per key,
-    so a hot key never lands whole in one task.  With a single fixed-width
-    value column the buffer is fixed-width too and Spark uses a hash
-    aggregate; several values go through one struct (sort-based aggregate).
+    The order is (ts, values), so equal timestamps give the same row whatever the input
+    order (the largest values win).  ``max`` over one struct is a partial aggregate: each map
+    task keeps one row per key, so a hot key never lands whole in one task.
     """
-    if len(value_cols) == 1:
-        v = value_cols[0]
-        return df.groupBy(key).agg(F.max_by(v, ts).alias(v), F.max(ts).alias(ts))
-    order = F.struct(F.col(ts), *[F.col(c) for c in value_cols])
-    return df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in value_cols + [ts]]), order).alias("_last")) \
-        .select(key, *[F.col(f"_last.{c}").alias(c) for c in value_cols + [ts]])
+    last = df.groupBy(key).agg(F.max(F.struct(ts, *value_cols)).alias("_last"))
+    return last.select(key, *[F.col(f"_last.{c}").alias(c) for c in [*value_cols, ts]])
 
 
 def attach_user(apps: DataFrame, users: DataFrame, guest_name: str = GUEST_NAME) -> DataFrame:
@@ -56,36 +55,32 @@ def duplicate_emails(users: DataFrame) -> DataFrame:
         .filter(F.col("n_users") > 1)
 
 
-def existing_emails(candidates: DataFrame, users: DataFrame) -> DataFrame:
-    """Candidate rows whose e-mail already exists (``left_semi``)."""
-    u = users.select(F.lower(F.trim("email")).alias("_email")).filter(F.col("_email").isNotNull())
-    return candidates.join(u, F.lower(F.trim(candidates["email"])) == u["_email"], "left_semi")
-
-
 def upsert_users(existing: DataFrame, arrivals: DataFrame, now_col: str = "ts") -> DataFrame:
     """Insert-if-new else touch, matching names case-insensitively.
 
     ``arrivals`` = (name, ts) visit events.  They are first reduced to one row
     per normalised name (partial aggregation), then full-outer joined with the
     dimension: matched users get ``visits + n`` and the newest ``last_seen``;
-    unmatched names become new users with ``visits = n``.
+    unmatched names become new users with ``visits = n``, cut to ``NAME_CHARS``
+    characters, and ids that follow the largest one in the order of the names.
     """
     key = F.lower(F.trim(F.col("name")))
     new = arrivals.withColumn("_k", key).groupBy("_k").agg(
         F.min(F.struct(now_col, "name"))["name"].alias("_new_name"),
         F.count(F.lit(1)).alias("_n"), F.min(now_col).alias("_first"), F.max(now_col).alias("_last"))
     old = existing.withColumn("_k", key)
-    j = old.join(new, "_k", "full_outer")
-    is_new = F.col("user_id").isNull()
-    return j.select(
-        F.col("user_id"),
-        F.coalesce(F.col("name"), F.col("_new_name")).alias("name"),
-        F.coalesce(F.col("created_at"), F.col("_first")).alias("created_at"),
-        F.greatest(F.col("last_seen"), F.col("_last")).alias("last_seen"),
-        (F.coalesce(F.col("visits"), F.lit(0)) + F.coalesce(F.col("_n"), F.lit(0))).cast("bigint").alias("visits"),
-        F.coalesce(F.col("evaluations"), F.lit(0)).cast("bigint").alias("evaluations"),
-        is_new.alias("is_new"),
-    )
+    fresh = running_sums(new.join(old.select("_k"), "_k", "left_anti").withColumn("_one", F.lit(1)), "_k", ["_one"])
+    top = existing.agg(F.coalesce(F.max("user_id"), F.lit(0)).alias("m")).scalar()
+    zero = F.lit(0).cast("bigint")
+    inserted = fresh.select(
+        (top + F.col("cum__one")).cast("bigint").alias("user_id"), F.substring(F.trim("_new_name"), 1, NAME_CHARS).alias("name"),
+        F.col("_first").alias("created_at"), F.col("_last").alias("last_seen"), F.col("_n").alias("visits"),
+        zero.alias("evaluations"), F.lit(True).alias("is_new"))
+    touched = old.join(new, "_k", "left").select(
+        "user_id", "name", "created_at", F.greatest("last_seen", "_last").alias("last_seen"),
+        (F.coalesce("visits", zero) + F.coalesce("_n", zero)).cast("bigint").alias("visits"),
+        F.coalesce("evaluations", zero).cast("bigint").alias("evaluations"), F.lit(False).alias("is_new"))
+    return touched.unionByName(inserted)
 
 
 def new_users(existing: DataFrame, arrivals: DataFrame) -> DataFrame:

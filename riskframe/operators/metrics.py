@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.hashing import unit_hash
 from riskframe.functions.scoring import bce_term
 from riskframe.operators.prefix import running_sums
+from riskframe.session import cut_lineage
 
 
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -26,7 +27,7 @@ def auc(df: DataFrame, score: str = "probability", label: str = "label") -> Data
 
     AUC = sum_s pos(s) * (neg(<s) + neg(s)/2) / (P * N).
     """
-    sc = score_counts(df, score, label)
+    sc = score_counts(df.filter(F.col(score).isNotNull()), score, label)
     cum = running_sums(sc, "score", ["neg"], inclusive=False)
     agg = cum.agg(F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg"))).alias("_num"),
                   F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -42,13 +43,11 @@ def roc_curve(df: DataFrame, score: str = "probability", label: str = "label", p
 
     Output ``(idx, fpr, tpr)``; ``idx`` orders the curve.
     """
-    sc = score_counts(df, score, label).withColumn("one", F.lit(1))
-    n_scores = sc.count()
+    sc = cut_lineage(score_counts(df.filter(F.col(score).isNotNull()), score, label).withColumn("one", F.lit(1)), "roc-scores")
+    t = sc.agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # three numbers
+    n_pos, n_neg, length = F.lit(t["P"] or 0), F.lit(t["N"] or 0), t["n"] + 1
     # cum_one = 1-based rank of the distinct score in descending order (point 0 is the origin)
-    cum = running_sums(sc, "score", ["pos", "neg", "one"], descending=True, n_rows=n_scores)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    n_pos, n_neg = tot.select("P").scalar(), tot.select("N").scalar()  # scalar subqueries
-    length = n_scores + 1
+    cum = running_sums(sc, "score", ["pos", "neg", "one"], descending=True)
     step = max(1, length // points)
     pts = cum.select(F.col("cum_one").cast("bigint").alias("idx"),
                      F.try_divide(F.col("cum_neg").cast("double"), n_neg).alias("fpr"),

@@ -1,61 +1,36 @@
-"""Distributed running sums over an ordered key (used by W1, W2, W5).
+"""Distributed running sums over an ordered key (used by W1, W2, E28, medians).
 
-A window ``ORDER BY key`` without ``PARTITION BY`` runs in one task.  Instead
-the key range is cut into buckets at approximate quantiles; every bucket is a
-window partition, and the totals of the buckets before it (a table with one
-row per bucket, so bounded by the bucket count) are added as an offset.
-Exact for any data: the buckets only decide where the work is split.
+A window ``ORDER BY key`` without ``PARTITION BY`` runs in one task.  Instead the rows are
+range-partitioned by the key in its own type (NULL sorts first, NaN last, as in any Spark
+order) and written with their partition number.  Each partition is a window of its own, and the
+totals of the partitions before it are added.  There is one path for every input size; the
+table of totals has one row per shuffle partition.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
-
-
-def bucket_by_quantiles(df: DataFrame, key: str, n_rows: int, out: str = "_bucket",
-                        rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add an INT bucket id that is monotone in ``key`` (NULL keys -> bucket 0)."""
-    n_buckets = max(1, math.ceil(n_rows / rows_per_bucket))
-    if n_buckets == 1:
-        return df.withColumn(out, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(df.approxQuantile(key, probs, 1.0 / (4 * n_buckets))))
-    splits = [-float("inf")] + cuts + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol=key, outputCol=out, handleInvalid="keep")
-    return b.transform(df.withColumn(key, F.col(key).cast("double"))).withColumn(out, F.col(out).cast("int"))
+from riskframe.session import cut_lineage
 
 
-def running_sums(df: DataFrame, key: str, cols: list[str], descending: bool = False,
-                 n_rows: int | None = None, inclusive: bool = True, tie_breaker: str | None = None) -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over rows ordered by ``key`` (and ``tie_breaker``).
+def running_sums(df: DataFrame, key: str, cols: list[str], descending: bool = False, inclusive: bool = True,
+                 tie_breaker: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Add ``cum_<c>`` = sum of ``c`` over the rows up to this one, ordered by ``key`` (and ``tie_breaker``).
 
-    ``inclusive=False`` gives the sum over strictly earlier rows.
-    """
-    if n_rows is None:
-        n_rows = df.count()
+    ``inclusive=False`` gives the sum over strictly earlier rows.  Every row stays, whatever its key."""
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc(key) if descending else F.asc(key)]
     if tie_breaker:
         order.append(F.asc(tie_breaker))
-    frame_end = Window.currentRow if inclusive else -1
-    if math.ceil(n_rows / ROWS_PER_BUCKET) <= 1:
-        # one bucket: a plain window over the (bounded) input, no offsets
-        w = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-        return df.select(*df.columns, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"cum_{c}") for c in cols])
-    from riskframe.session import cut_lineage
-    d = cut_lineage(bucket_by_quantiles(df, key, n_rows), "buckets")   # read twice below: write once
-    if descending:
-        d = d.withColumn("_bucket", -F.col("_bucket"))
-    totals = d.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket: bounded
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                         for c in cols])
-    w = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
-    j = d.join(F.broadcast(offsets), "_bucket")  # offsets: one row per bucket
-    return j.select(*df.columns, *[(F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_o_{c}")).alias(f"cum_{c}")
-                                   for c in cols])
+    rows = cut_lineage(df, "running-input")  # the range partitioner samples its input: write it once
+    ranged = cut_lineage(rows.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()),
+                         "running-ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols]).select(
+        "_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    return ranged.join(offsets, "_part").select(*df.columns, *[
+        (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in cols])

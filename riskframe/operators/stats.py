@@ -1,11 +1,11 @@
 """Scalable exact order statistics and modes.
 
-``exact_medians`` never holds a whole column in one task: an approximate
-quantile pass brackets the middle ranks, a counting pass checks the bracket,
-and only the (bounded) rows inside the bracket are ranked exactly.  On small
-inputs the bracket is the whole column and the result is Spark's own
-interpolated median.  ``modes`` counts values with partial aggregation and
-picks the most frequent (ties -> smallest) with ``min_by``.
+``exact_medians`` finds the medians of all columns together in three passes, whatever the
+size: approximate quantiles bracket each column's middle ranks, a counting pass checks all
+brackets, and the distinct values inside a bracket, with their counts, are ranked exactly.
+Nulls and NaN are no values.  A bracket holds a fixed small share of the ranks; a hot value
+is one row of it.  ``modes`` counts values with partial aggregation and picks the most
+frequent (ties -> smallest) with ``min_by``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATE_LIMIT = 2_000_000  # rows ranked in one task at most
 APPROX_ACCURACY = 100_000
 
 
@@ -24,76 +23,51 @@ def _interpolate(lo: float, hi: float, frac: float) -> float:
     return (1.0 - frac) * lo + frac * hi
 
 
-def exact_medians(df: DataFrame, cols: list[str], default: float | None = 0.0,
-                  counts: dict[str, int] | None = None) -> dict[str, float | None]:
-    """Exact (linearly interpolated) median of every column; all-null -> ``default``.
+def exact_medians(df: DataFrame, cols: list[str], default: float | None = 0.0) -> dict[str, float | None]:
+    """Exact (linearly interpolated) median of every column; without a value -> ``default``.
 
-    ``counts`` (non-null count per column) saves the counting pass when the
-    caller already has them from another aggregate."""
+    ``df`` is read three times; callers with an expensive plan write it first."""
     if not cols:
         return {}
-    head = counts if counts is not None else df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    out: dict[str, float | None] = {}
-    small = [c for c in cols if head[c] <= CANDIDATE_LIMIT]
-    if small:  # value->count buffers bounded by the row count
-        row = df.agg(*[F.median(c).alias(c) for c in small]).first()
-        for c in small:
-            out[c] = row[c] if row[c] is not None else default
-    for c in cols:
-        if c in out:
-            continue
-        n = head[c]
-        r1, r2 = (n - 1) // 2, n // 2           # 0-based ranks around the middle
-        vals = kth_values(df.select(c).filter(F.col(c).isNotNull()), c, [r1, r2], n)
-        out[c] = _interpolate(vals[r1], vals[r2], ((n - 1) / 2.0) - r1)
-    return out
-
-
-def kth_values(df: DataFrame, c: str, ranks: list[int], n: int) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of column ``c`` (non-null rows, ``n`` of them).
-
-    Brackets the ranks with approximate quantiles and recurses into the
-    bracket until at most CANDIDATE_LIMIT rows are left, which are ranked
-    exactly.  Each level keeps a fraction ~1e-4 of the rows.
-    """
-    lo_r, hi_r = min(ranks), max(ranks)
-    if n <= CANDIDATE_LIMIT:
-        w = Window.orderBy(c)  # bounded candidate set: one task by design
-        picked = df.withColumn("_r", F.row_number().over(w) - 1).filter(F.col("_r").isin(*ranks)).collect()
-        return {r["_r"]: r[c] for r in picked}
-    eps = 4.0 / APPROX_ACCURACY
-    for _ in range(6):
-        qs = df.agg(F.percentile_approx(c, [max(0.0, lo_r / n - eps), min(1.0, hi_r / n + eps)], APPROX_ACCURACY)
-                    .alias("q")).first()["q"]
-        lo, hi = qs[0], qs[1]
-        cnt = df.agg(F.count_if(F.col(c) < lo).alias("b"), F.count_if(F.col(c) <= hi).alias("le")).first()
-        if cnt["b"] <= lo_r and cnt["le"] > hi_r:
-            if lo == hi:  # a hot value covers all wanted ranks
-                return {r: lo for r in ranks}
-            inner = df.filter((F.col(c) >= lo) & (F.col(c) <= hi))
-            rel = [r - cnt["b"] for r in ranks]
-            m = cnt["le"] - cnt["b"]
-            if m * 2 > n:  # hot values keep the bracket wide: rank distinct values instead
-                sub = _kth_by_value_counts(inner, c, rel)
-            else:
-                sub = kth_values(inner, c, rel, m)
-            return {r + cnt["b"]: v for r, v in sub.items()}
-        eps *= 4.0
-    raise RuntimeError(f"could not bracket ranks {ranks} of {c}")
-
-
-def _kth_by_value_counts(df: DataFrame, c: str, ranks: list[int]) -> dict[int, float]:
-    """k-th values from (value, count) pairs: heavy duplicates compress the candidates.
-
-    The running count over distinct values is a bounded window when the
-    distinct values are few; otherwise it is the bucketed running sum."""
-    from riskframe.operators.prefix import running_sums
-    vc = df.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
-    cum = running_sums(vc, c, ["_k"])
-    out = {}
-    for r in ranks:  # one small aggregate per wanted rank
-        out[r] = cum.filter(F.col("cum__k") > F.lit(r)).agg(F.min(c)).first()[0]
-    return out
+    names = {f"v{i}": c for i, c in enumerate(cols)}
+    x = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(v) for v, c in names.items()])
+    eps, pending, out = 2.0 / APPROX_ACCURACY, list(names), {}
+    while pending:
+        share = [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)]
+        first = x.agg(*[F.count(v).alias(f"n_{v}") for v in pending],
+                      *[F.percentile_approx(v, share, APPROX_ACCURACY).alias(f"q_{v}") for v in pending]).first()
+        live = [v for v in pending if first[f"n_{v}"]]
+        out |= {v: default for v in pending if v not in live}
+        if not live:
+            break
+        cut = {v: first[f"q_{v}"] for v in live}
+        place = x.agg(*[F.count_if(F.col(v) < cut[v][0]).alias(f"b_{v}") for v in live],
+                      *[F.count_if(F.col(v) <= cut[v][1]).alias(f"e_{v}") for v in live]).first()
+        wanted = {v: ((first[f"n_{v}"] - 1) // 2, first[f"n_{v}"] // 2) for v in live}
+        held = [v for v in live if place[f"b_{v}"] <= wanted[v][0] and place[f"e_{v}"] > wanted[v][1]]
+        open_ = [v for v in held if cut[v][0] != cut[v][1]]
+        out |= {v: float(cut[v][0]) for v in held if v not in open_}
+        if open_:
+            found = _ranked(x, {v: (*cut[v], *(r - place[f"b_{v}"] for r in wanted[v])) for v in open_})
+            for v in open_:
+                lo, hi = found[v]
+                out[v] = _interpolate(lo, hi, (first[f"n_{v}"] - 1) / 2.0 - wanted[v][0])
+        pending, eps = [v for v in live if v not in held], eps * 4.0
+    return {c: out[v] for v, c in names.items()}
+
+
+def _ranked(x: DataFrame, want: dict[str, tuple]) -> dict[str, tuple[float, float]]:
+    """Values at two 0-based ranks inside each column's bracket (lo, hi, rank, rank)."""
+    inside = F.array(*[F.when((F.col(v) >= lo) & (F.col(v) <= hi), F.struct(F.lit(v).alias("c"), F.col(v).alias("x")))
+                       for v, (lo, hi, _, _) in want.items()])
+    counts = x.select(F.explode(F.filter(inside, lambda s: s.isNotNull())).alias("s")).groupBy("s.c", "s.x").agg(
+        F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("c").orderBy("x"))
+    ranks = F.create_map(*[y for v, (_, _, a, b) in want.items() for y in (F.lit(v), F.array(F.lit(a), F.lit(b)))])
+    rows = counts.select("c", "x", upto.alias("upto")).withColumn("r", ranks[F.col("c")]).groupBy("c").agg(
+        F.min(F.when(F.col("upto") > F.col("r")[0], F.col("x"))).alias("lo"),
+        F.min(F.when(F.col("upto") > F.col("r")[1], F.col("x"))).alias("hi")).collect()  # one row per column
+    return {r["c"]: (r["lo"], r["hi"]) for r in rows}
 
 
 def modes(df: DataFrame, cols: list[str]) -> dict[str, str | None]:

@@ -61,20 +61,27 @@ class LabResult:
 def prepare_lab(df: DataFrame, target: str, id_col: str, test_fraction: float = 0.2, seed: int = 42) -> LabResult:
     """the lab preprocessing chain in its fixed order.
 
-    drop null target -> target to 0/1 (binary words, else two-value relabel)
-    -> binary text columns -> detect types -> median / mode imputation ->
-    one-hot (first level dropped) -> drop constant columns -> split ->
-    population-std scaling fitted on train.
+    drop null target -> target to 0/1 (binary words, else two-value relabel; any other
+    value is refused, and both classes must occur) -> binary text columns -> detect
+    types -> median / mode imputation -> one-hot (first level dropped) -> drop constant
+    features -> split -> population-std scaling fitted on train.
     """
     report = []
     d, removed = C.drop_null_target(df, target)
     if removed:
         report.append(("drop_null_target", str(removed)))
-    d, conv = normalize_binary_columns(d, [target] if dict(d.dtypes)[target] == "string" else [])
-    if not conv and dict(d.dtypes)[target] == "string":
-        d, mapping = relabel_two_classes(d, target)
-        report.append(("relabel_target", str(mapping)))
-    d = d.withColumn(target, F.col(target).cast("int"))
+    if dict(d.dtypes)[target] == "string":
+        d, conv = normalize_binary_columns(d, [target])
+        if not conv:
+            d, mapping = relabel_two_classes(d, target)
+            report.append(("relabel_target", str(mapping)))
+    y = F.col(target).try_cast("double")
+    seen = d.agg(F.count_if(y == 0).alias("zero"), F.count_if(y == 1).alias("one"), F.count(F.lit(1)).alias("n")).first()
+    if seen["zero"] + seen["one"] != seen["n"]:
+        raise ValueError("the target must be 0/1 (or two distinct values)")
+    if not seen["zero"] or not seen["one"]:
+        raise ValueError("the target needs both classes")
+    d = d.withColumn(target, y.cast("int"))
     feats = [c for c in d.columns if c not in (target, id_col)]
     text = [c for c, t in d.dtypes if c in feats and t == "string"]
     d, converted = normalize_binary_columns(d, text)
@@ -86,9 +93,9 @@ def prepare_lab(df: DataFrame, target: str, id_col: str, test_fraction: float =
     for c in categorical:
         d = FE.one_hot_columns(d, c, levels[c], drop_first=True).drop(c)
     feats = [c for c in d.columns if c not in (target, id_col)]
-    d, const = C.drop_constant_columns(d.select(id_col, target, *feats))
-    feats = [c for c in d.columns if c not in (target, id_col)]
-    d = cut_lineage(FE.stratified_split(d, id_col, target, test_fraction, seed))
+    kept, const = C.drop_constant_columns(d.select(*feats))
+    feats = kept.columns
+    d = cut_lineage(FE.train_test_split(d.select(id_col, target, *feats), id_col, target, test_fraction, seed))
     train, test = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
     scaler = FE.fit_scaler(train, feats)
     report.append(("features", str(len(feats))))

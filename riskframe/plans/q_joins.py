@@ -20,7 +20,7 @@ def j1_attach_user(spark, sf):
 
 @query("J2", """
 SELECT e.app_id, l.aprobado_real, CAST(coalesce(l.aprobado_real, e.aprobado, 0) AS INTEGER) AS aprobado
-FROM evaluations e LEFT JOIN (SELECT app_id, arg_max(aprobado_real, labelled_at) AS aprobado_real
+FROM evaluations e LEFT JOIN (SELECT app_id, arg_max(aprobado_real, (labelled_at, aprobado_real)) AS aprobado_real
                               FROM truth_labels GROUP BY app_id) l USING (app_id)""")
 def j2_apply_labels(spark, sf):
     e = fx.evaluations(spark, sf).select("app_id", "aprobado")
@@ -28,7 +28,7 @@ def j2_apply_labels(spark, sf):
 
 
 @query("W4", """
-SELECT app_id, arg_max(aprobado_real, labelled_at) AS aprobado_real, max(labelled_at) AS labelled_at
+SELECT app_id, arg_max(aprobado_real, (labelled_at, aprobado_real)) AS aprobado_real, max(labelled_at) AS labelled_at
 FROM truth_labels GROUP BY app_id""")
 def w4_latest_label(spark, sf):
     return J.latest_per_key(fx.truth_labels(spark, sf), "app_id", "labelled_at", ["aprobado_real"])
@@ -67,13 +67,16 @@ def p13_case_insensitive_lookup(spark, sf):
 
 
 @query("J4", """
-SELECT u.user_id, coalesce(u.name, n.new_name) AS name, coalesce(u.created_at, n.first_ts) AS created_at,
-       greatest(u.last_seen, n.last_ts) AS last_seen,
+SELECT u.user_id, u.name, u.created_at, greatest(u.last_seen, n.last_ts) AS last_seen,
        CAST(coalesce(u.visits, 0) + coalesce(n.n, 0) AS BIGINT) AS visits,
-       CAST(coalesce(u.evaluations, 0) AS BIGINT) AS evaluations, u.user_id IS NULL AS is_new
-FROM (SELECT *, lower(trim(name)) AS k FROM users_dim) u
-FULL OUTER JOIN (SELECT lower(trim(name)) AS k, arg_min(name, (ts, name)) AS new_name, count(*) AS n,
-                        min(ts) AS first_ts, max(ts) AS last_ts FROM arrivals GROUP BY 1) n ON u.k = n.k""",
-       {"arrivals": _ARRIVALS_SQL})
+       CAST(coalesce(u.evaluations, 0) AS BIGINT) AS evaluations, false AS is_new
+FROM known u LEFT JOIN arrived n ON u.k = n.k
+UNION ALL
+SELECT CAST((SELECT max(user_id) FROM users_dim) + row_number() OVER (ORDER BY k) AS BIGINT), substr(trim(new_name), 1, 40),
+       first_ts, last_ts, CAST(n AS BIGINT), CAST(0 AS BIGINT), true
+FROM arrived WHERE k NOT IN (SELECT k FROM known)""",
+       {"arrivals": _ARRIVALS_SQL, "known": "SELECT *, lower(trim(name)) AS k FROM users_dim",
+        "arrived": """SELECT lower(trim(name)) AS k, arg_min(name, (ts, name)) AS new_name, count(*) AS n, min(ts) AS first_ts,
+                             max(ts) AS last_ts FROM arrivals GROUP BY 1"""})
 def j4_upsert_users(spark, sf):
     return J.upsert_users(fx.users_dim(spark, sf).drop("email", "password_hash"), _arrivals(spark, sf))

@@ -1,9 +1,8 @@
 """Model queries.
 
 Fitted-model outputs have no SQL twin (the driver checks them rows-only);
-X2 is set algebra and has one.  Queries use the reference algorithms with
-smaller tree/round/epoch counts (``QUERY_SIZES``) so the whole-table check
-finishes; the library defaults (``ModelSizes()``) are the reference sizes.
+X2 is set algebra and has one.  All fits run at the reference sizes
+(``ModelSizes()``).
 """
 
 from __future__ import annotations
@@ -22,15 +21,12 @@ from riskframe.plans.registry import query
 from riskframe.session import scratch_path
 from riskframe.sources import fixtures as fx
 
-QUERY_SIZES = E.ModelSizes(trees=40, tree_depth=10, boost_rounds=20, boost_depth=6, boost_rate=0.1,
-                           logit_iter=200, probit_iter=50, net_epochs=25, mlp_iter=100)
-
 _CACHE: dict = {}
 
 
 def _split_scaled(spark, sf):
     """Encoded, split and scaled applications (cached per session and scale factor)."""
-    key = ("split", id(spark), sf)
+    key = ("split", spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
         a = fx.applications(spark, sf).select("app_id", *S.REQUIRED_COLUMNS) \
             .withColumn("label", F.col(S.TARGET).cast("int"))
@@ -45,14 +41,14 @@ def _split_scaled(spark, sf):
 
 
 def _ensemble(spark, sf) -> EN.Ensemble:
-    key = ("ens", id(spark), sf)
+    key = ("ens", spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
-        _CACHE[key] = EN.train_ensemble(fx.applications(spark, sf), "app_id", sizes=QUERY_SIZES)
+        _CACHE[key] = EN.train_ensemble(fx.applications(spark, sf), "app_id")
     return _CACHE[key]
 
 
 def _registry(spark, sf):
-    key = ("reg", id(spark), sf)
+    key = ("reg", spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
         ens = _ensemble(spark, sf)
         mp, rp = scratch_path(spark, "models"), scratch_path(spark, "registry")
@@ -64,7 +60,7 @@ def _registry(spark, sf):
 def _single_model(name):
     def fn(spark, sf):
         train, test, _ = _split_scaled(spark, sf)
-        m = E.fit(name, train, QUERY_SIZES, "app_id")
+        m = E.fit(name, train, E.ModelSizes(), "app_id")
         return E.probability_of(name, m, test).select("app_id", "label", F.col(f"p_{name}").alias("probability"))
     return fn
 
@@ -164,20 +160,24 @@ def a16_importance_by_base(spark, sf):
     return EN.importance_by_base(spark, _ensemble(spark, sf), "random_forest")
 
 
+def _scaled_as_trained(spark, sf):
+    """All rows, encoded and scaled as the refitted models saw them."""
+    ens = _ensemble(spark, sf)
+    a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
+    return ens, ens.scaler.transform_vector(ens.encoder.transform(a), "features", "scaled").select("app_id", "scaled")
+
+
 @query("M19")
 def m19_dead_neurons(spark, sf):
-    train, _, _ = _split_scaled(spark, sf)
-    ens = _ensemble(spark, sf)
-    return ens.models["neural_net"].dead_neuron_report(train)
+    ens, rows = _scaled_as_trained(spark, sf)
+    return ens.models["neural_net"].dead_neuron_report(rows)
 
 
 @query("M20")
 def m20_activations(spark, sf):
-    train, _, _ = _split_scaled(spark, sf)
-    net = _ensemble(spark, sf).models["neural_net"]
-    acts = net.activations(train.select("app_id", "scaled"))
-    return acts.select("app_id", F.transform("activations", lambda layer: F.size(layer)).alias("layer_sizes"),
-                       F.element_at(F.element_at("activations", -1), 1).alias("output"))
+    ens, rows = _scaled_as_trained(spark, sf)
+    acts = ens.models["neural_net"].activations(rows)
+    return acts.select("app_id", "activations", F.element_at(F.element_at("activations", -1), 1).alias("output"))
 
 
 @query("M21")
@@ -189,7 +189,7 @@ def m21_tree_table(spark, sf):
 @query("M4b")
 def m4b_newton_leaves(spark, sf):
     train, _, _ = _split_scaled(spark, sf)
-    gbt = E.fit("xgboost", train, QUERY_SIZES, "app_id")
+    gbt = E.fit("xgboost", train, E.ModelSizes(), "app_id")
     return AR.newton_leaf_values(gbt, train)
 
 
@@ -235,8 +235,7 @@ def m23_model_report(spark, sf):
 @query("M24")
 def m24_retrain_from_evaluations(spark, sf):
     ens = jobs.retrain_from_evaluations(spark, fx.evaluations(spark, sf), fx.truth_labels(spark, sf),
-                                        scratch_path(spark, "models"), scratch_path(spark, "registry"),
-                                        sizes=QUERY_SIZES)
+                                        scratch_path(spark, "models"), scratch_path(spark, "registry"))
     rows = [(k, v["auc"], v["accuracy"], ens.n_rows, ens.source) for k, v in ens.metrics.items()]
     return spark.createDataFrame(rows, "model string, auc double, accuracy double, dataset_size bigint, source string")
 
@@ -272,13 +271,13 @@ def f7_lab_preprocess(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in lab.feature_names})
 
 
-@query("X2", """
-SELECT 'institucion' AS "column", institucion AS value, CAST(count(*) AS BIGINT) AS n FROM inverted
-WHERE institucion NOT IN (SELECT DISTINCT institucion FROM applications) GROUP BY institucion""")
+@query("X2", " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", {c} AS value, CAST(count(*) AS BIGINT) AS n FROM inverted
+WHERE {c} NOT IN (SELECT DISTINCT {c} FROM applications WHERE {c} IS NOT NULL) GROUP BY {c}""" for c in S.CATEGORICAL_FEATURES))
 def x2_unseen_categories(spark, sf):
-    inv = fx.inverted(spark, sf).select("institucion")
-    seen = fx.applications(spark, sf).select("institucion").distinct()
-    new = inv.join(seen, "institucion", "left_anti")
-    return new.groupBy(F.col("institucion").alias("value")).agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("institucion").alias("column"), "value", "n")
-
+    def pairs(df):
+        return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))
+                                             for c in S.CATEGORICAL_FEATURES])).alias("x")).select("x.column", "x.value")
+    seen = pairs(fx.applications(spark, sf)).distinct()
+    new = pairs(fx.inverted(spark, sf)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return new.filter(F.col("value").isNotNull()).join(seen, ["column", "value"], "left_anti").select("column", "value", "n")

@@ -146,7 +146,7 @@ SELECT edad, ingresos_mensuales, cargas_familiares, creditos_activos, sexo, educ
        institucion, tipo_credito, situacion_laboral,
        CAST(coalesce(l.aprobado_real, e.aprobado, 0) AS INTEGER) AS aprobado
 FROM evaluations e LEFT JOIN (
-  SELECT app_id, arg_max(aprobado_real, labelled_at) AS aprobado_real FROM truth_labels GROUP BY app_id) l USING (app_id)
+  SELECT app_id, arg_max(aprobado_real, (labelled_at, aprobado_real)) AS aprobado_real FROM truth_labels GROUP BY app_id) l USING (app_id)
 """
 
 

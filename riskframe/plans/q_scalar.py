@@ -201,11 +201,11 @@ def e25_per_model_json(spark, sf):
 
 @query("E26", """
 SELECT user_id, substr(trim(name), 1, 40) AS name, substr(lower(trim(email)), 1, 120) AS email,
-       regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AS email_valid FROM users_dim""")
+       regexp_matches(substr(lower(trim(email)), 1, 120), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AS email_valid FROM users_dim""")
 def e26_user_quality(spark, sf):
     u = fx.users_dim(spark, sf)
     return u.select("user_id", clean_user_name("name").alias("name"), clean_email("email").alias("email"),
-                    email_is_valid("email").alias("email_valid"))
+                    email_is_valid(clean_email("email")).alias("email_valid"))
 
 
 @query("E27", "SELECT user_id, name, email, password_hash IS NOT NULL AS has_password FROM users_dim")
@@ -214,12 +214,23 @@ def e27_public_projection(spark, sf):
     return u.withColumn("has_password", F.col("password_hash").isNotNull()).select("user_id", "name", "email", "has_password")
 
 
+_LOSS = "-(aprobado * ln(greatest(least({p}, 1 - 1e-7), 1e-7)) + (1 - aprobado) * ln(1 - greatest(least({p}, 1 - 1e-7), 1e-7)))"
+
+
 @query("E28", f"""
-SELECT auc, CASE WHEN auc >= 0.8 THEN 'bueno' WHEN auc >= 0.7 THEN 'aceptable' ELSE 'debil' END AS grade
+SELECT auc, CASE WHEN auc >= 0.8 THEN 'bueno' WHEN auc >= 0.7 THEN 'aceptable' ELSE 'debil' END AS grade,
+       (SELECT round(1 - avg({_LOSS.format(p='round(p_latent, 12)')}) / avg({_LOSS.format(p='base')}), 9)
+        FROM applications, (SELECT avg(aprobado) AS base FROM applications)) AS loss_drop
 FROM ({_AUC_SQL})""")
 def e28_auc_grade(spark, sf):
-    from riskframe.plans.q_metrics import w1_auc
-    return w1_auc(spark, sf).select("auc", SC.auc_grade("auc").alias("grade"))
+    """Grade of the AUC, and how far the scores lower the log-loss of always giving the base rate."""
+    from riskframe.operators import metrics as M
+    from riskframe.plans.q_metrics import _scored, w1_auc
+    rows = _scored(spark, sf)
+    base = rows.agg(F.avg("label")).first()[0]
+    last, first = (M.log_loss(d).scalar() for d in (rows, rows.withColumn("probability", F.lit(base))))
+    return w1_auc(spark, sf).select("auc", SC.auc_grade("auc").alias("grade"),
+                                    F.round(SC.loss_drop(first, last), 9).alias("loss_drop"))
 
 
 # ---- what-if recommendations on the latent rule -------------------------------

@@ -6,6 +6,8 @@ checkpoint folder) and read back through the readers under test.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
@@ -74,8 +76,9 @@ def s5_empty_guard(spark, sf):
 
 @query("S9", _EXPORT_SQL)
 def s9_csv_sink(spark, sf):
-    path = scratch_path(spark, "export.csv")
-    SK.write_csv(MO.export_training(fx.evaluations(spark, sf), fx.truth_labels(spark, sf)), path)
+    rows = MO.export_training(fx.evaluations(spark, sf), fx.truth_labels(spark, sf))
+    path = SK.export_csv(rows, scratch_path(spark, "export"), "dataset", dt.datetime(2024, 1, 2, 3, 4, 5))
+    assert path.endswith("/dataset_20240102_030405.csv")
     back = RD.read_csv(spark, path)
     types = {**{c: "double" for c in S.NUMERIC_FEATURES}, "aprobado": "int"}
     return back.select(*[F.col(c).cast(types.get(c, "string")).alias(c) for c in back.columns])
@@ -91,12 +94,18 @@ def s10_append_facts(spark, sf):
     return spark.read.parquet(path)
 
 
+_TYPES = [("VARCHAR", "string"), ("BIGINT", "bigint"), ("INTEGER", "int"), ("DOUBLE", "double"), ("FLOAT[]", "array<float>"),
+          ("DOUBLE[]", "array<double>"), ("TIMESTAMP", "timestamp_ntz"), ("DATE", "date"), ("FLOAT", "float"), ("BOOLEAN", "boolean")]
+_TYPE_SQL = "CASE data_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES) + " ELSE data_type END"
+
+
 @query("S12", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, (SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns "
-    f"WHERE table_name = '{t}') AS n_columns, (SELECT CAST(count(*) AS BIGINT) FROM {t}) AS n_rows"
+    f"WHERE table_name = '{t}') AS n_columns, (SELECT string_agg(column_name || ' ' || {_TYPE_SQL}, ', ' ORDER BY ordinal_position) "
+    f"FROM information_schema.columns WHERE table_name = '{t}') AS columns, (SELECT CAST(count(*) AS BIGINT) FROM {t}) AS n_rows"
     for t in DRIVER_TABLES))
 def s12_catalog(spark, sf):
-    return SK.describe_tables(spark, sf, DRIVER_TABLES).drop("columns")
+    return SK.describe_tables(spark, sf, DRIVER_TABLES)
 
 
 @query("S13", """

@@ -8,6 +8,8 @@ event-time order as a real feed would; each query then runs its stream with
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
@@ -24,13 +26,14 @@ _STAGED: dict = {}
 
 def _stage(spark, sf, name, df, slice_col):
     """Write ``df`` to a new folder, one append job per distinct ``slice_col`` value (ascending)."""
-    key = (id(spark), sf, name)
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STAGED:
         path = scratch_path(spark, f"stream-{name}")
         d = cut_lineage(df.withColumn("_slice", slice_col), f"stage-{name}")   # computed once, sliced below
         slices = sorted(r[0] for r in d.select("_slice").distinct().collect())  # one row per slice
         for s in slices:
-            d.filter(F.col("_slice") == s).drop("_slice").write.mode("append").parquet(path)
+            # one file per slice: with one file per micro-batch, batches follow event time
+            d.filter(F.col("_slice") == s).drop("_slice").coalesce(1).write.mode("append").parquet(path)
         _STAGED[key] = (path, df.schema)
     return _STAGED[key]
 
@@ -63,7 +66,7 @@ def st1_streaming_scoring(spark, sf):
     apps = _applications_with_resends(spark, sf)
     path, schema = _stage(spark, sf, "applications", apps, F.year("created_at"))
     sink = scratch_path(spark, "st1-sink")
-    src = ST.application_stream(spark, path, schema, files_per_batch=8)
+    src = ST.application_stream(spark, path, schema)
     _run(ST.scoring_stream(spark, src, _rule_scores, sink, scratch_path(spark, "st1-ckpt"), dedup_delay="400 days"))
     return spark.read.parquet(sink).drop("batch_id")
 
@@ -75,9 +78,9 @@ def st2_daily_trend_stream(spark, sf):
     ev = fx.evaluations(spark, sf)
     path, schema = _stage(spark, sf, "evaluations", ev, F.year("created_at"))
     sink = scratch_path(spark, "st2-sink")
-    src = ST.application_stream(spark, path, schema, files_per_batch=8)
+    src = ST.application_stream(spark, path, schema)
     _run(ST.daily_trend_stream(src, sink, scratch_path(spark, "st2-ckpt")))
-    return spark.read.parquet(sink).withColumn("avg_probability", F.round("avg_probability", 3))
+    return ST.newest(spark, sink, "day").withColumn("avg_probability", F.round("avg_probability", 3))
 
 
 @query("ST3", """
@@ -89,17 +92,26 @@ def st3_user_counters_stream(spark, sf):
     v = fx.visits(spark, sf)
     path, schema = _stage(spark, sf, "visits", v, F.weekofyear("ts"))
     sink = scratch_path(spark, "st3-sink")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
     _run(ST.user_counter_stream(src, sink, scratch_path(spark, "st3-ckpt")))
-    return ST.latest_version(spark, sink).drop("v")
+    return ST.newest(spark, sink, "user_id")
 
 
 @query("ST4")
 def st4_hot_model_swap(spark, sf):
-    from riskframe.plans.q_models import _registry
-    _, reg = _registry(spark, sf)
+    from riskframe.plans.q_models import _ensemble
+    reg = scratch_path(spark, "registry")  # of this stream's own, as a swap adds a version to it
+    R.save(spark, _ensemble(spark, sf), scratch_path(spark, "models"), reg)
+
+    first = R.load(spark, reg)
+    batches = []
 
     def score_latest(batch):
+        batches.append(1)
+        if len(batches) == 3:  # a retrain ends while the stream runs: its registry row is the swap
+            retrained = dataclasses.replace(first, version=first.version + "-next", source="retrain",
+                                            trained_at=first.trained_at + "~")
+            R.save(spark, retrained, scratch_path(spark, "models"), reg)
         ens = R.load(spark, reg)                     # newest registry row at every batch
         cols = ["app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES]
         return EN.score(batch.select(*cols), ens, explain=False).select(
@@ -108,22 +120,26 @@ def st4_hot_model_swap(spark, sf):
     apps = _applications_with_resends(spark, sf)
     path, schema = _stage(spark, sf, "applications", apps, F.year("created_at"))
     sink = scratch_path(spark, "st4-sink")
-    src = ST.application_stream(spark, path, schema, files_per_batch=16)
+    src = ST.application_stream(spark, path, schema)
     _run(ST.scoring_stream(spark, src, score_latest, sink, scratch_path(spark, "st4-ckpt"), dedup_delay="400 days"))
     return spark.read.parquet(sink)
 
 
 @query("ST5", """
-SELECT e.app_id, e.aprobado, l.aprobado_real, l.labelled_at
-FROM evaluations e JOIN truth_labels l ON e.app_id = l.app_id
- AND l.labelled_at >= e.created_at AND l.labelled_at <= e.created_at + INTERVAL 60 DAY""")
+SELECT e.app_id, e.aprobado, l.aprobado_real, l.labelled_at,
+       CAST(coalesce(l.aprobado_real, e.aprobado, 0) AS INTEGER) AS final
+FROM evaluations e LEFT JOIN (
+  SELECT x.app_id, arg_max(t.aprobado_real, (t.labelled_at, t.aprobado_real)) AS aprobado_real, max(t.labelled_at) AS labelled_at
+  FROM evaluations x JOIN truth_labels t ON x.app_id = t.app_id
+   AND t.labelled_at >= x.created_at AND t.labelled_at <= x.created_at + INTERVAL 60 DAY GROUP BY x.app_id) l ON e.app_id = l.app_id""")
 def st5_late_labels_stream(spark, sf):
     ev = fx.evaluations(spark, sf).select("app_id", "created_at", "aprobado")
     lab = fx.truth_labels(spark, sf)
     ep, es = _stage(spark, sf, "eval-keys", ev, F.year("created_at"))
     lp, ls = _stage(spark, sf, "labels", lab, F.year("labelled_at"))
     sink = scratch_path(spark, "st5-sink")
-    e = spark.readStream.schema(es).option("maxFilesPerTrigger", 1000).parquet(ep)
-    lb = spark.readStream.schema(ls).option("maxFilesPerTrigger", 1000).parquet(lp)
+    e = spark.readStream.schema(es).option("maxFilesPerTrigger", 1).parquet(ep)
+    lb = spark.readStream.schema(ls).option("maxFilesPerTrigger", 1).parquet(lp)
     _run(ST.late_label_stream(e, lb, sink, scratch_path(spark, "st5-ckpt")))
-    return spark.read.parquet(sink).withColumn("labelled_at", F.col("labelled_at").cast("timestamp_ntz"))
+    joined = spark.read.parquet(sink).withColumn("labelled_at", F.col("labelled_at").cast("timestamp_ntz"))
+    return ST.with_late_labels(ev.select("app_id", "aprobado"), joined)

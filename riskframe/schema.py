@@ -130,18 +130,3 @@ SCORECARD_CREDIT_TYPE = {"Microcrédito": 0.5, "Personal": 0.2, "Emprendimiento"
 SCORECARD_AGE_CENTRE = 40.0
 SCORECARD_AGE_WEIGHT = -0.012
 # --------------------------------------------------------------------------
-
-APPLICATION_SCHEMA = T.StructType([
-    T.StructField("app_id", T.LongType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("user_name", T.StringType()),
-    *[T.StructField(c, T.DoubleType()) for c in NUMERIC_FEATURES],
-    *[T.StructField(c, T.StringType()) for c in CATEGORICAL_FEATURES],
-])
-
-LABEL_SCHEMA = T.StructType([
-    T.StructField("app_id", T.LongType()),
-    T.StructField("aprobado_real", T.IntegerType()),
-    T.StructField("labelled_at", T.TimestampType()),
-])

@@ -210,8 +210,3 @@ def inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = applications(spark, sf_dir, income_weight=-S.SCORECARD_INCOME_WEIGHT)
     return a.withColumn("institucion", F.when(unit_hash("app_id", "inst") < F.lit(1.0 / 9.0), F.lit("Cooperativa Nueva"))
                         .otherwise(F.col("institucion")))
-
-
-def labelled_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Production training table (10 features + sampled target)."""
-    return applications(spark, sf_dir).select(*S.REQUIRED_COLUMNS)

@@ -1,9 +1,9 @@
 """Readers: CSV dialect sniffing, workbook ingest, JSON lists, extension dispatch.
 
-Sniffing reads a bounded sample (the first lines of the first file), never
-the whole input; the chosen (separator, encoding) is then used by one
-distributed ``spark.read.csv``.  Every column is read as STRING and typed
-explicitly downstream (no ``inferSchema`` pass over the data).
+The separator follows from the header; the encoding and whether quoted values hold line breaks
+are decided by one distributed pass over the whole input (a byte that is no UTF-8 can stand in
+any line).  The dialect is then used by one ``spark.read.csv``.  Every column is read as STRING
+and typed explicitly downstream (no ``inferSchema`` pass over the data).
 """
 
 from __future__ import annotations
@@ -20,25 +20,26 @@ from pyspark.sql import functions as F
 
 SEPARATORS = [",", ";", "\t", "|"]
 ENCODINGS = ["UTF-8", "ISO-8859-1"]
-SAMPLE_LINES = 50
 
 
-def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
-    """First (separator, encoding) that gives more than one column.
+def csv_dialect(spark: SparkSession, path: str) -> tuple[str, str, bool]:
+    """(separator, encoding, whether quoted values hold line breaks).
 
-    UTF-8 is rejected when the sampled lines contain undecodable bytes
-    (U+FFFD after decoding); the BOM is dropped by the reader.
-    """
-    sample = [r[0] for r in spark.read.text(path).limit(SAMPLE_LINES).collect()]  # bounded sample
-    bad_utf8 = any("\ufffd" in line for line in sample)
-    header = sample[0].lstrip("\ufeff") if sample else ""
-    for sep in SEPARATORS:
-        for enc in ENCODINGS:
-            if enc == "UTF-8" and bad_utf8:
-                continue
-            if len(header.split(sep)) > 1:
-                return sep, enc
-    return ",", "UTF-8"
+    The separator is the first that splits the header.  UTF-8 is kept only if every line of the
+    input is valid UTF-8, else the single-byte encoding is taken.  A line with an odd number of
+    quotes means that a quoted value goes on in the next line."""
+    lines = spark.read.text(path)
+    head = lines.select(F.make_valid_utf8("value").alias("value")).first()
+    header = head["value"].lstrip("\ufeff") if head else ""
+    sep = next((x for x in SEPARATORS if len(header.split(x)) > 1), SEPARATORS[0])
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    seen = lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(quotes % 2 == 1).alias("odd")).first()
+    return sep, ENCODINGS[1] if seen["bad"] else ENCODINGS[0], bool(seen["odd"])
+
+
+def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(separator, encoding); the byte-order mark is dropped by the reader."""
+    return csv_dialect(spark, path)[:2]
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
@@ -46,12 +47,11 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     """Sniff the dialect when not given, read all columns as STRING, strip header names.
 
     An empty field is missing (NULL), whether it was quoted or not.
-    ``keep_blanks`` keeps leading/trailing blanks of values as they are."""
-    if sep is None or encoding is None:
-        s, e = sniff_csv(spark, path)
-        sep, encoding = sep or s, encoding or e
-    df = spark.read.options(header=True, sep=sep, encoding=encoding, inferSchema=False, multiLine=False,
-                            mode="PERMISSIVE", ignoreLeadingWhiteSpace=not keep_blanks,
+    ``keep_blanks`` keeps leading/trailing blanks of values as they are.  Files whose quoted values
+    hold line breaks cannot be split inside (one task per file); all others are."""
+    found_sep, found_enc, broken = csv_dialect(spark, path)
+    df = spark.read.options(header=True, sep=sep or found_sep, encoding=encoding or found_enc, inferSchema=False,
+                            multiLine=broken, mode="PERMISSIVE", escape='"', ignoreLeadingWhiteSpace=not keep_blanks,
                             ignoreTrailingWhiteSpace=not keep_blanks).csv(path)
     df = df.toDF(*[c.replace("\ufeff", "").strip() for c in df.columns])
     return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in df.columns])
@@ -69,6 +69,21 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The file of the workbook's first sheet: by the workbook's own order, not by file names."""
+    book, names = "xl/workbook.xml", z.namelist()
+    rels = "xl/_rels/workbook.xml.rels"
+    if book in names and rels in names:
+        sheet = ET.fromstring(z.read(book)).find("m:sheets/m:sheet", _NS)
+        if sheet is not None:
+            rid = next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None)
+            for rel in ET.fromstring(z.read(rels)):
+                if rel.get("Id") == rid:
+                    target = rel.get("Target").lstrip("/")
+                    return target if target.startswith("xl/") else "xl/" + target
+    return sorted(n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n))[0]
+
+
 def parse_xlsx(content: bytes) -> pd.DataFrame:
     """First worksheet of an .xlsx file as a string DataFrame (stdlib zip + XML)."""
     z = zipfile.ZipFile(io.BytesIO(content))
@@ -77,8 +92,7 @@ def parse_xlsx(content: bytes) -> pd.DataFrame:
         root = ET.fromstring(z.read("xl/sharedStrings.xml"))
         for si in root.findall("m:si", _NS):
             shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    sheets = sorted(n for n in z.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml$", n))
-    root = ET.fromstring(z.read(sheets[0]))
+    root = ET.fromstring(z.read(_first_sheet(z)))
     rows: list[dict[int, str | None]] = []
     for r in root.iter(f"{{{_NS['m']}}}row"):
         cells: dict[int, str | None] = {}
@@ -131,12 +145,19 @@ def write_xlsx(pdf: pd.DataFrame) -> bytes:
     return buf.getvalue()
 
 
-def read_workbooks(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """S3: every ``.xlsx`` under ``path`` -> rows (first sheet), one task per workbook file.
 
-    ``columns`` is the expected header (all STRING); missing ones come back NULL.
+    ``columns`` is the expected header (all STRING); missing ones come back NULL.  Without it
+    the header is the union of the files' headers, which are read first.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    if not columns:
+        def headers(it):
+            for pdf in it:
+                for content in pdf["content"]:
+                    yield pd.DataFrame({"c": [str(c).strip() for c in parse_xlsx(bytes(content)).columns]})
+        columns = [r["c"] for r in files.mapInPandas(headers, "c string").distinct().orderBy("c").collect()]
     schema = ", ".join(f"`{c}` string" for c in columns)
 
     def parse(it):
@@ -150,26 +171,36 @@ def read_workbooks(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 
 def write_workbooks(df: DataFrame, path: str) -> None:
-    """Write each partition of ``df`` as one ``.xlsx`` file under ``path`` (inputs for S3)."""
+    """Write each partition of ``df`` as one ``.xlsx`` file under ``path`` (inputs for S3).
+
+    Files go through Arrow's file systems to the shared store, named by partition and attempt;
+    each is written under a hidden name and moved when whole."""
     cols = df.columns
 
     def write(it):
-        import uuid
-        frames = [pdf for pdf in it]
-        if frames:
-            pdf = pd.concat(frames)
-            if len(pdf):
-                os.makedirs(path, exist_ok=True)
-                with open(os.path.join(path, f"part-{uuid.uuid4().hex}.xlsx"), "wb") as fh:
-                    fh.write(write_xlsx(pdf[cols]))
-                yield pd.DataFrame({"n": [len(pdf)]})
-
-    df.select(*[F.col(c).cast("string") for c in cols]).mapInPandas(write, "n long").collect()
+        from pyarrow import fs
+        from pyspark import TaskContext
+        frames = list(it)
+        pdf = pd.concat(frames) if frames else pd.DataFrame()
+        if len(pdf):
+            store, base = fs.FileSystem.from_uri(path)
+            store.create_dir(base, recursive=True)
+            name = f"part-{TaskContext.get().partitionId():05d}"
+            hidden = f"{base}/_{name}-{TaskContext.get().taskAttemptId()}"
+            with store.open_output_stream(hidden, compression=None) as out:
+                out.write(write_xlsx(pdf[cols]))
+            store.move(hidden, f"{base}/{name}.xlsx")  # a repeated attempt replaces the file
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    df.select(*[F.col(c).cast("string") for c in cols]).mapInPandas(write, "n long").agg(F.sum("n")).first()
 
 
 # ---- S13 / S16 / S5 / S14 ------------------------------------------------------
-def read_json_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """JSON records (one per line, or one array per file with ``multi_line``)."""
+def read_json_records(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """JSON records, one per line or one array per file (decided by the first character)."""
+    if multi_line is None:
+        head = spark.read.text(path).filter(F.trim("value") != "").first()
+        multi_line = head is not None and head["value"].lstrip("\ufeff ").startswith("[")
     return spark.read.option("multiLine", multi_line).json(path)
 
 
@@ -188,7 +219,7 @@ def read_any(spark: SparkSession, path: str, columns: list[str] | None = None) -
         return spark.read.parquet(path)
     if kind == "json":
         return read_json_records(spark, path)
-    return read_workbooks(spark, path, columns or [])
+    return read_workbooks(spark, path, columns)
 
 
 def input_guard(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,14 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
     return path
 
 
+def export_csv(df: DataFrame, folder: str, name: str, now: dt.datetime, encoding: str = "UTF-8") -> str:
+    """The download form: ``<name>_<date>_<time>.csv`` with a byte-order mark before each file's
+    header, so spreadsheet programs read it as UTF-8.  Returns the path."""
+    path = f"{folder}/{name}_{now:%Y%m%d_%H%M%S}.csv"
+    first, *rest = df.columns
+    return write_csv(df.toDF("\ufeff" + first, *rest), path, encoding)
+
+
 def append_facts(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Append scored rows to the fact table (Parquet, optionally partitioned)."""
     w = df.write.mode("append")

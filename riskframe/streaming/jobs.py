@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.errors import AnalysisException
 
+from riskframe.operators.joins import latest_per_key
 from riskframe.sources.sinks import write_batch_idempotent
 
 ScoreBatch = Callable[[DataFrame], DataFrame]
@@ -52,52 +52,49 @@ def scoring_stream(spark: SparkSession, source: DataFrame, score_batch: ScoreBat
 
 
 def daily_trend_stream(source: DataFrame, sink_path: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
-    """ST2: tumbling one-day windows of count and mean probability.
+    """ST2: tumbling one-day windows of count and mean probability, in update mode.
 
-    The result table has one row per day (small state); every batch
-    rewrites it completely, so the sink always holds the current trend.
+    A batch emits only the days it changed, written under its ``batch_id`` (a retried batch
+    replaces itself); :func:`newest` reads the current trend.  The watermark ends a day's
+    state ``lateness`` after the newest event; rows that come later are not counted.
     """
     agg = _event_time(source, "created_at").withWatermark("created_at", lateness) \
         .groupBy(F.window("created_at", "1 day").alias("w")) \
         .agg(F.count(F.lit(1)).alias("n"), F.avg("probability").alias("avg_probability"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.to_date(F.col("w.start")).alias("day"), "n", "avg_probability") \
-            .write.mode("overwrite").parquet(sink_path)
+        write_batch_idempotent(batch.select(F.to_date(F.col("w.start")).alias("day"), "n", "avg_probability"),
+                               sink_path, batch_id)
 
-    return agg.writeStream.outputMode("complete").foreachBatch(run).option("checkpointLocation", checkpoint) \
+    return agg.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
 
 
 def user_counter_stream(activity: DataFrame, sink_path: str, checkpoint: str) -> StreamingQuery:
     """ST3: per-user first/last seen, visits and evaluations in update mode.
 
-    Each batch carries only the users that changed; they are merged into the
-    counter table by key (anti-join of the old rows + union), written as a
-    new version under ``sink_path/v=<batch_id>``."""
+    A batch carries and writes only the users it changed, under its ``batch_id``; :func:`newest`
+    reads each user's latest row.  Counters are for a user's lifetime, so their state (one row
+    per user) has no end by design."""
     agg = activity.groupBy("user_id").agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         F.count_if(F.col("kind") == "visit").alias("visits"),
         F.count_if(F.col("kind") == "evaluation").alias("evaluations"))
-    spark = activity.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        target = f"{sink_path}/v={batch_id}"
-        prev = None
-        try:
-            allv = spark.read.parquet(sink_path)
-            prev_v = allv.filter(F.col("v") < batch_id).agg(F.max("v")).first()[0]
-            if prev_v is not None:
-                prev = allv.filter(F.col("v") == prev_v).drop("v")
-        except AnalysisException:  # no version written yet
-            prev = None
-        merged = batch if prev is None else prev.join(batch.select("user_id"), "user_id", "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(target)
+        write_batch_idempotent(batch, sink_path, batch_id)
 
     return agg.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
 
 
+def newest(spark: SparkSession, sink_path: str, key: str) -> DataFrame:
+    """The latest row of every key in a sink written batch by batch."""
+    rows = spark.read.parquet(sink_path)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch_id")]), "batch_id").alias("r"))
+    return last.select(key, "r.*")
+
+
 def late_label_stream(evaluations: DataFrame, labels: DataFrame, sink_path: str, checkpoint: str,
                       horizon: str = "60 days") -> StreamingQuery:
     """ST5: labels that arrive up to ``horizon`` after their evaluation are joined to it
@@ -114,7 +111,9 @@ def late_label_stream(evaluations: DataFrame, labels: DataFrame, sink_path: str,
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, sink_path: str) -> DataFrame:
-    """Newest version written by :func:`user_counter_stream`."""
-    versions = spark.read.parquet(sink_path).select("v").distinct().agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{sink_path}/v={versions}")
+def with_late_labels(evaluations: DataFrame, joined: DataFrame) -> DataFrame:
+    """ST5: every evaluation with its last label so far, if any: the true class where known, else the
+    predicted one (left join; the newest label wins)."""
+    last = latest_per_key(joined, "app_id", "labelled_at", ["aprobado_real"])
+    return evaluations.join(last, "app_id", "left").withColumn(
+        "final", F.coalesce("aprobado_real", "aprobado", F.lit(0)).cast("int"))

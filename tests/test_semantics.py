@@ -8,6 +8,7 @@ from riskframe.functions.targets import normalize_binary_columns, normalize_targ
 from riskframe.functions.text import missing_to_null, normalize_name, normalize_text, parse_double
 from riskframe.operators import cleaning as C
 from riskframe.operators import features as FE
+from riskframe.operators import joins as J
 from riskframe.operators import metrics as M
 from riskframe.operators import prefix, stats
 from riskframe.session import scratch_path
@@ -24,8 +25,7 @@ def test_median_interpolates_and_all_null_is_zero(spark):
     assert stats.exact_medians(df, ["x", "y"]) == {"x": 2.5, "y": 0.0}
 
 
-def test_exact_median_large_path_equals_spark_median(spark, monkeypatch):
-    monkeypatch.setattr(stats, "CANDIDATE_LIMIT", 500)
+def test_exact_median_equals_spark_median(spark):
     df = spark.range(20001).select(((F.col("id") * 7919) % 10007 / 3.0).alias("x"))
     expected = df.agg(F.median("x")).first()[0]
     assert stats.exact_medians(df, ["x"])["x"] == pytest.approx(expected, abs=1e-12)
@@ -33,21 +33,45 @@ def test_exact_median_large_path_equals_spark_median(spark, monkeypatch):
     assert stats.exact_medians(hot, ["x"])["x"] == pytest.approx(hot.agg(F.median("x")).first()[0], abs=1e-12)
 
 
-def test_exact_median_two_hot_values(spark, monkeypatch):
-    monkeypatch.setattr(stats, "CANDIDATE_LIMIT", 500)
+def test_exact_median_wide_bracket_hot_values_and_nan(spark, monkeypatch):
+    monkeypatch.setattr(stats, "APPROX_ACCURACY", 50)  # brackets of many values, ranked by counts
     df = spark.range(6001).select(F.when(F.col("id") % 2 == 0, F.lit(1.0)).when(F.col("id") % 3 == 0, F.lit(2.0))
-                                  .otherwise(F.col("id") / 7.0).alias("x"))
-    assert stats.exact_medians(df, ["x"])["x"] == pytest.approx(df.agg(F.median("x")).first()[0], abs=1e-12)
-
-
-def test_running_sums_buckets_equal_single_window(spark, monkeypatch):
-    df = spark.range(5000).select((F.col("id") % 997 / 997.0).alias("k"), F.lit(1).alias("v")) \
-        .groupBy("k").agg(F.sum("v").alias("v"))
-    monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", 100)
-    many = {r["k"]: r["cum_v"] for r in prefix.running_sums(df, "k", ["v"]).collect()}
-    monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", 10 ** 9)
-    one = {r["k"]: r["cum_v"] for r in prefix.running_sums(df, "k", ["v"]).collect()}
-    assert many == one
+                                  .otherwise(F.col("id") / 7.0).alias("x"), (F.col("id") * 37 % 6001 / 3.0).alias("y"))
+    got = stats.exact_medians(df, ["x", "y"])
+    want = df.agg(F.median("x"), F.median("y")).first()
+    assert got == {"x": pytest.approx(want[0], abs=1e-12), "y": pytest.approx(want[1], abs=1e-12)}
+    nan = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,), (3.0,), (None,)], "x double")
+    assert stats.exact_medians(nan, ["x"]) == {"x": 2.0}
+
+
+def test_running_sums_many_partitions_keep_every_row(spark):
+    rows = [(k * 97 % 1000 + 2 ** 53, 1) for k in range(1000)] + [(None, 5), (None, 7)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(3)
+    for descending in (False, True):
+        got = prefix.running_sums(df, "k", ["v"], descending=descending, partitions=7).collect()
+        assert len(got) == 1002  # no row is lost, and keys beyond 2^53 stay apart
+        total, keyed = 0 if descending else 12, {r["k"]: r["cum_v"] for r in got}
+        for k in sorted((k for k, _ in rows if k is not None), reverse=descending):
+            total += 1
+            assert keyed[k] == total
+    real = spark.createDataFrame([(float(k), 1) for k in range(50)] + [(float("nan"), 1)], "k double, v long")
+    assert {r["k"]: r["cum_v"] for r in prefix.running_sums(real, "k", ["v"], inclusive=False, partitions=5).collect()}[49.0] == 49
+
+
+def test_running_sums_really_use_several_partitions(spark, monkeypatch):
+    seen = []
+    real = prefix.cut_lineage
+    monkeypatch.setattr(prefix, "cut_lineage", lambda df, name="": seen.append(real(df, name)) or seen[-1])
+    prefix.running_sums(spark.range(5000).select(F.col("id").alias("k"), F.lit(1).alias("v")), "k", ["v"], partitions=6).collect()
+    assert seen[1].select("_part").distinct().count() >= 3
+
+
+def test_split_keeps_rows_without_label_and_falls_back(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 2).cast("int").alias("y"))
+    assert FE.stratified_split(df, "id", "y", 0.2, 42).count() == 100
+    one = spark.range(50).select("id", (F.col("id") == 0).cast("int").alias("y"))  # a class of one row: plain split
+    plain = FE.train_test_split(one, "id", "y", 0.2, 42)
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in FE.hash_split(one, "id", 0.2, 42).collect()}
 
 
 def test_stratified_split_bucketed_equals_exact(spark):
@@ -168,3 +192,84 @@ def test_workbook_round_trip(spark):
     back = RD.parse_xlsx(RD.write_xlsx(pdf))
     assert back["a"].tolist() == ["1", None, " x "]
     assert back["b"].tolist() == ["é", "", "3"]
+
+
+def _file(spark, name, data):
+    import os
+    folder = scratch_path(spark, "file")
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "wb") as fh:
+        fh.write(data)
+    return folder
+
+
+def test_late_single_byte_character_decides_the_encoding(spark):
+    lines = ["id;g"] + [f"{i};x" for i in range(200)] + ["200;G\u00e9nero"]
+    df = RD.read_csv(spark, _file(spark, "a.csv", "\n".join(lines).encode("latin-1")))
+    assert df.filter("id = '200'").first()["g"] == "G\u00e9nero"
+    genuine = RD.read_csv(spark, _file(spark, "b.csv", "id;g\n1;\ufffd\u00e9\n".encode()))
+    assert genuine.first()["g"] == "\ufffd\u00e9"
+
+
+def test_quoted_line_break_stays_one_row(spark):
+    df = RD.read_csv(spark, _file(spark, "a.csv", b'id,t\n1,"two\nlines ""q"""\n2,one\n'))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [("1", 'two\nlines "q"'), ("2", "one")]
+
+
+def test_json_array_and_lines(spark):
+    a = RD.read_json_records(spark, _file(spark, "a.json", b'[{"id": 1},\n {"id": 2}]'))
+    b = RD.read_json_records(spark, _file(spark, "b.json", b'{"id": 1}\n{"id": 2}\n'))
+    assert sorted(r["id"] for r in a.collect()) == sorted(r["id"] for r in b.collect()) == [1, 2]
+
+
+def test_workbooks_without_columns_take_the_union_of_headers(spark):
+    folder = scratch_path(spark, "books")
+    RD.write_workbooks(spark.createDataFrame([("1", "x")], "a string, b string").coalesce(1), folder + "/one")
+    RD.write_workbooks(spark.createDataFrame([("2", "y")], "a string, c string").coalesce(1), folder + "/two")
+    got = RD.read_workbooks(spark, folder + "/*")
+    assert got.columns == ["a", "b", "c"] and sorted(tuple(r) for r in got.collect()) == [("1", "x", None), ("2", None, "y")]
+
+
+def test_export_has_a_byte_order_mark_and_a_dated_name(spark):
+    import datetime as dt
+    import glob
+    from riskframe.sources import sinks
+    path = sinks.export_csv(spark.createDataFrame([(1, "\u00e9")], "id int, t string"), scratch_path(spark, "out"), "d", dt.datetime(2024, 5, 6, 7, 8, 9))
+    assert path.endswith("d_20240506_070809.csv")
+    assert open(glob.glob(path + "/part-*")[0], "rb").read().startswith(b"\xef\xbb\xbfid")
+    assert RD.read_csv(spark, path).columns == ["id", "t"]
+
+
+def test_equal_timestamps_give_one_answer(spark):
+    rows = [(1, 0, 5), (1, 1, 5), (1, 0, 4)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "k int, v int, ts int").coalesce(1)
+        assert tuple(J.latest_per_key(df, "k", "ts", ["v"]).first()) == (1, 1, 5)
+
+
+def test_lab_refuses_other_targets_and_open_domains(spark):
+    from riskframe.plans import jobs
+    rows = [(i, float(i % 7), "ab"[i % 2], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, x double, c string, y int")
+    with pytest.raises(ValueError, match="0/1"):
+        jobs.prepare_lab(df, "y", "id")
+    with pytest.raises(ValueError, match="0/1"):
+        jobs.prepare_lab(df.withColumn("y", F.lit(0.7)), "y", "id")
+    with pytest.raises(ValueError, match="both classes"):
+        jobs.prepare_lab(df.withColumn("y", F.lit(1)), "y", "id")
+    wide = spark.range(1200).select("id", (F.col("id") % 2).alias("y"), F.concat(F.lit("n"), "id").alias("name"))
+    with pytest.raises(ValueError, match="name"):
+        jobs.prepare_lab(wide, "y", "id")
+    constant = spark.range(40).select("id", (F.col("id") % 2).alias("y"), F.lit(3.0).alias("k"), (F.col("id") * 1.0).alias("x"))
+    assert jobs.prepare_lab(constant, "y", "id").feature_names == ["x"]
+
+
+def test_what_if_with_repeated_ids_keeps_one_result_per_row(spark):
+    from riskframe.operators import explain as X
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, 4.0)], "id int, a double, b double")
+    def score(d):
+        return d.withColumn("p", F.col("a") + 10 * F.col("b"))
+    got = sorted((r["feature"], r["impact"]) for r in X.ablation(df, "id", ["a", "b"], {"a": 0.0, "b": 0.0}, score).collect())
+    assert got == [("a", 1.0), ("a", 3.0), ("b", 20.0), ("b", 40.0)]
+    s = X.sensitivity(df, "id", {"a": (0.0, 10.0, False), "b": (0.0, 1.0, True)}, score).collect()
+    assert len(s) == 2 and all(r["improvers"][0]["feature"] in ("a", "b") for r in s)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,10 @@ def ablation(df: DataFrame, id_col: str, features: list[str], baseline: dict[str
                              *[(F.lit(float(baseline[c])) if c == f else F.col(c)).alias(c) for c in features], *keep)
                     for f in features])
     scored = score_fn(_scenarios(df, id_col, arr))
-    per_row = _per_row(scored, id_col, F.struct("feature", "p"))
-    return per_row.select(id_col, "_p0", F.explode("moves").alias("m")).select(
+    base = F.col("feature") == "__base__"
+    rows = scored.groupBy("_row").agg(F.first(id_col).alias(id_col), F.max(F.when(base, F.col("p"))).alias("_p0"),
+                                      F.collect_list(F.when(~base, F.struct("feature", "p"))).alias("moves"))
+    return rows.select(id_col, "_p0", F.explode("moves").alias("m")).select(
         id_col, F.col("m.feature").alias("feature"), (F.col("_p0") - F.col("m.p")).alias("impact"))
 
 
@@ -115,39 +118,83 @@ def _scenarios(df: DataFrame, id_col: str, scenarios: Column) -> DataFrame:
         .select("_row", id_col, F.explode(scenarios).alias("s")).select("_row", id_col, "s.*")
 
 
-def _per_row(scored: DataFrame, id_col: str, move: Column) -> DataFrame:
-    """Back to one row per input row: base probability and the list of its scored moves (one shuffle, no join)."""
-    base = F.col("feature") == "__base__"
-    return scored.groupBy("_row").agg(F.first(id_col).alias(id_col), F.max(F.when(base, F.col("p"))).alias("_p0"),
-                                      F.collect_list(F.when(~base, move)).alias("moves"))
-
-
-def sensitivity(df: DataFrame, id_col: str, ranges: dict[str, tuple[float, float, bool]], score_fn: ScoreFn,
-                top: int = 4, min_delta: float = 0.005, carry: list[str] | None = None) -> DataFrame:
-    """Per feature, binary -> flip, else +-10 %% of its range clamped; best delta kept;
-    improvers above ``min_delta``, top ``top`` by delta.  ``ranges`` = {feature: (min, max, binary)}."""
-    keep = [F.col(c).alias(c) for c in (carry or [])]
-    scen = [F.struct(F.lit("__base__").alias("feature"), F.lit(0).alias("dir"),
-                     *[F.col(c).alias(c) for c in ranges], *keep)]
-    for f, (lo, hi, binary) in ranges.items():
-        if binary:
-            moves = [(1, F.lit(1.0) - F.col(f))]
-        else:
-            step = 0.1 * (hi - lo)
-            moves = [(1, F.least(F.lit(hi), F.col(f) + step)), (-1, F.greatest(F.lit(lo), F.col(f) - step))]
-        for d, val in moves:
-            scen.append(F.struct(F.lit(f).alias("feature"), F.lit(d).alias("dir"),
-                                 *[(val if c == f else F.col(c)).alias(c) for c in ranges], *keep))
-    scored = score_fn(_scenarios(df, id_col, F.array(*scen)))
-    rows = _per_row(scored, id_col, F.struct("feature", "dir", "p"))
-    moved = F.transform("moves", lambda m: F.struct((m["p"] - F.col("_p0")).alias("delta"), m["feature"].alias("feature"),
-                                                    m["dir"].alias("dir")))
-    # the better direction of each feature (the upward one of equals)
-    best = F.filter("m", lambda x: ~F.exists("m", lambda y: (y["feature"] == x["feature"]) & (
-        (y["delta"] > x["delta"]) | ((y["delta"] == x["delta"]) & (y["dir"] > x["dir"])))))
-    per = rows.withColumn("m", moved).withColumn("all", best)
-    improvers = F.filter("all", lambda x: x["delta"] > F.lit(min_delta))
-    ordered = F.array_sort(improvers, lambda a, b: F.when(a["delta"] > b["delta"], -1)
-                           .when(a["delta"] < b["delta"], 1).when(a["feature"] < b["feature"], -1)
-                           .when(a["feature"] > b["feature"], 1).otherwise(0))
-    return per.select(id_col, F.slice(ordered, 1, top).alias("improvers"))
+# ---- what-if on the encoded features (M12, M13, E21) --------------------------------
+# FIXED VALUES: tip and explanation texts.
+TIP_FLIP = "%s «%s» → tu probabilidad subiría +%.1f pts (a %.0f%%)."
+TIP_MOVE = "%s «%s» mejoraría tu aprobación en +%.1f pts (a %.0f%%)."
+TIP_NONE = ("Tu perfil ya está bien optimizado para este modelo: ninguna variable individual mejora mucho la "
+            "probabilidad.")
+EXPLANATION = ("El modelo (%s) estima una probabilidad de pago del %.1f%%. Las 3 variables con mayor peso en esta "
+               "decisión son: %s.")
+CONSIDERED, SHOWN, LEAST_GAIN = 12, 4, 0.005
+
+
+def _scored_moves(df: DataFrame, id_col: str, moves: Column, score_vectors: ScoreFn, keep: list[str]) -> DataFrame:
+    """One row per input row: its base probability ``_p0`` and ``moves`` with their probabilities.
+
+    ``moves``: ARRAY<STRUCT<slot, value, ...>> over the array column ``x``; each replaces one slot.  All
+    scenarios are scored in one pass and folded back by row number (one shuffle, no join)."""
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    ex = rows.select("_row", id_col, "x", *keep, F.explode_outer(moves).alias("m")) \
+        .unionByName(rows.select("_row", id_col, "x", *keep), allowMissingColumns=True)
+    moved = F.transform("x", lambda v, i: F.when(i == F.col("m.slot"), F.col("m.value")).otherwise(v))
+    p = score_vectors(ex.withColumn("features", array_to_vector(F.when(F.col("m").isNull(), F.col("x")).otherwise(moved))))
+    return p.groupBy("_row").agg(*[F.first(c, True).alias(c) for c in [id_col, "x", *keep]],
+                                 F.max(F.when(F.col("m").isNull(), F.col("p"))).alias("_p0"),
+                                 F.collect_list(F.when(F.col("m").isNotNull(), F.struct("m.*", "p"))).alias("scored"))
+
+
+def encoded_ablation(df: DataFrame, id_col: str, names: list[str], medians: dict[str, float],
+                     score_vectors: ScoreFn) -> DataFrame:
+    """M12 on every encoded feature: probability minus the probability with the feature at its median."""
+    slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(float(medians[n])).alias("value"), F.lit(n).alias("feature"))
+                      for k, n in enumerate(names)])
+    rows = _scored_moves(df, id_col, slots, score_vectors, [])
+    return rows.select(id_col, "_p0", F.explode("scored").alias("m")).select(
+        id_col, F.col("m.feature").alias("feature"), (F.col("_p0") - F.col("m.p")).alias("impact"))
+
+
+def encoded_sensitivity(df: DataFrame, id_col: str, names: list[str], ranges: dict[str, tuple[float, float]],
+                        score_vectors: ScoreFn, model: str = "ensemble") -> DataFrame:
+    """What-if of the ``CONSIDERED`` features that weigh most in a row.
+
+    ``df``: id, ``x`` (encoded values) and ``contribs`` (ARRAY<STRUCT<feature, impact>> in slot order).  A feature
+    whose range is within {0, 1} is flipped, another is moved by a tenth of its range up and down, clamped;
+    the better move stays (the upward one of equals).  Output: id, probability, improvers (gain above
+    ``LEAST_GAIN``, at most ``SHOWN``, best first) with current and suggested value, delta and new
+    probability, tips and the explanation sentence."""
+    lows, highs = (F.array(*[F.lit(float(ranges[n][k])) for n in names]) for k in (0, 1))
+    by_weight = F.array_sort(F.transform("contribs", lambda c, i: F.struct(
+        (-F.abs(c["impact"])).alias("w"), c["feature"].alias("feature"), c["impact"].alias("impact"), i.alias("slot"))))
+    top = df.withColumn("ranked", F.slice(by_weight, 1, CONSIDERED))
+
+    def moves_of(c: Column) -> Column:
+        now, lo, hi = F.get("x", c["slot"]), F.get(lows, c["slot"]), F.get(highs, c["slot"])
+        binary = lo.isin(0.0, 1.0) & hi.isin(0.0, 1.0)
+        step = (hi - lo) * 0.1
+        values = F.when(binary, F.array(1.0 - now)).otherwise(F.filter(
+            F.array(F.least(hi, now + step), F.greatest(lo, now - step)), lambda v: v != now))
+        return F.transform(values, lambda v, k: F.struct(c["slot"].alias("slot"), v.alias("value"), c["feature"].alias("feature"),
+                                                         now.alias("current"), binary.alias("binary"), k.alias("turn")))
+
+    rows = _scored_moves(top, id_col, F.flatten(F.transform("ranked", moves_of)), score_vectors, ["ranked"])
+    gains = F.array_sort(F.transform("scored", lambda m: F.struct(
+        (F.col("_p0") - m["p"]).alias("loss"), m["turn"].alias("turn"), m["feature"].alias("feature"),
+        m["current"].alias("current"), m["value"].alias("suggested"), (m["p"] - F.col("_p0")).alias("delta"),
+        m["p"].alias("new_prob"), m["binary"].alias("binary"))))
+    rows = rows.withColumn("g", gains)
+    # sorted by gain, so a feature's better move is its first one
+    best = F.filter("g", lambda m, k: (m["delta"] > LEAST_GAIN) & (
+        F.array_position(F.transform("g", lambda n: n["feature"]), m["feature"]) == k + 1))
+    rows = rows.withColumn("improvers", F.slice(best, 1, SHOWN))
+    points = lambda m: (m["feature"], m["delta"] * 100.0, m["new_prob"] * 100.0)
+    tip = lambda m: F.when(m["binary"], F.format_string(
+        TIP_FLIP, F.when(m["suggested"] >= 0.5, "Activa").otherwise("Desactiva"), *points(m))).otherwise(F.format_string(
+            TIP_MOVE, F.when(m["suggested"] > m["current"], "Aumentar").otherwise("Reducir"), *points(m)))
+    weights = F.array_join(F.transform(F.slice("ranked", 1, 3), lambda c: F.format_string("%s (Δ=%+.3f)", c["feature"], c["impact"])), ", ")
+    return rows.select(
+        id_col, F.col("_p0").alias("probability"),
+        F.transform("improvers", lambda m: F.struct(
+            *[m[c].alias(c) for c in ("feature", "current", "binary", "suggested", "delta", "new_prob")])).alias("improvers"),
+        F.when(F.size("improvers") > 0, F.transform("improvers", tip)).otherwise(F.array(F.lit(TIP_NONE))).alias("tips"),
+        F.format_string(EXPLANATION, F.lit(model), F.col("_p0") * 100.0, weights).alias("explanation"))

@@ -7,6 +7,7 @@ X2 is set algebra and has one.  All fits run at the reference sizes
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
@@ -110,20 +111,26 @@ def m11_tree_contributions(spark, sf):
     return X.factors_table(t, "app_id", "contribs", 5)
 
 
-@query("M12")
-def m12_ablation(spark, sf):
+def _encoded(spark, sf):
+    """All rows as encoded values, with the linear contributions that rank them."""
     ens = _ensemble(spark, sf)
     a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
-    med = {c: ens.ranges[c]["median"] for c in S.NUMERIC_FEATURES}
-    return X.ablation(a, "app_id", S.NUMERIC_FEATURES, med, EN.score_fn(ens), carry=S.CATEGORICAL_FEATURES)
+    enc = ens.scaler.transform_vector(ens.encoder.transform(a), "features", "scaled")
+    return ens, enc.select("app_id", vector_to_array("features").alias("x"), EN.logit_contributions(ens).alias("contribs"))
+
+
+@query("M12")
+def m12_ablation(spark, sf):
+    ens, rows = _encoded(spark, sf)
+    med = {n: ens.ranges[n]["median"] for n in ens.feature_names}
+    return X.encoded_ablation(rows.drop("contribs"), "app_id", ens.feature_names, med, EN.score_vectors_fn(ens))
 
 
 @query("M13")
 def m13_sensitivity(spark, sf):
-    ens = _ensemble(spark, sf)
-    a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
-    ranges = {c: (ens.ranges[c]["min"], ens.ranges[c]["max"], False) for c in S.NUMERIC_FEATURES}
-    return X.sensitivity(a, "app_id", ranges, EN.score_fn(ens), carry=S.CATEGORICAL_FEATURES)
+    ens, rows = _encoded(spark, sf)
+    ranges = {n: (ens.ranges[n]["min"], ens.ranges[n]["max"]) for n in ens.feature_names}
+    return X.encoded_sensitivity(rows, "app_id", ens.feature_names, ranges, EN.score_vectors_fn(ens))
 
 
 @query("M14")

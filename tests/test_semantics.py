@@ -271,5 +271,42 @@ def test_what_if_with_repeated_ids_keeps_one_result_per_row(spark):
         return d.withColumn("p", F.col("a") + 10 * F.col("b"))
     got = sorted((r["feature"], r["impact"]) for r in X.ablation(df, "id", ["a", "b"], {"a": 0.0, "b": 0.0}, score).collect())
     assert got == [("a", 1.0), ("a", 3.0), ("b", 20.0), ("b", 40.0)]
-    s = X.sensitivity(df, "id", {"a": (0.0, 10.0, False), "b": (0.0, 1.0, True)}, score).collect()
-    assert len(s) == 2 and all(r["improvers"][0]["feature"] in ("a", "b") for r in s)
+
+
+def test_encoded_what_if(spark):
+    """Against plain Python: top features by weight, flips and clamped moves, the better one, tips and explanation."""
+    from pyspark.ml.functions import vector_to_array
+    from riskframe.operators import explain as X
+    names, ranges = ["a", "b", "flag"], {"a": (0.0, 10.0), "b": (0.0, 1.5), "flag": (0.0, 1.0)}
+    coef = [0.02, -0.1, 0.3]
+    rows = [(1, [9.5, 0.5, 0.0]), (1, [0.0, 1.5, 1.0]), (2, [10.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, x, [(n, c * v) for n, c, v in zip(names, coef, x)]) for i, x in rows],
+                               "id int, x array<double>, contribs array<struct<feature:string,impact:double>>")
+
+    def score(d):
+        v = vector_to_array("features")
+        return d.withColumn("p", 0.3 + sum((F.lit(c) * v[k] for k, c in enumerate(coef)), F.lit(0.0))).drop("features")
+
+    def plain(x):
+        return 0.3 + sum(c * v for c, v in zip(coef, x))
+
+    want = []
+    for i, x in rows:
+        gains = []
+        for k, n in enumerate(names):
+            lo, hi = ranges[n]
+            moves = [1 - x[k]] if {lo, hi} <= {0.0, 1.0} else [v for v in (min(hi, x[k] + (hi - lo) / 10), max(lo, x[k] - (hi - lo) / 10)) if v != x[k]]
+            d = max(((plain([*x[:k], v, *x[k + 1:]]) - plain(x), -m, v) for m, v in enumerate(moves)), default=None)
+            if d and d[0] > 0.005:
+                gains.append((round(-d[0], 9), n, x[k], round(d[2], 9)))
+        want.append((i, round(plain(x), 9), [(n, c, v, -g) for g, n, c, v in sorted(gains)][:4]))
+    got = X.encoded_sensitivity(df, "id", names, ranges, score).collect()
+    assert sorted((r["id"], round(r["probability"], 9), [(m["feature"], m["current"], round(m["suggested"], 9), round(m["delta"], 9))
+                                                        for m in r["improvers"]]) for r in got) == sorted(want)
+    tips = {t for r in got for t in r["tips"]}
+    assert "Activa «flag» → tu probabilidad subiría +30.0 pts (a 74%)." in tips and X.TIP_NONE in tips
+    assert all(r["explanation"].startswith("El modelo (ensemble)") and r["explanation"].count("Δ=") == 3 for r in got)
+    med = {n: 0.0 for n in names}
+    impacts = X.encoded_ablation(df.drop("contribs"), "id", names, med, score).collect()
+    assert sorted((r["id"], r["feature"], round(r["impact"], 9)) for r in impacts) == sorted(
+        (i, n, round(c * v, 9)) for i, x in rows for n, c, v in zip(names, coef, x))

@@ -49,7 +49,7 @@ def recommendations(df: DataFrame, id_col: str, score_fn: ScoreFn, max_recs: int
     ca = F.floor(F.col("creditos_activos")).cast("int")
     nxt = next_history_level("historial_pagos")
     raw = S.NUMERIC_FEATURES + S.CATEGORICAL_FEATURES
-    base = df.select(id_col, *raw)
+    base = df.select(id_col, *raw).withColumn("_row", F.monotonically_increasing_id())  # rows with equal ids stay apart
 
     def scen(kind: str, **over) -> Column:
         fields = [F.lit(kind).alias("kind")]
@@ -63,11 +63,11 @@ def recommendations(df: DataFrame, id_col: str, score_fn: ScoreFn, max_recs: int
         F.when(nxt.isNotNull(), scen("history", historial_pagos=nxt)),
         scen("income", ingresos_mensuales=F.col("ingresos_mensuales") * 1.25),
     )
-    exploded = base.select(id_col, F.explode(F.filter(arr, lambda s: s.isNotNull())).alias("s")) \
-        .select(id_col, "s.*")
+    exploded = base.select("_row", id_col, F.explode(F.filter(arr, lambda s: s.isNotNull())).alias("s")) \
+        .select("_row", id_col, "s.*")
     scored = score_fn(exploded)                      # one batched scoring pass
-    per_row = scored.groupBy(id_col).agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("p"))).alias(f"p_{k}") for k in ("base", "credits", "history", "income")],
+    per_row = scored.groupBy("_row").agg(
+        F.first(id_col).alias(id_col), *[F.max(F.when(F.col("kind") == k, F.col("p"))).alias(f"p_{k}") for k in ("base", "credits", "history", "income")],
         F.max(F.when(F.col("kind") == "base", F.col("creditos_activos"))).alias("_ca"),
         F.max(F.when(F.col("kind") == "history", F.col("historial_pagos"))).alias("_next"))
     d = {k: F.col(f"p_{k}") - F.col("p_base") for k in ("credits", "history", "income")}
@@ -93,31 +93,6 @@ def recommendations(df: DataFrame, id_col: str, score_fn: ScoreFn, max_recs: int
                           F.when(F.size(top) > 0, top).otherwise(default).alias("recommendations"))
 
 
-def ablation(df: DataFrame, id_col: str, features: list[str], baseline: dict[str, float], score_fn: ScoreFn,
-             carry: list[str] | None = None) -> DataFrame:
-    """P - p(feature set to its median), per row and feature, in one batched pass.
-
-    ``carry`` columns are passed unchanged to the scoring function."""
-    carry = carry or []
-    keep = [F.col(c).alias(c) for c in carry]
-    arr = F.array(F.struct(F.lit("__base__").alias("feature"), *[F.col(c).alias(c) for c in features], *keep),
-                  *[F.struct(F.lit(f).alias("feature"),
-                             *[(F.lit(float(baseline[c])) if c == f else F.col(c)).alias(c) for c in features], *keep)
-                    for f in features])
-    scored = score_fn(_scenarios(df, id_col, arr))
-    base = F.col("feature") == "__base__"
-    rows = scored.groupBy("_row").agg(F.first(id_col).alias(id_col), F.max(F.when(base, F.col("p"))).alias("_p0"),
-                                      F.collect_list(F.when(~base, F.struct("feature", "p"))).alias("moves"))
-    return rows.select(id_col, "_p0", F.explode("moves").alias("m")).select(
-        id_col, F.col("m.feature").alias("feature"), (F.col("_p0") - F.col("m.p")).alias("impact"))
-
-
-def _scenarios(df: DataFrame, id_col: str, scenarios: Column) -> DataFrame:
-    """One row per scenario; ``_row`` numbers the input rows, so rows with equal ids stay apart."""
-    return df.withColumn("_row", F.monotonically_increasing_id()) \
-        .select("_row", id_col, F.explode(scenarios).alias("s")).select("_row", id_col, "s.*")
-
-
 # ---- what-if on the encoded features (M12, M13, E21) --------------------------------
 # FIXED VALUES: tip and explanation texts.
 TIP_FLIP = "%s «%s» → tu probabilidad subiría +%.1f pts (a %.0f%%)."

@@ -49,9 +49,47 @@ def test_network_loss_decreases_and_no_dead_units(spark, seed_model):
     assert net.loss_curve[-1] < net.loss_curve[0]
     a = fx.applications(spark, SMALL).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
     scaled = seed_model.scaler.transform_vector(seed_model.encoder.transform(a), "features", "scaled")
-    report = net.dead_neuron_report(scaled).collect()
-    assert len(report) == 96
-    assert sum(r["dead"] for r in report) / len(report) <= 0.05
+    units = net.unit_statistics(scaled).collect()
+    assert len(units) == 96 and all(u["std"] >= 0 and u["mean_abs"] >= 0 for u in units)
+    report = {r["layer"]: r for r in net.dead_neuron_report(scaled).collect()}
+    assert {k: r["units"] for k, r in report.items()} == {0: 96, 1: 64, 2: 32}
+    assert report[0]["dead"] == sum(u["dead"] for u in units) and report[0]["healthy"] == (report[0]["pct_dead"] <= 5.0)
+    assert report[0]["healthy"]
+    # the statistics against the activations themselves
+    acts = [r["a"] for r in net.activations(scaled, output="a").select("a").collect()]
+    import numpy as np
+    first = np.array([a[0] for a in acts])
+    assert np.allclose(first.std(axis=0), [u["std"] for u in units if u["layer"] == 1])
+    assert np.allclose(np.abs(first).mean(axis=0), [u["mean_abs"] for u in units if u["layer"] == 1])
+
+
+@pytest.mark.parametrize("kind", ["gelu", "relu"])
+def test_network_gradient_matches_differences(kind):
+    import numpy as np
+    from riskframe.models import gelu_net as G
+    rng = np.random.default_rng(0)
+    sizes = [5, 6, 4, 1]
+    flat = G.GeluNetwork(hidden=(6, 4)).start(sizes) + 0.1 * rng.standard_normal(6 * 6 + 7 * 4 + 5)
+    x, y = rng.standard_normal((7, 5)), (rng.random(7) < 0.5).astype(float)
+
+    def loss(v):
+        return G.log_loss_sum(G.layer_outputs(v, sizes, kind, x)[-1][:, 0], y) / 7
+
+    steps = np.array([(loss(flat + 1e-6 * e) - loss(flat - 1e-6 * e)) / 2e-6 for e in np.eye(len(flat))])
+    assert np.abs(steps - G.gradient(flat, sizes, kind, x, y)).max() < 1e-7
+
+
+def test_network_is_close_to_the_linear_model_at_its_own_size(spark):
+    from riskframe.operators import features as FE
+    from riskframe.operators import metrics as M
+    from tests.conftest import MEDIUM
+    a = fx.applications(spark, MEDIUM).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES, F.col("aprobado").cast("int").alias("label"))
+    enc = FE.encoder_pipeline(S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES).fit(a).transform(a).select("app_id", "label", "features")
+    rows = EN.cut_lineage(FE.stratified_split(FE.fit_vector_scaler(enc).transform_vector(enc), "app_id", "label", 0.2, 42))
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    auc = {n: M.auc(E.probability_of(n, E.fit(n, train, E.ModelSizes(), "app_id"), test), f"p_{n}").first()["auc"]
+           for n in ("logit", "neural_net")}
+    assert auc["neural_net"] > auc["logit"] - 0.02 > 0.8
 
 
 def test_registry_round_trip_and_best_model(spark, seed_model):

@@ -264,13 +264,14 @@ def test_lab_refuses_other_targets_and_open_domains(spark):
     assert jobs.prepare_lab(constant, "y", "id").feature_names == ["x"]
 
 
-def test_what_if_with_repeated_ids_keeps_one_result_per_row(spark):
+def test_recommendations_with_repeated_ids_keep_one_result_per_row(spark):
+    from riskframe import schema as S
     from riskframe.operators import explain as X
-    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, 4.0)], "id int, a double, b double")
-    def score(d):
-        return d.withColumn("p", F.col("a") + 10 * F.col("b"))
-    got = sorted((r["feature"], r["impact"]) for r in X.ablation(df, "id", ["a", "b"], {"a": 0.0, "b": 0.0}, score).collect())
-    assert got == [("a", 1.0), ("a", 3.0), ("b", 20.0), ("b", 40.0)]
+    from riskframe.sources import fixtures as fx
+    from tests.conftest import SMALL
+    rows = fx.applications(spark, SMALL).select(F.lit(1).alias("app_id"), *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES).limit(7)
+    got = X.recommendations(rows, "app_id", lambda d: d.withColumn("p", SC.sigmoid(SC.scorecard_z(), clip=None)))
+    assert got.count() == 7
 
 
 def test_encoded_what_if(spark):

@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,31 +116,70 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["k1", "k2", "shingles"])
 
 
-def _meeting_pairs(sig: np.ndarray, tree: int, prefix: int, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of a group that first meet in this tree and whose signatures agree on ``least`` slots or more.
+KEY = ("tree", "node", "b1", "b2")
 
-    ``side``: 0 and 1 for the two blocks of a group, whose pairs are those across; all 0 for one block."""
-    labels = sig.reshape(len(sig), TREES, DEPTH)[:, :tree, :prefix]
-    crossing = side.any()
-    left, right = [], []
-    for i in range(len(sig)):
-        j = np.flatnonzero(side != side[i]) if crossing else np.arange(i + 1, len(sig))
-        if crossing and side[i]:
-            continue
-        if not len(j):
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by KEY, as tables that end where a group ends: many small groups are handled at once."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+        if not table.num_rows:
             continue
-        j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-        if tree and len(j):
-            j = j[~(labels[j] == labels[i]).all(axis=2).any(axis=1)]
-        left.append(np.full(len(j), i))
-        right.append(j)
-    if not left:
-        return np.zeros(0, int), np.zeros(0, int)
+        last = int(np.flatnonzero(np.r_[True, np.diff(group_numbers(table)) > 0])[-1])
+        held = table.slice(last)
+        if last:
+            yield table.slice(0, last).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list column."""
+    column = table.column(name).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.asarray(column.offsets)
+    return np.asarray(column.values)[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def group_numbers(table: pa.Table) -> np.ndarray:
+    keys = np.stack([_column(table, k) for k in KEY])
+    return np.cumsum(np.r_[0, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+
+
+def meeting_pairs(table: pa.Table, prefix: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group that first meet in its tree and whose signatures agree on ``least`` slots or more.
+
+    A group of two blocks pairs the rows of one with those of the other; a group of one block, all its rows."""
+    group, tree = group_numbers(table), _column(table, "tree")
+    side = _column(table, "b") != _column(table, "b1")
+    alone = _column(table, "b1") == _column(table, "b2")
+    sig = _lists(table, "sig")[0].reshape(len(group), TREES * DEPTH)
+    left, right, i = [np.zeros(0, int)], [np.zeros(0, int)], np.arange(len(group))
+    for step in range(1, len(group)):  # rows at this distance inside a group; groups are at most two blocks long
+        i = i[i + step < len(group)]
+        i = i[group[i] == group[i + step]]
+        if not len(i):
+            break
+        a = i[alone[i] | (side[i] != side[i + step])]
+        same = sig[a] == sig[a + step]
+        near = same.sum(axis=1) >= least
+        a, same = a[near], same[near].reshape(-1, TREES, DEPTH)[:, :, :prefix].all(axis=2)
+        first = a[~(same & (np.arange(TREES) < tree[a][:, None])).any(axis=1)]
+        left.append(first)
+        right.append(first + step)
     return np.concatenate(left), np.concatenate(right)
 
 
 def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of sorted sets have a Jaccard similarity of ``threshold`` or more, exactly."""
+    used, code = np.unique(np.r_[left, right], return_inverse=True)
+    sets, (left, right) = [sets[k] for k in used], np.split(code, 2)
     size = np.array([len(s) for s in sets])
     a, b = size[left], size[right]
     able = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (np.minimum(a, b) > 0)
@@ -187,10 +225,6 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int
     return out
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.int32) if len(column) else np.zeros((0, TREES * DEPTH), np.int32)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                     recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per row: doc_id, class_id, n_links, rep_id, text_fp, class_fp.
@@ -220,17 +254,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = written(met.select("c", "tree", "node", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
                      .select("c", "tree", "node", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "b")
                      .join(classes.select("c", "sig"), "c"), "forest-members")
-    key = ["tree", "node", "b1", "b2"]
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members with a pair to verify in their group."""
+        for table in whole_groups(batches):
+            yield from table.take(np.unique(np.concatenate(meeting_pairs(table, prefix, least)))).to_batches()
 
-    def needed(group: pd.DataFrame) -> pd.DataFrame:
-        """Members with a pair to verify in this group."""
-        group = group.sort_values("c", ignore_index=True)
-        side = (group["b"] != group["b1"]).to_numpy(int)
-        left, right = _meeting_pairs(_matrix(group["sig"]), int(group["tree"].iloc[0]), prefix, side, least)
-        return group.iloc[np.unique(np.r_[left, right])][["c", *key, "b", "sig"]]
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition(*KEY).sortWithinPartitions(*KEY, "c")
 
-    wanted = written(member.groupBy(*key).applyInPandas(
-        needed, "c long, tree int, node long, b1 int, b2 int, b int, sig array<int>"), "forest-wanted")
+    fields = "c long, tree int, node long, b1 int, b2 int, b int, sig array<int>"
+    wanted = written(grouped(member.select("c", *KEY, "b", "sig")).mapInArrow(needed, fields), "forest-wanted")
     # the sets of these classes, made from the texts of their representatives
     some = written(wanted.select("c").distinct().join(classes.select("c", "k1", "k2", "rep_id", "rep_fp"), "c"), "forest-some")
     reps = sized(some.select("rep_id", "rep_fp").distinct(), "forest-reps")
@@ -238,24 +271,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(texts.mapInArrow(_sets, "k1 long, k2 long, shingles array<long>").join(some.select("c", "k1", "k2"), ["k1", "k2"])
                    .dropDuplicates(["c"]).select("c", "shingles"), "forest-sets")
 
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        """Links per class of the group, and a spanning forest of them."""
-        group = group.sort_values("c", ignore_index=True)
-        side = (group["b"] != group["b1"]).to_numpy(int)
-        left, right = _meeting_pairs(_matrix(group["sig"]), int(group["tree"].iloc[0]), prefix, side, least)
-        sets_ = [np.asarray(s, np.int64) for s in group["shingles"]]
-        ok = similar(sets_, left, right, threshold)
-        left, right = left[ok], right[ok]
-        c = group["c"].to_numpy()
-        n = np.bincount(np.r_[left, right], minlength=len(c))
-        links = spanning(len(c), left, right)
-        a = [int(c[i]) for i, _ in links]
-        b = [int(c[j]) for _, j in links]
-        counted = np.flatnonzero(n)
-        return pd.DataFrame({"c": np.r_[c[counted], np.array(a, np.int64)], "n": np.r_[n[counted], np.zeros(len(a), np.int64)],
-                             "to": pd.array([None] * len(counted) + b, "Int64")})
-
-    found = written(wanted.join(sets, "c").groupBy(*key).applyInPandas(verify, "c long, n long, to long"), "forest-links")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links per class and group, and a spanning forest of each group's links."""
+        for table in whole_groups(batches):
+            group, c = group_numbers(table), _column(table, "c")
+            values, ends = _lists(table, "shingles")
+            sets_ = np.split(values, ends[1:-1])
+            left, right = meeting_pairs(table, prefix, least)
+            ok = np.zeros(len(left), bool)
+            of = group[left]
+            order = np.argsort(of, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
+                ok[some] = similar(sets_, left[some], right[some], threshold)
+            left, right = left[ok], right[ok]
+            n = np.bincount(np.r_[left, right], minlength=len(c))
+            links = spanning(len(c), left, right)
+            counted = np.flatnonzero(n)
+            yield pa.record_batch([
+                pa.array(np.r_[c[counted], c[[a for a, _ in links]]] if links else c[counted], pa.int64()),
+                pa.array(np.r_[n[counted], np.zeros(len(links), np.int64)], pa.int64()),
+                pa.array([None] * len(counted) + [int(c[b]) for _, b in links], pa.int64())], names=["c", "n", "to"])
+
+    found = written(grouped(wanted.join(sets, "c").select("c", *KEY, "b", "sig", "shingles"))
+                    .mapInArrow(verify, "c long, n long, to long"), "forest-links")
     counts = found.filter("to is null").groupBy("c").agg(F.sum("n").alias("n_links"))
     parts = components(found.filter("to is not null").select(F.col("c").alias("a"), F.col("to").alias("b")))
     with_part = written(classes.select("c", "k1", "k2", "rep_id", "rep_fp").join(counts, "c", "left").join(parts, "c", "left")

@@ -51,6 +51,8 @@ UNKNOWN_PENALTY = 10.0
 LEXICON_WORDS = 60_000
 #: Longest word (in characters) that goes through the relational lattice.
 LEXICON_CHARS = 32
+#: Bytes of text, and of distinct words, that a task handles at a time (a lattice has some hundred bytes a byte).
+TEXT_BYTES, FOLD_BYTES = 2 << 20, 1 << 18
 #: Words of more bytes are merged one at a time with a heap, the others all at once.
 LONG_WORD = 64
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -176,7 +178,13 @@ class Lattice:
         return np.concatenate([self.known_ids, ids]), first, count
 
     def fold(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best paths of some words: (ids of all words in turn, number of ids of each)."""
+        """(ids of all words in turn, number of ids of each); lattices of about ``FOLD_BYTES`` of words at a time."""
+        block = np.cumsum(end - start) // FOLD_BYTES
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        parts = [self._fold(raw, start[a:z], end[a:z]) for a, z in zip(cuts[:-1], cuts[1:])]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _fold(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = end - start
         node = np.cumsum(n + 1) - (n + 1)  # a word's first node; node + i lies before its byte i
         word = np.repeat(np.arange(len(n)), n)
@@ -276,7 +284,9 @@ class Lattice:
             keep[wins + 1] = False
             wins = wins - np.arange(len(wins))  # one segment before it is gone for each earlier word
             a, z, word, score = a[keep], z[keep], word[keep], score[keep]
-            changed = np.unique(np.r_[wins, wins[wins > 0] - 1])
+            changed = np.zeros(len(a), bool)
+            changed[wins] = changed[np.maximum(wins - 1, 0)] = True
+            changed = np.flatnonzero(changed)
             score[changed] = union(changed)
         w, src, dst, piece = np.concatenate(done, axis=1)
         order = np.lexsort((src, w))
@@ -538,7 +548,7 @@ def encode(docs: DataFrame, table: PieceTable, lexicon: list[tuple[str, list[int
         lattice = lattice_of(*shared.value)
         for batch in batches:
             raw, offsets = byte_buffer(batch.column("text"))
-            for a, z in chunks(offsets):
+            for a, z in chunks(offsets, TEXT_BYTES):
                 ids, first = lattice.encode(raw[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])
                 column = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([batch.column("doc_id").slice(a, z - a), batch.column("text").slice(a, z - a), column],

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import gru
-from riskframe.llm.textnp import byte_buffer
+from riskframe.llm.textnp import byte_buffer, give_back
 
 STEPS = 128
 HIDDEN = 8
@@ -174,6 +174,7 @@ def identify(docs: DataFrame, langs: list[str], weights: bytes, id_col: str = "d
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()),
                                    pa.array(score, pa.float64()), pa.array(list(won), pa.list_(pa.int64()))],
                                   names=["doc_id", "held_out", "lang_pred", "score", "positions"])
+        give_back()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.tables import fingerprint, sized, without, written
-from riskframe.llm.textnp import Words, byte_buffer, chunks, mix, sequence_hash, shingles
+from riskframe.llm.textnp import Words, byte_buffer, chunks, give_back, mix, sequence_hash, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -95,6 +95,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                    pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                                    pa.array(words.counts.astype(np.int32)), lists],
                                   names=["doc_id", "fp", "k1", "k2", "n_words", "sig"])
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +115,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                                    pa.ListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64)))],
                                   names=["k1", "k2", "shingles"])
+    give_back()
 
 
 KEY = ("tree", "node", "b1", "b2")
@@ -291,6 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 pa.array(np.r_[c[counted], c[[a for a, _ in links]]] if links else c[counted], pa.int64()),
                 pa.array(np.r_[n[counted], np.zeros(len(links), np.int64)], pa.int64()),
                 pa.array([None] * len(counted) + [int(c[b]) for _, b in links], pa.int64())], names=["c", "n", "to"])
+        give_back()
 
     found = written(grouped(wanted.join(sets, "c").select("c", *KEY, "b", "sig", "shingles"))
                     .mapInArrow(verify, "c long, n long, to long"), "forest-links")

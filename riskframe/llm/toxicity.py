@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from riskframe.llm import gru
 from riskframe.llm.langid import held_out
 from riskframe.llm.tables import fingerprint, without, written
-from riskframe.llm.textnp import Words, byte_buffer, chunks, mix
+from riskframe.llm.textnp import Words, byte_buffer, chunks, give_back, mix
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, VECTOR, ATTEND = 8, 16, 8
@@ -274,6 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
         w = train([t.encode("utf-8", "surrogatepass") for _, t, _ in got], [y for *_, y in got], seed) \
             if len({y for *_, y in got}) == 2 else None
         yield pa.record_batch([pa.array([gru.pack(w) if w else b""], pa.binary())], names=["w"])
+        del got, w
+        give_back()
 
     return rows.repartition(1).mapInArrow(learn, "w binary").first()["w"]
 
@@ -288,6 +290,7 @@ def score(docs: DataFrame, weights: bytes, threshold: float = THRESHOLD) -> Data
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()),
                                    pa.array((s >= threshold).astype(np.int32), pa.int32()), batch.column("text_fp")],
                                   names=["doc_id", "held_out", "score", "predicted", "text_fp"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                        F.col("text").cast("string").alias("text"), fingerprint(F.col("text")).alias("text_fp"))

@@ -103,16 +103,20 @@ def st4_hot_model_swap(spark, sf):
     reg = scratch_path(spark, "registry")  # of this stream's own, as a swap adds a version to it
     R.save(spark, _ensemble(spark, sf), scratch_path(spark, "models"), reg)
 
-    first = R.load(spark, reg)
+    first = loaded = R.load(spark, reg)
     batches = []
 
     def score_latest(batch):
+        nonlocal loaded
         batches.append(1)
         if len(batches) == 3:  # a retrain ends while the stream runs: its registry row is the swap
             retrained = dataclasses.replace(first, version=first.version + "-next", source="retrain",
                                             trained_at=first.trained_at + "~")
             R.save(spark, retrained, scratch_path(spark, "models"), reg)
-        ens = R.load(spark, reg)                     # newest registry row at every batch
+        newest = R.latest(spark, reg).first()["version"]   # newest registry row at every batch
+        if loaded.version != newest:                 # its models are read only when they change
+            loaded = R.load(spark, reg)
+        ens = loaded
         cols = ["app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES]
         return EN.score(batch.select(*cols), ens, explain=False).select(
             "app_id", "probability", "decision", F.lit(ens.version).alias("model_version"))

@@ -13,6 +13,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -83,6 +84,31 @@ def drop_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
             _SCRATCH.remove(p)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    A local session shares the driver's files; on a cluster the workers would not find the
+    package unless it was installed there."""
+    sc = spark.sparkContext
+    if re.match(r"local(\[|$)", sc.master) or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    top = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="riskframe-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "riskframe.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.join("riskframe", os.path.relpath(full, top)))
+    sc.addPyFile(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

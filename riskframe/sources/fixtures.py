@@ -21,7 +21,7 @@ from riskframe.session import table_path
 # partitions than the cluster's parallelism (a unique key cannot be skewed).
 # Only fact tables are spread; dimension tables are joined (and broadcast when
 # AQE measures them small), so re-partitioning them would be wasted work.
-TABLE_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
+TABLE_KEYS = {"orders": "o_orderkey", "events": "event_id"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

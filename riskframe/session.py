@@ -90,10 +90,10 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application.
 
-    A local session shares the driver's files; on a cluster the workers would not find the
-    package unless it was installed there."""
+    Workers find the package neither on a cluster where it is not installed nor in a local
+    session that was started outside the repository."""
     sc = spark.sparkContext
-    if re.match(r"local(\[|$)", sc.master) or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     top = os.path.dirname(os.path.abspath(__file__))

@@ -6,7 +6,7 @@ window).  A window is a set of positioned shingles of ``SHINGLE`` words (or of a
 if it has fewer).
 
 1. One scan of the documents keeps, per row, the positions whose shingle may belong to a
-   window.  The test is a fixed table of ``SLOTS`` bytes probed twice by the shingle's hash;
+   window.  The test is a byte table (16 slots per shingle, of bounded size) probed four times by the shingle's hash;
    it passes every true shingle, and each kept position carries the few words around it.
    Texts are never shuffled or joined.
 2. The kept positions, joined to the windows' shingles, give the exact frequency of each
@@ -36,9 +36,9 @@ from riskframe.llm.tables import fingerprint, sized, without, written
 
 WINDOW = 10
 SHINGLE = 5
-#: Bytes of the position filter: a fixed size, whatever the number of items.  A fuller table
-#: lets more positions through to the exact join; it never loses one.
-SLOTS = 1 << 20
+#: Least and most bytes of the position filter.  A fuller table lets more positions through to
+#: the exact join; it never loses one.
+LEAST_SLOTS, MOST_SLOTS, PROBES = 1 << 16, 1 << 23, 4
 #: Fixed pattern of the characters between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -55,8 +55,8 @@ def _shingle_hash(words: Column, at: Column, k: int) -> Column:
     return F.xxhash64(F.lit(k), *[F.get(words, at + j) for j in range(k)])
 
 
-def _slots(h: Column) -> list[Column]:
-    return [F.pmod(h, F.lit(SLOTS)).cast("int"), F.pmod(F.shiftrightunsigned(h, 24), F.lit(SLOTS)).cast("int")]
+def _slots(h: Column, size: int) -> list[Column]:
+    return [F.pmod(F.shiftrightunsigned(h, 13 * p), F.lit(size)).cast("int") for p in range(PROBES)]
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -87,9 +87,11 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def position_filter(shingles: DataFrame) -> bytes:
-    """One byte per slot, 1 where a window's shingle falls; the driver gets at most SLOTS numbers."""
-    table = bytearray(SLOTS)
-    for row in shingles.select(F.explode(F.array(*_slots(F.col("h")))).alias("s")).distinct().toLocalIterator():
+    """One byte per slot, 1 where a window's shingle falls; the driver gets at most MOST_SLOTS numbers."""
+    hashes = shingles.select("h").distinct()
+    size = min(max(LEAST_SLOTS, 1 << (16 * hashes.count()).bit_length()), MOST_SLOTS)
+    table = bytearray(size)
+    for row in hashes.select(F.explode(F.array(*_slots(F.col("h"), size))).alias("s")).distinct().toLocalIterator():
         table[row["s"]] = 1
     return bytes(table)
 
@@ -103,8 +105,11 @@ def kept_positions(docs: DataFrame, table: bytes, sizes: list[int], id_col: str,
 
     def found(k: int) -> Column:
         def passes(i: Column) -> Column:
-            a, b = _slots(_shingle_hash(F.col("w"), i, k))
-            return (F.substring(bits, a + 1, F.lit(1)) == one) & (F.substring(bits, b + 1, F.lit(1)) == one)
+            # the first slot fails for nearly all positions, so the others are seldom looked up
+            first, *more = [F.substring(bits, s + 1, F.lit(1)) == one for s in _slots(_shingle_hash(F.col("w"), i, k), len(table))]
+            for test in more:
+                first = first & test
+            return first
 
         reach = window - shingle if k == shingle else 0  # an occurrence starts at most so far before its prefix
 

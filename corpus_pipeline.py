@@ -24,6 +24,7 @@ from riskframe.llm.exact_dedup import drop_exact_copies
 from riskframe.llm.minhash_forest import drop_near_duplicates
 from riskframe.llm.piece_lattice import encode_and_decode
 from riskframe.llm.toxicity import drop_toxic
+from riskframe.session import ship_package
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +53,7 @@ _MADE: list[str] = []
 def _stage(f):
     """A stage that first removes the scratch tables of earlier stages, whose results are written by then."""
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         tables.release(docs, _MADE)
         before = set(tables.scratch_now())
         out = f(spark, docs, sf_dir)

@@ -32,7 +32,6 @@ encoded each; empty tables give no rows; other columns are ignored, whatever the
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,11 +51,11 @@ LEXICON_WORDS = 60_000
 #: Longest word (in characters) that goes through the relational lattice.
 LEXICON_CHARS = 32
 #: Bytes of text, and of distinct words, that a task handles at a time (a lattice has some hundred bytes a byte).
-TEXT_BYTES, FOLD_BYTES = 1 << 20, 1 << 17
+TEXT_BYTES, FOLD_BYTES = 1 << 19, 1 << 16
 #: Words of more bytes are merged one at a time with a heap, the others all at once.
 LONG_WORD = 64
 _K = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_BITS = 22
+_FILTER_BITS = 20
 
 
 class PieceTable:
@@ -545,10 +544,10 @@ def encode(docs: DataFrame, table: PieceTable, lexicon: list[tuple[str, list[int
 
     With ``round_trip`` the ids are decoded again in the same task, and whether that gives the text
     stands in the text's place."""
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, table, lexicon))
+    shared = docs.sparkSession.sparkContext.broadcast(Lattice(table, lexicon))  # arrays of a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = lattice_of(*shared.value)
+        lattice = shared.value
         for batch in batches:
             raw, offsets = byte_buffer(batch.column("text"))
             for a, z in chunks(offsets, TEXT_BYTES):
@@ -570,10 +569,10 @@ def encode(docs: DataFrame, table: PieceTable, lexicon: list[tuple[str, list[int
 
 def decode(encoded: DataFrame, table: PieceTable) -> DataFrame:
     """The columns of ``encoded`` (doc_id, text, ids) and ``decoded``, from the ids alone."""
-    shared = encoded.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, table, []))
+    shared = encoded.sparkSession.sparkContext.broadcast(Lattice(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = lattice_of(*shared.value)
+        lattice = shared.value
         for batch in batches:
             lists = batch.column("ids")
             if lists.null_count:
@@ -587,18 +586,6 @@ def decode(encoded: DataFrame, table: PieceTable) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
 
-_LATTICES: dict[str, Lattice] = {}
-
-
-def lattice_of(key: str, table: PieceTable, lexicon: list) -> Lattice:
-    """The lattice of a broadcast, built once in a task process (which keeps the last few)."""
-    if key not in _LATTICES:
-        while len(_LATTICES) >= 4:
-            _LATTICES.pop(next(iter(_LATTICES)))
-        _LATTICES[key] = Lattice(table, lexicon)
-    return _LATTICES[key]
-
-
 def encode_and_decode(docs: DataFrame, model: str = DEFAULT_MODEL, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_pieces, ids_sha256 (of the comma-joined ids), round_trip (decoded = text),
     and the ids themselves if asked for."""

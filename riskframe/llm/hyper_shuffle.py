@@ -4,15 +4,17 @@ The rows lie in partitions of n_1..n_P rows; the S shards shall hold N // S rows
 the first N % S of them one more.  In a uniform random permutation the number of
 rows that partition p sends to shard s follows a multivariate hypergeometric law, so:
 
-1. the narrow keys are written with their partition and position (frozen: any
-   later recomputation sees the same partitions),
+1. the rows are written once with their partition and position (frozen: any later
+   recomputation sees the same partitions); steps 2 to 4 move narrow keys only,
 2. the P x S matrix of exact counts is drawn, one partition after the other, from
    what the shards still have room for,
 3. each partition is permuted locally; its first M[p,0] rows go to shard 0, the next
    M[p,1] to shard 1, and so on (the exchange),
 4. each shard is permuted again, in blocks: a row's block is a uniform hash, blocks
    are ordered by the hash and numbered from the running total of the earlier blocks,
-   so no task sorts a whole shard.
+   so no task sorts a whole shard,
+5. ``write_shards`` joins the written rows with their slots by the frozen position, which
+   every row has of its own, and moves them into their shards.
 
 Only partition counts (one number per partition of at most ``MAX_PARTS``) reach the driver.
 
@@ -26,8 +28,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskframe.llm.tables import written
+from riskframe.llm.tables import sized, written
+from riskframe.session import scratch_path
 
 #: Input splits beyond this number share a partition of the matrix (bounds the matrix, not the rows).
 MAX_PARTS = 4096
@@ -65,15 +69,29 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     return min(max(round(n * f + rng.standard_normal() * spread), 0, n - bad), n, good)
 
 
+def _key_columns(id_col: str, text_col: str) -> list:
+    """The narrow columns of a row that the contract reports."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("bigint") + 1).alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32")]
+
+
+def _place() -> list:
+    """Partition and position of a row; frozen once they are written."""
+    return [(F.spark_partition_id() % MAX_PARTS).alias("part"), F.monotonically_increasing_id().alias("pos")]
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20, id_col: str = "doc_id",
                         text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, shard (0..shards-1), slot (gapless from 0 in a shard)."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = written(docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("bigint") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        (F.spark_partition_id() % MAX_PARTS).alias("part"), F.monotonically_increasing_id().alias("pos")), "shard-keys")
+    keys = written(docs.select(*_key_columns(id_col, text_col), *_place()), "shard-keys")
+    return keys.join(slots_of(keys.select("part", "pos"), shards, seed, block_rows), "pos").select(
+        "doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def slots_of(keys: DataFrame, shards: int, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """pos, shard and slot of every row of ``keys`` (part, pos), which must be frozen."""
+    spark = keys.sparkSession
     counts = {r["part"]: r["n"] for r in keys.groupBy("part").agg(F.count("*").alias("n")).collect()}
     parts = sorted(counts)
     total = sum(counts.values())
@@ -88,28 +106,40 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20, id_col
     blocks = max(1, -(-total // (shards * block_rows)))
     mix = F.xxhash64(F.lit(seed + 1), F.col("pos"))
     sent = written(sent.withColumn("mix", mix).withColumn("block", F.pmod(F.shiftrightunsigned("mix", 20), F.lit(blocks)))
-                   .select("doc_id", "size", "text_crc32", "shard", "block", "mix", "pos"), "shard-sent")
+                   .select("pos", "shard", "block", "mix"), "shard-sent")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (sent.groupBy("shard", "block").agg(F.count("*").alias("n"))
                .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "block", "base"))
     inside = Window.partitionBy("shard", "block").orderBy("mix", "pos")
     return (sent.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["shard", "block"])
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("r")).alias("slot")))
+            .select("pos", "shard", (F.col("base") + F.col("r")).alias("slot")))
 
 
 def shard_table(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
-    """The contract's columns: the law is ``rows``, so a further shard keeps nothing in place and grown_shard is null."""
-    return shuffle_into_shards(docs, shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
+    """The contract's columns, read from the shards that the documents were moved into: the law is
+    ``rows``, so a further shard keeps nothing in place and grown_shard is null."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "shards")
+    rows = docs.select("doc_id", "text")
+    write_shards(rows, path, shards, seed)
+    schema = T.StructType([*rows.schema, T.StructField("_slot", T.LongType()), T.StructField("_shard", T.IntegerType())])
+    back = spark.read.schema(schema).parquet(path)
+    return back.select(
+        *_key_columns("doc_id", "text"), F.lit("rows").alias("law"), F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 20) -> None:
-    """Write the rows themselves as ``path/shard=k`` in slot order.
-
-    The payload is exchanged once: rows are numbered first, then joined to their slot
-    by id, range-partitioned by (shard, slot) and sorted locally.  Ids must be unique."""
-    where = written(shuffle_into_shards(docs, shards, seed).select("doc_id", "shard", "slot"), "shard-slots")
-    (docs.join(where.withColumnRenamed("shard", "_shard").withColumnRenamed("slot", "_slot"), "doc_id")
+    """Write the rows themselves, all columns, as ``path/_shard=k`` in slot order (column ``_slot``).
+
+    Ids are not read, so null and repeated ones are rows like others.  The rows are written once
+    with their position and joined to their slot by it (a broadcast of at most
+    ``tables.BROADCAST_ROWS`` slots, else an exchange), range-partitioned by (shard, slot) and
+    sorted locally."""
+    # the row as one struct, so that no column of the input meets the names used here
+    rows = written(docs.select(F.struct("*").alias("_row"), *_place()), "shard-rows", "zstd")
+    where = sized(slots_of(rows.select("part", "pos"), shards, seed)
+                  .select("pos", F.col("slot").alias("_slot"), F.col("shard").alias("_shard")), "shard-slots")
+    (rows.join(where, "pos").select("_row.*", "_slot", "_shard")
      .repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
      .write.partitionBy("_shard").parquet(path))

@@ -50,3 +50,23 @@ def test_write_shards(spark, docs_of, tmp_path):
     write_shards(docs_of([(i, f"t{i}") for i in range(40)]), str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 40 and {r["_shard"] for r in back.select("_shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_write_shards_null_and_repeated_ids(spark, docs_of, tmp_path, rows_of):
+    rows = [(i, f"t{i}") for i in range(20)] + [(None, f"null {i}") for i in range(9)] + [(7, f"hot {i % 5}") for i in range(15)]
+    df = docs_of(rows).selectExpr("*", "'x' AS part", "'y' AS pos").repartition(5)
+    write_shards(df, str(tmp_path / "s"), 8)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert rows_of(back.select(df.columns)) == rows_of(df)
+    for k, n in ((k, 44 // 8 + (k < 44 % 8)) for k in range(8)):
+        assert sorted(r["_slot"] for r in back.filter(f"_shard = {k}").collect()) == list(range(n))
+
+
+def test_query_moves_the_documents(spark, docs_of):
+    rows = [(i, f"text {i} é") for i in range(30)] + [(None, None), (None, ""), (7, "same"), (7, "same")]
+    got = shard_table(docs_of(rows).repartition(3), 8).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert Counter(r["shard"] for r in got) == {k: 34 // 8 + (k < 34 % 8) for k in range(8)}
+    assert len({(r["shard"], r["slot"]) for r in got}) == 34
+    assert shard_table(docs_of([])).count() == 0

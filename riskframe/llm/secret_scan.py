@@ -42,11 +42,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|xxxx|your|0123456789|123456789", re.I | re.A)
 #: A live-looking value has at least this much Shannon entropy per character ...
 MIN_ENTROPY = 3.0
-#: ... and a value of this many distinct owners or more is a widely copied example.
-COPIED_OWNERS = 2
+#: ... and a value that this many distinct owners hold in so many distinct repositories is a widely copied example,
+COPIED_OWNERS, COPIED_REPOS = 3, 2
+#: as is one with this many of either.
+COPIED_MANY = 5
 
 _SPAN = "struct<kind:int,start:int,end:int,hash:binary,live:boolean>"
-SCAN_SCHEMA = f"doc_id long, repo string, owner string, base_sha256 string, found array<{_SPAN}>"
+SCAN_SCHEMA = f"doc_id long, repo string, owner string, base_sha256 string, same binary, found array<{_SPAN}>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -86,42 +88,48 @@ def span_text(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e, *_ in spans)
 
 
+def _hash(value: str) -> bytes:
+    return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shas, found = [], []
+        shas, same, found = [], [], []
         for text in batch.column("text"):
             text = text.as_py() or ""
             base = base_spans(text)
             shas.append(hashlib.sha256(span_text(base).encode()).hexdigest())
             every = base + candidates(text, base)
+            same.append(_hash(text) if every else None)  # names the text, so that equal ones count once
             found.append([{"kind": k, "start": s, "end": e, "live": live_looking(v),
-                           "hash": hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-                          for k, s, e, v in every])
+                           "hash": _hash(v)} for k, s, e, v in every])
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
                                    ("hash", pa.binary()), ("live", pa.bool_())]))
         yield pa.record_batch([batch.column("doc_id"), batch.column("repo"), batch.column("owner"),
-                               pa.array(shas, pa.string()), pa.array(found, kind)],
-                              names=["doc_id", "repo", "owner", "base_sha256", "found"])
+                               pa.array(shas, pa.string()), pa.array(same, pa.binary()), pa.array(found, kind)],
+                              names=["doc_id", "repo", "owner", "base_sha256", "same", "found"])
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
                  owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """One row per document with its counts, span strings and the ownership class of its values.
 
-    Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned (values
-    held by one owner and live-looking), n_copied (values held by several owners)."""
+    Columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned (live-looking
+    values that are not widely copied), n_copied (widely copied values), n_repos and n_owners
+    (the most repositories, and owners, that hold one of its values; 0 without values)."""
     scanned = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                           F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner")) \
         .mapInArrow(_scan, SCAN_SCHEMA)
     rows = written(scanned.withColumn("row", F.monotonically_increasing_id()), "secret-rows")
-    one = rows.select("row", "repo", "owner", F.explode("found").alias("f")).select("row", "repo", "owner", "f.*")
+    one = rows.select("row", "repo", "owner", "same", F.explode("found").alias("f")).select("row", "repo", "owner", "same", "f.*")
     frequency = written(ownership(one, copied_owners), "secret-owners")
     judged = one.join(frequency, "hash").select(
-        "row", "kind", "start", "end", "copied", (F.col("live") & ~F.col("copied")).alias("owned"))
+        "row", "kind", "start", "end", "n_repos", "n_owners", "copied", (F.col("live") & ~F.col("copied")).alias("owned"))
     # each row's own spans only: bounded by its text, however often a value is copied elsewhere
     per_row = judged.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | F.col("owned"), F.struct("start", "kind", "end")))).alias("s"),
-        F.count_if("owned").alias("n_owned"), F.count_if("copied").alias("n_copied"))
+        F.count_if("owned").alias("n_owned"), F.count_if("copied").alias("n_copied"),
+        F.max("n_repos").alias("n_repos"), F.max("n_owners").alias("n_owners"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
 
     def count(kind: int):
@@ -132,13 +140,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), "base_sha256",
         F.coalesce(text, F.lit("")).alias("spans"),
         F.coalesce("n_owned", F.lit(0)).cast("bigint").alias("n_owned"),
-        F.coalesce("n_copied", F.lit(0)).cast("bigint").alias("n_copied"))
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_copied", "n_repos", "n_owners")])
 
 
 def ownership(values: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """hash, n_repos, n_owners, copied: distinct (hash, owner, repo) first, so a value that a
-    third of the rows hold is combined on the map side before each of the three exchanges."""
-    held = values.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
-    by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return (by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
-            .withColumn("copied", F.col("n_owners") >= copied_owners))
+    """hash, n_repos, n_owners, copied: distinct pairs first, so a value that a third of the rows
+    hold is combined on the map side before each exchange.  A text stands for the smallest
+    repository that has it, so equal texts are one repository."""
+    owners = values.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"))
+    repos = (values.groupBy("hash", "same").agg(F.min("repo").alias("repo")).groupBy("hash", "repo").agg(F.count("*").alias("n"))
+             .groupBy("hash").agg(F.count("*").alias("n_repos")))
+    many = F.greatest("n_owners", "n_repos") >= COPIED_MANY
+    return owners.join(repos, "hash").withColumn(
+        "copied", ((F.col("n_owners") >= copied_owners) & (F.col("n_repos") >= COPIED_REPOS)) | many)

@@ -47,3 +47,19 @@ def test_hot_value_repeats_and_empty(docs_of):
     got = scan_secrets(docs_of(rows)).collect()
     assert len(got) == 302 and sum(r["n_copied"] for r in got) == 301
     assert scan_secrets(docs_of([])).count() == 0
+
+
+def test_both_counts_decide(docs_of):
+    def key(k):
+        return hashlib.md5(str(k).encode()).hexdigest().upper() + "z"
+
+    rows = [(i, f"page {i} {key(0)}", "en", "hot") for i in range(40)]  # an example all over one source
+    rows += [(100 + i, f"page {i} {key(1)}", "en", None) for i in range(40)]  # the same without a source
+    rows += [(200, f"doc {key(2)}", "en", "a"), (201, f"doc {key(2)}", "en", "b")]  # a document and its copy elsewhere
+    rows += [(210 + i, f"doc {key(3)}", "en", f"o{i}") for i in range(3)]  # and two of its copies
+    rows += [(220, f"one {key(4)}", "en", "a"), (221, f"two {key(4)}", "en", "b")]  # a near copy elsewhere
+    rows += [(230 + i, f"doc {i} {key(5)}", "en", f"o{i}") for i in range(3)]  # three owners, three documents
+    got = {r["doc_id"]: (r["n_owned"], r["n_copied"], r["n_repos"], r["n_owners"]) for r in scan_secrets(docs_of(rows)).collect()}
+    assert got[0] == got[39] == (0, 1, 40, 1) and got[100] == got[139] == (0, 1, 40, 1)
+    assert got[200] == got[201] == (1, 0, 1, 2) and got[210] == got[212] == (1, 0, 1, 3)
+    assert got[220] == got[221] == (1, 0, 2, 2) and got[230] == got[232] == (0, 1, 3, 3)

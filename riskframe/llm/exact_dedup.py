@@ -11,8 +11,9 @@
 Defined results: a null text counts as empty; an empty table gives no rows; a
 null id is returned as a row of its own (ids compare null-safe, a class with
 other members keeps a non-null id); rows repeating both id and text are one
-document, returned once, and ``group_size`` counts each of the rows.  Other
-columns of the input are ignored, whatever their names.
+document, returned once (with ``each_row``, as in the query, once per row), and
+``group_size`` counts each of the rows.  Other columns of the input are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ def content_hash(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
-                 hash128: Callable[[Column], Column] = content_hash) -> DataFrame:
+                 hash128: Callable[[Column], Column] = content_hash, each_row: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_fp, row_copies.
 
+    ``each_row``: one row per row of ``docs`` instead, each with a ``row_copies`` of 1.
+
     ``keep``: the ``smallest`` or ``largest`` id of a group stays.  ``hash128``
     can be replaced (tests use a hash that collides).
     """
@@ -42,7 +45,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).select(
         "_id", "_t", hash128(F.col("_t")).alias("_h"), F.unhex(F.sha2(F.col("_t").cast("binary"), 256)).alias("_s"),
         fingerprint(F.col("_t")).alias("_fp"))
-    rows = written(base.groupBy("_id", "_h", "_s", "_fp").agg(F.count("*").alias("_copies")), "exact-rows")
+    rows = base.select("_id", "_h", "_s", "_fp", F.lit(1).cast("bigint").alias("_copies")) if each_row else \
+        base.groupBy("_id", "_h", "_s", "_fp").agg(F.count("*").alias("_copies"))
+    rows = written(rows, "exact-rows")
     dup = sized(rows.groupBy("_h").agg(F.sum("_copies").alias("n")).filter("n > 1").select("_h"), "exact-dup")
     classes = (base.join(dup, "_h", "left_semi")
                .groupBy("_h", "_t", "_s").agg(pick("_id").alias("_keep"), F.count("*").alias("_size"))

@@ -41,7 +41,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """)
 def op5(spark, sf):
     from riskframe.llm.exact_dedup import exact_groups
-    return exact_groups(read(spark, sf, "documents"), keep="largest").select(
+    return exact_groups(read(spark, sf, "documents"), keep="largest", each_row=True).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

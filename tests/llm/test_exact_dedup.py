@@ -1,6 +1,8 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from riskframe.llm.exact_dedup import drop_exact_copies, exact_groups
+from riskframe.llm.queries import ORACLES, QUERIES
 
 
 def test_groups_keep_and_sizes(docs_of):
@@ -30,3 +32,18 @@ def test_nulls_ties_repeats_long_and_empty(docs_of):
         [(9, 1), (1, len(long)), (2, len(long) + 1), (4, 1), (4, 5)], key=str)
     assert exact_groups(docs_of([])).count() == 0
     assert drop_exact_copies(docs_of([])).count() == 0
+
+
+def test_query_returns_every_repeated_row(spark, docs_of, rows_of, tmp_path):
+    docs_of([(4, "r"), (4, "r"), (4, "other"), (2, "r"), (5, "s"), (5, "s"), (6, None), (6, "")]).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duckdb.sql(ORACLES["op5_exact_dedup"]).fetchall()
+    assert len(want) == 8
+    assert rows_of(QUERIES["op5_exact_dedup"](spark, str(tmp_path))) == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def test_each_row_with_null_ids(docs_of):
+    df = docs_of([(None, "n"), (None, "n"), (9, "n"), (None, "alone")])
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(df, each_row=True).collect()), key=str)
+    assert got == sorted([(None, 9, 3, False), (None, 9, 3, False), (9, 9, 3, True), (None, None, 1, True)], key=str)

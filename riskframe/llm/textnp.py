@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 #: Word bytes: digits, letters a-z after lower-casing A-Z, and every byte of a non-ASCII character.
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
-#: Odd multipliers of a word's byte positions (positions repeat after as many bytes).
+#: Odd multipliers of a word's byte positions; each further block of as many bytes has an odd factor of its own.
 _REACH = 1 << 12
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(_REACH, 0xD6E8FEB86659FD93, dtype=np.uint64), dtype=np.uint64)
@@ -93,6 +93,9 @@ class Words:
         at = np.flatnonzero(inside)
         place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         values = (self.low[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place & (_REACH - 1)]
+        longest = int(lengths.max())
+        if longest > _REACH:
+            values *= (mix(np.arange(-(-longest // _REACH), dtype=np.uint64) * _M) | np.uint64(1))[place // _REACH]  # the first is 1
         sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
         return mix(sums + lengths.astype(np.uint64) * _M)
 

@@ -103,3 +103,13 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)]
     found = {r["c"]: r["part"] for r in M.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(41)) and all(found[100 + i] == 100 for i in range(50))
+
+
+def test_long_words_that_swap_bytes_blocks_apart(docs_of):
+    texts = [b"a" * 10 + b"x" + b"a" * 9989, b"a" * 4106 + b"x" + b"a" * 5893, b"a" * 8202 + b"x" + b"a" * 1797]
+    hashes = [int(M.Words(np.frombuffer(t, np.uint8), np.array([0, len(t)])).hash[0]) for t in texts]
+    assert len(set(hashes)) == 3
+    both = b" ".join(texts)  # a word's hash does not depend on the words beside it
+    assert M.Words(np.frombuffer(both + b" ab", np.uint8), np.array([0, len(both) + 3])).hash[:3].tolist() == hashes
+    got = M.near_duplicates(docs_of([(i, t.decode()) for i, t in enumerate(texts)])).collect()
+    assert {(r["doc_id"], r["rep_id"]) for r in got} == {(0, 0), (1, 1), (2, 2)}

@@ -1,13 +1,14 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join with MinHash bands, in place of an LSH forest, and exact verification.
 
 A document is the set of its runs of ``SHINGLE`` words (a shorter one: its whole word sequence).
 Documents with the same word sequence are one *class* and are joined through it, never pairwise.
 
-1. Signatures: ``TREES`` x ``DEPTH`` minima of the hashed shingles.  Each tree is a prefix trie over
-   the classes' sorted labels of DEPTH minima.
-2. Prefixes are shortened from DEPTH until a pair of similarity ``THRESHOLD`` meets in some tree with
-   probability ``RECALL``: 1 - (1 - t^d)^TREES.  Nodes of one class are dropped at once, so only
-   classes with a neighbour go on.
+1. Signatures: ``TREES`` x ``DEPTH`` minima of the hashed shingles.  A tree is one fixed band: no
+   trie is sorted, and nothing is shortened on data.
+2. A band's label is the hash of its first d minima, d the largest of at most DEPTH at which a pair of
+   similarity ``THRESHOLD`` meets in some band with probability ``RECALL``: 1 - (1 - t^d)^TREES (4 at
+   these constants; the further minima only count in step 4).  A node is the classes of one label;
+   nodes of one class are dropped at once, so only classes with a neighbour go on.
 3. A pair is examined in the first tree where it meets, nowhere else.  A node with more than
    ``BLOCK`` classes is split into blocks, and pairs of blocks are separate groups, so no group
    holds more than two blocks; a pair never becomes a row.

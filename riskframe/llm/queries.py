@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.llm.license_scan import scan_sql
 from riskframe.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +142,9 @@ def op9(spark, sf):
 def op8(spark, sf):
     from riskframe.llm.minhash_forest import near_duplicates
     return near_duplicates(read(spark, sf, "documents")).select("doc_id", "class_id", "n_links", "rep_id")
+
+
+@query("op11_license_scan", scan_sql())
+def op11(spark, sf):
+    from riskframe.llm.license_scan import scan_licenses
+    return scan_licenses(read(spark, sf, "documents")).drop("spans", "text_fp")

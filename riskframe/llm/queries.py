@@ -148,3 +148,9 @@ def op8(spark, sf):
 def op11(spark, sf):
     from riskframe.llm.license_scan import scan_licenses
     return scan_licenses(read(spark, sf, "documents")).drop("spans", "text_fp")
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf):
+    from riskframe.llm.periodic_runs import digest, periodic_runs, with_repeats
+    return digest(periodic_runs(with_repeats(read(spark, sf, "documents"))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm.license_scan import scan_sql
+from riskframe.llm.spelling_variants import SQL as SPELLING_SQL
 from riskframe.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,9 @@ def op11(spark, sf):
 def op12(spark, sf):
     from riskframe.llm.periodic_runs import digest, periodic_runs, with_repeats
     return digest(periodic_runs(with_repeats(read(spark, sf, "documents"))))
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
+def op13(spark, sf):
+    from riskframe.llm.spelling_variants import spelling_variants_of_documents
+    return spelling_variants_of_documents(read(spark, sf, "documents"))

@@ -17,7 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,7 +210,7 @@ def learning_artefacts(ens: Ensemble) -> DataFrame:
         for i, v in enumerate(hist):
             rows.append(("logit", "loss", str(i), float(v)))
         rows.append(("logit", "iterations", "", float(len(hist))))
-    for name in ("random_forest", "xgboost"):
+    for name in ("random_forest", "newton_boosting"):
         m = ens.models.get(name)
         if m is not None:
             for n, v in zip(ens.feature_names, m.featureImportances.toArray()):
@@ -263,12 +263,13 @@ def importance_by_base(spark, ens: Ensemble, model: str = "random_forest") -> Da
     return d.groupBy("base").agg(F.round(F.sum("importance"), 4).alias("importance")).orderBy(F.desc("importance"))
 
 
-def reference_customer(spark, ens: Ensemble, train_raw: DataFrame) -> DataFrame:
-    """The median of every raw numeric feature and the mode of every categorical, scored."""
-    from riskframe.operators.stats import modes
-    med = exact_medians(train_raw, S.NUMERIC_FEATURES)
-    mod = modes(train_raw, S.CATEGORICAL_FEATURES)
-    row = {**{c: float(med[c]) for c in S.NUMERIC_FEATURES}, **mod, "app_id": 0}
-    one = spark.createDataFrame([row], "app_id long, " + ", ".join(
-        [f"{c} double" for c in S.NUMERIC_FEATURES] + [f"{c} string" for c in S.CATEGORICAL_FEATURES]))
-    return score(one, ens, explain=False)
+def reference_customer(train_raw: DataFrame, features: list[str]) -> dict[str, float]:
+    """The median of every encoded, unscaled feature of the training part."""
+    return {c: float(v) for c, v in exact_medians(train_raw, features).items()}
+
+
+def scored_reference(spark, ens: Ensemble) -> DataFrame:
+    """The ensemble's probability for the customer at the median of every encoded feature."""
+    x = array_to_vector(F.array(*[F.lit(float(ens.ranges[n]["median"])) for n in ens.feature_names]))
+    one = ens.scaler.transform_vector(spark.range(1).select(F.col("id").alias("app_id"), x.alias("features")), "features", "scaled")
+    return ensemble_probability(one, ens).select("p_ensemble", *[f"p_{n}" for n in ens.models])

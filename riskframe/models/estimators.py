@@ -1,25 +1,26 @@
-"""Spark ML estimators of the ensemble and the lab (M1-M4, M6).
+"""Estimators of the ensemble and the lab (M1-M4, M6).
 
 Reference sizes are the defaults (200 trees of depth 10; 200 boosting rounds
-of depth 6 at rate 0.1; 1000 logistic iterations; probit 200 iterations).
-Spark's boosted trees are first-order (gradient) boosting, the second-order
-Newton step is available as a refit of leaf values (:mod:`riskframe.models.artefacts`).
+of depth 6 at rate 0.1; 1000 logistic iterations; probit 200 iterations; lab network
+64-32 with ReLU, at most 300 epochs with early stopping).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.models.gelu_net import GeluNetwork
+from riskframe.models.newton_boosting import NewtonBoosting
+from riskframe.models.probit import Probit
 
-ENSEMBLE_MODELS = ("logit", "random_forest", "xgboost", "neural_net")
+ENSEMBLE_MODELS = ("logit", "random_forest", "newton_boosting", "neural_net")
+#: Models that add their own output column instead of a Spark ML probability vector.
+_OWN = ("probit", "newton_boosting", "neural_net", "mlp")
 
 
 @dataclass
@@ -44,20 +45,17 @@ def build(name: str, n_rows: int, sizes: ModelSizes, features: str = "scaled", l
                                   elasticNetParam=0.0, standardization=False, maxIter=sizes.logit_iter, tol=1e-6,
                                   probabilityCol=out, rawPredictionCol=f"{out}_r", predictionCol=f"{out}_p")
     if name == "probit":
-        return GeneralizedLinearRegression(featuresCol=features, labelCol=label, family="binomial", link="probit",
-                                           maxIter=sizes.probit_iter, predictionCol=out)
+        return Probit(sizes.probit_iter)
     if name == "random_forest":
         return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=sizes.trees,
                                       maxDepth=sizes.tree_depth, seed=seed, probabilityCol=out,
                                       rawPredictionCol=f"{out}_r", predictionCol=f"{out}_p")
-    if name == "xgboost":
-        return GBTClassifier(featuresCol=features, labelCol=label, maxIter=sizes.boost_rounds,
-                             maxDepth=sizes.boost_depth, stepSize=sizes.boost_rate, seed=seed,
-                             predictionCol=f"{out}_p").setProbabilityCol(out).setRawPredictionCol(f"{out}_r")
-    if name == "mlp":
-        return ("mlp", sizes.mlp_iter, seed)  # built at fit time: needs the input width
+    if name == "newton_boosting":
+        return NewtonBoosting(sizes.boost_rounds, sizes.boost_depth, sizes.boost_rate)
     if name == "neural_net":
         return GeluNetwork(epochs=sizes.net_epochs, seed=seed)
+    if name == "mlp":  # the lab network: its own curve, rate, decay and patience
+        return GeluNetwork(epochs=sizes.mlp_iter, lr=0.001, l2=1e-4, batch=200, patience=10, val_fraction=0.1, seed=seed, activation="relu")
     raise ValueError(f"unknown model {name}")
 
 
@@ -65,24 +63,17 @@ def fit(name: str, train: DataFrame, sizes: ModelSizes, id_col: str, features: s
         label: str = "label", seed: int = 42):
     n = train.count() if name == "logit" else 0
     est = build(name, n, sizes, features, label, seed)
-    if name == "neural_net":
+    if name in ("neural_net", "mlp"):
         return est.fit(train, id_col=id_col, features_col=features, label_col=label)
-    if name == "mlp":
-        width = len(train.select(vector_to_array(features).alias("x")).first()["x"])
-        mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=[width, 64, 32, 2],
-                                             maxIter=sizes.mlp_iter, seed=seed, probabilityCol="_raw_mlp",
-                                             rawPredictionCol="_raw_mlp_r", predictionCol="_raw_mlp_p")
-        return mlp.fit(train.withColumn(label, F.col(label).cast("double")))
+    if name in ("newton_boosting", "probit"):
+        return est.fit(train, features, label)
     return est.fit(train.withColumn(label, F.col(label).cast("double")))
 
 
 def probability_of(name: str, model, df: DataFrame, features: str = "scaled", output: str | None = None) -> DataFrame:
     """Add ``output`` (default ``p_<name>``) = P(class 1) of a fitted model."""
     output = output or f"p_{name}"
-    if name == "neural_net":
+    if name in _OWN:
         return model.transform(df, features_col=features, output=output)
     cols = df.columns
-    t = model.transform(df)
-    raw = f"_raw_{name}"
-    p: Column = F.col(raw) if name == "probit" else vector_to_array(F.col(raw))[1]
-    return t.select(*cols, p.alias(output))
+    return model.transform(df).select(*cols, vector_to_array(F.col(f"_raw_{name}"))[1].alias(output))

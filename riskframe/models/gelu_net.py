@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import unit_hash
+from riskframe.session import cut_lineage
 
 # FIXED VALUES: constants of the smooth curve's usual approximation.
 GELU_CUBIC = 0.044715
@@ -144,6 +145,7 @@ class GeluNetworkModel:
     loss_curve: list[float] = field(default_factory=list)
     val_loss_curve: list[float] = field(default_factory=list)
     best_val_loss: float | None = None
+    stopped_early: bool = False
 
     @property
     def n_params(self) -> int:
@@ -223,6 +225,7 @@ class GeluNetwork:
     val_fraction: float = 0.15
     seed: int = 42
     activation: str = "gelu"
+    partitions: int | None = None  # rows are dealt to so many tasks; the default parallelism if not given
 
     def start(self, sizes: list[int]) -> np.ndarray:
         """Normal entries with variance 2 / inputs, offsets 0."""
@@ -237,26 +240,24 @@ class GeluNetwork:
         rows = df.select(*_inputs(df, features_col, width), F.col(label_col).cast("double").alias("y"),
                          (unit_hash(id_col, self.seed + 1) < F.lit(self.val_fraction)).alias("val"),
                          unit_hash(id_col, self.seed + 2).alias("_u"))
-        # by a hash of the row: the same rows meet in a partition after any recomputation
-        rows = rows.repartition(spark.sparkContext.defaultParallelism, "_u").drop("_u").persist()
+        # by a hash of the row, and written: the same rows meet in a partition in every epoch, whatever executors are lost
+        rows = cut_lineage(rows.repartition(self.partitions or spark.sparkContext.defaultParallelism, "_u").drop("_u"), "net-rows")
         state = Moments.at(self.start(sizes))
         model = GeluNetworkModel(sizes, state.flat, self.activation)
         best, waited = math.inf, 0
-        try:
-            for epoch in range(self.epochs):
-                mean, train_loss, val_loss = self.epoch(rows, state, sizes, epoch)
-                if train_loss is None:
-                    break
-                model.loss_curve.append(train_loss)
-                model.val_loss_curve.append(val_loss)
-                waited += 1
-                if val_loss < best - self.min_delta:
-                    best, waited, model.weights = val_loss, 0, state.flat
-                if waited >= self.patience:
-                    break
-                state = mean
-        finally:
-            rows.unpersist()
+        for epoch in range(self.epochs):
+            mean, train_loss, val_loss = self.epoch(rows, state, sizes, epoch)
+            if train_loss is None:
+                break
+            model.loss_curve.append(train_loss)
+            model.val_loss_curve.append(val_loss)
+            waited += 1
+            if val_loss < best - self.min_delta:
+                best, waited, model.weights = val_loss, 0, state.flat
+            if waited >= self.patience:
+                model.stopped_early = True
+                break
+            state = mean
         model.best_val_loss = round(best, 4) if math.isfinite(best) else None
         return model
 

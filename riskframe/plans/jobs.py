@@ -56,6 +56,7 @@ class LabResult:
     medians: dict
     modes: dict
     report: list[tuple[str, str]]
+    train_raw: DataFrame  # the training part before scaling
 
 
 def prepare_lab(df: DataFrame, target: str, id_col: str, test_fraction: float = 0.2, seed: int = 42) -> LabResult:
@@ -101,4 +102,4 @@ def prepare_lab(df: DataFrame, target: str, id_col: str, test_fraction: float =
     report.append(("features", str(len(feats))))
     if const:
         report.append(("drop_constant", ",".join(const)))
-    return LabResult(scaler.transform(train), scaler.transform(test), feats, scaler, med, mod, report)
+    return LabResult(scaler.transform(train), scaler.transform(test), feats, scaler, med, mod, report, train)

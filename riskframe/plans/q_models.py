@@ -1,25 +1,27 @@
 """Model queries.
 
-Fitted-model outputs have no SQL twin (the driver checks them rows-only);
-X2 is set algebra and has one.  All fits run at the reference sizes
-(``ModelSizes()``).
+Outputs of fitted models have no SQL twin (the driver checks them rows-only), except where SQL can tell
+what a right fit must give: M1 (the fitted moments equal the observed ones), M4b (small boosted trees, grown
+again in SQL), M16, F7 and X2.  All other fits run at the reference sizes (``ModelSizes()``).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
-from riskframe.models import artefacts as AR
 from riskframe.models import ensemble as EN
 from riskframe.models import estimators as E
 from riskframe.models import registry as R
+from riskframe.models import tree_nodes as TN
+from riskframe.models.newton_boosting import NewtonBoosting
 from riskframe.operators import explain as X
 from riskframe.operators import features as FE
 from riskframe.plans import jobs
+from riskframe.plans.boosting_sql import boosting_ctes
 from riskframe.plans.registry import query
-from riskframe.session import scratch_path
+from riskframe.session import cut_lineage, scratch_path
 from riskframe.sources import fixtures as fx
 
 _CACHE: dict = {}
@@ -59,7 +61,7 @@ def _registry(spark, sf):
 
 
 def _fitted(spark, sf, name):
-    """A model fitted on the training part (M4 and M4b share one)."""
+    """A model fitted on the training part."""
     key = ("fit", name, spark.sparkContext.applicationId, sf)
     if key not in _CACHE:
         _CACHE[key] = E.fit(name, _split_scaled(spark, sf)[0], E.ModelSizes(), "app_id")
@@ -74,11 +76,61 @@ def _single_model(name):
     return fn
 
 
-for _qid, _name in [("M1", "logit"), ("M2", "probit"), ("M3", "random_forest"), ("M4", "xgboost"),
-                    ("M5", "neural_net"), ("M6", "mlp")]:
+for _qid, _name in [("M3", "random_forest"), ("M4", "newton_boosting"), ("M5", "neural_net"), ("M6", "mlp")]:
     query(_qid)(_single_model(_name))
 
 
+def _moments_sql() -> tuple[str, dict[str, str]]:
+    """Sum of label x scaled feature over the training part, with the encoding and scaling of the ensemble."""
+    from riskframe.functions.hashing import unit_hash_sql as H
+    from riskframe.plans.sqlgen import q
+    cols = {n: f"CAST({n} AS DOUBLE)" for n in S.NUMERIC_FEATURES} | {
+        f"{c}_{v}": f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END" for c in S.CATEGORICAL_FEATURES for v in sorted(S.DOMAINS[c])}
+    ctes = {
+        "m_rows": f"SELECT app_id, aprobado, {', '.join(f'{e} AS {q(n)}' for n, e in cols.items())} FROM applications",
+        "m_split": f"""SELECT * FROM m_rows QUALIFY row_number() OVER (PARTITION BY aprobado ORDER BY {H('app_id', 42)}, app_id)
+                 > round(0.2 * count(*) OVER (PARTITION BY aprobado))""",
+        "m_stats": "SELECT " + ", ".join(f"avg({q(n)}) AS {q('m_' + n)}, coalesce(nullif(stddev_pop({q(n)}), 0), 1.0) AS {q('s_' + n)}"
+                                         for n in cols) + " FROM m_split",
+    }
+    each = " UNION ALL ".join(f"SELECT '{n}' AS feature, aprobado * ({q(n)} - {q('m_' + n)}) / {q('s_' + n)} AS v FROM m_split, m_stats"
+                              for n in cols)
+    return f"""SELECT feature, CAST(count(*) AS BIGINT) AS n_train, round(sum(v), 2) + 0.0 AS moment
+        FROM ({each} UNION ALL SELECT 'intercept', aprobado FROM m_split) GROUP BY feature""", ctes
+
+
+_M1_BODY, _M1_CTES = _moments_sql()
+
+
+@query("M1", _M1_BODY, _M1_CTES)
+def m1_logistic_moments(spark, sf):
+    """The fitted model's moments on its training rows: sum of p x, plus the L2 term's share, per feature.
+
+    At the optimum they equal the observed sums of y x, which SQL computes without a model."""
+    train, _, names = _split_scaled(spark, sf)
+    m = _fitted(spark, sf, "logit")
+    p = E.probability_of("logit", m, train).select(vector_to_array("scaled").alias("x"), F.col("p_logit").alias("p"))
+    feats = [n for n, _, _ in names]
+    sums = p.agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), *[F.sum(F.col("p") * F.col("x")[j]).alias(f"s{j}") for j in range(len(feats))])
+    beta = m.coefficients.toArray()
+    rows = [F.struct(F.lit(f).alias("feature"), (F.col(f"s{j}") + float(beta[j])).alias("v")) for j, f in enumerate(feats)]
+    rows.append(F.struct(F.lit("intercept").alias("feature"), F.col("s").alias("v")))
+    return sums.select("n", F.explode(F.array(*rows)).alias("r")).select(
+        "r.feature", F.col("n").alias("n_train"), (F.round("r.v", 2) + F.lit(0.0)).alias("moment"))
+
+
+@query("M2")
+def m2_probit(spark, sf):
+    """Probit on the lab encoding (first level of each category dropped), with the model that was used."""
+    key = ("probit", spark.sparkContext.applicationId, sf)
+    train, test, names = _split_scaled(spark, sf)
+    if key not in _CACHE:
+        _CACHE[key] = E.fit("probit", FE.drop_first_level(train, names, "scaled", "scaled")[0], E.ModelSizes(), "app_id")
+    m = _CACHE[key]
+    return m.transform(FE.drop_first_level(test, names, "scaled", "scaled")[0], "scaled", "probability").select(
+        "app_id", "label", "probability", F.lit(m.used).alias("used"), F.lit(m.reason).alias("reason"))
+
+
 @query("M7")
 def m7_train_evaluate_refit(spark, sf):
     ens = _ensemble(spark, sf)
@@ -148,11 +200,9 @@ def m14_recommendations(spark, sf):
     return X.recommendations(a, "app_id", EN.score_fn(ens))
 
 
-@query("M16")
-def m16_reference_customer(spark, sf):
-    ens = _ensemble(spark, sf)
-    return EN.reference_customer(spark, ens, fx.applications(spark, sf)).select(
-        "app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES, "probability", "decision")
+_M16_ROWS = " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, round(median(\"{n}\"), 6) AS median FROM lab_split WHERE split = 'train'"
+    for n in S.NUMERIC_FEATURES + [f"{c}_{v}" for c in S.CATEGORICAL_FEATURES for v in sorted(S.DOMAINS[c])[1:]])
 
 
 @query("M18")
@@ -198,13 +248,38 @@ def m20_activations(spark, sf):
 @query("M21")
 def m21_tree_table(spark, sf):
     mp, _ = _registry(spark, sf)
-    return AR.tree_table(spark, f"{mp}/random_forest", _ensemble(spark, sf).feature_names)
-
-
-@query("M4b")
-def m4b_newton_leaves(spark, sf):
-    train, _, _ = _split_scaled(spark, sf)
-    return AR.newton_leaf_values(_fitted(spark, sf, "xgboost"), train)
+    names = F.array(*[F.lit(n) for n in _ensemble(spark, sf).feature_names])
+    forest = TN.first_levels(TN.forest_nodes(spark, f"{mp}/random_forest")).select(
+        F.lit("random_forest").alias("model"), "tree", "node", "depth", F.col("n").alias("samples"), "class_0", "class_1",
+        F.try_divide("class_1", F.col("class_0") + F.col("class_1")).alias("probability"), "feature", "threshold", "leaf",
+        F.lit(None).cast("double").alias("weight"))
+    boosted = TN.first_levels(spark.read.parquet(f"{mp}/newton_boosting/nodes")).select(
+        F.lit("newton_boosting").alias("model"), "tree", "node", "depth", F.col("n").alias("samples"),
+        *[F.lit(None).cast("double").alias(c) for c in ("class_0", "class_1", "probability")], "feature", "threshold", "leaf", "weight")
+    return forest.unionByName(boosted).withColumn("feature", F.get(names, F.col("feature")))
+
+
+_BOOST_FEATURES = {"edad": "edad", "banda_ingresos": "floor(ingresos_mensuales / 100)", "cargas_familiares": "cargas_familiares",
+                   "creditos_activos": "creditos_activos"} | {
+    f"{c}_{v}": f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END" for c in S.CATEGORICAL_FEATURES for v in sorted(S.DOMAINS[c])}
+_BOOST = {"rounds": 2, "depth": 3, "rate": 0.1, "reg_lambda": 1.0, "least_hessian": 1.0}
+_BOOST_ROWS = f"SELECT app_id, aprobado AS y, [{', '.join(f'CAST({e} AS DOUBLE)' for e in _BOOST_FEATURES.values())}] AS x FROM applications"
+_BOOST_NAMES = "[" + ", ".join(f"'{n}'" for n in _BOOST_FEATURES) + "]"
+
+
+@query("M4b", f"""
+SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, CAST(depth AS INTEGER) AS depth, {_BOOST_NAMES}[f + 1] AS feature,
+       threshold, CAST(n AS BIGINT) AS n, round(G, 6) + 0.0 AS G, round(H, 6) AS H, gain, round(weight, 6) + 0.0 AS weight
+FROM grown""", boosting_ctes(_BOOST_ROWS, **_BOOST))
+def m4b_newton_trees(spark, sf):
+    """Two rounds of boosting on features of few values: every node with its gradients, gain and Newton weight."""
+    a = fx.applications(spark, sf).select("app_id", array_to_vector(F.array(*[F.expr(e).cast("double") for e in _BOOST_FEATURES.values()]))
+                                          .alias("scaled"), F.col(S.TARGET).alias("label"))
+    names = F.array(*[F.lit(n) for n in _BOOST_FEATURES])
+    nodes = NewtonBoosting(**_BOOST, bins=255).fit(cut_lineage(a, "boost-rows")).node_table(spark)
+    return nodes.select("tree", "node", "depth", F.get(names, F.col("feature")).alias("feature"), "threshold", "n",
+                        (F.round("G", 6) + F.lit(0.0)).alias("G"), F.round("H", 6).alias("H"), "gain",
+                        (F.round("weight", 6) + F.lit(0.0)).alias("weight"))
 
 
 @query("S11")
@@ -285,6 +360,15 @@ def f7_lab_preprocess(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in lab.feature_names})
 
 
+@query("M16", _M16_ROWS, _F7_CTES)
+def m16_reference_customer(spark, sf):
+    """The reference customer: median of every unscaled feature of the lab's training part."""
+    lab = jobs.prepare_lab(fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES, "aprobado"),
+                           "aprobado", "app_id")
+    med = EN.reference_customer(lab.train_raw, lab.feature_names)
+    return spark.createDataFrame([(n, round(v, 6)) for n, v in med.items()], "feature string, median double")
+
+
 @query("X2", " UNION ALL ".join(f"""
 SELECT '{c}' AS "column", {c} AS value, CAST(count(*) AS BIGINT) AS n FROM inverted
 WHERE {c} NOT IN (SELECT DISTINCT {c} FROM applications WHERE {c} IS NOT NULL) GROUP BY {c}""" for c in S.CATEGORICAL_FEATURES))

@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "riskframe") -> SparkSession:
     """Session for tests and the local bench (``local[cores]``, UI off)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -34,6 +34,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "riskf
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 _SCRATCH: list[str] = []
@@ -63,7 +65,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique table path below the shared checkpoint folder."""
+    """A new, unique table path below the shared checkpoint folder.
+
+    Whoever writes intermediate tables also runs Python tasks, so the package is shipped here."""
+    ship_package(spark)
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     _SCRATCH.append(path)
     return path

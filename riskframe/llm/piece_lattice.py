@@ -56,6 +56,7 @@ TEXT_BYTES, FOLD_BYTES = 1 << 19, 1 << 16
 LONG_WORD = 64
 _K = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
+_BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
 
 
 class PieceTable:
@@ -115,7 +116,7 @@ class Lattice:
         self.unknown = table.unknown_score
         self.byte_ids = np.asarray(table.byte_ids, np.int64)
         self.longest = max(map(len, data))
-        keys = self._whole(data)
+        keys = self._whole(data, piece_hashes)
         order = np.argsort(keys)
         self.keys, self.ids, self.scores = keys[order], self.ids[order], self.scores[order]
         self.some = np.zeros(1 << _FILTER_BITS, bool)
@@ -124,9 +125,12 @@ class Lattice:
         self.single = np.ones(128, bool)  # ASCII bytes that no piece contains are words of their own
         self.single[used[used < 128]] = False
         words = [_inner(w) for w, _ in lexicon]
-        known = self._whole(words) if words else np.zeros(0, np.uint64)
+        known = self._whole(words, word_hashes) if words else np.zeros(0, np.uint64)
         order = np.argsort(known)
         self.known = known[order]
+        self.known_size = np.array([len(w) for w in words], np.int64)[order]
+        self.known_at = np.cumsum(self.known_size) - self.known_size
+        self.known_bytes = np.frombuffer(b"".join(words[k] for k in order) or b" ", np.uint8)
         counts = np.array([len(i) for _, i in lexicon], np.int64)
         first = np.concatenate([[0], np.cumsum(counts)])[:-1] if len(counts) else np.zeros(0, np.int64)
         self.known_ids = np.array([i for _, ids in lexicon for i in ids], np.int64)
@@ -142,17 +146,16 @@ class Lattice:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
 
     @staticmethod
-    def _whole(words: list[bytes]) -> np.ndarray:
+    def _whole(words: list[bytes], hashes) -> np.ndarray:
         raw = np.frombuffer(b"".join(words), np.uint8)
         n = np.array([len(w) for w in words], np.int64)
-        return word_hashes(raw, np.cumsum(n) - n, n)
+        return hashes(raw, np.cumsum(n) - n, n)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first id of each text plus the end) for some texts."""
         marked, text_at, text_end = with_marks(raw, offsets)
         start, end, text = words_at(marked, text_at, text_end, self.single)
-        h = word_hashes(marked, start, end - start)
-        distinct, at, of = np.unique(h, return_index=True, return_inverse=True)
+        distinct, at, of = distinct_words(marked, start, end)
         ids, first, count = self._encode_distinct(marked, distinct, start[at], end[at])
         n = count[of]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -166,7 +169,8 @@ class Lattice:
         found = np.zeros(len(distinct), bool)
         if len(self.known):
             k = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-            found = self.known[k] == distinct
+            found = (self.known[k] == distinct) & (self.known_size[k] == end - start)
+            found[found] = same_bytes(marked, start[found], self.known_bytes, self.known_at[k[found]], self.known_size[k[found]])
             first[found], count[found] = self.known_first[k[found]], self.known_count[k[found]]
         rest = np.flatnonzero(~found)
         if not len(rest):
@@ -380,11 +384,9 @@ def node_of(dst: np.ndarray, node: np.ndarray) -> np.ndarray:
     return node[np.searchsorted(node, dst, "right") - 1]
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, the same for equal bytes wherever they lie."""
-    h = np.zeros(len(start), np.uint64)
-    live = np.arange(len(start))
-    step = 0
+def piece_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of at most a piece's length, grown byte by byte as in ``Lattice._edges``."""
+    h, live, step = np.zeros(len(start), np.uint64), np.arange(len(start)), 0
     while True:
         live = live[length[live] > step]
         if not len(live):
@@ -394,6 +396,50 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
     return mix(h + length.astype(np.uint64) * _K)
 
 
+def word_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of any length, the same for equal bytes wherever they lie: a sum over mixtures of
+    bytes with their places."""
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    places = mix(np.arange(1, int(length.max(initial=0)) + 1, dtype=np.uint64) * _K)
+    values = (_BYTES[raw[np.repeat(start, length) + place]] ^ places[place]) * _K
+    values ^= values >> np.uint64(32)
+    out = np.zeros(len(start), np.uint64)
+    some = length > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(length) - length)[some])
+    return mix(out + length.astype(np.uint64) * _K)
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which pairs of byte ranges (of equal, positive lengths) hold the same bytes."""
+    if not len(length):
+        return np.zeros(0, bool)
+    before = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(before, length)
+    return np.logical_and.reduceat(a[np.repeat(a_at, length) + place] == b[np.repeat(b_at, length) + place], before)
+
+
+def distinct_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, place of one of each, number of each word's) of distinct byte ranges; equal hashes are checked by bytes."""
+    size = end - start
+    h = word_hashes(raw, start, size)
+    distinct, at, of = np.unique(h, return_index=True, return_inverse=True)
+    right = size == size[at[of]]
+    right[right] = same_bytes(raw, start[right], raw, start[at[of[right]]], size[right])
+    if right.all():
+        return distinct, at, of
+    # two words of one hash: all words of such hashes are told apart by their bytes
+    seen: dict[bytes, int] = {}
+    for i in np.flatnonzero(~right):
+        seen.setdefault(raw[start[i]:end[i]].tobytes(), len(seen))
+    other = {b: len(distinct) + k for b, k in seen.items()}
+    for i in np.flatnonzero(~right):
+        of[i] = other[raw[start[i]:end[i]].tobytes()]
+    first = {int(of[i]): int(i) for i in np.flatnonzero(~right)[::-1]}
+    more = [first[k] for k in range(len(distinct), len(distinct) + len(seen))]
+    return np.concatenate([distinct, h[more]]), np.concatenate([at, np.array(more, at.dtype)]), of
+
+
 def with_marks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends): each non-empty text with a mark in front and a mark for each blank.
 

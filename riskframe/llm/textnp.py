@@ -16,10 +16,7 @@ _LOWER[65:91] += 32
 #: Word bytes: digits, letters a-z after lower-casing A-Z, and every byte of a non-ASCII character.
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
-#: Odd multipliers of a word's byte positions; each further block of as many bytes has an odd factor of its own.
-_REACH = 1 << 12
 _M = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(_REACH, 0xD6E8FEB86659FD93, dtype=np.uint64), dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,6 +28,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: A word's hash sums, over its bytes, a mixture of the byte and its place: no factor is common to a place or a byte,
+#: so regular words (of two letters, say) cannot cancel out.
+_BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+_PLACES = mix(np.arange(1, 1 + (1 << 12), dtype=np.uint64) * _M)
+
+
 def byte_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if column.null_count:
@@ -92,10 +95,11 @@ class Words:
         lengths = self.end - self.start
         at = np.flatnonzero(inside)
         place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        values = (self.low[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place & (_REACH - 1)]
-        longest = int(lengths.max())
-        if longest > _REACH:
-            values *= (mix(np.arange(-(-longest // _REACH), dtype=np.uint64) * _M) | np.uint64(1))[place // _REACH]  # the first is 1
+        places, longest = _PLACES, int(lengths.max())
+        if longest > len(places):
+            places = mix(np.arange(1, longest + 1, dtype=np.uint64) * _M)
+        values = (_BYTES[self.low[at]] ^ places[place]) * _M
+        values ^= values >> np.uint64(32)
         sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
         return mix(sums + lengths.astype(np.uint64) * _M)
 
@@ -125,15 +129,15 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return run[order], at[order]
 
 
-def sequence_hash(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits (two 64-bit numbers) of each text's word sequence."""
-    out = []
-    for salt in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707345)):
-        place = np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.counts)
-        value = mix(words.hash ^ mix(place.astype(np.uint64) * _M + salt))
-        total = np.zeros(words.texts, np.uint64)
-        some = words.counts > 0
-        if some.any():
-            total[some] = np.add.reduceat(value, words.first[:-1][some])
-        out.append(mix(total + words.counts.astype(np.uint64) * salt))
-    return out[0], out[1]
+def word_texts(words: Words) -> list[bytes]:
+    """Each text's words, lower-cased and with one blank between them."""
+    n = len(words.low)
+    size = words.end - words.start
+    total = np.cumsum(size + 1)
+    out = np.full(int(total[-1]) if len(total) else 0, 32, np.uint8)
+    begin = total - size - 1
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + place] = words.low[np.repeat(words.start, size) + place] if n else 0
+    ends = np.r_[0, total][words.first]
+    data = out.tobytes()
+    return [data[a:max(a, z - 1)] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]

@@ -84,10 +84,77 @@ def test_one_document_of_each_group_stays(docs_of):
 
 
 def test_prefix_is_shortened_until_the_recall_is_reached():
-    d = M.prefix_length()
-    assert 1 - (1 - 0.8 ** d) ** M.TREES >= M.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** M.TREES
+    calculated = next(d for d in range(M.DEPTH, 0, -1) if M.met_probability(d) >= M.RECALL)
+    assert M.accepted_prefix({}, 0.8, M.RECALL) == (calculated, 1.0) == M.accepted_prefix({M.DEPTH: 9}, 0.8, M.RECALL)
+    assert M.accepted_prefix({M.DEPTH: 90, 3: 9, 2: 1}, 0.8, M.RECALL) == (2, 1.0)
+    assert M.accepted_prefix({M.DEPTH: 90, 3: 9, 2: 1}, 0.8, 0.99) == (3, 0.99)
+    assert M.accepted_prefix({M.DEPTH: 5, 0: 5}, 0.8, 0.9) == (1, 0.5)
     with pytest.raises(ValueError):
-        M.prefix_length(trees=1)
+        M.accepted_prefix({}, 0.01, 0.9995)
+
+
+def signed(spark, rng, n, letters):
+    rows = [(c, 1, [rng.randrange(letters) for _ in range(M.TREES * M.DEPTH)]) for c in range(n)] + [(n, 0, [0] * (M.TREES * M.DEPTH))]
+    return spark.createDataFrame(rows, "c long, n_words int, sig array<int>"), rows[:-1]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 60])
+def test_sorted_labels_know_their_neighbours_in_all_partitions(spark, partitions):
+    rng = random.Random(2)
+    classes, rows = signed(spark, rng, 70, 3)
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {(r["c"], r["tree"]): (list(r["label"]), r["shared"]) for r in M.sorted_forest(classes).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+    label = {(c, t): sig[t * M.DEPTH:(t + 1) * M.DEPTH] for c, _, sig in rows for t in range(M.TREES)}
+    assert got.keys() == label.keys()
+    for (c, t), (own, shared) in got.items():
+        want = max(next((k for k in range(M.DEPTH) if own[k] != label[o, t][k]), M.DEPTH) for o in range(70) if o != c)
+        assert own == label[c, t] and shared == want
+
+
+def test_recall_is_measured_on_the_sampled_documents(docs_of, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, edited(rng, base, i % 3)) for i in range(60)] + [(100 + i, f"alone {i} {i * 3} {i * 7} x") for i in range(30)]
+    seen = []
+    real = M.accepted_prefix
+    monkeypatch.setattr(M, "accepted_prefix", lambda reached, t, r: seen.append((reached, real(reached, t, r))) or seen[-1][1])
+    assert got(docs_of(rows)) == brute(rows)
+    reached, (prefix, measured) = seen[0]
+    # fewer documents than the sample holds: every link is a true pair, in both directions
+    assert sum(reached.values()) == sum(n for _, n, _ in {v[2]: v for v in brute(rows).values()}.values())
+    assert measured >= M.RECALL and 1 <= prefix <= M.DEPTH
+
+
+def test_member_rows_grow_with_the_input(docs_of, monkeypatch):
+    """Near copies in many trees are kept where they first meet; blocks alone add rows, n / BLOCK times."""
+    sizes = {}
+    real = M.written
+
+    def count(df, name, *a, **k):
+        out = real(df, name, *a, **k)
+        if name == "forest-members":
+            sizes[len(sizes)] = out.count()
+        return out
+    monkeypatch.setattr(M, "written", count)
+    for n in (100, 400):
+        rng = random.Random(1)
+        rows = [(2 * i + k, edited(rng, [f"d{i}w{j}" for j in range(60)], k)) for i in range(n) for k in (0, 1)]
+        M.near_duplicates(docs_of(rows)).count()
+    assert sizes[1] < 4.2 * sizes[0] and sizes[1] < 3 * 2 * 400
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_words_are_not_confused(docs_of, n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, one), (2, two), (3, one), (4, f"{one} {two}"), (5, f"{two} {one}")]
+    assert got(docs_of(rows)) == brute(rows)
 
 
 def test_both_ways_of_counting_agree():

@@ -84,3 +84,27 @@ def test_round_trip_query_and_edge_cases(docs_of):
     by = {r["doc_id"]: r for r in got}
     assert by[50]["n_pieces"] == 0 and by[None]["ids"] == sp.encode("x y") and by[52]["ids"] == sp.encode(rows[-1][1])
     assert P.encode_and_decode(docs_of([])).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    """Two words of n letters that differ everywhere, and that polynomials cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_words_are_not_confused(n):
+    one, two = thue_morse(n)
+    texts = [one, two, f"{one} x {two}", two]
+    ids, back = run(P.Lattice(P.PieceTable.load()), texts)
+    assert back == texts and ids[1] == ids[3] != ids[0]
+
+
+def test_words_of_equal_hashes_are_told_apart_by_their_bytes(texts, monkeypatch):
+    expected = run(P.Lattice(P.PieceTable.load()), texts[:40])
+    real = P.word_hashes
+    monkeypatch.setattr(P, "word_hashes", lambda raw, start, length: real(raw, start, length) % np.uint64(5))
+    lexicon = [(P.MARK + "the", [1]), ("xyz", [2])]
+    assert run(P.Lattice(P.PieceTable.load()), texts[:40]) == expected
+    ids, back = run(P.Lattice(P.PieceTable.load(), lexicon), ["the they", "xyz"])
+    assert ids[0][0] == 1 and ids[0][1:] == run(P.Lattice(P.PieceTable.load()), ["they"])[0][0]

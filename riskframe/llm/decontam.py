@@ -6,8 +6,8 @@ window).  A window is a set of positioned shingles of ``SHINGLE`` words (or of a
 if it has fewer).
 
 1. One scan of the documents keeps, per row, the positions whose shingle may belong to a
-   window.  The test is a byte table (16 slots per shingle, of bounded size) probed four times by the shingle's hash;
-   it passes every true shingle, and each kept position carries the few words around it.
+   window.  The test is a byte table (16 slots per shingle, of bounded size) probed four times by the shingle's hash,
+   built by an aggregate.  It passes every true shingle, and each kept position carries the few words around it.
    Texts are never shuffled or joined.
 2. The kept positions, joined to the windows' shingles, give the exact frequency of each
    shingle over all documents.  A window's shingles are ordered by rarity.  As a contained
@@ -87,13 +87,17 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def position_filter(shingles: DataFrame) -> bytes:
-    """One byte per slot, 1 where a window's shingle falls; the driver gets at most MOST_SLOTS numbers."""
+    """One byte per slot, '1' where a window's shingle falls; put together by Spark, the driver gets one row."""
     hashes = shingles.select("h").distinct()
     size = min(max(LEAST_SLOTS, 1 << (16 * hashes.count()).bit_length()), MOST_SLOTS)
-    table = bytearray(size)
-    for row in hashes.select(F.explode(F.array(*_slots(F.col("h"), size))).alias("s")).distinct().toLocalIterator():
-        table[row["s"]] = 1
-    return bytes(table)
+    slots = hashes.select(F.explode(F.array(*_slots(F.col("h"), size))).alias("s"))
+    # 32 slots at a time, as the digits of a number, the first slot last
+    part = slots.groupBy(F.shiftright("s", 5).cast("bigint").alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("s").bitwiseAND(31))).alias("bits"))
+    digits = F.reverse(F.lpad(F.bin(F.coalesce("bits", F.lit(0).cast("bigint"))), 32, "0"))
+    every = shingles.sparkSession.range(size // 32).join(part, "id", "left").select(F.struct("id", digits.alias("d")).alias("x"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["d"]), "")  # MOST_SLOTS / 32 rows at most
+    return bytes(every.agg(text.cast("binary").alias("t")).first()["t"])
 
 
 def kept_positions(docs: DataFrame, table: bytes, sizes: list[int], id_col: str, text_col: str,
@@ -101,7 +105,7 @@ def kept_positions(docs: DataFrame, table: bytes, sizes: list[int], id_col: str,
     """(row, doc_id, fp, n_words, hits): the positions that pass the filter, with their surroundings."""
     base = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"),
                        words_of(F.col(text_col)).alias("w"))
-    n, bits, one = F.size("w"), F.lit(table), F.lit(b"\x01")
+    n, bits, one = F.size("w"), F.lit(table), F.lit(b"1")
 
     def found(k: int) -> Column:
         def passes(i: Column) -> Column:

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.tables import fingerprint, sized, without, written
+from riskframe.llm.tables import fingerprint, once, sized, without, written
 
 
 def content_hash(text: Column) -> Column:
@@ -74,6 +74,6 @@ def drop_exact_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     groups = written(exact_groups(docs, keep=keep).select("doc_id", "kept", "text_fp", "row_copies"), "exact-groups")
     left = without(docs, groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_fp").alias("_fp")),
                    "exact-dropped")
-    if groups.filter("kept and row_copies > 1").isEmpty():
-        return left
-    return left.dropDuplicates(["doc_id", "text"])
+    repeats = groups.filter("kept and row_copies > 1")
+    return left if repeats.isEmpty() else once(
+        left, repeats.select(F.col("doc_id").alias("_id"), F.col("text_fp").alias("_fp")), "exact-repeats")

@@ -13,10 +13,9 @@ rows that partition p sends to shard s follows a multivariate hypergeometric law
 4. each shard is permuted again, in blocks: a row's block is a uniform hash, blocks
    are ordered by the hash and numbered from the running total of the earlier blocks,
    so no task sorts a whole shard,
-5. ``write_shards`` joins the written rows with their slots by the frozen position, which
-   every row has of its own, and moves them into their shards.
+5. ``write_shards`` permutes whole rows in their partitions by a local sort and moves them once.
 
-Only partition counts (one number per partition of at most ``MAX_PARTS``) reach the driver.
+Only partition counts (one number per partition) reach the driver.
 
 Defined results: a null text has size 1 (0 bytes plus 1) and the checksum of the empty
 text; rows with equal or null ids are separate rows; an empty table gives no rows;
@@ -26,17 +25,19 @@ other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.tables import sized, written
+from riskframe.llm.tables import written
 from riskframe.session import scratch_path
 
 #: Input splits beyond this number share a partition of the matrix (bounds the matrix, not the rows).
 MAX_PARTS = 4096
 #: Rows aimed at in one block of a shard's second permutation.
 BLOCK_ROWS = 100_000
+#: The same where whole rows are numbered in a block, and the most blocks of a shard (the first slots of all are broadcast).
+MOVED_ROWS, MOST_BLOCKS = 4_000, 1 << 16
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -89,15 +90,20 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 20, id_col
         "doc_id", "size", "text_crc32", "shard", "slot")
 
 
+def matrix_ends(spark: SparkSession, counts: dict[int, int], shards: int, seed: int) -> DataFrame:
+    """(part, ends): up to which rank the rows of a partition go to shard 0, 1, ..."""
+    parts = sorted(counts)
+    matrix = communication_matrix([counts[p] for p in parts], shards, seed)
+    return spark.createDataFrame([(int(p), [int(x) for x in np.cumsum(m)]) for p, m in zip(parts, matrix, strict=True)],
+                                 "part int, ends array<bigint>")
+
+
 def slots_of(keys: DataFrame, shards: int, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """pos, shard and slot of every row of ``keys`` (part, pos), which must be frozen."""
     spark = keys.sparkSession
     counts = {r["part"]: r["n"] for r in keys.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    parts = sorted(counts)
     total = sum(counts.values())
-    matrix = communication_matrix([counts[p] for p in parts], shards, seed)
-    ends = spark.createDataFrame([(int(p), [int(x) for x in np.cumsum(m)]) for p, m in zip(parts, matrix, strict=True)],
-                                 "part int, ends array<bigint>")
+    ends = matrix_ends(spark, counts, shards, seed)
     # the local permutation: a partition's rows in the order of a seeded hash of their frozen position
     local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), F.col("pos")), "pos")
     sent = (keys.withColumn("rank", F.row_number().over(local).cast("bigint") - 1)
@@ -129,17 +135,29 @@ def shard_table(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
         F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 20) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 20, block_rows: int = MOVED_ROWS) -> None:
     """Write the rows themselves, all columns, as ``path/_shard=k`` in slot order (column ``_slot``).
 
-    Ids are not read, so null and repeated ones are rows like others.  The rows are written once
-    with their position and joined to their slot by it (a broadcast of at most
-    ``tables.BROADCAST_ROWS`` slots, else an exchange), range-partitioned by (shard, slot) and
-    sorted locally."""
+    Ids are not read, so null and repeated ones are rows like others.  Each input partition is permuted where it
+    is (a local sort by a seeded hash) and written with its rows' ranks; a rank and the matrix give the shard, a
+    second hash the block inside it, and counts of the narrow columns the blocks' first slots.  The rows then
+    move once, range-partitioned by (shard, block), and are numbered inside their block."""
+    spark = docs.sparkSession
     # the row as one struct, so that no column of the input meets the names used here
-    rows = written(docs.select(F.struct("*").alias("_row"), *_place()), "shard-rows", "zstd")
-    where = sized(slots_of(rows.select("part", "pos"), shards, seed)
-                  .select("pos", F.col("slot").alias("_slot"), F.col("shard").alias("_shard")), "shard-slots")
-    (rows.join(where, "pos").select("_row.*", "_slot", "_shard")
-     .repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-     .write.partitionBy("_shard").parquet(path))
+    local = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("_m")).sortWithinPartitions("_m")
+    low = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's number in its partition
+    rows = written(local.select("_row", F.spark_partition_id().alias("part"), low.alias("rank")), "shard-rows", "zstd")
+    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a number per partition
+    ends = matrix_ends(spark, counts, shards, seed)
+    blocks = min(MOST_BLOCKS, max(1, -(-sum(counts.values()) // (shards * block_rows))))
+    mix = F.xxhash64(F.lit(seed + 1), "part", "rank")
+    sent = (rows.join(F.broadcast(ends), "part").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+            .withColumn("mix", mix).withColumn("block", F.pmod(F.shiftrightunsigned("mix", 20), F.lit(blocks))))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = written(sent.groupBy("shard", "block").agg(F.count("*").alias("n")).select(
+        "shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shard-bases")
+    inside = Window.partitionBy("shard", "block").orderBy("mix", "part", "rank")
+    # at most shards * MOST_BLOCKS bases
+    (sent.join(F.broadcast(base), ["shard", "block"]).drop("ends").repartitionByRange("shard", "block")
+     .withColumn("_slot", F.col("base") + F.row_number().over(inside) - 1)
+     .select("_row.*", "_slot", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path))

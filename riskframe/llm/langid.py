@@ -6,8 +6,10 @@ positions of a run, and the document's probabilities are the mean over its posit
 
 The network is trained by backpropagation through time on a bounded sample: about
 ``SAMPLE_PER_LANG`` documents per language, chosen by a hash of their id among those with a
-language outside the held-out fold, up to ``RUNS_PER_DOC`` runs of each.  Training is one task;
-its result, a few kilobytes of weights, goes to all tasks of the scoring pass.
+language outside the held-out fold, one row of each id, up to ``RUNS_PER_DOC`` runs of each; a text of more
+than ``SAMPLE_CHARS`` characters enters with ``SAMPLE_CUTS`` stretches, spread over all of it.  Training is one
+task; its result, a few kilobytes of weights, goes to all tasks of the scoring pass.  A column of more than
+``MOST_LANGS`` distinct values is refused: that is no language.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any
 training row every text is ``und``; null languages are not learned; rows with equal or null
@@ -31,6 +33,8 @@ HIDDEN = 8
 PAD = 256
 SAMPLE_PER_LANG = 400
 RUNS_PER_DOC = 6
+SAMPLE_CHARS, SAMPLE_CUTS = 6_000, 8
+MOST_LANGS = 1_000
 #: Sequences advanced together.
 BLOCK = 4096
 #: The held-out fold: remainder 1 of the id's checksum modulo 3.
@@ -41,6 +45,17 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def stretches(text: Column, id_col: Column, most: int, cuts: int) -> Column:
+    """A text of at most ``most`` characters as it is; a longer one as ``cuts`` stretches, each at a place drawn from
+    its own part of the text."""
+    n, size = F.length(text), most // cuts
+    share = F.pmod(F.xxhash64(F.lit("stretch"), id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    part = (n - size) / F.lit(float(cuts))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(cuts - 1)),
+                      lambda k: F.substring(text, (F.floor((k + share) * part) + 1).cast("int"), F.lit(size)))
+    return F.when(n <= most, text).otherwise(F.array_join(cut, " "))
+
+
 def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, length) of the runs of ``STEPS`` bytes that cover every text."""
     lengths = np.diff(offsets)
@@ -139,14 +154,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """(languages, weights), learned from documents outside the held-out fold; no language: ([], b'')."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l")) \
         .filter(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("i").isNotNull())
-    counts = sorted((r["l"], r["n"]) for r in known.groupBy("l").agg(F.count("*").alias("n")).collect())
+    counts = sorted((r["l"], r["n"]) for r in known.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect())
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} distinct languages")
     if not counts:
         return [], b""
     langs = [c for c, _ in counts]
     share = docs.sparkSession.createDataFrame([(c, k, min(1.0, per_lang / n)) for k, (c, n) in enumerate(counts)],
                                               "l string, k int, share double")
     draw = F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(F.broadcast(share), "l").filter(draw < F.col("share")).select("i", "t", "k")
+    sample = known.join(F.broadcast(share), "l").filter(draw < F.col("share")).select(
+        "i", "k", stretches(F.coalesce("t", F.lit("")), F.col("i"), SAMPLE_CHARS, SAMPLE_CUTS).alias("t")).groupBy("i", "k").agg(F.min("t").alias("t"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, k, t or "") for b in batches for i, t, k in zip(*(b.column(c).to_pylist() for c in ("i", "t", "k"))))

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.tables import fingerprint, sized, without, written
+from riskframe.llm.tables import fingerprint, once, sized, without, written
 from riskframe.llm.textnp import Words, byte_buffer, chunks, give_back, mix, shingles, word_texts
 
 SHINGLE = 5
@@ -482,4 +482,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = found.filter(~stays).select(F.col("doc_id").alias("_id"), F.col("text_fp").alias("_fp"))
     left = without(docs, gone, "forest-dropped")
     repeats = found.filter(stays).groupBy("doc_id", "text_fp").count().filter("count > 1")
-    return left if repeats.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    return left if repeats.isEmpty() else once(
+        left, repeats.select(F.col("doc_id").alias("_id"), F.col("text_fp").alias("_fp")), "forest-repeats")

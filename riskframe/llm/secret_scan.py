@@ -46,6 +46,8 @@ MIN_ENTROPY = 3.0
 COPIED_OWNERS, COPIED_REPOS = 3, 2
 #: as is one with this many of either.
 COPIED_MANY = 5
+#: Repositories of a single owner: fewer may be their own key in many places.
+COPIED_ALONE = 25
 
 _SPAN = "struct<kind:int,start:int,end:int,hash:binary,live:boolean>"
 SCAN_SCHEMA = f"doc_id long, repo string, owner string, base_sha256 string, same binary, found array<{_SPAN}>"
@@ -150,6 +152,7 @@ def ownership(values: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFram
     owners = values.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"))
     repos = (values.groupBy("hash", "same").agg(F.min("repo").alias("repo")).groupBy("hash", "repo").agg(F.count("*").alias("n"))
              .groupBy("hash").agg(F.count("*").alias("n_repos")))
-    many = F.greatest("n_owners", "n_repos") >= COPIED_MANY
+    many = (F.col("n_owners") >= COPIED_MANY) | ((F.col("n_repos") >= COPIED_MANY) & (F.col("n_owners") >= 2)) | \
+        (F.col("n_repos") >= COPIED_ALONE)
     return owners.join(repos, "hash").withColumn(
         "copied", ((F.col("n_owners") >= copied_owners) & (F.col("n_repos") >= COPIED_REPOS)) | many)

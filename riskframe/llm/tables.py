@@ -49,6 +49,13 @@ def without(docs: DataFrame, dropped: DataFrame, name: str, id_col: str = "doc_i
     return docs.join(gone, on, "left_anti")
 
 
+def once(docs: DataFrame, repeats: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each (id, text) named in ``repeats`` (columns _id, _fp); only those rows are shuffled."""
+    again = sized(repeats.select("_id", "_fp").distinct(), name)
+    on = docs[id_col].eqNullSafe(again["_id"]) & (fingerprint(docs[text_col]) == again["_fp"])
+    return docs.join(again, on, "left_anti").unionByName(docs.join(again, on, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def release(docs: DataFrame, before: list[str]) -> None:
     """Remove the scratch tables ``before``, except those that ``docs`` still reads."""
     read_by = [f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()]

@@ -8,8 +8,8 @@ directions; attention weighs its positions; a logistic unit scores the window.
 document's score is that of its worst window.
 
 Training is on a bounded sample: up to ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents
-outside the held-out fold, chosen by a hash of their id, of at most ``SAMPLE_CHARS`` characters
-each (scoring has no such bound).  Labels belong to documents, so training begins with random
+outside the held-out fold, chosen by a hash of their id, one row of each; a text of more than ``SAMPLE_CHARS``
+characters enters with ``SAMPLE_CUTS`` stretches, spread over all of it (scoring has no such bound).  Labels belong to documents, so training begins with random
 windows of each document and then takes the windows that score highest, and random ones beside
 them.  A fifth of the sample is not trained on: the document scores found there fit the logistic
 scale that turns the worst window's logit into a probability for a whole document.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import gru
-from riskframe.llm.langid import held_out
+from riskframe.llm.langid import held_out, stretches
 from riskframe.llm.tables import fingerprint, without, written
 from riskframe.llm.textnp import Words, byte_buffer, chunks, give_back, mix
 
@@ -39,7 +39,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, VECTOR, ATTEND = 8, 16, 8
 #: Rows of the hashed tables of words and of character 4-grams.
 WORD_ROWS = GRAM_ROWS = 1 << 15
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1000, 2000, 6_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS, SAMPLE_CUTS = 1000, 2000, 6_000, 8
 THRESHOLD = 0.7
 BLOCK = 4096
 
@@ -266,8 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     some = [known.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(n)
             for y, n in ((0, clean), (1, toxic))]
     ids = written(some[0].unionAll(some[1]), "toxicity-sample")  # bounded: toxic + clean small rows
-    rows = (docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t"))
-            .filter(F.length("t") <= SAMPLE_CHARS).join(F.broadcast(ids), "i").select("i", "t", "y"))
+    # cut to a bound in the scan, then one row per id, so the training task holds a bounded number of bounded texts
+    rows = (docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t")).filter("t is not null")
+            .join(F.broadcast(ids), "i").select("i", "y", stretches(F.col("t"), F.col("i"), SAMPLE_CHARS, SAMPLE_CUTS).alias("t"))
+            .groupBy("i", "y").agg(F.min("t").alias("t")))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("i", "t", "y"))))

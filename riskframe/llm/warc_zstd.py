@@ -59,23 +59,30 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     """One WARC/1.1 record.  The block of a revisit is the HTTP header alone, with the payload's full length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}",
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id, payload, revisit)}",
             f"WARC-Date: {DATE}", "Content-Type: application/http; msgtype=response",
             f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + target_uri(url))
     if revisit:
-        head += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {_urn(refers_to, payload, False)}", f"WARC-Profile: {PROFILE}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def target_uri(url: str) -> str:
+    """An address as a header may hold it: blanks, controls and percent signs that begin no escape are escaped; escapes stay."""
+    return re.sub(r"[\x00-\x20\x7f]|%(?![0-9A-Fa-f]{2})", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def _urn(page_id: int | None, payload: bytes, revisit: bool) -> str:
+    """A record's name: page, kind and payload, so pages without an id or of the same id have records of their own
+    (rows that repeat id and payload are the same record)."""
+    return f"<urn:page:{'null' if page_id is None else page_id}:{'revisit' if revisit else 'response'}:{payload_digest(payload)}>"
 
 
 def _page_of(urn: str) -> int | None:
-    name = urn.strip("<>").rpartition(":")[2]
+    name = urn.strip("<>").split(":")[2]
     return None if name == "null" else int(name)
 
 
@@ -209,10 +216,8 @@ def parse_record(headers: dict[str, str], block: bytes) -> tuple:
     size = int(re.search(rb"(?im)^content-length:\s*(\d+)", head)[1])
     if not revisit and (payload_digest(payload) != digest or len(payload) != size):
         raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
-    url = headers.get("WARC-Target-URI")
     return (_page_of(headers["WARC-Record-ID"]), size, digest, headers["WARC-Type"],
-            _page_of(headers["WARC-Refers-To"]) if revisit else None,
-            None if url is None else re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) < 128 else m[0], url))
+            _page_of(headers["WARC-Refers-To"]) if revisit else None, headers.get("WARC-Target-URI"))
 
 
 def read_archives(manifest: DataFrame, path: str) -> DataFrame:

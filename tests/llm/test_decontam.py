@@ -60,3 +60,14 @@ def test_clean_documents_stay_as_they_were(spark, docs_of):
     assert left.columns == df.columns
     bad = {r[0] for r in brute(DOCS, ITEMS) if r[-1]}
     assert {r["doc_id"] for r in left.collect()} == {d for d, _ in DOCS} - bad
+
+
+def test_position_filter_marks_the_slots_of_all_shingles(spark):
+    from riskframe.llm import decontam as D
+    h = [5, -7, 1 << 60, 123456789, -(1 << 62)]
+    table = D.position_filter(spark.createDataFrame([(x,) for x in h], "h long"))
+    size = len(table)
+    assert size == D.LEAST_SLOTS
+    want = {((x & (1 << 64) - 1) >> 13 * p if p else x) % size for x in h for p in range(D.PROBES)}
+    assert {i for i, b in enumerate(table) if b == ord("1")} == want
+    assert set(D.position_filter(spark.createDataFrame([], "h long"))) == {ord("0")}

@@ -125,3 +125,27 @@ def test_toxicity_edge_cases(spark, docs_of):
     df = docs_of(rows)
     left = toxicity.drop_toxic(df, labels)
     assert left.columns == df.columns and 503 not in {r["doc_id"] for r in left.collect()}
+
+
+def test_long_documents_and_a_hot_id_train_too(spark, docs_of):
+    """All toxic documents are longer than the sample's bound, and a sampled id stands on a third of the rows."""
+    rng = np.random.default_rng(6)
+    calm = ["calm", "day", "river", "house", "garden", "music", "bread", "window"]
+    def text(toxic):
+        w = rng.choice(calm, 1500).tolist()
+        return " ".join(x if not toxic or k % 7 else "vile wretch" for k, x in enumerate(w))
+    rows = [(i, text(i % 2)) for i in range(90)]
+    rows += [(1, text(1))] * 45
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs_of(rows), labels).collect()
+    assert min(len(t) for _, t in rows) > toxicity.SAMPLE_CHARS
+    assert min(r["score"] for r in got if r["doc_id"] % 2) > 0.7 > max(r["score"] for r in got if r["doc_id"] % 2 == 0)
+
+
+def test_stretches_cover_a_long_text(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(1, "x" * 5000), (2, "".join(f"{i:05d}" for i in range(20000))), (3, "é" * 6001), (4, "")], "i long, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", langid.stretches(F.col("t"), F.col("i"), 6000, 8).alias("s")).collect()}
+    assert got[1] == "x" * 5000 and got[4] == "" and len(got[3]) <= 6007
+    at = [int(s[5 - len(s) % 5 if len(s) % 5 else 0:][:5]) for s in got[2].split(" ")]
+    assert len(got[2]) == 8 * 750 + 7 and len(at) == 8

@@ -63,3 +63,11 @@ def test_both_counts_decide(docs_of):
     assert got[0] == got[39] == (0, 1, 40, 1) and got[100] == got[139] == (0, 1, 40, 1)
     assert got[200] == got[201] == (1, 0, 1, 2) and got[210] == got[212] == (1, 0, 1, 3)
     assert got[220] == got[221] == (1, 0, 2, 2) and got[230] == got[232] == (0, 1, 3, 3)
+
+
+def test_a_key_that_its_owner_repeats_stays_owned(docs_of):
+    key = hashlib.md5(b"own").hexdigest().upper() + "z"
+    rows = [(i, f"service {i} uses {key}", "en", "team") for i in range(8)]
+    assert all((r["n_owned"], r["n_copied"]) == (1, 0) for r in scan_secrets(docs_of(rows)).collect())
+    both = rows + [(50, f"quoted {key}", "en", "other")]  # a second owner and nine documents: widely copied
+    assert all((r["n_owned"], r["n_copied"]) == (0, 1) for r in scan_secrets(docs_of(both)).collect())

@@ -1,9 +1,8 @@
 """Readers: CSV dialect sniffing, workbook ingest, JSON lists, extension dispatch.
 
-The separator follows from the header; the encoding and whether quoted values hold line breaks
-are decided by one distributed pass over the whole input (a byte that is no UTF-8 can stand in
-any line).  The dialect is then used by one ``spark.read.csv``.  Every column is read as STRING
-and typed explicitly downstream (no ``inferSchema`` pass over the data).
+Separator, encoding and quoted line breaks are decided for every CSV file by itself
+(:mod:`riskframe.sources.csv_files`).  Every column is read as STRING and typed explicitly
+downstream (no ``inferSchema`` pass over the data).
 """
 
 from __future__ import annotations
@@ -18,43 +17,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEPARATORS = [",", ";", "\t", "|"]
-ENCODINGS = ["UTF-8", "ISO-8859-1"]
-
-
-def csv_dialect(spark: SparkSession, path: str) -> tuple[str, str, bool]:
-    """(separator, encoding, whether quoted values hold line breaks).
-
-    The separator is the first that splits the header.  UTF-8 is kept only if every line of the
-    input is valid UTF-8, else the single-byte encoding is taken.  A line with an odd number of
-    quotes means that a quoted value goes on in the next line."""
-    lines = spark.read.text(path)
-    head = lines.select(F.make_valid_utf8("value").alias("value")).first()
-    header = head["value"].lstrip("\ufeff") if head else ""
-    sep = next((x for x in SEPARATORS if len(header.split(x)) > 1), SEPARATORS[0])
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
-    seen = lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(quotes % 2 == 1).alias("odd")).first()
-    return sep, ENCODINGS[1] if seen["bad"] else ENCODINGS[0], bool(seen["odd"])
-
+from riskframe.sources import csv_files as CSV
 
 def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, encoding); the byte-order mark is dropped by the reader."""
-    return csv_dialect(spark, path)[:2]
+    """(separator, encoding) of the first file; the byte-order mark is dropped by the reader."""
+    first = next(iter(CSV.dialects(spark, path)), None)
+    return (first.sep, first.encoding) if first else (CSV.SEPARATORS[0], CSV.UTF8)
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
              keep_blanks: bool = False) -> DataFrame:
-    """Sniff the dialect when not given, read all columns as STRING, strip header names.
+    """Sniff each file's dialect where not given, read all columns as STRING, strip header names.
 
+    Files of a folder may differ in separator, encoding and columns; a column that a file lacks is missing there.
     An empty field is missing (NULL), whether it was quoted or not.
-    ``keep_blanks`` keeps leading/trailing blanks of values as they are.  Files whose quoted values
-    hold line breaks cannot be split inside (one task per file); all others are."""
-    found_sep, found_enc, broken = csv_dialect(spark, path)
-    df = spark.read.options(header=True, sep=sep or found_sep, encoding=encoding or found_enc, inferSchema=False,
-                            multiLine=broken, mode="PERMISSIVE", escape='"', ignoreLeadingWhiteSpace=not keep_blanks,
-                            ignoreTrailingWhiteSpace=not keep_blanks).csv(path)
-    df = df.toDF(*[c.replace("\ufeff", "").strip() for c in df.columns])
-    return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in df.columns])
+    ``keep_blanks`` keeps leading/trailing blanks of values as they are."""
+    found = CSV.dialects(spark, path)
+    if not found:  # not a single line: there is no header, either
+        return spark.createDataFrame([], "value string").drop("value")
+    if sep or encoding:
+        found = [CSV.with_given(d, sep, encoding) for d in found]
+    return CSV.read_files(spark, found, keep_blanks)
 
 
 # ---- S3: workbook ingest -----------------------------------------------------

@@ -189,14 +189,6 @@ def score_fn(ens: Ensemble):
     return fn
 
 
-def score_vectors_fn(ens: Ensemble):
-    """Scoring function for what-ifs on encoded features: ``features`` in, ``p`` out."""
-    def fn(df: DataFrame) -> DataFrame:
-        scaled = ens.scaler.transform_vector(df, "features", "scaled")
-        return ensemble_probability(scaled, ens).withColumnRenamed("p_ensemble", "p").drop("features", "scaled")
-    return fn
-
-
 # ---- learning artefacts (M18, T1, T2, A16) ---------------------------------------
 def learning_artefacts(ens: Ensemble) -> DataFrame:
     """(model, artefact, key, value) rows from the fitted models' attributes."""

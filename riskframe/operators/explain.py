@@ -1,16 +1,16 @@
 """Explanations and what-if analysis.
 
-What-if analysis never loops over candidates on the driver: every row is
-exploded into its scenarios (a handful per row), all scenarios are scored in
-ONE batched pass, and results are folded back per row with ``max_by`` /
-``collect_list`` keyed by the row id (partial aggregation, no cross join).
+What-if analysis never loops over candidates on the driver.  With an ensemble, a row's variants
+are made and scored inside the task that holds the row (:mod:`riskframe.models.scorer`): a column of
+probabilities, no shuffle.  With any other score function over raw columns, every row is exploded into its
+scenarios (a handful per row), all are scored in ONE batched pass and folded back per row by partial
+aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ from riskframe import schema as S
 from riskframe.functions.scoring import factor_weight, next_history_level, top_factors
 
 ScoreFn = Callable[[DataFrame], DataFrame]   # adds a DOUBLE column "p"
+#: (x, moves, count) -> probabilities of a row and of its variants, see ``scorer.score_variants``.
+VariantFn = Callable[[Column, Column, Column], Column]
 
 # FIXED VALUES: recommendation icons and texts (formats take the values shown).
 REC_CREDITS = ("💳", "Si reduces tus créditos activos de %d a %d, tu aprobación sube ~%.0f%%.")
@@ -70,6 +72,11 @@ def recommendations(df: DataFrame, id_col: str, score_fn: ScoreFn, max_recs: int
         F.first(id_col).alias(id_col), *[F.max(F.when(F.col("kind") == k, F.col("p"))).alias(f"p_{k}") for k in ("base", "credits", "history", "income")],
         F.max(F.when(F.col("kind") == "base", F.col("creditos_activos"))).alias("_ca"),
         F.max(F.when(F.col("kind") == "history", F.col("historial_pagos"))).alias("_next"))
+    return _recommended(per_row, id_col, max_recs, min_gain)
+
+
+def _recommended(per_row: DataFrame, id_col: str, max_recs: int, min_gain: float) -> DataFrame:
+    """From p_base, p_credits, p_history, p_income (null: no such scenario), _ca and _next to the recommendations."""
     d = {k: F.col(f"p_{k}") - F.col("p_base") for k in ("credits", "history", "income")}
     ca0 = F.floor(F.col("_ca")).cast("int")
 
@@ -93,6 +100,35 @@ def recommendations(df: DataFrame, id_col: str, score_fn: ScoreFn, max_recs: int
                           F.when(F.size(top) > 0, top).otherwise(default).alias("recommendations"))
 
 
+def encoded_recommendations(df: DataFrame, id_col: str, slots: dict[str, int], levels: dict[str, int], score: VariantFn,
+                            max_recs: int = 4, min_gain: float = 0.01) -> DataFrame:
+    """M14 on encoded rows: id, ``x`` and the raw ``creditos_activos``, ``historial_pagos``.
+
+    ``slots``: places of the numeric features in ``x``; ``levels``: those of the payment-history levels.  Rows stay where they
+    are: one variant per scenario, scored in the task."""
+    ca = F.floor(F.col("creditos_activos")).cast("int")
+    nxt = next_history_level("historial_pagos")
+    income = slots["ingresos_mensuales"]
+
+    def move(variant: Column, slot: Column | int, value: Column) -> Column:
+        return F.struct(variant.cast("int").alias("variant"), (F.lit(slot) if isinstance(slot, int) else slot).cast("int").alias("slot"),
+                        value.cast("double").alias("value"))
+
+    place = F.create_map(*[F.lit(v) for pair in levels.items() for v in pair]) if levels else F.create_map().cast("map<string,int>")
+    has = {"credits": ca >= 1, "history": nxt.isNotNull(), "income": F.lit(True)}
+    number = {"credits": F.lit(0), "history": has["credits"].cast("int"), "income": has["credits"].cast("int") + has["history"].cast("int")}
+    moves = F.filter(F.array(
+        F.when(has["credits"], move(number["credits"], slots["creditos_activos"], F.greatest(ca - 1, F.lit(0)))),
+        *[F.when(has["history"] & (F.col("historial_pagos") == lv), move(number["history"], k, F.lit(0.0))) for lv, k in levels.items()],
+        F.when(has["history"] & F.try_element_at(place, nxt).isNotNull(), move(number["history"], F.try_element_at(place, nxt), F.lit(1.0))),
+        move(number["income"], income, F.col("x")[income] * 1.25)), lambda m: m.isNotNull())
+    count = has["credits"].cast("int") + has["history"].cast("int") + 1
+    scored = df.withColumn("_ps", score(F.col("x"), moves, count))
+    per_row = scored.select(id_col, F.col("_ps")[0].alias("p_base"), F.col("creditos_activos").alias("_ca"), nxt.alias("_next"), *[
+        F.when(has[k], F.get("_ps", number[k] + 1)).alias(f"p_{k}") for k in has])
+    return _recommended(per_row, id_col, max_recs, min_gain)
+
+
 # ---- what-if on the encoded features (M12, M13, E21) --------------------------------
 # FIXED VALUES: tip and explanation texts.
 TIP_FLIP = "%s «%s» → tu probabilidad subiría +%.1f pts (a %.0f%%)."
@@ -104,33 +140,28 @@ EXPLANATION = ("El modelo (%s) estima una probabilidad de pago del %.1f%%. Las 3
 CONSIDERED, SHOWN, LEAST_GAIN = 12, 4, 0.005
 
 
-def _scored_moves(df: DataFrame, id_col: str, moves: Column, score_vectors: ScoreFn, keep: list[str]) -> DataFrame:
-    """One row per input row: its base probability ``_p0`` and ``moves`` with their probabilities.
+def _scored_moves(df: DataFrame, moves: Column, score: VariantFn) -> DataFrame:
+    """``df`` with its base probability ``_p0`` and ``scored``: the ``moves`` with their probabilities.
 
-    ``moves``: ARRAY<STRUCT<slot, value, ...>> over the array column ``x``; each replaces one slot.  All
-    scenarios are scored in one pass and folded back by row number (one shuffle, no join)."""
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    ex = rows.select("_row", id_col, "x", *keep, F.explode_outer(moves).alias("m")) \
-        .unionByName(rows.select("_row", id_col, "x", *keep), allowMissingColumns=True)
-    moved = F.transform("x", lambda v, i: F.when(i == F.col("m.slot"), F.col("m.value")).otherwise(v))
-    p = score_vectors(ex.withColumn("features", array_to_vector(F.when(F.col("m").isNull(), F.col("x")).otherwise(moved))))
-    return p.groupBy("_row").agg(*[F.first(c, True).alias(c) for c in [id_col, "x", *keep]],
-                                 F.max(F.when(F.col("m").isNull(), F.col("p"))).alias("_p0"),
-                                 F.collect_list(F.when(F.col("m").isNotNull(), F.struct("m.*", "p"))).alias("scored"))
+    ``moves``: ARRAY<STRUCT<slot, value, ...>> over the array column ``x``; each replaces one slot in a variant of its own."""
+    single = F.transform("_moves", lambda m, k: F.struct(k.alias("variant"), m["slot"].cast("int").alias("slot"), m["value"].alias("value")))
+    rows = df.withColumn("_moves", moves)
+    rows = rows.withColumn("_ps", score(F.col("x"), single, F.size("_moves")))
+    return rows.withColumn("_p0", F.col("_ps")[0]).withColumn("scored", F.arrays_zip("_moves", F.expr("slice(_ps, 2, size(_moves))").alias("p"))) \
+        .drop("_ps", "_moves")
 
 
-def encoded_ablation(df: DataFrame, id_col: str, names: list[str], medians: dict[str, float],
-                     score_vectors: ScoreFn) -> DataFrame:
+def encoded_ablation(df: DataFrame, id_col: str, names: list[str], medians: dict[str, float], score: VariantFn) -> DataFrame:
     """M12 on every encoded feature: probability minus the probability with the feature at its median."""
     slots = F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(float(medians[n])).alias("value"), F.lit(n).alias("feature"))
                       for k, n in enumerate(names)])
-    rows = _scored_moves(df, id_col, slots, score_vectors, [])
+    rows = _scored_moves(df, slots, score)
     return rows.select(id_col, "_p0", F.explode("scored").alias("m")).select(
-        id_col, F.col("m.feature").alias("feature"), (F.col("_p0") - F.col("m.p")).alias("impact"))
+        id_col, F.col("m._moves.feature").alias("feature"), (F.col("_p0") - F.col("m.p")).alias("impact"))
 
 
 def encoded_sensitivity(df: DataFrame, id_col: str, names: list[str], ranges: dict[str, tuple[float, float]],
-                        score_vectors: ScoreFn, model: str = "ensemble") -> DataFrame:
+                        score: VariantFn, model: str = "ensemble") -> DataFrame:
     """What-if of the ``CONSIDERED`` features that weigh most in a row.
 
     ``df``: id, ``x`` (encoded values) and ``contribs`` (ARRAY<STRUCT<feature, impact>> in slot order).  A feature
@@ -152,7 +183,9 @@ def encoded_sensitivity(df: DataFrame, id_col: str, names: list[str], ranges: di
         return F.transform(values, lambda v, k: F.struct(c["slot"].alias("slot"), v.alias("value"), c["feature"].alias("feature"),
                                                          now.alias("current"), binary.alias("binary"), k.alias("turn")))
 
-    rows = _scored_moves(top, id_col, F.flatten(F.transform("ranked", moves_of)), score_vectors, ["ranked"])
+    rows = _scored_moves(top, F.flatten(F.transform("ranked", moves_of)), score)
+    rows = rows.withColumn("scored", F.transform("scored", lambda z: F.struct(
+        *[z["_moves"][c].alias(c) for c in ("turn", "feature", "current", "value", "binary")], z["p"].alias("p"))))
     gains = F.array_sort(F.transform("scored", lambda m: F.struct(
         (F.col("_p0") - m["p"]).alias("loss"), m["turn"].alias("turn"), m["feature"].alias("feature"),
         m["current"].alias("current"), m["value"].alias("suggested"), (m["p"] - F.col("_p0")).alias("delta"),

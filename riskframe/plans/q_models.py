@@ -16,6 +16,7 @@ from riskframe.models import estimators as E
 from riskframe.models import registry as R
 from riskframe.models import tree_nodes as TN
 from riskframe.models.newton_boosting import NewtonBoosting
+from riskframe.models.scorer import MatrixScorer, score_variants
 from riskframe.operators import explain as X
 from riskframe.operators import features as FE
 from riskframe.plans import jobs
@@ -179,25 +180,36 @@ def _encoded(spark, sf):
     return ens, enc.select("app_id", vector_to_array("features").alias("x"), EN.logit_contributions(ens).alias("contribs"))
 
 
+def _variants(spark, sf):
+    """Scoring of rows' variants with the ensemble (its arrays are made once per session)."""
+    key = ("scorer", spark.sparkContext.applicationId, sf)
+    if key not in _CACHE:
+        _CACHE[key] = MatrixScorer.of(spark, _ensemble(spark, sf))
+    return lambda x, moves, count: score_variants(spark, _CACHE[key], x, moves, count)
+
+
 @query("M12")
 def m12_ablation(spark, sf):
     ens, rows = _encoded(spark, sf)
     med = {n: ens.ranges[n]["median"] for n in ens.feature_names}
-    return X.encoded_ablation(rows.drop("contribs"), "app_id", ens.feature_names, med, EN.score_vectors_fn(ens))
+    return X.encoded_ablation(rows.drop("contribs"), "app_id", ens.feature_names, med, _variants(spark, sf))
 
 
 @query("M13")
 def m13_sensitivity(spark, sf):
     ens, rows = _encoded(spark, sf)
     ranges = {n: (ens.ranges[n]["min"], ens.ranges[n]["max"]) for n in ens.feature_names}
-    return X.encoded_sensitivity(rows, "app_id", ens.feature_names, ranges, EN.score_vectors_fn(ens))
+    return X.encoded_sensitivity(rows, "app_id", ens.feature_names, ranges, _variants(spark, sf))
 
 
 @query("M14")
 def m14_recommendations(spark, sf):
     ens = _ensemble(spark, sf)
     a = fx.applications(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES)
-    return X.recommendations(a, "app_id", EN.score_fn(ens))
+    rows = ens.encoder.transform(a).select("app_id", "creditos_activos", "historial_pagos", vector_to_array("features").alias("x"))
+    slots = {b: k for k, (_, b, level) in enumerate(ens.names) if level is None}
+    levels = {level: k for k, (_, b, level) in enumerate(ens.names) if b == "historial_pagos"}
+    return X.encoded_recommendations(rows, "app_id", slots, levels, _variants(spark, sf))
 
 
 _M16_ROWS = " UNION ALL ".join(

@@ -149,6 +149,12 @@ def top_factors(contribs: Column | str, k: int = 5, positive: bool = True, min_a
     return F.slice(ordered, 1, k)
 
 
+def largest_factors(contribs: Column | str, k: int = 20) -> Column:
+    """The k contributions of largest |impact| of either sign (ties: feature name asc)."""
+    keyed = F.transform(_c(contribs), lambda e: F.struct((-F.abs(e["impact"])).alias("w"), e["feature"].alias("feature"), e["impact"].alias("impact")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda e: F.struct(e["feature"].alias("feature"), e["impact"].alias("impact")))
+
+
 # ---- E19 / E20 / E21 / E22 -----------------------------------------------------
 def _label_map() -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in S.FRIENDLY_LABELS.items()))

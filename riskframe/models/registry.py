@@ -72,9 +72,10 @@ def latest(spark: SparkSession, registry_path: str) -> DataFrame:
     return r.agg(F.max_by(F.struct(*r.columns), F.struct("trained_at", "version")).alias("r")).select("r.*")
 
 
-def load(spark: SparkSession, registry_path: str) -> Ensemble:
-    """Load the newest ensemble; a model folder that cannot be read is left out (scores 0.5)."""
-    r = latest(spark, registry_path).first()
+def load(spark: SparkSession, registry_path: str, version: str | None = None) -> Ensemble:
+    """Load the newest ensemble, or that of ``version``; a model folder that cannot be read is left out (scores 0.5)."""
+    rows = latest(spark, registry_path) if version is None else read_registry(spark, registry_path).filter(F.col("version") == version)
+    r = rows.first()
     path = r["model_path"]
     encoder = PipelineModel.load(f"{path}/encoder")
     models: dict[str, object] = {}
@@ -110,12 +111,15 @@ def best_model(registry_row: DataFrame) -> DataFrame:
     m = registry_row.select("version", F.explode("metrics").alias("model", "m"))
     return m.groupBy("version").agg(
         F.min_by("model", F.struct(-F.col("m.auc"), F.col("model"))).alias("best_model"),
-        F.max("m.auc").alias("best_auc"))
+        F.max("m.auc").alias("best_auc"),
+        F.min_by("m.accuracy", F.struct(-F.col("m.auc"), F.col("model"))).alias("best_accuracy"))
 
 
 def summary(registry_row: DataFrame) -> DataFrame:
-    """Version, training date, size, best algorithm, source, approval rate, n_features, metrics JSON."""
+    """Version, training date, size, best algorithm with its AUC and accuracy, source, approval rate, class
+    distribution, n_features, metrics JSON."""
     b = best_model(registry_row)
     return registry_row.join(b, "version").select(
-        "version", "trained_at", "dataset_size", "best_model", "best_auc", "source",
+        "version", "trained_at", "dataset_size", "best_model", "best_auc", "best_accuracy", "source",
+        F.create_map(F.lit("0"), "n_neg", F.lit("1"), "n_pos").alias("class_distribution"),
         F.round("approval_rate", 4).alias("approval_rate"), "n_features", F.to_json("metrics").alias("metrics"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
-from riskframe.functions.scoring import factor_weight, next_history_level, top_factors
+from riskframe.functions.scoring import factor_weight, largest_factors, next_history_level, top_factors
 
 ScoreFn = Callable[[DataFrame], DataFrame]   # adds a DOUBLE column "p"
 #: (x, moves, count) -> probabilities of a row and of its variants, see ``scorer.score_variants``.
@@ -39,6 +39,21 @@ def factors_table(df: DataFrame, id_col: str, contribs: str = "contribs", k: int
                        F.col("f.impact").alias("impact"), factor_weight(F.col("f.impact")).alias("weight"))
 
 
+def contributions_table(df: DataFrame, id_col: str, contribs: str = "contribs", shown: int = 20, considered: int = 12,
+                        signed: int = 6) -> DataFrame:
+    """Per row its ``shown`` largest contributions, the ``considered`` first of them that what-ifs are made of, and the
+    ``signed`` largest of each sign, flattened to ``(id, part, rank, feature, impact)``."""
+    largest = largest_factors(contribs, shown)
+    parts = {"shown": largest, "considered": F.slice(largest, 1, considered), "positive": top_factors(contribs, signed, positive=True, min_abs=0.0),
+             "negative": top_factors(contribs, signed, positive=False, min_abs=0.0)}
+    def ranked(part: str, arr: Column) -> Column:
+        return F.transform(arr, lambda e, k: F.struct(F.lit(part).alias("part"), (k + 1).alias("rank"), e["feature"].alias("feature"),
+                                                      e["impact"].alias("impact")))
+
+    each = F.flatten(F.array(*[ranked(part, arr) for part, arr in parts.items()]))
+    return df.select(id_col, F.explode(each).alias("f")).select(id_col, "f.*")
+
+
 def recommendations(df: DataFrame, id_col: str, score_fn: ScoreFn, max_recs: int = 4,
                     min_gain: float = 0.01) -> DataFrame:
     """Three what-if scenarios on the raw applicant columns.

@@ -107,6 +107,7 @@ def levels_of(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
 # ---- F3 / P17 ----------------------------------------------------------------
 def feature_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
     """Min, max, mean, median per column, as rows ``(feature, min, max, mean, median)``."""
+    df = cut_lineage(df.select(*cols), "ranges")
     agg = df.agg(*[F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
                             F.avg(c).alias("mean")).alias(c) for c in cols]).first()
     med = exact_medians(df, cols, default=0.0)

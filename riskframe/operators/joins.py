@@ -8,7 +8,7 @@ splits skewed partitions of the fact side (a hot user) otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.prefix import running_sums
@@ -16,6 +16,13 @@ from riskframe.schema import GUEST_NAME
 
 #: FIXED VALUE: longest stored user name.
 NAME_CHARS = 40
+#: Key of the one user whose name is missing (no trimmed name is this character).
+NO_NAME = "\u0000"
+
+
+def name_key(name: Column) -> Column:
+    """Names are matched without regard to case and outer blanks; missing names are one user."""
+    return F.coalesce(F.lower(F.trim(name)), F.lit(NO_NAME))
 
 
 def latest_per_key(df: DataFrame, key: str, ts: str, value_cols: list[str]) -> DataFrame:
@@ -62,9 +69,10 @@ def upsert_users(existing: DataFrame, arrivals: DataFrame, now_col: str = "ts")
     per normalised name (partial aggregation), then full-outer joined with the
     dimension: matched users get ``visits + n`` and the newest ``last_seen``;
     unmatched names become new users with ``visits = n``, cut to ``NAME_CHARS``
-    characters, and ids that follow the largest one in the order of the names.
+    characters, and ids that follow the largest one in the order of the names.  A missing name
+    is a name of its own: all such visits are one user's.
     """
-    key = F.lower(F.trim(F.col("name")))
+    key = name_key(F.col("name"))
     new = arrivals.withColumn("_k", key).groupBy("_k").agg(
         F.min(F.struct(now_col, "name"))["name"].alias("_new_name"),
         F.count(F.lit(1)).alias("_n"), F.min(now_col).alias("_first"), F.max(now_col).alias("_last"))
@@ -85,6 +93,6 @@ def upsert_users(existing: DataFrame, arrivals: DataFrame, now_col: str = "ts")
 
 def new_users(existing: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Arrivals with no existing user of the same (case-insensitive) name (``left_anti``)."""
-    k_old = existing.select(F.lower(F.trim("name")).alias("_k"))
-    a = arrivals.withColumn("_k", F.lower(F.trim("name")))
+    k_old = existing.select(name_key(F.col("name")).alias("_k"))
+    a = arrivals.withColumn("_k", name_key(F.col("name")))
     return a.join(k_old, "_k", "left_anti").drop("_k")

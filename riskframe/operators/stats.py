@@ -1,8 +1,9 @@
 """Scalable exact order statistics and modes.
 
-``exact_medians`` finds the medians of all columns together in three passes, whatever the
-size: approximate quantiles bracket each column's middle ranks, a counting pass checks all
-brackets, and the distinct values inside a bracket, with their counts, are ranked exactly.
+``exact_medians`` writes the columns once and finds the medians of all of them together, whatever the
+size.  A column of at most two values (its least and its largest one) needs only their counts.  For the
+others approximate quantiles bracket the middle ranks, a counting pass checks all brackets, and the
+distinct values inside a bracket, with their counts, are ranked exactly.
 Nulls and NaN are no values.  A bracket holds a fixed small share of the ranks; a hot value
 is one row of it.  ``modes`` counts values with partial aggregation and picks the most
 frequent (ties -> smallest) with ``min_by``.
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import cut_lineage
+
 APPROX_ACCURACY = 100_000
 
 
@@ -26,12 +29,13 @@ def _interpolate(lo: float, hi: float, frac: float) -> float:
 def exact_medians(df: DataFrame, cols: list[str], default: float | None = 0.0) -> dict[str, float | None]:
     """Exact (linearly interpolated) median of every column; without a value -> ``default``.
 
-    ``df`` is read three times; callers with an expensive plan write it first."""
+    ``df`` is evaluated once."""
     if not cols:
         return {}
     names = {f"v{i}": c for i, c in enumerate(cols)}
-    x = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(v) for v, c in names.items()])
-    eps, pending, out = 2.0 / APPROX_ACCURACY, list(names), {}
+    x = cut_lineage(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(v) for v, c in names.items()]), "medians")
+    out = {v: m if m is not None else default for v, m in _of_two_values(x).items()}
+    eps, pending = 2.0 / APPROX_ACCURACY, [v for v in names if v not in out]
     while pending:
         share = [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)]
         first = x.agg(*[F.count(v).alias(f"n_{v}") for v in pending],
@@ -56,6 +60,25 @@ def exact_medians(df: DataFrame, cols: list[str], default: float | None = 0.0) -
     return {c: out[v] for v, c in names.items()}
 
 
+def _of_two_values(x: DataFrame) -> dict[str, float | None]:
+    """Medians of the columns whose every value is their least or their largest one (None: no value)."""
+    ends = x.agg(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias(v) for v in x.columns]).first()
+    out: dict[str, float | None] = {v: None for v in x.columns if ends[v]["lo"] is None}
+    live = [v for v in x.columns if v not in out]
+    if not live:
+        return out
+    seen = x.agg(*[F.struct(F.count(v).alias("n"), F.count_if(F.col(v) == ends[v]["lo"]).alias("a"), F.count_if(F.col(v) == ends[v]["hi"]).alias("b"))
+                   .alias(v) for v in live]).first()
+    for v in live:
+        (n, a, b), (lo, hi) = seen[v], ends[v]
+        if lo == hi:
+            out[v] = float(lo)
+        elif a + b == n:
+            pair = [lo if r < a else hi for r in ((n - 1) // 2, n // 2)]
+            out[v] = _interpolate(*pair, (n - 1) / 2.0 - (n - 1) // 2)
+    return out
+
+
 def _ranked(x: DataFrame, want: dict[str, tuple]) -> dict[str, tuple[float, float]]:
     """Values at two 0-based ranks inside each column's bracket (lo, hi, rank, rank)."""
     inside = F.array(*[F.when((F.col(v) >= lo) & (F.col(v) <= hi), F.struct(F.lit(v).alias("c"), F.col(v).alias("x")))

@@ -25,12 +25,17 @@ from riskframe.session import cut_lineage
 
 def retrain_from_evaluations(spark: SparkSession, evaluations: DataFrame, labels: DataFrame, model_path: str,
                              registry_path: str, sizes: E.ModelSizes | None = None, min_rows: int = 50,
-                             id_col: str = "app_id") -> EN.Ensemble:
-    """Export (J2) -> gates (P14) -> production prep (F8) -> train (M7) -> registry append."""
+                             id_col: str = "app_id", models: tuple[str, ...] = E.ENSEMBLE_MODELS,
+                             version_after: str | None = None) -> EN.Ensemble:
+    """Export (J2) -> gates (P14) -> production prep (F8) -> train (M7) -> registry append.
+
+    Versions are named by the minute; one that would be equal to ``version_after`` gets a suffix."""
     exported = MO.export_training(evaluations, labels, keep=[id_col])
     C.check_training_gate(exported, S.TARGET, min_rows)
     prepared = cut_lineage(C.prepare_production(exported, extra=[id_col]))
-    ens = EN.train_ensemble(prepared, id_col, sizes=sizes, source="evaluations")
+    ens = EN.train_ensemble(prepared, id_col, models=models, sizes=sizes, source="evaluations")
+    if version_after is not None and ens.version <= version_after:
+        ens.version = f"{version_after}.next"
     R.save(spark, ens, model_path, registry_path)
     return ens
 

@@ -11,6 +11,7 @@ from riskframe.operators import cleaning as C
 from riskframe.operators.stats import exact_medians, modes_frame
 from riskframe.plans import sqlgen as G
 from riskframe.plans.registry import query
+from riskframe.session import cut_lineage
 from riskframe.sources import fixtures as fx
 
 CANON = {"dirty_canon": G.dirty_canon_select()}
@@ -164,7 +165,7 @@ def a10_modes(spark, sf):
     [f"SELECT '{c}', 'mode', CAST(NULL AS DOUBLE), (SELECT v FROM modes WHERE col = '{c}'), "
      f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) FROM t2" for c in S.CATEGORICAL_FEATURES]), CLEANER)
 def f6_imputation_report(spark, sf):
-    df = _canon(spark, sf).dropDuplicates()
+    df = cut_lineage(_canon(spark, sf).dropDuplicates(), "distinct")  # read by every count below
     df = df.withColumns({c: missing_to_null(c) for c in df.columns})
     df = df.withColumns({c: parse_double(c) for c in S.NUMERIC_FEATURES})
     med = exact_medians(df, S.NUMERIC_FEATURES)

@@ -119,7 +119,7 @@ def e19_friendly_labels(spark, sf):
     return dummies.unionByName(bases)
 
 
-def _factors_sql(k: int) -> str:
+def _impacts_sql() -> str:
     terms = [
         ("ingresos_mensuales", "ingresos_mensuales/1500.0*1.6"),
         ("historial_pagos", "CASE historial_pagos WHEN 'Malo' THEN -1.6 WHEN 'Regular' THEN -0.4 WHEN 'Bueno' THEN 0.7 ELSE 1.7 END"),
@@ -130,14 +130,17 @@ def _factors_sql(k: int) -> str:
         ("tipo_credito", "CASE tipo_credito WHEN 'Microcrédito' THEN 0.5 WHEN 'Personal' THEN 0.2 WHEN 'Emprendimiento' THEN 0.0 WHEN 'Productivo' THEN -0.1 WHEN 'Vehicular' THEN -0.2 ELSE -0.5 END"),
         ("edad", "-(0.012*abs(edad-40))"),
     ]
-    u = " UNION ALL ".join(f"SELECT app_id, '{n}' AS feature, CAST({e} AS DOUBLE) AS impact FROM applications"
-                           for n, e in terms)
+    return " UNION ALL ".join(f"SELECT app_id, '{n}' AS feature, CAST({e} AS DOUBLE) AS impact FROM applications"
+                              for n, e in terms)
+
+
+def _factors_sql(k: int) -> str:
     return f"""
 SELECT app_id, sign, CAST(rnk AS INTEGER) AS rank, feature, round(impact, 12) AS impact,
        round(least(1.0, abs(impact) / 3.0), 2) AS weight FROM (
   SELECT *, CASE WHEN impact > 0 THEN 'positive' ELSE 'negative' END AS sign,
          row_number() OVER (PARTITION BY app_id, impact > 0 ORDER BY abs(impact) DESC, feature) AS rnk
-  FROM ({u}) WHERE impact <> 0 AND abs(impact) >= 1e-6) WHERE rnk <= {k}"""
+  FROM ({_impacts_sql()}) WHERE impact <> 0 AND abs(impact) >= 1e-6) WHERE rnk <= {k}"""
 
 
 def _factors(spark, sf, k):
@@ -157,9 +160,20 @@ def e20_factor_weights(spark, sf):
     return _factors(spark, sf, 5)
 
 
-@query("T3", _factors_sql(6))
+_T3_RANKED = "SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY abs(impact) DESC, feature) AS k FROM impacts"
+
+
+@query("T3", f"""
+SELECT app_id, part, CAST(k AS INTEGER) AS rank, feature, round(impact, 12) + 0.0 AS impact FROM (
+  SELECT *, 'shown' AS part FROM ({_T3_RANKED}) WHERE k <= 20
+  UNION ALL SELECT *, 'considered' FROM ({_T3_RANKED}) WHERE k <= 12
+  UNION ALL SELECT * EXCLUDE (k, s), row_number() OVER (PARTITION BY app_id, s ORDER BY k) AS k,
+    CASE WHEN s > 0 THEN 'positive' ELSE 'negative' END FROM (SELECT *, sign(impact) AS s FROM ({_T3_RANKED})) WHERE s <> 0 QUALIFY
+    row_number() OVER (PARTITION BY app_id, s ORDER BY k) <= 6)""", {"impacts": _impacts_sql()})
 def t3_top_contributions(spark, sf):
-    return _factors(spark, sf, 6)
+    a = fx.application_features(spark, sf).select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES) \
+        .withColumn("contribs", SC.scorecard_contributions())
+    return X.contributions_table(a, "app_id").withColumn("impact", F.round("impact", 12) + F.lit(0.0))
 
 
 @query("E22", """

@@ -2,20 +2,21 @@
 
 Inputs are derived from the driver tables and staged as Parquet files in the
 shared checkpoint folder, one write job per time slice, so files arrive in
-event-time order as a real feed would; each query then runs its stream with
+event-time order as a real feed would.  A slice is written by ``STAGED_FILES`` tasks, and a
+micro-batch takes as many files: exactly one slice.  Each query then runs its stream with
 ``availableNow`` and returns the sink read back as a batch DataFrame.
 """
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions import scoring as SC
 from riskframe.models import ensemble as EN
 from riskframe.models import registry as R
+from riskframe.operators import user_table as U
+from riskframe.plans import jobs
 from riskframe.plans.registry import query
 from riskframe.session import cut_lineage, scratch_path
 from riskframe.sources import fixtures as fx
@@ -24,16 +25,34 @@ from riskframe.streaming import jobs as ST
 _STAGED: dict = {}
 
 
+STAGED_FILES = 8
+
+
+def _write_slices(d, path, slices):
+    """One append job per slice of ``d`` (column _slice), each of exactly ``STAGED_FILES`` files: a slice of too few
+    rows gets empty ones, so that batches stay aligned with slices."""
+    rows = d.drop("_slice")
+    made = 0
+    for s in slices:
+        d.filter(F.col("_slice") == s).drop("_slice").repartition(STAGED_FILES).write.mode("append").parquet(path)
+        made += STAGED_FILES
+        there = len(d.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())  # STAGED_FILES names a slice
+        for _ in range(made - there):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
+def _sliced(df, slice_col, name):
+    """``df`` written once with its slice."""
+    return cut_lineage(df.withColumn("_slice", slice_col), f"stage-{name}")
+
+
 def _stage(spark, sf, name, df, slice_col):
     """Write ``df`` to a new folder, one append job per distinct ``slice_col`` value (ascending)."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STAGED:
         path = scratch_path(spark, f"stream-{name}")
-        d = cut_lineage(df.withColumn("_slice", slice_col), f"stage-{name}")   # computed once, sliced below
-        slices = sorted(r[0] for r in d.select("_slice").distinct().collect())  # one row per slice
-        for s in slices:
-            # one file per slice: with one file per micro-batch, batches follow event time
-            d.filter(F.col("_slice") == s).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+        d = _sliced(df, slice_col, name)
+        _write_slices(d, path, sorted(r[0] for r in d.select("_slice").distinct().collect()))  # one row per slice
         _STAGED[key] = (path, df.schema)
     return _STAGED[key]
 
@@ -66,8 +85,8 @@ def st1_streaming_scoring(spark, sf):
     apps = _applications_with_resends(spark, sf)
     path, schema = _stage(spark, sf, "applications", apps, F.year("created_at"))
     sink = scratch_path(spark, "st1-sink")
-    src = ST.application_stream(spark, path, schema)
-    _run(ST.scoring_stream(spark, src, _rule_scores, sink, scratch_path(spark, "st1-ckpt"), dedup_delay="400 days"))
+    src = ST.application_stream(spark, path, schema, STAGED_FILES)
+    _run(ST.scoring_stream(spark, src, _rule_scores, sink, scratch_path(spark, "st1-ckpt")))
     return spark.read.parquet(sink).drop("batch_id")
 
 
@@ -78,7 +97,7 @@ def st2_daily_trend_stream(spark, sf):
     ev = fx.evaluations(spark, sf)
     path, schema = _stage(spark, sf, "evaluations", ev, F.year("created_at"))
     sink = scratch_path(spark, "st2-sink")
-    src = ST.application_stream(spark, path, schema)
+    src = ST.application_stream(spark, path, schema, STAGED_FILES)
     _run(ST.daily_trend_stream(src, sink, scratch_path(spark, "st2-ckpt")))
     return ST.newest(spark, sink, "day").withColumn("avg_probability", F.round("avg_probability", 3))
 
@@ -90,43 +109,59 @@ SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen,
 FROM visits GROUP BY user_id""")
 def st3_user_counters_stream(spark, sf):
     v = fx.visits(spark, sf)
-    path, schema = _stage(spark, sf, "visits", v, F.weekofyear("ts"))
-    sink = scratch_path(spark, "st3-sink")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    path, schema = _stage(spark, sf, "visits", v, F.year("ts") * 100 + F.month("ts"))
+    sink = scratch_path(spark, "st3-users")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", STAGED_FILES).parquet(path)
     _run(ST.user_counter_stream(src, sink, scratch_path(spark, "st3-ckpt")))
-    return ST.newest(spark, sink, "user_id")
+    return U.read_activity(spark, sink).select("user_id", "first_seen", "last_seen", "visits", "evaluations")
 
 
-@query("ST4")
-def st4_hot_model_swap(spark, sf):
-    from riskframe.plans.q_models import _ensemble
-    reg = scratch_path(spark, "registry")  # of this stream's own, as a swap adds a version to it
-    R.save(spark, _ensemble(spark, sf), scratch_path(spark, "models"), reg)
+def closed_loop(spark, sf):
+    """(folder of the scored applications, registry) of the loop closed: score, receive labels, retrain, score on with the new model.
 
-    first = loaded = R.load(spark, reg)
-    batches = []
+    The first model knows a market where income counts the other way round.  Applications of the earlier years are
+    scored with it; their labels arrive in a stream of their own, whose batch retrains (M24) on what was scored and
+    labelled and appends a registry row; the scoring stream goes on with it where it had stopped."""
+    reg, sink, ckpt = scratch_path(spark, "registry"), scratch_path(spark, "st4-sink"), scratch_path(spark, "st4-ckpt")
+    first = EN.train_ensemble(fx.inverted(spark, sf), "app_id", models=("logit",), source="seed")
+    R.save(spark, first, scratch_path(spark, "models"), reg)
+    loaded = {}
 
     def score_latest(batch):
-        nonlocal loaded
-        batches.append(1)
-        if len(batches) == 3:  # a retrain ends while the stream runs: its registry row is the swap
-            retrained = dataclasses.replace(first, version=first.version + "-next", source="retrain",
-                                            trained_at=first.trained_at + "~")
-            R.save(spark, retrained, scratch_path(spark, "models"), reg)
-        newest = R.latest(spark, reg).first()["version"]   # newest registry row at every batch
-        if loaded.version != newest:                 # its models are read only when they change
-            loaded = R.load(spark, reg)
-        ens = loaded
-        cols = ["app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES]
-        return EN.score(batch.select(*cols), ens, explain=False).select(
-            "app_id", "probability", "decision", F.lit(ens.version).alias("model_version"))
+        newest = R.latest(spark, reg).first()["version"]  # the newest registry row at every batch
+        if newest not in loaded:                          # its models are read only when they change
+            loaded[newest] = R.load(spark, reg)
+        ens = loaded[newest]
+        return EN.score(batch.select("app_id", *S.NUMERIC_FEATURES, *S.CATEGORICAL_FEATURES), ens, explain=False).select(
+            "app_id", "probability", "decision", F.lit(ens.version).alias("model_version"), F.lit(ens.source).alias("model_source"))
+
+    def retrain(labels):
+        jobs.retrain_from_evaluations(spark, evaluated, labels, scratch_path(spark, "models"), reg, models=("logit",), version_after=first.version)
+
+    d = _sliced(_applications_with_resends(spark, sf), F.year("created_at"), "st4")
+    years = sorted(r[0] for r in d.select("_slice").distinct().collect())
+    half = years[len(years) // 2]
+    path, label_path = scratch_path(spark, "stream-st4"), scratch_path(spark, "stream-st4-labels")
+    schema = d.drop("_slice").schema
+
+    def score_on():
+        _run(ST.scoring_stream(spark, ST.application_stream(spark, path, schema, STAGED_FILES), score_latest, sink, ckpt))
+
+    _write_slices(d, path, [y for y in years if y < half])
+    score_on()
+    evaluated = fx.evaluations(spark, sf).filter(F.year("created_at") < half)
+    labels = fx.truth_labels(spark, sf).join(evaluated.select("app_id"), "app_id")
+    labels.write.parquet(label_path)
+    _run(ST.retraining_stream(spark, spark.readStream.schema(labels.schema).parquet(label_path), scratch_path(spark, "st4-labels"), retrain,
+                              scratch_path(spark, "st4-label-ckpt")))
+    _write_slices(d, path, [y for y in years if y >= half])
+    score_on()
+    return sink, reg
 
-    apps = _applications_with_resends(spark, sf)
-    path, schema = _stage(spark, sf, "applications", apps, F.year("created_at"))
-    sink = scratch_path(spark, "st4-sink")
-    src = ST.application_stream(spark, path, schema)
-    _run(ST.scoring_stream(spark, src, score_latest, sink, scratch_path(spark, "st4-ckpt"), dedup_delay="400 days"))
-    return spark.read.parquet(sink)
+
+@query("ST4")
+def st4_hot_model_swap(spark, sf):
+    return spark.read.parquet(closed_loop(spark, sf)[0])
 
 
 @query("ST5", """
@@ -142,8 +177,8 @@ def st5_late_labels_stream(spark, sf):
     ep, es = _stage(spark, sf, "eval-keys", ev, F.year("created_at"))
     lp, ls = _stage(spark, sf, "labels", lab, F.year("labelled_at"))
     sink = scratch_path(spark, "st5-sink")
-    e = spark.readStream.schema(es).option("maxFilesPerTrigger", 1).parquet(ep)
-    lb = spark.readStream.schema(ls).option("maxFilesPerTrigger", 1).parquet(lp)
+    e = spark.readStream.schema(es).option("maxFilesPerTrigger", STAGED_FILES).parquet(ep)
+    lb = spark.readStream.schema(ls).option("maxFilesPerTrigger", STAGED_FILES).parquet(lp)
     _run(ST.late_label_stream(e, lb, sink, scratch_path(spark, "st5-ckpt")))
     joined = spark.read.parquet(sink).withColumn("labelled_at", F.col("labelled_at").cast("timestamp_ntz"))
     return ST.with_late_labels(ev.select("app_id", "aprobado"), joined)

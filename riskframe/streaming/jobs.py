@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskframe.operators.joins import latest_per_key
+from riskframe.operators.user_table import count_activity
 from riskframe.sources.sinks import write_batch_idempotent
 
 ScoreBatch = Callable[[DataFrame], DataFrame]
@@ -71,21 +72,28 @@ def daily_trend_stream(source: DataFrame, sink_path: str, checkpoint: str, laten
 
 
 def user_counter_stream(activity: DataFrame, sink_path: str, checkpoint: str) -> StreamingQuery:
-    """ST3: per-user first/last seen, visits and evaluations in update mode.
+    """ST3: per-user first/last seen, visits and evaluations, kept in a user table.
+
+    The stream itself holds no state: a batch is reduced to its users and added to their rows in the table, whose buckets
+    are rewritten only where it touches them (:mod:`riskframe.operators.user_table`).  Users that stay away cost
+    nothing, returning ones find their counters in the table, and a retried batch counts once."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        count_activity(batch.sparkSession, sink_path, batch, batch_id)
+
+    return activity.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    A batch carries and writes only the users it changed, under its ``batch_id``; :func:`newest`
-    reads each user's latest row.  Counters are for a user's lifetime, so their state (one row
-    per user) has no end by design."""
-    agg = activity.groupBy("user_id").agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        F.count_if(F.col("kind") == "visit").alias("visits"),
-        F.count_if(F.col("kind") == "evaluation").alias("evaluations"))
 
+def retraining_stream(spark: SparkSession, labels: DataFrame, label_path: str, retrain: Callable[[DataFrame], None], checkpoint: str,
+                      least: int = 50) -> StreamingQuery:
+    """ST4: labels arrive; every batch that leaves at least ``least`` of them calls ``retrain`` with all labels so far,
+    which appends the new model's registry row - the swap that scoring streams see at their next batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_batch_idempotent(batch, sink_path, batch_id)
+        write_batch_idempotent(batch, label_path, batch_id)
+        known = spark.read.parquet(label_path).drop("batch_id")
+        if not batch.isEmpty() and known.count() >= least:
+            retrain(known)
 
-    return agg.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).start()
+    return labels.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest(spark: SparkSession, sink_path: str, key: str) -> DataFrame:

@@ -17,8 +17,8 @@ Documents with the same words (128-bit digest) are one *class* and are joined th
    no group holds more than two blocks; a pair never becomes a row.
 5. Pairs whose signatures agree enough (``MARGIN`` standard deviations below the threshold) are
    verified exactly on their shingle sets, which are made again from the text for these classes
-   only.  Every verified link counts for both classes; a spanning forest of a group's links
-   goes on to the connected components.
+   only.  Every verified link counts for both classes; a group's connected classes go on to the
+   connected components as links to their smallest one.
 
 Counting all links inside a node of g different texts takes g^2 / 2 comparisons of signatures,
 done in blocks; only linear output leaves a group.
@@ -255,8 +255,8 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
     return able & (c >= threshold * (size[left] + size[right] - c) - 1e-9)
 
 
-def spanning(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what ``left``-``right`` connects, at most n - 1."""
+def stars(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(root, member) links that connect what ``left``-``right`` connects: every other member of a component with its smallest."""
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -265,13 +265,10 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int
             i = root[i]
         return i
 
-    out = []
     for i, j in zip(left.tolist(), right.tolist()):
         a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+        root[max(a, b)] = min(a, b)
+    return [(find(i), i) for i in range(n) if find(i) != i]
 
 
 def sampled_sets(base: DataFrame, most: int = SAMPLE) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
@@ -422,7 +419,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .dropDuplicates(["c"]).select("c", "shingles"), "forest-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links per class and group, and a spanning forest of each group's links."""
+        """Links per class and group, and each group's connected classes as links to their smallest one: the same classes
+        meeting in many groups give the same few links."""
         for table in whole_groups(batches):
             group, c = group_numbers(table), _column(table, "c")
             values, ends = _lists(table, "shingles")
@@ -435,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ok[some] = similar(sets_, left[some], right[some], threshold)
             left, right = left[ok], right[ok]
             n = np.bincount(np.r_[left, right], minlength=len(c))
-            links = spanning(len(c), left, right)
+            links = stars(len(c), left, right)
             counted = np.flatnonzero(n)
             yield pa.record_batch([
                 pa.array(np.r_[c[counted], c[[a for a, _ in links]]] if links else c[counted], pa.int64()),

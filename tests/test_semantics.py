@@ -276,7 +276,6 @@ def test_recommendations_with_repeated_ids_keep_one_result_per_row(spark):
 
 def test_encoded_what_if(spark):
     """Against plain Python: top features by weight, flips and clamped moves, the better one, tips and explanation."""
-    from pyspark.ml.functions import vector_to_array
     from riskframe.operators import explain as X
     names, ranges = ["a", "b", "flag"], {"a": (0.0, 10.0), "b": (0.0, 1.5), "flag": (0.0, 1.0)}
     coef = [0.02, -0.1, 0.3]
@@ -284,9 +283,10 @@ def test_encoded_what_if(spark):
     df = spark.createDataFrame([(i, x, [(n, c * v) for n, c, v in zip(names, coef, x)]) for i, x in rows],
                                "id int, x array<double>, contribs array<struct<feature:string,impact:double>>")
 
-    def score(d):
-        v = vector_to_array("features")
-        return d.withColumn("p", 0.3 + sum((F.lit(c) * v[k] for k, c in enumerate(coef)), F.lit(0.0))).drop("features")
+    def score(x, moves, count):
+        weight = F.array(*[F.lit(c) for c in coef])
+        base = 0.3 + F.aggregate(F.zip_with(x, weight, lambda v, c: c * v), F.lit(0.0), lambda a, b: a + b)
+        return F.concat(F.array(base), F.transform(moves, lambda m: base + F.get(weight, m["slot"]) * (m["value"] - F.get(x, m["slot"]))))
 
     def plain(x):
         return 0.3 + sum(c * v for c, v in zip(coef, x))

@@ -7,10 +7,15 @@ downstream (no ``inferSchema`` pass over the data).
 
 from __future__ import annotations
 
+import array
+import functools
 import io
+import itertools
 import os
 import re
+import tempfile
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -41,6 +46,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
 
 
 # ---- S3: workbook ingest -----------------------------------------------------
+#: Bytes of a string table held in memory, strings of it kept ready, and rows of a batch.
+SHARED_IN_MEMORY, SHARED_CACHED, WORKBOOK_BATCH = 1 << 25, 100_000, 10_000
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -67,35 +74,76 @@ def _first_sheet(z: zipfile.ZipFile) -> str:
     return sorted(n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n))[0]
 
 
-def parse_xlsx(content: bytes) -> pd.DataFrame:
-    """First worksheet of an .xlsx file as a string DataFrame (stdlib zip + XML)."""
+class SharedStrings:
+    """A workbook's string table: a little of it in memory, a long one in a file of the task."""
+
+    def __init__(self):
+        self.data, self.ends = tempfile.SpooledTemporaryFile(SHARED_IN_MEMORY), array.array("q", [0])
+        self.get = functools.lru_cache(SHARED_CACHED)(self._read)
+
+    def add(self, text: str) -> None:
+        self.ends.append(self.ends[-1] + self.data.write(text.encode()))
+
+    def _read(self, i: int) -> str:
+        self.data.seek(self.ends[i])
+        return self.data.read(self.ends[i + 1] - self.ends[i]).decode()
+
+
+def _elements(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ET.Element]:
+    """The elements ``tag`` of an XML part, one at a time; what was read is forgotten."""
+    tag, above = f"{{{_NS['m']}}}{tag}", []
+    with z.open(name) as part:
+        for event, el in ET.iterparse(part, ("start", "end")):
+            if event == "start":
+                above.append(el)
+                continue
+            above.pop()
+            if el.tag == tag:
+                yield el
+                if above:
+                    above[-1].clear()
+
+
+def workbook_rows(content: bytes) -> Iterator[dict[int, str | None]]:
+    """Rows of the first worksheet as {column number: text}; only one row is held at a time."""
     z = zipfile.ZipFile(io.BytesIO(content))
-    shared: list[str] = []
+    text, shared = f"{{{_NS['m']}}}t", SharedStrings()
     if "xl/sharedStrings.xml" in z.namelist():
-        root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-        for si in root.findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    root = ET.fromstring(z.read(_first_sheet(z)))
-    rows: list[dict[int, str | None]] = []
-    for r in root.iter(f"{{{_NS['m']}}}row"):
+        for si in _elements(z, "xl/sharedStrings.xml", "si"):
+            shared.add("".join(t.text or "" for t in si.iter(text)))
+    for r in _elements(z, _first_sheet(z), "row"):
         cells: dict[int, str | None] = {}
         for c in r.findall("m:c", _NS):
-            t = c.get("t")
-            if t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
+            if c.get("t") == "inlineStr":
+                val = "".join(x.text or "" for x in c.iter(text))
             else:
                 v = c.find("m:v", _NS)
                 val = None if v is None else v.text
-                if t == "s" and val is not None:
-                    val = shared[int(val)]
+                if c.get("t") == "s" and val is not None:
+                    val = shared.get(int(val))
             cells[_col_index(c.get("r"))] = val
-        rows.append(cells)
-    if not rows:
-        return pd.DataFrame()
-    width = max(max(r) for r in rows if r) + 1
-    header = [str(rows[0].get(i) or f"col{i}").strip() for i in range(width)]
-    body = [[r.get(i) for i in range(width)] for r in rows[1:]]
-    return pd.DataFrame(body, columns=header, dtype=object)
+        yield cells
+
+
+def _column_name(header: dict[int, str | None], i: int) -> str:
+    return str(header.get(i) or f"col{i}").strip()
+
+
+def workbook_columns(content: bytes) -> list[str]:
+    """Names of all columns that any row has: the first row's texts, ``col<number>`` where it has none."""
+    rows = workbook_rows(content)
+    header = next(rows, None)
+    if header is None:
+        return []
+    width = max((max(r) + 1 for r in itertools.chain([header], rows) if r), default=0)
+    return [_column_name(header, i) for i in range(width)]
+
+
+def parse_xlsx(content: bytes) -> pd.DataFrame:
+    """First worksheet of an .xlsx file as a string DataFrame (stdlib zip + XML)."""
+    names = workbook_columns(content)
+    body = [[r.get(i) for i in range(len(names))] for r in itertools.islice(workbook_rows(content), 1, None)]
+    return pd.DataFrame(body, columns=names, dtype=object) if names else pd.DataFrame()
 
 
 def write_xlsx(pdf: pd.DataFrame) -> bytes:
@@ -131,6 +179,8 @@ def write_xlsx(pdf: pd.DataFrame) -> bytes:
 def read_workbooks(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """S3: every ``.xlsx`` under ``path`` -> rows (first sheet), one task per workbook file.
 
+    A task holds the compressed file, a batch of rows and some of the string table, whatever the size of the sheet.
+
     ``columns`` is the expected header (all STRING); missing ones come back NULL.  Without it
     the header is the union of the files' headers, which are read first.
     """
@@ -139,16 +189,20 @@ def read_workbooks(spark: SparkSession, path: str, columns: list[str] | None = N
         def headers(it):
             for pdf in it:
                 for content in pdf["content"]:
-                    yield pd.DataFrame({"c": [str(c).strip() for c in parse_xlsx(bytes(content)).columns]})
+                    yield pd.DataFrame({"c": workbook_columns(bytes(content))}, dtype=object)
         columns = [r["c"] for r in files.mapInPandas(headers, "c string").distinct().orderBy("c").collect()]
     schema = ", ".join(f"`{c}` string" for c in columns)
 
     def parse(it):
         for pdf in it:
             for content in pdf["content"]:
-                t = parse_xlsx(bytes(content))
-                t.columns = [str(c).strip() for c in t.columns]
-                yield t.reindex(columns=columns).astype(object).where(t.reindex(columns=columns).notna(), None)
+                rows = workbook_rows(bytes(content))
+                header = next(rows, {})
+                place = {}
+                while batch := list(itertools.islice(rows, WORKBOOK_BATCH)):
+                    for i in {i for r in batch for i in r} | set(header):
+                        place.setdefault(_column_name(header, i), i)
+                    yield pd.DataFrame({c: pd.Series([r.get(place.get(c)) for r in batch], dtype=object) for c in columns})
 
     return files.mapInPandas(parse, schema)
 

@@ -1,10 +1,10 @@
 """Probit by maximum likelihood, with the checks under which it has a finite unique solution (M2).
 
-Before the fit, one aggregate of the products of all pairs of features (with the constant) gives their rank:
-features that follow from others leave the coefficients open.  After the fit, a pass tells whether a
-hyperplane separates the classes, in which case the likelihood grows without end, and the iterations
-tell whether they came to rest.  In either case the logistic model (with its small L2 term, which is always
-solvable) is fitted in its place, and the model says so.
+Before the fit, one aggregate of the products of all pairs of features (with the constant) tells which of them
+follow from earlier ones; they leave the coefficients open and are left out (their coefficients are 0).  After the
+fit, a pass tells whether a hyperplane separates the classes, in which case the likelihood grows without
+end, and the iterations tell whether they came to rest.  In either of these cases the logistic model (with its small
+L2 term, which is always solvable) is fitted in its place.  The model says what was done.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def gram(df: DataFrame, features: str, width: int) -> np.ndarray:
 
 
 def rank_of(products: np.ndarray) -> int:
-    """How many of the features and the constant are independent."""
+    """How many of the columns behind these products are independent."""
     length = np.sqrt(np.diag(products))
     some = length > 0
     unit = products[np.ix_(some, some)] / np.outer(length[some], length[some])
@@ -55,13 +55,23 @@ def rank_of(products: np.ndarray) -> int:
     return int((values > RANK_TOLERANCE * values.max()).sum()) if len(values) else 0
 
 
+def independent(products: np.ndarray) -> list[int]:
+    """The features (numbered from 0, the constant is column 0) that do not follow from the constant and earlier ones."""
+    kept = [0]
+    for j in range(1, len(products)):
+        if rank_of(products[np.ix_([*kept, j], [*kept, j])]) == len(kept) + 1:
+            kept.append(j)
+    return [j - 1 for j in kept[1:]]
+
+
 @dataclass
 class ProbitModel:
     used: str          # "probit" or "logit"
-    reason: str        # why not probit: "", "collinear", "separable", "no convergence" or the error
+    reason: str        # "", "collinear: .. left out", or why not probit: "separable", "no convergence", the error
     coefficients: np.ndarray
     intercept: float
     iterations: int
+    kept: list[int]
     fitted: GeneralizedLinearRegressionModel | None = None
 
     def linear(self, features_col: str) -> Column:
@@ -73,7 +83,13 @@ class ProbitModel:
         """Probability of class 1 under the model that was used."""
         if self.used == "logit":
             return df.withColumn(output, 1.0 / (1.0 + F.exp(-self.linear(features_col))))
-        return self.fitted.copy().setFeaturesCol(features_col).setPredictionCol(output).transform(df)
+        inner = self.fitted.copy().setFeaturesCol("_kept").setPredictionCol(output)
+        return inner.transform(df.withColumn("_kept", _only(features_col, self.kept))).drop("_kept")
+
+
+def _only(features_col: str, kept: list[int]) -> Column:
+    x = vector_to_array(F.col(features_col))
+    return array_to_vector(F.array(*[x[j] for j in kept]).cast("array<double>"))
 
 
 @dataclass
@@ -84,15 +100,16 @@ class Probit:
         data = df.select(vector_to_array(F.col(features)).alias("x"), F.col(features).alias("features"),
                          F.col(label).cast("double").alias("y")).filter("y is not null")
         width = len(data.first()["x"])
-        if rank_of(gram(data, "features", width)) < width + 1:
-            return self.instead(data, "collinear")
+        kept = independent(gram(data, "features", width))
+        reason = "" if len(kept) == width else f"collinear: {width - len(kept)} of {width} features left out"
         try:
-            m = GeneralizedLinearRegression(featuresCol="features", labelCol="y", family="binomial", link="probit",
-                                            maxIter=self.max_iter).fit(data)
+            m = GeneralizedLinearRegression(featuresCol="_kept", labelCol="y", family="binomial", link="probit",
+                                            maxIter=self.max_iter).fit(data.withColumn("_kept", _only("features", kept)))
         except PySparkException as e:
             return self.instead(data, f"failed: {str(e)[:100]}")
-        beta, steps = m.coefficients.toArray(), m.summary.numIterations
-        model = ProbitModel("probit", "", beta, float(m.intercept), steps, m)
+        beta, steps = np.zeros(width), m.summary.numIterations
+        beta[kept] = m.coefficients.toArray()
+        model = ProbitModel("probit", reason, beta, float(m.intercept), steps, kept, m)
         if not np.isfinite(beta).all():
             return self.instead(data, "no convergence")
         # every row on its own side: the likelihood has no maximum
@@ -107,4 +124,5 @@ class Probit:
         warnings.warn(f"probit has no solution on these rows ({reason}): a logistic model is used", stacklevel=3)
         m = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / max(1, data.count()), standardization=False,
                                maxIter=1000).fit(data)
-        return ProbitModel("logit", reason, m.coefficients.toArray(), float(m.intercept), m.summary.totalIterations)
+        beta = m.coefficients.toArray()
+        return ProbitModel("logit", reason, beta, float(m.intercept), m.summary.totalIterations, list(range(len(beta))))

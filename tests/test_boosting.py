@@ -143,9 +143,11 @@ def test_probit_fits_or_says_why_not(spark):
     assert np.allclose(p, cdf, atol=1e-9)
     slope = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (y - cdf) / (cdf * (1 - cdf))  # the likelihood's gradient is zero
     assert np.abs(np.column_stack([np.ones(400), x]).T @ slope).max() < 1e-3
-    with pytest.warns(UserWarning, match="collinear"):
-        m = E.fit("probit", frame(spark, np.column_stack([x, x[:, 0] + x[:, 1]]), y), E.ModelSizes(), "id")
-    assert (m.used, m.reason) == ("logit", "collinear")
+    twice = np.column_stack([x, x[:, 0] + x[:, 1], np.ones(400)])  # a sum of two others, and a constant
+    c = E.fit("probit", frame(spark, twice, y), E.ModelSizes(), "id")
+    assert (c.used, c.reason, c.kept) == ("probit", "collinear: 2 of 5 features left out", [0, 1, 2])
+    assert np.allclose(c.coefficients, [*m.coefficients, 0, 0], atol=1e-6)
+    assert np.allclose([r["p"] for r in c.transform(frame(spark, twice, y), "scaled", "p").orderBy("id").collect()], p, atol=1e-6)
     with pytest.warns(UserWarning, match="separable"):
         m = E.fit("probit", frame(spark, x, x[:, 0] > 0.1), E.ModelSizes(), "id")
     assert m.used == "logit" and np.isfinite(m.coefficients).all()

@@ -10,6 +10,12 @@ the last stage returns the encoded documents.
 4. decontamination: documents that contain a window of a ``benchmark`` item go,
 5. encoding: pieces of every remaining text, decoded again as a check.
 
+Defined results of every stage: a null text counts as empty; an empty text is not toxic, equals other empty texts (one
+stays), is near no other text, holds no window and has no pieces; texts of any length are read whole; rows that
+repeat id and text are copies of each other; rows with equal ids and different texts, or null ids, are rows of their
+own; ties go to the smallest id; an empty table stays empty; other columns are carried along, whatever their names
+(the last stage returns its own).
+
 ``run`` applies them to ``documents``.  Toxicity is a trained model, which SQL cannot
 express, so there is no ``ORACLE_SQL``; tests hold every stage against a brute-force version.
 """

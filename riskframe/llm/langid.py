@@ -71,7 +71,7 @@ def index_matrix(raw: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndar
     step = np.arange(STEPS)[:, None]
     inside = step < length[None, :]
     where = np.where(inside, at[None, :] + step, 0)
-    return np.where(inside, raw[where], PAD).astype(np.int16)
+    return np.where(inside, raw[where].astype(np.int16), np.int16(PAD))  # PAD is no byte: not in the bytes' own type
 
 
 def train(texts: list[bytes], labels: list[int], n_labels: int, seed: int = 11, batches: int = 140,

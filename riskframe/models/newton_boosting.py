@@ -8,8 +8,8 @@ depth, features and bins, never from the rows (few tasks' sums are merged there
     1/2 [GL^2 / (HL + l) + GR^2 / (HR + l) - G^2 / (H + l)]
 
 and a leaf's weight -G / (H + l) of its own round; ``rate`` times the weight is added to the margin before
-the next round.  Binned rows are written once; every ``write_every`` rounds their margins are
-written anew, in between the few trees since then are applied on the way.
+the next round.  Binned rows are kept as blocks (:mod:`riskframe.models.blocks`); the first pass of a
+round moves their margins by the tree before, and every ``write_every`` rounds they are written anew.
 
 Equal gains (to ``GAIN_DIGITS`` decimals, as sums come in any order) are decided by the smaller feature,
 then by the smaller threshold.
@@ -23,17 +23,20 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import RDD, StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.session import drop_scratch, scratch_path, ship_package
+from riskframe.models import blocks as B
+from riskframe.session import drop_scratch, ship_package
 
 GAIN_DIGITS = 6
-#: The sums of all tasks are merged on the driver below so many bytes, by an aggregate beyond.
-MERGED_HERE = 1 << 25
+#: The sums of all tasks are merged on the driver below so many bytes, in the tasks beyond.
+MERGED_HERE = B.ADDED_HERE
+#: A pass over fewer rows than this costs less than one more task.
+ROWS_A_TASK = 1 << 15
 NODE_SCHEMA = ("tree int, node int, depth int, feature int, threshold double, left int, right int, value double, "
                "G double, H double, n bigint, gain double, weight double, base double")
 
@@ -62,11 +65,15 @@ class Tree:
 
     def walk(self, bins: np.ndarray, steps: int) -> np.ndarray:
         """The node of every row (a row of ``bins``) after ``steps`` splits."""
-        feature, cut = np.array(self.feature), np.array(self.bin)
-        ways = np.array([self.right, self.left])
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        # values of a feature side by side: what is taken together lies together
+        n, flat = len(bins), np.ascontiguousarray(bins.T).ravel()
+        first, cut = np.array(self.feature) * n, np.array(self.bin)
+        ways = np.column_stack([self.right, self.left]).ravel()
+        inner = np.array(self.feature) >= 0
+        first = np.where(inner, first, 0)
+        node, rows = np.zeros(n, np.int64), np.arange(n)
         for _ in range(steps):
-            node = ways[(bins[rows, feature[node]] <= cut[node]).astype(np.int64), node]
+            node = ways.take(2 * node + (flat.take(first.take(node) + rows) <= cut.take(node)))
         return node
 
     def weights(self, reg_lambda: float) -> np.ndarray:
@@ -180,6 +187,22 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
 
 
+def thresholds(df: DataFrame, width: int, bins: int) -> list[np.ndarray]:
+    """Cuts per feature of ``x``: midpoints between neighbouring quantiles, least and largest value (all distinct values of a
+    feature with few)."""
+    shares = [k / bins for k in range(1, bins)]
+    wide = df.select(*[F.col("x")[j].alias(f"x{j}") for j in range(width)])
+    ends = wide.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in wide.columns]).first()
+    known = {c: np.unique([v for v in ends[c] if v is not None]) for c in wide.columns}
+    # a feature of two values needs no quantiles
+    more = wide.agg(*[F.bool_or((F.col(c) != float(v[0])) & (F.col(c) != float(v[-1]))).alias(c) for c, v in known.items() if len(v)]).first()
+    many = [c for c in known if len(known[c]) and more[c]]
+    if many:
+        found = wide.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in many]).first()
+        known |= {c: np.unique([*known[c], *found[c]]) for c in many}
+    return [(v[:-1] + v[1:]) / 2 if len(v) > 1 else np.zeros(0) for v in known.values()]
+
+
 @dataclass
 class NewtonBoosting:
     """Estimator (M4); defaults are the reference sizes, with lambda 1 and curvature 1 on either side of a split."""
@@ -190,67 +213,53 @@ class NewtonBoosting:
     least_hessian: float = 1.0
     bins: int = 64
     write_every: int = 8
-    partitions: int | None = None  # rows are dealt to so many tasks; the default parallelism if not given
-
-    def thresholds(self, df: DataFrame, width: int) -> list[np.ndarray]:
-        """Cuts per feature: midpoints between neighbouring quantiles, least and largest value (all distinct values of a
-        feature with few)."""
-        shares = [k / self.bins for k in range(1, self.bins)]
-        wide = df.select(*[F.col("x")[j].alias(f"x{j}") for j in range(width)])
-        ends = wide.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in wide.columns]).first()
-        known = {c: np.unique([v for v in ends[c] if v is not None]) for c in wide.columns}
-        # a feature of two values needs no quantiles
-        more = wide.agg(*[F.bool_or((F.col(c) != float(v[0])) & (F.col(c) != float(v[-1]))).alias(c) for c, v in known.items() if len(v)]).first()
-        many = [c for c in known if len(known[c]) and more[c]]
-        if many:
-            found = wide.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in many]).first()
-            known |= {c: np.unique([*known[c], *found[c]]) for c in many}
-        return [(v[:-1] + v[1:]) / 2 if len(v) > 1 else np.zeros(0) for v in known.values()]
+    partitions: int | None = None  # rows are dealt to so many tasks; the default parallelism at most if not given
 
     def fit(self, df: DataFrame, features: str = "scaled", label: str = "label") -> NewtonBoostingModel:
         if not 2 <= self.bins <= 255:
             raise ValueError("a bin is one byte: 2 to 255 bins")
         data = df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y")).filter("y is not null")
-        head = data.agg(F.first(F.size("x")).alias("width"), F.avg("y").alias("mean")).first()
+        head = data.agg(F.first(F.size("x")).alias("width"), F.avg("y").alias("mean"), F.count("y").alias("n")).first()
         width, mean = head["width"] or 0, head["mean"]
         if mean is None:
             raise ValueError("no labelled row to train on")
         mean = min(max(mean, 1e-6), 1 - 1e-6)
         base = float(np.log(mean / (1 - mean)))
-        cuts = self.thresholds(data, width)
+        cuts = thresholds(data, width, self.bins)
         model = NewtonBoostingModel([], cuts, base, self.rate, self.reg_lambda, self.depth)
         first = np.r_[0, np.cumsum([len(c) + 1 for c in cuts])]
         spark, path = df.sparkSession, None
         # dealt by their values, so that a recomputed task has the same rows
-        tasks = self.partitions or spark.sparkContext.defaultParallelism
+        tasks = self.partitions or min(spark.sparkContext.defaultParallelism, -(-head["n"] // ROWS_A_TASK))
         deal = data.repartition(tasks, F.xxhash64("x", "y", F.monotonically_increasing_id()))
-        rows = deal.mapInArrow(_bin_rows(cuts, base), "bins binary, y double, margin double")
-        fresh: list[Tree] = []  # trees that the written margins do not hold yet
+        table = B.in_blocks(deal, lambda x: binned(x, cuts).T, lambda n, t: np.full(n, base))
+        rows = None
         for done in range(self.rounds):
-            if done % self.write_every == 0:
-                moved = rows if path is None else rows.mapInArrow(_add_trees(fresh, model), "bins binary, y double, margin double")
-                old, path = path, scratch_path(spark, "boosting-rows")
-                moved.write.parquet(path)
-                rows, fresh = spark.read.schema("bins binary, y double, margin double").parquet(path), []
+            if done % self.write_every == 0:  # a written table ends the chain of kept margins
+                if path is not None:
+                    table = table.mapInArrow(_add_trees(model.trees[-self.write_every:], model), B.SCHEMA)
+                old, (table, path) = path, B.written(table, "boosting-rows")
+                before, rows = rows, B.kept(table, _decode)
                 if old:
+                    before.unpersist()
                     drop_scratch(spark, [old])
-            tree = self.grow(rows, fresh, model, first, tasks)
-            model.trees.append(tree)
-            fresh.append(tree)
+                before = None
+            else:
+                before, rows = rows, rows.map(_moved_by(model.trees[-1], model)).persist(StorageLevel.MEMORY_AND_DISK)
+            model.trees.append(self.grow(rows, model, first))
+            if before is not None:  # the first pass of the round has moved the margins
+                before.unpersist()
         if path:
+            rows.unpersist()
             drop_scratch(spark, [path])
         return model
 
-    def grow(self, rows: DataFrame, fresh: list[Tree], model: NewtonBoostingModel, first: np.ndarray, tasks: int) -> Tree:
-        """One tree: a pass per level over all rows, in about ``tasks`` tasks."""
+    def grow(self, rows: RDD, model: NewtonBoostingModel, first: np.ndarray) -> Tree:
+        """One tree: a pass per level over all blocks."""
         tree, level = Tree(), [0]
         for depth in range(self.depth):
-            packed = rows.mapInArrow(_histograms(fresh, tree if depth else None, level, depth, model, first), "s array<double>")
             shape = (3, len(level), int(first[-1]))
-            if tasks * 8 * np.prod(shape) <= MERGED_HERE:
-                merged = packed.toArrow()["s"].combine_chunks().flatten().to_numpy().reshape(-1, *shape).sum(axis=0)
-            else:
-                merged = packed.agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
+            merged = B.added(rows.mapPartitions(_histograms(tree if depth else None, level, depth, model, first)), int(np.prod(shape)), MERGED_HERE)
             hist = merged.reshape(shape)
             if depth == 0:
                 tree.add(0, *hist[:, 0, :first[1]].sum(axis=1))
@@ -270,70 +279,61 @@ class NewtonBoosting:
         return tree
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bins, labels, margins) of a batch of written rows."""
-    raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8)
-    return raw.reshape(batch.num_rows, -1), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-
+def _decode(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins as (features, rows), labels, margins) of a written block."""
+    return np.frombuffer(r["x"], np.uint8).reshape(-1, r["n"]), np.frombuffer(r["y"]), np.frombuffer(r["rest"])
 
-def _packed(bins: np.ndarray) -> pa.Array:
-    n, width = bins.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()),
-                                                  pa.py_buffer(np.ascontiguousarray(bins).tobytes())])
 
-
-def _bin_rows(cuts: list[np.ndarray], base: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                yield pa.record_batch([_packed(binned(x, cuts)), b.column(1), pa.array(np.full(b.num_rows, base))], names=["bins", "y", "margin"])
-    return run
+def _settings(model: NewtonBoostingModel) -> NewtonBoostingModel:
+    """The model without its trees, so that tasks are sent no more than they use."""
+    return NewtonBoostingModel([], [], model.base, model.rate, model.reg_lambda, model.depth)
 
 
-def _moved(margin: np.ndarray, bins: np.ndarray, trees: list[Tree], model: NewtonBoostingModel) -> np.ndarray:
-    for t in trees:
-        margin = margin + model.rate * t.weights(model.reg_lambda)[t.walk(bins, model.depth)]
-    return margin
+def _moved(margin: np.ndarray, bins: np.ndarray, tree: Tree, model: NewtonBoostingModel) -> np.ndarray:
+    return margin + model.rate * tree.weights(model.reg_lambda)[tree.walk(bins.T, model.depth)]
 
 
-def _settings(model: NewtonBoostingModel) -> NewtonBoostingModel:
-    """The model without its trees, so that tasks are sent no more than they use."""
-    return NewtonBoostingModel([], [], model.base, model.rate, model.reg_lambda, model.depth)
+def _moved_by(tree: Tree, model: NewtonBoostingModel):
+    settings = _settings(model)
+    return lambda block: (block[0], block[1], _moved(block[2], block[0], tree, settings))
 
 
 def _add_trees(trees: list[Tree], model: NewtonBoostingModel):
+    """Written blocks with the margins of some more trees."""
     settings = _settings(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                bins, _, margin = _columns(b)
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(_moved(margin, bins, trees, settings))], names=["bins", "y", "margin"])
+            for r in b.to_pylist():
+                bins, y, margin = _decode(r)
+                for t in trees:
+                    margin = _moved(margin, bins, t, settings)
+                yield B.row(r["block"], r["n"], bins, y, margin)
     return run
 
 
-def _histograms(fresh: list[Tree], tree: Tree | None, level: list[int], depth: int, model: NewtonBoostingModel, first: np.ndarray):
+def _histograms(tree: Tree | None, level: list[int], depth: int, model: NewtonBoostingModel, first: np.ndarray):
     """Sums of g, h and rows by (node of ``level``, slot) over the rows of a task, as one vector."""
-    settings, slots, trees = _settings(model), int(first[-1]), list(fresh)
+    slots = int(first[-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks) -> Iterator[np.ndarray]:
         out = np.zeros((3, len(level) * slots))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bins, y, margin = _columns(b)
-            p = 1.0 / (1.0 + np.exp(-_moved(margin, bins, trees, settings)))
-            at = np.zeros(len(y), np.int64)
+        for bins, y, margin in blocks:
+            p = 1.0 / (1.0 + np.exp(-margin))
+            g, h, at = p - y, p * (1 - p), np.zeros(len(y), np.int64)
             if tree is not None:
                 number = np.full(len(tree.feature), -1)
                 number[level] = np.arange(len(level))
-                at = number[tree.walk(bins, depth)]
-            some = at >= 0
-            at, bins, g, h = at[some] * slots, bins[some], (p - y)[some], (p * (1 - p))[some]
-            for j, start in enumerate(first[:-1]):
-                slot = at + (start + bins[:, j])
+                at = number.take(tree.walk(bins.T, depth))
+                some = np.flatnonzero(at >= 0)
+                if len(some) < len(at):
+                    at, bins, g, h = at.take(some), bins[:, some], g.take(some), h.take(some)
+            at = at * slots
+            for b, start, end in zip(bins, first, first[1:]):
+                wide = slice(int(start), (len(level) - 1) * slots + int(end))  # the feature's slots of all nodes lie in here
+                slot = at + b
                 for k, v in enumerate((g, h, None)):
-                    out[k] += np.bincount(slot, v, len(out[k]))
-        yield pa.record_batch([pa.array([out.ravel()], pa.list_(pa.float64()))], names=["s"])
+                    some = np.bincount(slot, v, wide.stop - wide.start)
+                    out[k, wide] += some
+        yield out.ravel()
     return run

@@ -5,9 +5,9 @@ and the hidden curve g.  Every matrix A_k carries its offsets as its last row, a
 matrices are views of one flat vector, the only thing that travels.
 
 Training is data-parallel by local steps: one Spark job per epoch.  Each partition starts
-from the common state, takes one Adam step per mini-batch of its rows in random order, and
-returns its state weighted by its rows; the weighted mean (a vector sum) is the next common
-state.  The same job measures the loss of the state it started from, on the training rows
+from the common state, takes one Adam step per mini-batch of its rows in random order (block by
+block, :mod:`riskframe.models.blocks`), and returns its state weighted by its rows; the weighted mean
+(a vector sum) is the next common state.  The same job measures the loss of the state it started from, on the training rows
 and on a hash-selected validation slice, which decides about early stopping.
 """
 
@@ -18,13 +18,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import unit_hash
-from riskframe.session import cut_lineage
+from riskframe.models import blocks as B
+from riskframe.session import drop_scratch
 
 # FIXED VALUES: constants of the smooth curve's usual approximation.
 GELU_CUBIC = 0.044715
@@ -32,7 +34,7 @@ GELU_RATE = 2.0 * math.sqrt(2.0 / math.pi)
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 def gelu_curve(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +55,18 @@ CURVES = {"gelu": gelu_curve, "relu": relu_curve}
 
 def matrices(flat: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     """Views of the flat vector: one (inputs + 1) x outputs matrix per layer."""
-    ends = np.cumsum([(i + 1) * o for i, o in zip(sizes, sizes[1:])])
-    return [part.reshape(i + 1, o) for part, i, o in zip(np.split(flat, ends[:-1]), sizes, sizes[1:])]
+    views, at = [], 0
+    for i, o in zip(sizes, sizes[1:]):
+        views.append(flat[at:at + (i + 1) * o].reshape(i + 1, o))
+        at += (i + 1) * o
+    return views
 
 
-def with_ones(x: np.ndarray) -> np.ndarray:
-    return np.hstack([x, np.ones((len(x), 1))])
+def through(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """[x, 1] A without a copy of x."""
+    out = x @ a[:-1]
+    out += a[-1]
+    return out
 
 
 def layer_outputs(flat: np.ndarray, sizes: list[int], kind: str, x: np.ndarray) -> list[np.ndarray]:
@@ -66,9 +74,9 @@ def layer_outputs(flat: np.ndarray, sizes: list[int], kind: str, x: np.ndarray)
     *hidden, last = matrices(flat, sizes)
     outputs = []
     for a in hidden:
-        x = CURVES[kind](with_ones(x) @ a)[0]
+        x = CURVES[kind](through(x, a))[0]
         outputs.append(x)
-    return [*outputs, logistic(with_ones(x) @ last)]
+    return [*outputs, logistic(through(x, last))]
 
 
 def log_loss_sum(p: np.ndarray, y: np.ndarray) -> float:
@@ -82,17 +90,20 @@ def gradient(flat: np.ndarray, sizes: list[int], kind: str, x: np.ndarray, y: np
     The output's error is p - y; the error of a hidden layer is the one above it, carried
     through the matrix between them (without its offsets) and scaled by the curve's slope."""
     *hidden, last = matrices(flat, sizes)
-    inputs, slopes = [with_ones(x)], []
+    inputs, slopes = [x], []
     for a in hidden:
-        value, slope = CURVES[kind](inputs[-1] @ a)
-        inputs.append(with_ones(value))
+        value, slope = CURVES[kind](through(inputs[-1], a))
+        inputs.append(value)
         slopes.append(slope)
-    error = (logistic(inputs[-1] @ last) - y[:, None]) / len(y)
-    parts = [inputs[-1].T @ error]
-    for above, below, slope in zip([last, *hidden[:0:-1]], inputs[-2::-1], slopes[::-1]):
-        error = (error @ above[:-1].T) * slope
-        parts.append(below.T @ error)
-    return np.concatenate([p.ravel() for p in parts[::-1]])
+    error = (logistic(through(inputs[-1], last)) - y[:, None]) / len(y)
+    out = np.empty_like(flat)
+    for k, part in reversed(list(enumerate(matrices(out, sizes)))):
+        np.matmul(inputs[k].T, error, out=part[:-1])
+        part[-1] = error.sum(axis=0)
+        if k:
+            error = error @ (last if k == len(hidden) else hidden[k])[:-1].T
+            error *= slopes[k - 1]
+    return out
 
 
 def offsets_mask(sizes: list[int]) -> np.ndarray:
@@ -120,7 +131,11 @@ class Moments:
         self.mean = 0.9 * self.mean + 0.1 * grad
         self.square = 0.999 * self.square + 0.001 * grad * grad
         up = math.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
-        self.flat = self.flat - rate * up * self.mean / (np.sqrt(self.square) + 1e-8)
+        size = np.sqrt(self.square)
+        size += 1e-8
+        step = self.mean / size
+        step *= rate * up
+        self.flat = self.flat - step
 
     def packed(self) -> np.ndarray:
         return np.concatenate([self.flat, self.mean, self.square, [self.steps]])
@@ -137,6 +152,11 @@ def _inputs(df: DataFrame, features_col: str, n: int) -> list:
     return [x[i].alias(f"_x{i}") for i in range(n)]
 
 
+def _decode(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, labels, whether a row is for validation) of a written block."""
+    return np.frombuffer(r["x"]).reshape(r["n"], -1), np.frombuffer(r["y"]), np.frombuffer(r["rest"], np.int8).astype(bool)
+
+
 @dataclass
 class GeluNetworkModel:
     sizes: list[int]
@@ -237,11 +257,13 @@ class GeluNetwork:
         spark = df.sparkSession
         width = len(df.select(vector_to_array(F.col(features_col)).alias("x")).first()["x"])
         sizes = [width, *self.hidden, 1]
-        rows = df.select(*_inputs(df, features_col, width), F.col(label_col).cast("double").alias("y"),
-                         (unit_hash(id_col, self.seed + 1) < F.lit(self.val_fraction)).alias("val"),
+        rows = df.select(vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y"),
+                         (unit_hash(id_col, self.seed + 1) < F.lit(self.val_fraction)).cast("tinyint").alias("val"),
                          unit_hash(id_col, self.seed + 2).alias("_u"))
         # by a hash of the row, and written: the same rows meet in a partition in every epoch, whatever executors are lost
-        rows = cut_lineage(rows.repartition(self.partitions or spark.sparkContext.defaultParallelism, "_u").drop("_u"), "net-rows")
+        deal = rows.repartition(self.partitions or spark.sparkContext.defaultParallelism, "_u").drop("_u")
+        table, path = B.written(B.in_blocks(deal, lambda x: x, lambda n, t: t["val"].to_numpy()), "net-rows")
+        rows = B.kept(table, _decode)
         state = Moments.at(self.start(sizes))
         model = GeluNetworkModel(sizes, state.flat, self.activation)
         best, waited = math.inf, 0
@@ -259,21 +281,21 @@ class GeluNetwork:
                 break
             state = mean
         model.best_val_loss = round(best, 4) if math.isfinite(best) else None
+        rows.unpersist()
+        drop_scratch(spark, [path])
         return model
 
-    def epoch(self, rows: DataFrame, state: Moments, sizes: list[int], number: int):
+    def epoch(self, rows: RDD, state: Moments, sizes: list[int], number: int):
         """(next state, mean training loss, mean validation loss of ``state``); (.., None, ..) without rows."""
         sent, kind, size = state.packed(), self.activation, self.batch
         rate, decay, seed = self.lr, self.l2 * offsets_mask(sizes), (self.seed, number)
-        xs = [f"_x{i}" for i in range(sizes[0])]
 
         def local(it):
             here = Moments.unpacked(sent.copy())
             begun = here.flat
             tally = np.zeros(4)  # training loss and rows, validation loss and rows
             rng = np.random.default_rng(seed)
-            for pdf in it:
-                x, y, val = pdf[xs].to_numpy(dtype=float), pdf["y"].to_numpy(), pdf["val"].to_numpy(dtype=bool)
+            for x, y, val in it:
                 for k, some in ((0, ~val), (2, val)):
                     if some.any():
                         p = layer_outputs(begun, sizes, kind, x[some])[-1][:, 0]
@@ -282,11 +304,11 @@ class GeluNetwork:
                 for pick in np.array_split(order, max(1, -(-len(order) // size))):
                     if len(pick):
                         here.move(gradient(here.flat, sizes, kind, x[pick], y[pick]) + decay * here.flat, rate)
-            yield pd.DataFrame({"s": [np.concatenate([here.packed() * tally[1], tally]).tolist()]})
+            yield np.concatenate([here.packed() * tally[1], tally])
 
-        s = rows.mapInPandas(local, "s array<double>").agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"]
-        if s is None or s.toArray()[-3] == 0:
+        s = B.added(rows.mapPartitions(local), len(sent) + 4)
+        *_, t_loss, t_rows, v_loss, v_rows = s
+        if t_rows == 0:
             return state, None, None
-        *_, t_loss, t_rows, v_loss, v_rows = s.toArray()
         train_loss = float(t_loss / t_rows)
-        return Moments.unpacked(s.toArray()[:-4] / t_rows), train_loss, float(v_loss / v_rows) if v_rows else train_loss
+        return Moments.unpacked(s[:-4] / t_rows), train_loss, float(v_loss / v_rows) if v_rows else train_loss

@@ -12,11 +12,12 @@ import warnings
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.models.ensemble import Ensemble
+from riskframe.models.forest import ForestModel
 from riskframe.models.gelu_net import GeluNetworkModel
 from riskframe.models.newton_boosting import NewtonBoostingModel
 from riskframe.operators.features import ScalerModel
@@ -30,17 +31,17 @@ REGISTRY_SCHEMA = (
     "scaler_mean array<double>, scaler_std array<double>, models array<string>, "
     "net_sizes array<int>, net_weights array<double>, net_activation string, model_path string")
 
-_LOADERS = {"logit": LogisticRegressionModel, "random_forest": RandomForestClassificationModel}
+_TREES = {"random_forest": ForestModel, "newton_boosting": NewtonBoostingModel}
 
 
 def save(spark: SparkSession, ens: Ensemble, model_path: str, registry_path: str) -> DataFrame:
     """Write model folders, then append the registry row (the commit point)."""
     ens.encoder.write().overwrite().save(f"{model_path}/encoder")
     for name, m in ens.models.items():
-        if name in _LOADERS:
-            m.write().overwrite().save(f"{model_path}/{name}")
-        elif name == "newton_boosting":
+        if name in _TREES:
             m.save(spark, f"{model_path}/{name}")
+        elif name == "logit":
+            m.write().overwrite().save(f"{model_path}/{name}")
     net = ens.models.get("neural_net")
     row = {
         "version": ens.version, "trained_at": ens.trained_at, "source": ens.source,
@@ -84,8 +85,7 @@ def load(spark: SparkSession, registry_path: str, version: str | None = None) ->
             models[name] = GeluNetworkModel(list(r["net_sizes"]), np.asarray(r["net_weights"]), r["net_activation"])
             continue
         try:
-            models[name] = (NewtonBoostingModel.load(spark, f"{path}/{name}") if name == "newton_boosting"
-                            else _LOADERS[name].load(f"{path}/{name}"))
+            models[name] = _TREES[name].load(spark, f"{path}/{name}") if name in _TREES else LogisticRegressionModel.load(f"{path}/{name}")
         except Exception as e:  # noqa: BLE001 - a broken model must not stop scoring, but it is said
             warnings.warn(f"model {name} of {r['version']} cannot be read and scores 0.5: {str(e)[:200]}", stacklevel=2)
             models[name] = None

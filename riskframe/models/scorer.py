@@ -14,48 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.models import tree_nodes as TN
 from riskframe.models.ensemble import Ensemble
 from riskframe.models.gelu_net import layer_outputs
-from riskframe.session import drop_scratch, scratch_path, ship_package
+from riskframe.session import ship_package
 
 #: Rows of a matrix scored at a time (trees x rows places are held at once).
 SCORED_AT_ONCE = 4096
 
 
-@dataclass
-class Forest:
-    """All trees of a forest side by side; a leaf is its own child."""
-    roots: np.ndarray
-    feature: np.ndarray
-    threshold: np.ndarray
-    ways: np.ndarray   # (2, nodes): left, right
-    value: np.ndarray
-    depth: int
-
-    @classmethod
-    def of(cls, spark: SparkSession, model) -> Forest:
-        """From a fitted Spark ML forest; its nodes (trees x 2^(depth + 1) at most) come to the driver."""
-        path = scratch_path(spark, "forest")
-        model.write().overwrite().save(path)
-        t = TN.forest_nodes(spark, path).orderBy("tree", "node").select("tree", "node", "depth", "feature", "threshold", "left", "right", "value").toArrow()
-        drop_scratch(spark, [path])
-        tree, node = t["tree"].to_numpy(), t["node"].to_numpy()
-        roots = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
-        base = np.repeat(roots, np.diff(np.r_[roots, len(tree)]))
-        leaf = np.asarray(t["feature"].is_null())
-        left, right = (np.where(leaf, node, t[c].fill_null(0).to_numpy()) + base for c in ("left", "right"))
-        return cls(roots, t["feature"].fill_null(0).to_numpy(), t["threshold"].fill_null(np.inf).to_numpy(), np.stack([left, right]),
-                   t["value"].fill_null(0.0).to_numpy(), int(t["depth"].to_numpy().max(initial=0)))
-
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        node, rows = np.broadcast_to(self.roots, (len(x), len(self.roots))), np.arange(len(x))[:, None]
-        for _ in range(self.depth):
-            right = x[rows, self.feature[node]] > self.threshold[node]
-            node = self.ways[right.astype(np.int8), node]
-        return self.value[node].mean(axis=1)
-
-
 @dataclass
 class MatrixScorer:
     """Probabilities of every model of an ensemble for a matrix of encoded, unscaled rows."""
@@ -68,7 +34,7 @@ class MatrixScorer:
         models = {}
         for name, m in ens.models.items():
             if name == "random_forest" and m is not None:
-                m = Forest.of(spark, m)
+                m = m.arrays()
             elif name == "logit" and m is not None:
                 m = (m.coefficients.toArray(), float(m.intercept))
             elif name == "neural_net" and m is not None:

@@ -41,3 +41,11 @@ def test_a_long_sheet_needs_little_memory():
     assert rows == n + 1 and peak < 8 << 20  # the sheet's XML alone has over 8 MB
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         assert z.getinfo("xl/worksheets/sheet1.xml").file_size > 8 << 20
+
+
+def test_partitions_are_written_as_several_workbooks(spark, tmp_path):
+    df = spark.range(0, 2500, 1, 2).selectExpr("id", "concat('v', id) AS v")
+    RD.write_workbooks(df, str(tmp_path / "books"), 400)
+    assert len(list((tmp_path / "books").glob("*.xlsx"))) == 8  # 1,250 rows a partition
+    got = RD.read_workbooks(spark, str(tmp_path / "books"), ["id", "v"])
+    assert sorted((int(r["id"]), r["v"]) for r in got.collect()) == [(k, f"v{k}") for k in range(2500)]

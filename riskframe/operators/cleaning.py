@@ -219,34 +219,33 @@ def clean_dataset(df: DataFrame, target: str = S.TARGET) -> tuple[DataFrame, Not
     trimming) -> strip text, missing tokens to NULL -> numeric coercion +
     median -> target to 0/1 (cleaner dictionary), drop unreadable -> mode fill.
 
-    Passes: one profile aggregate, one dedup shuffle written as a table, and over
-    that table the median passes and one mode aggregate.  The result is a lazy
-    frame over the table.
+    Passes: one dedup shuffle written as a table with the number of copies of every row,
+    and over that table the profile, the median passes and one mode aggregate.  ``df`` is
+    evaluated once; the result is a lazy frame over the table.
     """
     notes = Notes()
     df, renamed = remap_columns(strip_headers(df))
     for a, b in renamed.items():
         notes.add("rename", b, a)
-    all_null_row = None
-    for c in df.columns:
-        all_null_row = F.col(c).isNull() if all_null_row is None else (all_null_row & F.col(c).isNull())
-    prof = df.agg(F.count(F.lit(1)).alias("__rows"), F.count_if(all_null_row).alias("__empty"),
-                  *[F.count(c).alias(c) for c in df.columns]).first()
-    dropped = [c for c in df.columns if prof[c] == 0]
+    columns, dtypes = df.columns, dict(df.dtypes)
+    exprs = {c: missing_to_null(c) for c in columns if dtypes[c] == "string"}
+    exprs.update({c: parse_double(missing_to_null(c)) if dtypes[c] == "string" else F.col(c).cast("double")
+                  for c in S.NUMERIC_FEATURES if c in columns})
+    if target in columns:  # decided here, filtered after the medians: one write serves every later pass
+        exprs["_target"] = normalize_target(exprs.get(target, F.col(target)), "cleaner")
+    t1 = cut_lineage(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+                     .withColumn("__full", F.array(*[F.col(c).isNotNull() for c in columns])).withColumns(exprs))
+    empty_row = ~F.array_contains("__full", True)
+    prof = t1.agg(*[F.coalesce(F.sum(F.when(cond, F.col("__copies"))), F.lit(0)).alias(name) for name, cond in (
+        ("__rows", F.lit(True)), ("__empty", empty_row), *[(c, F.col("__full")[i]) for i, c in enumerate(columns)])]).first()
+    dropped = [c for c in columns if prof[c] == 0]
     if prof["__empty"]:
         notes.add("drop_empty_rows", "*", "all-null rows", prof["__empty"])
     for c in dropped:
         notes.add("drop_empty_column", c, "all null")
-    df = drop_all_null_rows(df).drop(*dropped)
     n1 = prof["__rows"] - prof["__empty"]
-    dtypes = dict(df.dtypes)
-    nums = [c for c in S.NUMERIC_FEATURES if c in df.columns]
-    exprs = {c: missing_to_null(c) for c in df.columns if dtypes[c] == "string"}
-    exprs.update({c: parse_double(missing_to_null(c)) if dtypes[c] == "string" else F.col(c).cast("double")
-                  for c in nums})
-    if target in df.columns:  # decided here, filtered after the medians: one write serves every later pass
-        exprs["_target"] = normalize_target(exprs.get(target, F.col(target)), "cleaner")
-    t1 = cut_lineage(df.dropDuplicates().withColumns(exprs))
+    t1 = t1.filter(~empty_row).drop("__copies", "__full", *dropped, *(["_target"] if target in dropped else []))
+    nums = [c for c in S.NUMERIC_FEATURES if c in t1.columns]
     # one pass over the checkpoint: row count and non-null counts (nulls = rows - non-null)
     c1 = t1.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c in nums]).first()
     n2 = c1["__rows"]

@@ -17,20 +17,25 @@ from pyspark.sql import DataFrame
 from riskframe.session import scratch_path
 
 ROWS = 1 << 16
+#: Bytes of a row group, which a task holds while it writes and while it reads.
+GROUP_BYTES = 1 << 23
 SCHEMA = "block long, n int, x binary, y binary, rest binary"
 #: Vectors of all tasks are added on the driver below so many bytes, in the tasks beyond.
 ADDED_HERE = 1 << 25
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
+    """The batches as tables of ``rows`` rows, the last one with the rest."""
     held, n = [], 0
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= ROWS:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+        while b.num_rows:
+            part = b.slice(0, rows - n)
+            b = b.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -40,12 +45,13 @@ def row(block: int, n: int, x: np.ndarray, y: np.ndarray, rest: np.ndarray) -> p
                                                                                         for v in (x, y, rest)]], names=["block", "n", "x", "y", "rest"])
 
 
-def in_blocks(df: DataFrame, encode: Callable[[np.ndarray], np.ndarray], rest: Callable[[int, pa.Table], np.ndarray]) -> DataFrame:
-    """The rows (x ARRAY<DOUBLE>, y DOUBLE, ...) as blocks: ``encode`` turns a block's matrix into what is kept of it."""
+def in_blocks(df: DataFrame, encode: Callable[[np.ndarray], np.ndarray], rest: Callable[[int, pa.Table], np.ndarray],
+              rows: int = ROWS) -> DataFrame:
+    """The rows (x ARRAY<DOUBLE>, y DOUBLE, ...) as blocks of ``rows``: ``encode`` turns a block's matrix into what is kept of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         first = TaskContext.get().partitionId() << 32
-        for k, t in enumerate(gathered(batches)):
+        for k, t in enumerate(gathered(batches, rows)):
             t = t.combine_chunks()
             x = t["x"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
             yield row(first + k, t.num_rows, encode(x), t["y"].to_numpy(), rest(t.num_rows, t))
@@ -54,7 +60,8 @@ def in_blocks(df: DataFrame, encode: Callable[[np.ndarray], np.ndarray], rest: C
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # a block is one value of a row: without these, writer and reader hold a hundred and more of them at once
+    df.write.option("parquet.page.size.row.check.min", 1).option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(SCHEMA).parquet(path), path
 
 

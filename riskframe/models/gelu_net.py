@@ -6,7 +6,8 @@ matrices are views of one flat vector, the only thing that travels.
 
 Training is data-parallel by local steps: one Spark job per epoch.  Each partition starts
 from the common state, takes one Adam step per mini-batch of its rows in random order (block by
-block, :mod:`riskframe.models.blocks`), and returns its state weighted by its rows; the weighted mean
+block, :mod:`riskframe.models.blocks`; a task's rows are ordered by a hash, so that a block is a random part of them whatever
+order the input has), and returns its state weighted by its rows; the weighted mean
 (a vector sum) is the next common state.  The same job measures the loss of the state it started from, on the training rows
 and on a hash-selected validation slice, which decides about early stopping.
 """
@@ -31,23 +32,41 @@ from riskframe.session import drop_scratch
 # FIXED VALUES: constants of the smooth curve's usual approximation.
 GELU_CUBIC = 0.044715
 GELU_RATE = 2.0 * math.sqrt(2.0 / math.pi)
+#: Rows whose layers are computed at a time: their outputs stay in the processor's cache.
+ROWS_AT_ONCE = 1024
+#: Bytes of a written block: a writer holds a hundred of them, and a reader the blocks of a row group.
+BLOCK_BYTES = 1 << 20
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def gelu_curve(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value, slope) of x s(k(x)), k(x) = r (x + c x^3); the slope follows from s' = s (1 - s)."""
+def gelu_curve(x: np.ndarray, steep: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(value, slope if ``steep``) of x s(k(x)), k(x) = r (x + c x^3); the slope follows from s' = s (1 - s)."""
     square = x * x
-    share = logistic(GELU_RATE * x * (1.0 + GELU_CUBIC * square))
+    share = square * GELU_CUBIC
+    share += 1.0
+    share *= x
+    share *= 0.5 * GELU_RATE
+    np.tanh(share, out=share)
+    share *= 0.5
+    share += 0.5
     value = x * share
-    return value, share + value * (1.0 - share) * GELU_RATE * (1.0 + 3.0 * GELU_CUBIC * square)
-
-
-def relu_curve(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not steep:
+        return value, None
+    square *= 3.0 * GELU_CUBIC * GELU_RATE
+    square += GELU_RATE
+    square *= value
+    slope = 1.0 - share
+    slope *= square
+    slope += share
+    return value, slope
+
+
+def relu_curve(x: np.ndarray, steep: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     on = x > 0
-    return np.where(on, x, 0.0), on.astype(float)
+    return np.where(on, x, 0.0), on.astype(float) if steep else None
 
 
 CURVES = {"gelu": gelu_curve, "relu": relu_curve}
@@ -74,11 +93,17 @@ def layer_outputs(flat: np.ndarray, sizes: list[int], kind: str, x: np.ndarray)
     *hidden, last = matrices(flat, sizes)
     outputs = []
     for a in hidden:
-        x = CURVES[kind](through(x, a))[0]
+        x = CURVES[kind](through(x, a), steep=False)[0]
         outputs.append(x)
     return [*outputs, logistic(through(x, last))]
 
 
+def probabilities(flat: np.ndarray, sizes: list[int], kind: str, x: np.ndarray) -> np.ndarray:
+    """Of class 1, some rows at a time."""
+    parts = [layer_outputs(flat, sizes, kind, x[a:a + ROWS_AT_ONCE])[-1][:, 0] for a in range(0, len(x), ROWS_AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def log_loss_sum(p: np.ndarray, y: np.ndarray) -> float:
     p = np.clip(p, 1e-7, 1 - 1e-7)
     return -float(np.where(y > 0.5, np.log(p), np.log1p(-p)).sum())
@@ -128,8 +153,12 @@ class Moments:
 
     def move(self, grad: np.ndarray, rate: float) -> None:
         self.steps += 1
-        self.mean = 0.9 * self.mean + 0.1 * grad
-        self.square = 0.999 * self.square + 0.001 * grad * grad
+        self.mean = 0.9 * self.mean
+        self.mean += 0.1 * grad
+        grow = grad * grad
+        grow *= 0.001
+        grow += 0.999 * self.square
+        self.square = grow
         up = math.sqrt(1 - 0.999 ** self.steps) / (1 - 0.9 ** self.steps)
         size = np.sqrt(self.square)
         size += 1e-8
@@ -177,11 +206,11 @@ class GeluNetworkModel:
 
     def transform(self, df: DataFrame, features_col: str = "scaled", output: str = "p_gelu") -> DataFrame:
         """Probability of class 1, in Arrow batches."""
-        outputs = self._outputs()
+        flat, sizes, kind = self.weights.copy(), list(self.sizes), self.activation
 
         @F.pandas_udf("double")
         def probability(x: pd.DataFrame) -> pd.Series:
-            return pd.Series(outputs(x)[-1][:, 0])
+            return pd.Series(probabilities(flat, sizes, kind, x.to_numpy(dtype=float)))
 
         return df.withColumn(output, probability(F.struct(*_inputs(df, features_col, self.sizes[0]))))
 
@@ -260,9 +289,10 @@ class GeluNetwork:
         rows = df.select(vector_to_array(F.col(features_col)).alias("x"), F.col(label_col).cast("double").alias("y"),
                          (unit_hash(id_col, self.seed + 1) < F.lit(self.val_fraction)).cast("tinyint").alias("val"),
                          unit_hash(id_col, self.seed + 2).alias("_u"))
-        # by a hash of the row, and written: the same rows meet in a partition in every epoch, whatever executors are lost
-        deal = rows.repartition(self.partitions or spark.sparkContext.defaultParallelism, "_u").drop("_u")
-        table, path = B.written(B.in_blocks(deal, lambda x: x, lambda n, t: t["val"].to_numpy()), "net-rows")
+        # by a hash of the row, and written: the same rows meet in a partition in every epoch, whatever executors are lost; in the
+        # hash's order, as steps through rows that lie by class or by date go astray
+        deal = rows.repartition(self.partitions or spark.sparkContext.defaultParallelism, "_u").sortWithinPartitions("_u").drop("_u")
+        table, path = B.written(B.in_blocks(deal, lambda x: x, lambda n, t: t["val"].to_numpy(), max(self.batch, BLOCK_BYTES // (8 * width))), "net-rows")
         rows = B.kept(table, _decode)
         state = Moments.at(self.start(sizes))
         model = GeluNetworkModel(sizes, state.flat, self.activation)
@@ -298,7 +328,7 @@ class GeluNetwork:
             for x, y, val in it:
                 for k, some in ((0, ~val), (2, val)):
                     if some.any():
-                        p = layer_outputs(begun, sizes, kind, x[some])[-1][:, 0]
+                        p = probabilities(begun, sizes, kind, x[some])
                         tally[k:k + 2] += log_loss_sum(p, y[some]), some.sum()
                 order = rng.permutation(np.flatnonzero(~val))
                 for pick in np.array_split(order, max(1, -(-len(order) // size))):

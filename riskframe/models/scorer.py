@@ -15,7 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.models.ensemble import Ensemble
-from riskframe.models.gelu_net import layer_outputs
+from riskframe.models.gelu_net import probabilities
 from riskframe.session import ship_package
 
 #: Rows of a matrix scored at a time (trees x rows places are held at once).
@@ -49,7 +49,7 @@ class MatrixScorer:
         if name == "random_forest":
             return m.probability(x)
         if name == "neural_net":
-            return layer_outputs(*m, x)[-1][:, 0]
+            return probabilities(*m, x)
         z = x @ m[0] + m[1] if name == "logit" else m.margin(x)
         return 1.0 / (1.0 + np.exp(-z))
 
